@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lumen.llm import token_counts
+from lumen.llm import byte_bpe, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.query,
+        "op8_byte_bpe": byte_bpe.query,
     }
 
 
