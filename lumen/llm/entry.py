@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from lumen.llm import byte_bpe, token_counts
+from lumen.llm import byte_bpe, substring_dedup, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.query,
+        "op2_substring_dedup": substring_dedup.query,
         "op8_byte_bpe": byte_bpe.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_substring_dedup": substring_dedup.ORACLE,
+    }
