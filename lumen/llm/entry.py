@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lumen.llm import byte_bpe, substring_dedup, token_counts
+from lumen.llm import byte_bpe, ngram_jaccard, substring_dedup, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.query,
         "op2_substring_dedup": substring_dedup.query,
+        "op4_ngram_jaccard": ngram_jaccard.query,
         "op8_byte_bpe": byte_bpe.query,
     }
 
@@ -16,4 +17,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": substring_dedup.ORACLE,
+        "op4_ngram_jaccard": ngram_jaccard.ORACLE,
     }
