@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lumen.llm import byte_bpe, license_scan, ngram_jaccard, quality_rules, substring_dedup, token_counts
+from lumen.llm import byte_bpe, language_id, license_scan, ngram_jaccard, quality_rules, substring_dedup, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.query,
         "op2_substring_dedup": substring_dedup.query,
+        "op3_language_id": language_id.query,
         "op4_ngram_jaccard": ngram_jaccard.query,
         "op5_license_scan": license_scan.query,
         "op8_byte_bpe": byte_bpe.query,
@@ -19,5 +20,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": substring_dedup.ORACLE,
+        "op3_language_id": language_id.query,
         "op4_ngram_jaccard": ngram_jaccard.ORACLE,
     }
