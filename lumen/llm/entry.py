@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumen.llm import byte_bpe, decontaminate, language_id, license_scan, ngram_jaccard, quality_rules, secret_scan, substring_dedup, token_counts
+from lumen.llm import byte_bpe, decontaminate, language_id, license_scan, ngram_jaccard, quality_rules, secret_scan, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_ngram_jaccard": ngram_jaccard.query,
         "op5_license_scan": license_scan.query,
         "op6_secret_scan": secret_scan.query,
+        "op7_toxicity": toxicity.query,
         "op8_byte_bpe": byte_bpe.query,
         "op9_decontaminate": decontaminate.query,
         "op10_quality_rules": quality_rules.query,
