@@ -171,22 +171,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id: str = "doc
     return model
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with ``score`` added (replaced if present): 0 to 1, higher if label 1 is likelier.
+def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
+    """docs with the column ``name`` added (replaced if present): 0 to 1, higher if label 1 is likelier.
 
     Null and empty texts get the score of a text without any word.  Repeated
     rows repeat; an empty table gives an empty table.
     """
     prepare(docs.sparkSession)
-    keep = [c for c in docs.columns if c != "score"]
+    keep = [c for c in docs.columns if c != name]
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([model.look((t or "").encode("utf-8", "surrogatepass")) for t in b.column(len(keep)).to_pylist()]).reshape(b.num_rows, len(model.lexicon) + 6)
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(model.score(x))], keep + ["score"])
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(model.score(x))], keep + [name])
 
-    return src.mapInArrow(f, src.drop("_text").schema.add("score", "double"))
+    return src.mapInArrow(f, src.drop("_text").schema.add(name, "double"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
