@@ -40,12 +40,11 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, their secrets replaced; n_chars follows the text where that changed."""
     found = secret_scan.find_secrets(docs)
-    text = secret_scan.redact(F.col("text"), F.col("spans"))
     hit = F.size("spans") > 0
-    cols = []
-    for c in docs.columns:
-        cols.append(text.alias("text") if c == "text" else F.when(hit, F.length(text).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`"))
-    return found.select(*cols)
+    out = found.withColumn("text", secret_scan.redact(F.col("text"), F.col("spans")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

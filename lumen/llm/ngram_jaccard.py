@@ -2,7 +2,7 @@
 
 Documents with equal shingle sets are one class.  Small sets (light) enumerate
 the subsets of the fixed size that a link demands for each partner size, so two
-light sets link exactly if they share a subset.  Large sets (heavy) are cut by
+light sets that link share such a subset.  Large sets (heavy) are cut by
 shingle hash into one part more than a link may leave differing, so that two
 linked sets agree on a whole part; a part's inverted list holds the sets that
 have it.  The boundary minimises the cost of the two, from the sizes of the
