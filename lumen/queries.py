@@ -213,7 +213,7 @@ def _(spark, d):
     return summaries.boolean_summary(t(spark, d, "labels").select((F.col("quality") == 1).alias("good")), "good")
 
 
-@query("sta07_datetime_summary", "select count(ts) as count, count(*) - count(ts) as nulls, min(ts) as first, max(ts) as last, (date_part('epoch', max(ts) - min(ts)) // 86400)::bigint + 1 as span_days, bool_and(date_trunc('day', ts) = ts) as dates_only, count(distinct ts::date) as days from events")
+@query("sta07_datetime_summary", "select count(ts) as count, count(*) - count(ts) as nulls, min(ts) as first, max(ts) as last, floor(date_part('epoch', max(ts) - min(ts)) / 86400)::bigint + 1 as span_days, bool_and(date_trunc('day', ts) = ts) as dates_only, count(distinct ts::date) as days from events")
 def _(spark, d):
     return summaries.datetime_summary(t(spark, d, "events"), "ts")
 
