@@ -583,3 +583,197 @@ def _(spark, d):
 @query("det04_near_duplicates", "with d as (" + DIRTY_ORDERS + "), a as (select sum(n - 1) as e, sum(n) as r from (select count(*) as n from d group by priority, status)), b as (select sum(n - 1) as e from (select count(*) as n from d group by lower(trim(priority)), lower(trim(status)))) select a.e::bigint as exact, b.e::bigint as normalised, (b.e - a.e)::bigint as extra, round((b.e - a.e) / r, 6) as share from a, b")
 def _(spark, d):
     return rows.near_duplicates(dirty(spark, d, DIRTY_ORDERS), ["priority", "status"])
+
+
+@query("det01_missing_together", "with d as (" + DIRTY_ORDERS + ") select count(*) filter (where price is null and status is null) as together, count(*) - count(price) as a, count(*) - count(status) as b, count(*) as n from d")
+def _(spark, d):
+    x = dirty(spark, d, DIRTY_ORDERS)
+    p, s = F.col("price").isNull(), F.col("status").isNull()
+    return x.agg(F.count_if(p & s).alias("together"), F.count_if(p).alias("a"), F.count_if(s).alias("b"), F.count("*").alias("n"))
+
+
+def _evidence(spark, d, sql, detectors, columns=None):
+    """Evidence of detectors as rows."""
+    from lumen.plans import cleaning, profile
+
+    x = dirty(spark, d, sql)
+    x = x.select(*columns) if columns else x
+    ps = profile.profile(x)
+    found = [e for f in detectors for e in f(x, ps, cleaning.Rules())]
+    return spark.createDataFrame([(e.column, e.problem, int(e.count), round(float(e.ratio), 6)) for e in found], "column string, problem string, n long, ratio double")
+
+
+@query("det01_missing_values", "with d as (" + DIRTY_ORDERS + "), x as (select count(*) filter (where price is null) as a, count(*) filter (where priority is null or trim(priority) = '' or lower(trim(priority)) in ('?','na','n/a','nan','null','missing','not applicable','n.a.','n.a')) as b, count(*) filter (where status is null or trim(status) = '') as c, count(*) as n from d) select 'price' as \"column\", 'missing_values' as problem, a as n, round(a / n, 6) as ratio from x union all select 'priority', 'missing_values', b, round(b / n, 6) from x union all select 'status', 'missing_values', c, round(c / n, 6) from x")
+def _(spark, d):
+    from lumen.plans import cleaning
+
+    return _evidence(spark, d, DIRTY_ORDERS, [cleaning.detect_missing]).where("problem = 'missing_values'")
+
+
+@query("det05_invalid_values", "with d as (" + DIRTY_LINES + "), x as (select count(*) filter (where item_count < 0) as a, count(*) filter (where age < 0 or age > 130) as b, count(*) as n from d) select 'item_count' as \"column\", 'invalid_values' as problem, a as n, round(a / n, 6) as ratio from x union all select 'age', 'invalid_values', b, round(b / n, 6) from x")
+def _(spark, d):
+    from lumen.plans import cleaning
+
+    return _evidence(spark, d, DIRTY_LINES, [cleaning.detect_invalid], ["item_count", "age"])
+
+
+@query("det17_order_violations", "with d as (" + DIRTY_LINES + ") select 'start_date' as \"column\", 'order_violations' as problem, count(*) filter (where start_date > end_date) as n, round(count(*) filter (where start_date > end_date) / count(*), 6) as ratio from d")
+def _(spark, d):
+    from lumen.plans import cleaning
+
+    return _evidence(spark, d, DIRTY_LINES, [cleaning.detect_constraints], ["start_date", "end_date"])
+
+
+@query("det13_derived_sum", "with d as (" + DIRTY_LINES + ") select 'total' as \"column\", 'derived_violations' as problem, count(*) filter (where abs(total - (l_quantity + l_tax)) > 1e-9) as n, round(count(*) filter (where abs(total - (l_quantity + l_tax)) > 1e-9) / count(*), 6) as ratio from d")
+def _(spark, d):
+    from lumen.plans import cleaning
+
+    return _evidence(spark, d, DIRTY_LINES, [cleaning.detect_derived], ["l_quantity", "l_tax", "total"]).where("column = 'total'")
+
+
+@query("det14_derived_length", "select count(*) as n, count(*) filter (where n_chars = length(text)) as ok from documents")
+def _(spark, d):
+    x = t(spark, d, "documents")
+    return x.agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") == C.derived("string_length", source="text")).alias("ok"))
+
+
+@query("det09_encoding_artifacts", "select count(*) filter (where regexp_matches(html, '&(#[0-9]+|#x[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);')) as entities, count(*) filter (where regexp_matches(html, '</?[a-zA-Z][^>]*>')) as tags, count(*) as n from pages")
+def _(spark, d):
+    return t(spark, d, "pages").agg(F.count_if(F.col("html").rlike(C.ENTITY)).alias("entities"), F.count_if(F.col("html").rlike(C.TAG)).alias("tags"), F.count("*").alias("n"))
+
+
+@query("det19_implausible_times", "select count(*) filter (where o_orderdate > timestamp '1998-01-01' or year(o_orderdate) < 1900) as n from orders")
+def _(spark, d):
+    from datetime import datetime
+
+    from lumen.plans import cleaning, profile
+
+    x = t(spark, d, "orders").select("o_orderdate")
+    e = cleaning.detect_times(x, profile.profile(x), cleaning.Rules(), datetime(1997, 12, 31))
+    return spark.createDataFrame([(sum(k.count for k in e),)], "n long")
+
+
+@query("act01_fill_median", "with d as (" + DIRTY_ORDERS + "), m as (select quantile_cont(price, 0.5) as m from d) select o_orderkey, coalesce(price, m) as price from d, m")
+def _(spark, d):
+    from lumen.plans import cleaning, profile
+
+    x = dirty(spark, d, DIRTY_ORDERS).select("o_orderkey", "price")
+    ps = profile.profile(x)
+    e = cleaning.detect_missing(x, ps, cleaning.Rules())[0]
+    choice = cleaning.decide(e, x, ps, cleaning.Policy())
+    return cleaning.ACTIONS[choice.action](x, "price", choice.params, "o_orderkey")
+
+
+@query("act04_map_spellings", "with d as (" + DIRTY_ORDERS + ") select o_orderkey, case when priority is null or priority = 'N/A' then priority else upper(trim(priority)) end as priority from d")
+def _(spark, d):
+    from lumen.plans import cleaning, profile
+
+    x = dirty(spark, d, DIRTY_ORDERS).select("o_orderkey", "priority")
+    e = cleaning.detect_spellings(x, profile.profile(x), cleaning.Rules())[0]
+    return cleaning.ACTIONS["map_values"](x, "priority", e.facts, "o_orderkey")
+
+
+@query("act07_recompute", "with d as (" + DIRTY_LINES + ") select l_orderkey, l_linenumber, l_quantity + l_tax as total from d")
+def _(spark, d):
+    from lumen.plans import cleaning
+
+    x = dirty(spark, d, DIRTY_LINES)
+    y = cleaning.ACTIONS["recompute"](x, "total", {"formula": {"op": "sum_offset", "sources": ["l_quantity", "l_tax"], "offset": 0}}, "l_orderkey")
+    return y.select("l_orderkey", "l_linenumber", "total")
+
+
+@query("cln01_clean")
+def _(spark, d):
+    from lumen.plans import cleaning
+
+    return cleaning.Cleaner().run(dirty(spark, d, DIRTY_ORDERS), "o_orderkey").df
+
+
+@query("act09_html_unescape")
+def _(spark, d):
+    return t(spark, d, "pages").select("page_id", C.html_unescape(F.col("html")).alias("html"))
+
+
+@query("fea02_one_hot", "select o_orderkey, " + ", ".join(f"(o_orderstatus = '{v}')::int as \"o_orderstatus_{v}\"" for v in "FOP") + " from orders")
+def _(spark, d):
+    from lumen.plans import features
+
+    return features.one_hot(t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["F", "O", "P"])
+
+
+@query("fea02_scale", "select p_partkey, round((p_retailprice - avg(p_retailprice) over ()) / stddev_pop(p_retailprice) over (), 6) as p_retailprice from part")
+def _(spark, d):
+    from lumen.plans import features
+
+    return features.scale(t(spark, d, "part").select("p_partkey", "p_retailprice"), ["p_retailprice"]).withColumn("p_retailprice", C.rounded(F.col("p_retailprice")))
+
+
+@query("fea02_model_ready")
+def _(spark, d):
+    from lumen.plans import features
+
+    return features.prepare(t(spark, d, "orders").select("o_totalprice", "o_orderstatus", "o_orderpriority", "o_orderdate"), "o_totalprice")
+
+
+@query("mln04_purity", "with n as (select quality as f, toxic as t, count(*) as n from labels group by 1, 2), g as (select f, max(n) as top, sum(n) as a from n group by 1) select sum(a)::bigint as n, round(sum(top) / sum(a), 6) as purity from g")
+def _(spark, d):
+    from lumen.plans import target
+
+    return target.purity(t(spark, d, "labels"), "quality", "toxic").withColumn("purity", C.rounded(F.col("purity")))
+
+
+@query("mln07_classification_metrics", "with x as (select (l_returnflag = 'R')::int as y, (l_quantity > 40)::int as p from lineitem), n as (select y, p, count(*) as n from x group by 1, 2), a as (select y, sum(n) as s from n group by 1), c as (select p as y, sum(n) as c from n group by 1), k as (select y, n as tp from n where y = p), m as (select a.y, s, coalesce(tp, 0) as tp, coalesce(c, 0) as c from a left join k using (y) left join c using (y)), z as (select s, tp, case when c > 0 then tp / c else 0 end as pr, tp / s as rc from m), f as (select *, case when pr + rc > 0 then 2 * pr * rc / (pr + rc) else 0 end as f1 from z) select round(sum(tp) / sum(s), 4) as accuracy, round(sum(pr * s) / sum(s), 4) as precision, round(sum(rc * s) / sum(s), 4) as recall, round(sum(f1 * s) / sum(s), 4) as f1 from f")
+def _(spark, d):
+    from lumen.plans import ml
+
+    x = t(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"), (F.col("l_quantity") > 40).cast("int").alias("prediction"))
+    return ml.classification_metrics(x)
+
+
+@query("mln07_auc", "with x as (select (l_returnflag = 'R')::int as y, rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 as r from lineitem) select round((sum(r) filter (where y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y)::double * (count(*) - sum(y))), 4) as auc from x")
+def _(spark, d):
+    from lumen.plans import ml
+
+    return ml.auc(t(spark, d, "lineitem").withColumn("y", (F.col("l_returnflag") == "R").cast("int")), "y", "l_quantity")
+
+
+@query("mln08_regression_metrics", "with x as (select p_retailprice as y, 900 + p_size * 10.0 as p from part), m as (select avg((y - p) ** 2) as mse, avg(abs(y - p)) as mae, var_pop(y) as v from x) select round(mse, 4) as mse, round(sqrt(round(mse, 4)), 4) as rmse, round(mae, 4) as mae, round(1 - mse / v, 4) as r2 from m")
+def _(spark, d):
+    from lumen.plans import ml
+
+    x = t(spark, d, "part").select(F.col("p_retailprice").alias("label"), (900 + F.col("p_size") * 10.0).alias("prediction"))
+    return ml.regression_metrics(x)
+
+
+@query("mln03_train_regressor")
+def _(spark, d):
+    from lumen.plans import ml
+
+    x = t(spark, d, "lineitem").select("l_quantity", "l_discount", "l_returnflag", "l_extendedprice")
+    o = ml.train(x, "l_extendedprice", "linear_regression")
+    return spark.createDataFrame([(o.status, o.model, float(o.metrics.get("r2", 0.0)))], "status string, model string, r2 double")
+
+
+@query("prf03_target")
+def _(spark, d):
+    from lumen.plans import target
+
+    x = target.detect_target(t(spark, d, "orders"), "orders_totalprice.csv")
+    return spark.createDataFrame([(x.column, x.confidence, x.method, x.task)], "column string, confidence double, method string, task string")
+
+
+@query("ins03_insights")
+def _(spark, d):
+    from lumen.plans import insights
+
+    x = star(spark, d).select("o_totalprice", "o_orderstatus", "o_orderpriority", "c_mktsegment", "r_name")
+    found = insights.insights(x, "o_totalprice")
+    return spark.createDataFrame([(i.kind, i.feature, i.finding, float(i.confidence)) for i in found], "kind string, feature string, finding string, confidence double")
+
+
+@query("ext01_windowed_counts", "select date_trunc('hour', ts)::timestamp as start, event_type, count(*) as n, round(avg(value), 6) as mean, min(value) as min, max(value) as max from events group by 1, 2")
+def _(spark, d):
+    from lumen.streaming.windows import windowed_counts
+
+    x = windowed_counts(t(spark, d, "events"), "ts", "event_type", "value")
+    return x.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("mean", C.rounded(F.col("mean")))
