@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumen import vocab
 
@@ -80,7 +81,7 @@ def classify_scalar(c: Column) -> Column:
     return F.when(s.isNull(), None).when(numeric, "numeric").when(F.lower(s).isin(vocab.BOOLEAN_WORDS), "boolean").when(date, "date").otherwise("text")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_unescape(s: pd.Series) -> pd.Series:
     """All named and numbered entities; no built-in function covers them."""
     return s.map(html.unescape, na_action="ignore")

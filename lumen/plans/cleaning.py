@@ -134,7 +134,7 @@ def range_of(name: str) -> tuple[float | None, float | None] | None:
 def detect_invalid(df, ps, rules) -> list[Evidence]:
     e, why = {}, {}
     for i, (c, p) in enumerate(ps.items()):
-        bounds = rules.ranges.get(c) or (range_of(c) if p.numeric and p.kind != "identifier" else None)
+        bounds = rules.ranges.get(c) or (range_of(c) if p.numeric and p.semantic != "identifier" else None)
         col, bad = F.col(f"`{c}`"), F.lit(False)
         if bounds and p.numeric:
             bad = bad | (col < bounds[0] if bounds[0] is not None else F.lit(False)) | (col > bounds[1] if bounds[1] is not None else F.lit(False))
@@ -230,7 +230,7 @@ def detect_missing_patterns(df, ps, rules) -> list[Evidence]:
 
 def detect_derived(df, ps, rules) -> list[Evidence]:
     """Columns that are a sum with offset, a product, a text's length or a date's weekday, with the rows that break it; the best relation a column."""
-    num = [c for c, p in ps.items() if p.numeric and p.kind != "identifier" and p.sd][:12]
+    num = [c for c, p in ps.items() if p.numeric and p.semantic != "identifier" and p.sd][:12]
     tried: dict[str, tuple[str, str, dict, Column]] = {}
     for t in num:
         others = [c for c in num if c != t]

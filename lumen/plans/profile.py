@@ -17,7 +17,7 @@ SUBTYPES = {
     "ip_address": r"^(\d{1,3}\.){3}\d{1,3}$",
     "email": r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$",
     "url": r"^https?://\S+$",
-    "phone": r"^\+?[0-9][0-9()\s.-]{6,18}[0-9]$",
+    "phone": r"^(?!\d{4}-\d{2}-\d{2}$)\+?[0-9][0-9()\s.-]{6,18}[0-9]$",
     "zip_code": r"^[0-9]{5}(-[0-9]{4})?$",
     "currency_amount": r"^[$€£¥]\s*[0-9][0-9,]*(\.[0-9]+)?$",
 }

@@ -64,7 +64,7 @@ def encoding_of(start: bytes) -> str:
     for mark, name in ((b"\xff\xfe", "UTF-16"), (b"\xfe\xff", "UTF-16"), (b"\xef\xbb\xbf", "UTF-8")):
         if start.startswith(mark):
             return name
-    for cut in range(4):  # the sample may end within a character
+    for cut in range(4 if len(start) >= SAMPLE else 1):  # a full sample may end within a character
         try:
             start[: len(start) - cut].decode("utf-8")
             return "UTF-8"
