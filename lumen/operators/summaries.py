@@ -94,8 +94,8 @@ def group_statistics(df: DataFrame, by: str, value: str, limit: int | None = 12)
     return g if limit is None else g.limit(limit)
 
 
-def top_group_means(df: DataFrame, by: str, value: str, n: int = 5) -> DataFrame:
-    g = df.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("group")).agg(F.round(F.avg(value), 2).alias("mean"), F.round(F.percentile(value, F.lit(0.5)), 2).alias("median"), F.count(value).alias("count"))
+def top_group_means(df: DataFrame, by: str, value: str, n: int = 5, digits: int = 2) -> DataFrame:
+    g = df.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("group")).agg(F.round(F.avg(value), digits).alias("mean"), F.round(F.percentile(value, F.lit(0.5)), digits).alias("median"), F.count(value).alias("count"))
     return g.orderBy(F.desc("mean"), "group").limit(n)
 
 

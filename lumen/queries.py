@@ -238,9 +238,9 @@ def _(spark, d):
     return summaries.group_statistics(star(spark, d), "c_mktsegment", "o_totalprice")
 
 
-@query("agg05_top_group_means", f"with s as ({_STAR}) select n_name as \"group\", round(avg(o_totalprice), 2) as mean, round(quantile_cont(o_totalprice, 0.5), 2) as median, count(*) as count from s group by 1 order by 2 desc, 1 limit 5")
+@query("agg05_top_group_means", f"with s as ({_STAR}) select n_name as \"group\", round(avg(o_totalprice), 6) as mean, round(quantile_cont(o_totalprice, 0.5), 6) as median, count(*) as count from s group by 1 order by 2 desc, 1 limit 5")
 def _(spark, d):
-    return summaries.top_group_means(star(spark, d), "n_name", "o_totalprice")
+    return summaries.top_group_means(star(spark, d), "n_name", "o_totalprice", digits=6)
 
 
 @query("agg06_segments", f"with s as ({_STAR}), g as (select r_name as segment, avg(o_totalprice) as m, quantile_cont(o_totalprice, 0.5) as d, stddev_samp(o_totalprice) as s, count(*) as count from s group by 1), b as (select avg(m) as base, max(m) as top, min(m) as low, count(*) as k, min(count) as least from g) select segment, round(m, 6) as mean, round(d, 6) as median, round(s, 6) as std, count, round((m - base) / abs(base) * 100, 2) as diff_pct, round((m - base) / greatest(s, 0.01), 4) as effect_size, round(least((top - low) / abs(low) * 100, 200), 2) as gap_pct from g, b where k >= 2 and least >= 5")
