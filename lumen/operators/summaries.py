@@ -27,10 +27,12 @@ def numeric_measures(name: str) -> dict[str, Column]:
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row a column; all columns in one pass over the data."""
+    """One row a column; all columns in one pass over the data, and one for distinct counts."""
     columns = by_type(df)["numeric"] if columns is None else columns
     all_ = [(i, c, k, e) for i, c in enumerate(columns) for k, e in numeric_measures(c).items()]
-    one = df.agg(*[e.alias(f"{k}_{i}") for i, _, k, e in all_])
+    # Distinct counts repeat every row once a column, so they are kept apart from the other measures.
+    one = df.agg(*[e.alias(f"{k}_{i}") for i, _, k, e in all_ if k != "unique"])
+    one = one.join(F.broadcast(df.agg(*[e.alias(f"{k}_{i}") for i, _, k, e in all_ if k == "unique"])))  # one row each
     cells = [F.struct(F.lit(c).alias("column"), *[F.col(f"{k}_{i}").alias(k) for j, _, k, _ in all_ if j == i]) for i, c in enumerate(columns)]
     return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
