@@ -149,6 +149,12 @@ def _(spark, d):
     return rows.key_overlap(o.where("o_orderkey % 4 = 0"), o.where("o_orderkey % 4 = 1"), "o_custkey")
 
 
+@query("jon03_key_overlap_all", "select distinct o_custkey from orders where o_orderkey % 2 = 0 and o_custkey in (select o_custkey from orders where o_orderkey % 2 <> 0)")
+def _(spark, d):
+    o = t(spark, d, "orders")
+    return rows.key_overlap(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 <> 0"), "o_custkey")
+
+
 @query("jon04_mapping", "select o_orderkey, case o_orderstatus when 'F' then 'finished' when 'O' then 'open' else o_orderstatus end as o_orderstatus from orders")
 def _(spark, d):
     return rows.apply_mapping(t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", {"F": "finished", "O": "open"})
@@ -336,6 +342,11 @@ def _(spark, d):
     return rows.daily_counts(t(spark, d, "events").where((F.hour("ts") == 3) & (F.col("event_id") % 40 == 0)), "ts")
 
 
+@query("win11_daily_counts_all", "with n as (select ts::date as day, count(*) as n from events where ts is not null group by 1), r as (select unnest(generate_series(min(day)::timestamp, max(day)::timestamp, interval 1 day))::date as day from n) select r.day, coalesce(n.n, 0) as n from r left join n using (day)")
+def _(spark, d):
+    return rows.daily_counts(t(spark, d, "events"), "ts")
+
+
 # Sets.
 
 
