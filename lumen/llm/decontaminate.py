@@ -1,15 +1,15 @@
 """Benchmark decontamination with SimHash over item-sized windows, in DataFrame functions only.
 
 Words are runs of letters and digits, lower case.  A window has as many words
-as some benchmark item and is the multiset of its 5-word shingles.  Windows
-are fingerprinted if they hold enough shingles of items to be able to reach
-the similarity at all.  A fingerprint is cut into ``RADIUS`` + 1 blocks, so
-that two fingerprints within the radius agree on a block: joining on
-(window size, block) finds all such pairs.  Pairs within the radius are
-verified by the exact weighted similarity of their shingles, each weighted by
-how often it stands there.  At 0.8 the expected distance of two 64-bit
-fingerprints is 10 with a deviation of 3; the radius is more than three
-deviations further.
+as some benchmark item and is the multiset of its 5-word shingles, kept as the
+set of shingles numbered by occurrence: the Jaccard similarity of these sets is
+the weighted one of the multisets.  Windows are fingerprinted if they hold
+enough shingles of items to be able to reach the similarity at all.  A
+fingerprint is cut into ``RADIUS`` + 1 blocks, so that two fingerprints within
+the radius agree on a block: joining on (window size, block) finds all such
+pairs.  A window is also joined to the items whose shingles it was found by,
+for the pairs beyond the radius.  All these pairs are verified by the exact
+similarity, so none is missed whatever the fingerprints.
 
 Scale: the scan of texts joins to the items' shingles, which are broadcast only
 if their counted number is at most ``SMALL`` and shuffled otherwise; items are
@@ -41,7 +41,7 @@ def shingles(w: str, k: int) -> Column:
 
 
 def simhash(shingle: Column) -> Column:
-    """The fingerprint of an array of shingle hashes: each bit by majority, counting repeats; a tie is a 1."""
+    """The fingerprint of an array of hashes: each bit by majority; a tie is a 1."""
 
     def vote(j: Column) -> Column:
         return F.aggregate(shingle, F.lit(0), lambda a, h: a + F.getbit(h, j).cast("int") * 2 - 1)
@@ -58,13 +58,15 @@ def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
     return F.array(*[x.cast("bigint") for x in out])
 
 
-def common(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
+def numbered(x: str) -> Column:
+    """The sorted array column x as a set: entries after the first of their kind are hashed with their occurrence number."""
+    a = F.col(x)
 
-    def times(x: Column, h: Column) -> Column:
-        return F.size(F.filter(x, lambda y: y == h))
+    def one(h: Column, i: Column) -> Column:
+        nth = i + 1 - F.array_position(a, h)
+        return F.when(nth == 0, h).otherwise(F.xxhash64(h, nth))
 
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, h: n + F.least(times(a, h), times(b, h)))
+    return F.when(F.size(F.array_distinct(a)) == F.size(a), a).otherwise(F.transform(a, one))
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
@@ -90,6 +92,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     items = items.select("item_id", "m", "k", cut.alias("own")).dropDuplicates()
     posts = items.select("item_id", "m", "k", F.size("own").alias("s"), F.explode("own").alias("h")).distinct()
     n_posts = posts.count()
+    items = items.withColumn("own", F.sort_array("own")).withColumn("own", numbered("own"))
+    named = F.xxhash64("item_id", "m", "k")
 
     texts = docs.select(F.col(id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
     split_ = texts.select("doc_id", "key", words(F.col("text")).alias("w"))
@@ -108,11 +112,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     held = places.groupBy("doc_id", "key", "len", "item_id", "m", "k", "s").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     held = held.select("*", have.alias("have"), need.alias("need")).where(F.size("at") >= F.col("need"))
     at = F.posexplode(F.expr("slice(at, 1, size(at) - need + 1)")).alias("i", "low")
-    held = held.select("doc_id", "key", "len", "m", "k", "have", "at", "need", at).withColumn("high", F.expr("at[i + need - 1]")).where(F.col("high") - F.col("low") < F.col("have"))
+    held = held.select("doc_id", "key", "len", named.alias("item"), "m", "k", "have", "at", "need", at).withColumn("high", F.expr("at[i + need - 1]")).where(F.col("high") - F.col("low") < F.col("have"))
     first, last = F.greatest(F.lit(0), F.col("high") - F.col("have") + 1), F.least(F.col("low"), F.col("len") - F.least("m", "len"))
-    starts = held.select("doc_id", "key", "m", "k", "have", first.alias("first"), last.alias("last")).where("first <= last")
-    windows = starts.select("doc_id", "key", "m", "k", "have", F.explode(F.sequence("first", "last")).alias("start")).distinct()
-    per_doc = windows.groupBy("doc_id", "key").agg(F.collect_list(F.struct("m", "k", "have", "start")).alias("windows"))
+    starts = held.select("doc_id", "key", "item", "m", "k", "have", first.alias("first"), last.alias("last")).where("first <= last")
+    windows = starts.select("doc_id", "key", "item", "m", "k", "have", F.explode(F.sequence("first", "last")).alias("start"))
+    windows = windows.groupBy("doc_id", "key", "m", "k", "have", "start").agg(F.collect_set("item").alias("known"))
+    per_doc = windows.groupBy("doc_id", "key").agg(F.collect_list(F.struct("m", "k", "have", "start", "known")).alias("windows"))
 
     # The windows' own shingles, from the texts that have any.
     t = texts.withColumnsRenamed({"doc_id": "_d", "key": "_k"})
@@ -122,15 +127,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     mine = F.lit(None).cast("array<bigint>")
     for k in sizes:
         mine = F.when(F.col("x.k") == k, F.slice(F.col(f"h{k}"), F.col("x.start") + 1, F.col("x.have"))).otherwise(mine)
-    prints = one.select("doc_id", F.col("x.m").alias("m"), F.col("x.start").alias("start"), mine.alias("have")).repartition(int(parts))
-    prints = prints.withColumn("print", simhash(F.col("have")))
-
-    theirs = items.withColumn("_print", simhash(F.col("own"))).select("item_id", F.col("m").alias("_m"), "own", "_print", F.explode(blocks(F.col("_print"), radius)).alias("_block"))
-    pairs = prints.select("*", F.explode(blocks(F.col("print"), radius)).alias("block")).join(_small(theirs, n_posts), (F.col("m") == F.col("_m")) & (F.col("block") == F.col("_block")))
+    prints = one.select("doc_id", F.col("x.m").alias("m"), F.col("x.start").alias("start"), F.col("x.known").alias("known"), mine.alias("have")).repartition(int(parts))
+    prints = prints.withColumn("have", F.sort_array("have")).withColumn("have", numbered("have")).withColumn("print", simhash(F.col("have")))
+
+    # Pairs that share a block, and pairs known from the search for windows.
+    theirs = items.withColumn("_print", simhash(F.col("own"))).withColumn("_item", named)
+    theirs = theirs.select("item_id", F.col("m").alias("_m"), "own", "_print", "_item", F.explode(F.concat(blocks(F.col("_print"), radius), F.array("_item"))).alias("_block"))
+    pairs = prints.select("doc_id", "m", "start", "have", "print", F.explode(F.concat(blocks(F.col("print"), radius), F.col("known"))).alias("block"))
+    pairs = pairs.join(_small(theirs, n_posts), (F.col("m") == F.col("_m")) & (F.col("block") == F.col("_block")))
     apart = F.bit_count(F.col("print").bitwiseXOR(F.col("_print")))
     agreed = F.array_position(F.zip_with(blocks(F.col("print"), radius), blocks(F.col("_print"), radius), lambda a, b: a == b), True) - 1
-    pairs = pairs.where((apart <= radius) & (agreed == F.shiftright("block", 32)))  # each pair under its first shared block only
-    o = common(F.col("own"), F.col("have"))
+    near = (apart <= radius) & (agreed == F.shiftright("block", 32))  # under the first shared block only
+    pairs = pairs.where(near | (apart > radius) & (F.col("block") == F.col("_item")))
+    o = F.size(F.array_intersect("own", "have"))
     checked = pairs.select("doc_id", "item_id", "start", (o / (F.size("have") + F.size("own") - o)).alias("similarity")).where(F.col("similarity") >= similarity)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s")))
     out = checked.groupBy("doc_id", "item_id").agg(best.alias("b"), F.count_distinct("start").alias("n_windows"))

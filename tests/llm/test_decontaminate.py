@@ -73,3 +73,22 @@ def test_blocks_find_all_within_the_radius(spark):
 
     met = df.where(F.arrays_overlap(m.blocks(F.col("a")), m.blocks(F.col("b"))))
     assert met.count() == 200
+
+
+def test_repeated_words_and_far_fingerprints(spark):
+    r = random.Random(5)
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(length))) for n, length in enumerate([60, 100, 200, 400])] + [(9, "la la la la la la la ti la la la la la la la la la do")]
+    docs = []
+    for _, x in items:
+        for share in (12, 10.5):
+            w = x.split()
+            n = int(len(w) / share)
+            at = r.randrange(len(w) - n)
+            docs.append(" ".join(["head", *w[:at], *["same"] * n, *w[at + n :], "tail"]))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(list(enumerate(docs)), items)
+    assert {(6, 3), (7, 3)} <= set(want)
+    got = {(x["doc_id"], x["item_id"]): (round(x["similarity"], 9), x["start_word"]) for x in m.decontaminate(frame(spark, docs), b).collect()}
+    assert got == want
+    near = {(x["doc_id"], x["item_id"]) for x in m.decontaminate(frame(spark, docs), b, radius=1).collect()}
+    assert near == set(want)
