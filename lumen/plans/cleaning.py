@@ -230,7 +230,7 @@ def detect_missing_patterns(df, ps, rules) -> list[Evidence]:
 
 def detect_derived(df, ps, rules) -> list[Evidence]:
     """Columns that are a sum with offset, a product, a text's length or a date's weekday, with the rows that break it; the best relation a column."""
-    num = [c for c, p in ps.items() if p.numeric and p.semantic != "identifier" and p.sd][:12]
+    num = [c for c, p in ps.items() if p.numeric and p.semantic != "identifier" and p.sd]
     tried: dict[str, tuple[str, str, dict, Column]] = {}
     for t in num:
         others = [c for c in num if c != t]

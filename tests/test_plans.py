@@ -116,3 +116,13 @@ def test_stream_matches_batch(spark, small, tmp_path):
         assert spark.table("w").agg(F.sum("n")).first()[0] == e.count()
     finally:
         q.stop()
+
+
+def test_derived_beyond_the_twelfth_column(spark):
+    rows = []
+    for i in range(1, 61):
+        a, b = 1.5 * (i * 7 % 13 + 1), 0.25 * (i * 5 % 17 + 1)
+        rows.append((a, b, *[10.0 ** (j + 3) + (i * (j + 3) % 13) for j in range(10)], a + b + (9 if i == 7 else 0)))
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in ["a", "b", *(f"f{j}" for j in range(10)), "total"])).cache()
+    found = {e.column: e for e in cleaning.detect_derived(df, profile(df), cleaning.Rules())}
+    assert found["total"].count == 1 and found["total"].facts["formula"] == {"op": "sum_offset", "sources": ["a", "b"], "offset": 0}
