@@ -23,6 +23,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": substring_dedup.ORACLE,
-        "op3_language_id": language_id.query,
         "op4_ngram_jaccard": ngram_jaccard.ORACLE,
     }
