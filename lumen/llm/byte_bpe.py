@@ -4,7 +4,9 @@ Each partition's texts are cut into words by the published split pattern,
 vectorised over code points.  The distinct words that the vocabulary does not
 hold whole become token-position rows; a recursive query joins adjacent tokens
 to the merge table and contracts each word's leftmost pair of minimum rank
-until no word changes.  An ordered aggregation joins the tokens' bytes back
+until no word changes.  Long words contract by a second recursive query that
+takes many pairs a step and restarts from its last state, so that what it keeps
+is bounded whatever the word's length.  An ordered aggregation joins the tokens' bytes back
 together; the decoded words, put in order, must be the text.
 
 Scale: nothing is shuffled.  A worker keeps at most ``CACHE`` words and cuts
@@ -29,6 +31,8 @@ from lumen.llm.words import ranges, slices
 
 #: Words that a worker keeps between batches.
 CACHE = 600_000
+#: Bytes of a word beyond which it is contracted by CONTRACT_LONG, and rows that a recursive query may keep.
+LONG, ROWS = 256, 4_000_000
 #: Code points handled at once.
 PART = 2 << 20
 
@@ -112,6 +116,38 @@ select word, string_agg(t::varchar, ' ' order by k) as ids, count(*) as n, strin
 from final join vocabulary v on v.id = t group by word
 """
 
+# Of a long word, a step takes each pair whose rank is the minimum as far as ``reach`` bytes on both sides.  No other merge
+# can come between: a token that grows into the pair from beyond would be longer than any of the vocabulary.  Of equal
+# pairs that follow each other every second goes, from the first of their run, if all so far are such minima; a pair that
+# is not "calm" (its token has merges of smaller rank) goes only if none equal is within reach before it.
+CONTRACT_LONG = """
+with recursive state(step, k, t) as (
+  select 0, k, t from first_tokens
+  union all
+  (with pairs as materialized (
+          select step, k, t, case when lead(k) over w >> 40 = k >> 40 then (t << 32) | lead(t) over w end as lr, row_number() over w as i
+          from state where step < {steps} window w as (order by k)),
+        ranked as materialized (select k, i, m.ranked >> 24 as r, m.calm from pairs join merges m using (lr)),
+        near as materialized (
+          select k, i, r, r = min(r) over (order by k range between {reach} preceding and {reach} following)
+            and (calm or coalesce(min(r) over (order by k range between {reach} preceding and 1 preceding) > r, true)) as hit,
+            (lag(i) over o is distinct from i - 1 or lag(r) over o is distinct from r)::int as new
+          from ranked window o as (order by k)),
+        runs as materialized (select k, i, r, hit, sum(new) over (order by k rows unbounded preceding) as run from near),
+        taken as materialized (
+          select k, i, r from (select k, i, r, bool_and(hit) over u as clear, i - first_value(i) over u as nth from runs window u as (partition by run order by k rows unbounded preceding))
+          where clear and nth % 2 = 0)
+   select step + 1, p.k, coalesce(a.r, t)
+   from pairs p left join taken a on a.i = p.i left join taken b on b.i + 1 = p.i
+   where b.i is null and p.k >> 40 in (select k >> 40 from taken))
+)
+select s.k, t, s.step = {steps} as open from (select k >> 40 as word, max(step) as step from state group by 1) l join state s on s.k >> 40 = l.word and s.step = l.step
+"""
+JOINED = """
+select k >> 40 as word, string_agg(t::varchar, ' ' order by k) as ids, count(*) as n, string_agg(v.hex, '' order by k) as hex
+from final_tokens join vocabulary v on v.id = t group by 1 order by 1
+"""
+
 
 class Codec:
     """The vocabulary of one rank file with its DuckDB tables and the words met so far."""
@@ -124,7 +160,12 @@ class Codec:
         pairs = [(self.ranks[m[:i]] << 32 | self.ranks[m[i:]], r << 24) for m, r in self.ranks.items() for i in range(1, len(m)) if m[:i] in self.ranks and m[i:] in self.ranks]
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         p = np.array(pairs, np.int64).reshape(-1, 2)
-        self.con.register("p", pa.table({"lr": p[:, 0], "ranked": p[:, 1]}))
+        self.reach = 2 * max(map(len, self.ranks))
+        made = p[:, 1] >> 24
+        least = np.full(int(made.max(initial=0)) + max(self.ranks.values()) + 1, np.iinfo(np.int64).max)  # of the merges that a token takes part in
+        np.minimum.at(least, p[:, 0] >> 32, made)
+        np.minimum.at(least, p[:, 0] & 0xFFFFFFFF, made)
+        self.con.register("p", pa.table({"lr": p[:, 0], "ranked": p[:, 1], "calm": least[made] > made}))
         self.con.execute("create table merges as select * from p")
         self.con.register("v", pa.table({"id": list(self.ranks.values()), "hex": [x.hex() for x in self.ranks]}))
         self.con.execute("create table vocabulary as select * from v")
@@ -134,13 +175,28 @@ class Codec:
     def contract(self, words: list[bytes]) -> Iterator[tuple[str, int, bytes]]:
         """Ids as text, their number, and the decoded bytes of each word, by the recursive query."""
         size = np.array([len(w) for w in words], np.int64)
-        if len(words) and size.max() >= 1 << 24:
-            raise ValueError("a word of 16 MB or more")
+        if len(words) and size.max() > LONG:
+            yield from self.contract_long(words, size)
+            return
         at = ranges(np.zeros(len(size), np.int64), size)
         key = np.repeat(np.arange(len(size)), size) << 24 | at
         self.con.register("first_tokens", pa.table({"k": key, "t": self.single[np.frombuffer(b"".join(words), np.uint8)]}))
         got = self.con.sql(CONTRACT + " order by word").to_arrow_table()
-        return zip(got.column("ids").to_pylist(), got.column("n").to_pylist(), map(bytes.fromhex, got.column("hex").to_pylist()))
+        yield from zip(got.column("ids").to_pylist(), got.column("n").to_pylist(), map(bytes.fromhex, got.column("hex").to_pylist()))
+
+    def contract_long(self, words: list[bytes], size: np.ndarray) -> Iterator[tuple[str, int, bytes]]:
+        """The same of words of any length, in as many queries as ROWS asks for."""
+        k = np.repeat(np.arange(len(size)), size) << 40 | ranges(np.zeros(len(size), np.int64), size)
+        t, done = self.single[np.frombuffer(b"".join(words), np.uint8)], []
+        while len(k):
+            self.con.register("first_tokens", pa.table({"k": k, "t": t}))
+            got = self.con.sql(CONTRACT_LONG.format(steps=max(1, ROWS // len(k)), reach=self.reach)).to_arrow_table()
+            k, t, more = (got.column(c).to_numpy() for c in ("k", "t", "open"))
+            done.append((k[~more], t[~more]))
+            k, t = k[more], t[more]
+        self.con.register("final_tokens", pa.table({"k": np.concatenate([x for x, _ in done]), "t": np.concatenate([x for _, x in done])}))
+        got = self.con.sql(JOINED).to_arrow_table()
+        yield from zip(got.column("ids").to_pylist(), got.column("n").to_pylist(), map(bytes.fromhex, got.column("hex").to_pylist()))
 
     def learn(self, words: list[bytes]) -> dict[bytes, tuple[str, int, bytes]]:
         """What each of these distinct words becomes."""
@@ -154,10 +210,12 @@ class Codec:
                 rest.append(w)
         if rest:
             new, i = {}, 0
+            rest.sort(key=lambda w: len(w) > LONG)
             while i < len(rest):  # bounded rows in one query
-                j, total = i, 0
-                while j < len(rest) and (j == i or total + len(rest[j]) < 400_000):
+                j, total, kept = i, 0, 0
+                while j < len(rest) and (j == i or (len(rest[j]) > LONG) == (len(rest[i]) > LONG) and total + len(rest[j]) < 400_000 and kept < ROWS):
                     total += len(rest[j])
+                    kept += 0 if len(rest[j]) > LONG else len(rest[j]) ** 2 // 2
                     j += 1
                 new.update(zip(rest[i:j], self.contract(rest[i:j])))
                 i = j

@@ -49,3 +49,23 @@ def test_clashing_columns_and_empty_table(spark):
     x = m.encode_decode(clashing(spark, ["a b"]), PATH).first()
     assert x["n_tokens"] == 2 and x["digest"] == "x"
     assert m.encode_decode(frame(spark, ["x"]).limit(0), PATH).count() == 0
+
+
+def test_long_runs_match_the_library(library):
+    c = m.Codec(PATH)
+    r = random.Random(4)
+    letters = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=20_000))
+    texts = ["x" * 100_000, " " * 100_000, "-" * 100_000 + "=" * 501, letters, "中文字" * 3000, *("".join(r.choices("ab \n-", k=1500)).replace(" ", "  " * r.randint(1, 200)) for _ in range(5)), *("".join(r.choices("theinga", k=r.randint(200, 1200))) for _ in range(30))]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
+    for t, (ids, n, decoded) in zip(texts, m.encode_texts(c, data, offsets), strict=True):
+        want = library.encode_ordinary(t)
+        assert (ids, n, decoded) == (" ".join(map(str, want)), len(want), t.encode())
+
+
+def test_what_a_query_keeps_is_bounded(library, monkeypatch):
+    monkeypatch.setattr(m, "ROWS", 4000)
+    c = m.Codec(PATH)
+    text = "".join(random.Random(6).choices("etaoinshrdlu", k=1500))
+    want = library.encode_ordinary(text)
+    assert next(iter(c.contract([text.encode()])))[0] == " ".join(map(str, want))
