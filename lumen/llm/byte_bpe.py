@@ -6,12 +6,15 @@ hold whole become token-position rows; a recursive query joins adjacent tokens
 to the merge table and contracts each word's leftmost pair of minimum rank
 until no word changes.  Long words contract by a second recursive query that
 takes many pairs a step and restarts from its last state, so that what it keeps
-is bounded whatever the word's length.  An ordered aggregation joins the tokens' bytes back
-together; the decoded words, put in order, must be the text.
-
-Scale: nothing is shuffled.  A worker keeps at most ``CACHE`` words and cuts
-its batches to a few MB, so memory is bounded; a lost executor costs its
-partitions' own work.
+is bounded whatever the word's length.  Decoding takes the ids alone: an ordered
+aggregation joins the bytes of every word's ids, and the decoded words in order
+are the decoded text.
+
+Scale: nothing is shuffled.  While it works on a partition, a worker keeps
+words of at most ``CACHE`` bytes and a database of ``MEMORY`` MB that does not
+spill, and cuts its batches to a MB; both go when the partition ends.  Only a
+single text or word of many MB takes more, in proportion to its length.  A lost
+executor costs its partitions' own work.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumen.llm.shared import prepare
+from lumen.llm.shared import free, prepare, release
 from lumen.llm.words import ranges, slices
 
-#: Words that a worker keeps between batches.
-CACHE = 600_000
+#: Bytes of words that a worker keeps while it works on a partition, and what an entry takes besides its texts.
+CACHE, ENTRY = 32 << 20, 350
 #: Bytes of a word beyond which it is contracted by CONTRACT_LONG, and rows that a recursive query may keep.
-LONG, ROWS = 256, 4_000_000
-#: Code points handled at once.
-PART = 2 << 20
+LONG, ROWS = 256, 1_000_000
+#: MB that a worker's database may take, and rows of a long word for which it gets one MB more.
+MEMORY, ROWS_IN_MB = 160, 2000
+#: Bytes of texts handled at once.
+PART = 1 << 20
 
 #: Fixed values of the split pattern: the endings that an apostrophe takes with it.
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
@@ -109,15 +115,12 @@ with recursive state(step, k, t) as (
    select step + 1, k, case when (k & 16777215) = (chosen & 16777215) then chosen >> 24 else t end
    from pairs join best on word = k >> 24
    where before is distinct from ((word << 24) | (chosen & 16777215)))
-), final as (
-  select word, k, t from (select k >> 24 as word, max(step) as step from state group by 1) l join state s on s.k >> 24 = l.word and s.step = l.step
 )
-select word, string_agg(t::varchar, ' ' order by k) as ids, count(*) as n, string_agg(v.hex, '' order by k) as hex
-from final join vocabulary v on v.id = t group by word
+select s.k, t from (select k >> 24 as word, max(step) as step from state group by 1) l join state s on s.k >> 24 = l.word and s.step = l.step
 """
 
 # Of a long word, a step takes each pair whose rank is the minimum as far as ``reach`` bytes on both sides.  No other merge
-# can come between: a token that grows into the pair from beyond would be longer than any of the vocabulary.  Of equal
+# can come between: a token that grows into the pair from beyond would be longer than any that the word holds.  Of equal
 # pairs that follow each other every second goes, from the first of their run, if all so far are such minima; a pair that
 # is not "calm" (its token has merges of smaller rank) goes only if none equal is within reach before it.
 CONTRACT_LONG = """
@@ -143,86 +146,122 @@ with recursive state(step, k, t) as (
 )
 select s.k, t, s.step = {steps} as open from (select k >> 40 as word, max(step) as step from state group by 1) l join state s on s.k >> 40 = l.word and s.step = l.step
 """
-JOINED = """
+# Decoding: each word's ids joined to the vocabulary, and their bytes aggregated in order.
+DECODE = """
 select k >> 40 as word, string_agg(t::varchar, ' ' order by k) as ids, count(*) as n, string_agg(v.hex, '' order by k) as hex
 from final_tokens join vocabulary v on v.id = t group by 1 order by 1
 """
 
 
 class Codec:
-    """The vocabulary of one rank file with its DuckDB tables and the words met so far."""
+    """The vocabulary of one rank file; while a partition is worked on, its DuckDB tables and the words met so far."""
 
     def __init__(self, path: str):
-        import duckdb
-
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, f.read().splitlines()))}
-        pairs = [(self.ranks[m[:i]] << 32 | self.ranks[m[i:]], r << 24) for m, r in self.ranks.items() for i in range(1, len(m)) if m[:i] in self.ranks and m[i:] in self.ranks]
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
-        p = np.array(pairs, np.int64).reshape(-1, 2)
-        self.reach = 2 * max(map(len, self.ranks))
+        flat = array("q")
+        for m, r in self.ranks.items():
+            for i in range(1, len(m)):
+                if (x := self.ranks.get(m[:i])) is not None and (y := self.ranks.get(m[i:])) is not None:
+                    flat.extend((x << 32 | y, r << 24))
+        p = np.array(flat, np.int64).reshape(-1, 2)
+        self.lengths = sorted({len(m) for m in self.ranks})
         made = p[:, 1] >> 24
         least = np.full(int(made.max(initial=0)) + max(self.ranks.values()) + 1, np.iinfo(np.int64).max)  # of the merges that a token takes part in
         np.minimum.at(least, p[:, 0] >> 32, made)
         np.minimum.at(least, p[:, 0] & 0xFFFFFFFF, made)
-        self.con.register("p", pa.table({"lr": p[:, 0], "ranked": p[:, 1], "calm": least[made] > made}))
-        self.con.execute("create table merges as select * from p")
-        self.con.register("v", pa.table({"id": list(self.ranks.values()), "hex": [x.hex() for x in self.ranks]}))
-        self.con.execute("create table vocabulary as select * from v")
+        self.merges = pa.table({"lr": p[:, 0], "ranked": p[:, 1], "calm": least[made] > made})
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.con = None
         self.known: dict[bytes, tuple[str, int, bytes]] = {}
+        self.held = 0
 
-    def contract(self, words: list[bytes]) -> Iterator[tuple[str, int, bytes]]:
-        """Ids as text, their number, and the decoded bytes of each word, by the recursive query."""
-        size = np.array([len(w) for w in words], np.int64)
-        if len(words) and size.max() > LONG:
-            yield from self.contract_long(words, size)
-            return
+    def open(self) -> None:
+        """A database in memory that does not spill, as a worker's own disk is no place for data."""
+        import duckdb
+
+        if self.con is None:
+            self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": ""})
+            self.con.register("m", self.merges)
+            self.con.execute("create table merges as select * from m")
+            self.con.register("v", pa.table({"id": list(self.ranks.values()), "hex": [x.hex() for x in self.ranks]}))
+            self.con.execute("create table vocabulary as select * from v")
+            self.con.unregister("m")
+            self.con.unregister("v")
+
+    def close(self) -> None:
+        """Let go of the database and the words, so that an idle worker holds the vocabulary alone."""
+        if self.con is not None:
+            self.con.close()
+        self.con, self.known, self.held = None, {}, 0
+        release()
+
+    def contract(self, words: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Final tokens of words of at most LONG bytes: keys (word, position) and ids."""
         at = ranges(np.zeros(len(size), np.int64), size)
         key = np.repeat(np.arange(len(size)), size) << 24 | at
         self.con.register("first_tokens", pa.table({"k": key, "t": self.single[np.frombuffer(b"".join(words), np.uint8)]}))
-        got = self.con.sql(CONTRACT + " order by word").to_arrow_table()
-        yield from zip(got.column("ids").to_pylist(), got.column("n").to_pylist(), map(bytes.fromhex, got.column("hex").to_pylist()))
+        got = self.con.sql(CONTRACT).to_arrow_table()
+        k, t = (got.column(c).to_numpy() for c in ("k", "t"))
+        return (k >> 24) << 40 | (k & 0xFFFFFF), t
+
+    def longest(self, word: bytes) -> int:
+        """Bytes of the longest token that word may come to hold. A token is made of two that are in it, so none is longer than twice the longest of the shorter ones."""
+        out = 1
+        for n in self.lengths:
+            if n > 2 * out:
+                break
+            if any(word[i : i + n] in self.ranks for i in range(len(word) - n + 1)):
+                out = n
+        return out
 
-    def contract_long(self, words: list[bytes], size: np.ndarray) -> Iterator[tuple[str, int, bytes]]:
+    def contract_long(self, words: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same of words of any length, in as many queries as ROWS asks for."""
+        reach = 2 * max(map(self.longest, words))
         k = np.repeat(np.arange(len(size)), size) << 40 | ranges(np.zeros(len(size), np.int64), size)
         t, done = self.single[np.frombuffer(b"".join(words), np.uint8)], []
+        self.con.execute(f"set memory_limit = '{MEMORY + len(k) // ROWS_IN_MB}MB'")
         while len(k):
             self.con.register("first_tokens", pa.table({"k": k, "t": t}))
-            got = self.con.sql(CONTRACT_LONG.format(steps=max(1, ROWS // len(k)), reach=self.reach)).to_arrow_table()
+            got = self.con.sql(CONTRACT_LONG.format(steps=max(1, ROWS // len(k)), reach=reach)).to_arrow_table()
             k, t, more = (got.column(c).to_numpy() for c in ("k", "t", "open"))
             done.append((k[~more], t[~more]))
             k, t = k[more], t[more]
-        self.con.register("final_tokens", pa.table({"k": np.concatenate([x for x, _ in done]), "t": np.concatenate([x for _, x in done])}))
-        got = self.con.sql(JOINED).to_arrow_table()
+        return np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done])
+
+    def encode(self, words: list[bytes]) -> Iterator[tuple[str, int, bytes]]:
+        """Ids as text, their number, and the bytes that the ids decode to, of words that are all whole tokens, all short, or all long."""
+        self.open()
+        size = np.array([len(w) for w in words], np.int64)
+        if words[0] in self.ranks:
+            k, t = np.arange(len(words)) << 40, np.array([self.ranks[w] for w in words], np.int64)
+        else:
+            k, t = (self.contract_long if size.max() > LONG else self.contract)(words, size)
+        self.con.register("final_tokens", pa.table({"k": k, "t": t}))
+        got = self.con.sql(DECODE).to_arrow_table()
         yield from zip(got.column("ids").to_pylist(), got.column("n").to_pylist(), map(bytes.fromhex, got.column("hex").to_pylist()))
 
     def learn(self, words: list[bytes]) -> dict[bytes, tuple[str, int, bytes]]:
         """What each of these distinct words becomes."""
-        out, rest = {}, []
-        for w in words:
-            if (x := self.known.get(w)) is not None:
+        out = {w: x for w in words if (x := self.known.get(w)) is not None}
+        rest = [(0 if w in self.ranks else 1 if len(w) <= LONG else 1 + self.longest(w), w) for w in words if w not in out]
+        rest.sort(key=lambda x: x[0])  # long words by their longest token, as that decides how much a step may take
+        i = 0
+        while i < len(rest):  # bounded rows in one query
+            j, total, kept, kind = i, 0, 0, rest[i][0]
+            while j < len(rest) and rest[j][0] == kind and (j == i or total + len(rest[j][1]) < 400_000 and kept < ROWS):
+                total += len(rest[j][1])
+                kept += len(rest[j][1]) ** 2 // 2 if kind == 1 else 1
+                j += 1
+            group = [w for _, w in rest[i:j]]
+            for w, x in zip(group, self.encode(group), strict=True):
                 out[w] = x
-            elif (r := self.ranks.get(w)) is not None:
-                out[w] = (str(r), 1, w)
-            else:
-                rest.append(w)
-        if rest:
-            new, i = {}, 0
-            rest.sort(key=lambda w: len(w) > LONG)
-            while i < len(rest):  # bounded rows in one query
-                j, total, kept = i, 0, 0
-                while j < len(rest) and (j == i or (len(rest[j]) > LONG) == (len(rest[i]) > LONG) and total + len(rest[j]) < 400_000 and kept < ROWS):
-                    total += len(rest[j])
-                    kept += 0 if len(rest[j]) > LONG else len(rest[j]) ** 2 // 2
-                    j += 1
-                new.update(zip(rest[i:j], self.contract(rest[i:j])))
-                i = j
-            out |= new
-            if len(self.known) + len(new) > CACHE:
-                self.known = {w: x for i, (w, x) in enumerate(self.known.items()) if i % 2}  # half goes
-            self.known |= new if len(new) < CACHE else {}
+                if len(w) <= LONG:
+                    self.known[w] = x
+                    self.held += len(x[0]) + 2 * len(w) + ENTRY
+            i = j
+            if self.held > CACHE:
+                self.known, self.held = {}, 0
         return out
 
 
@@ -268,18 +307,21 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: list[str
     prepare(docs.sparkSession)
     new = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")] + [("ids", "string"), ("decoded", "string")] * full
     keep = [c for c in (docs.columns if keep is None else keep) if c not in dict(new)]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(free("text", docs)))
     names = keep + [c for c, _ in new]
 
     def f(batches):
         c = codec(path)
-        for batch in batches:
-            for part, data, offsets in slices(batch, len(keep), PART):
-                got = list(encode_texts(c, data, offsets))
-                cols = [pa.array([x[1] for x in got], pa.int64()), pa.array([hashlib.sha256(x[0].encode()).hexdigest() for x in got]), pa.array([hashlib.sha256(x[2]).hexdigest() for x in got])]
-                if full:
-                    cols += [pa.array([x[0] for x in got]), pa.array([x[2].decode("utf-8") for x in got])]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + cols, names)
+        try:
+            for batch in batches:
+                for part, data, offsets in slices(batch, len(keep), PART):
+                    got = list(encode_texts(c, data, offsets))
+                    cols = [pa.array([x[1] for x in got], pa.int64()), pa.array([hashlib.sha256(x[0].encode()).hexdigest() for x in got]), pa.array([hashlib.sha256(x[2]).hexdigest() for x in got])]
+                    if full:
+                        cols += [pa.array([x[0] for x in got]), pa.array([x[2].decode("utf-8") for x in got])]
+                    yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + cols, names)
+        finally:
+            c.close()
 
     schema = src.select(*[f"`{c}`" for c in keep]).schema
     for c, t in new:

@@ -68,4 +68,31 @@ def test_what_a_query_keeps_is_bounded(library, monkeypatch):
     c = m.Codec(PATH)
     text = "".join(random.Random(6).choices("etaoinshrdlu", k=1500))
     want = library.encode_ordinary(text)
-    assert next(iter(c.contract([text.encode()])))[0] == " ".join(map(str, want))
+    assert next(c.encode([text.encode()]))[0] == " ".join(map(str, want))
+
+
+def test_a_word_of_100000_letters(library):
+    c = m.Codec(PATH)
+    text = "".join(random.Random(7).choices("abcdefghijklmnopqrstuvwxyz", k=100_000))
+    ids, n, decoded = next(c.encode([text.encode()]))
+    want = library.encode_ordinary(text)
+    assert (ids, n, decoded) == (" ".join(map(str, want)), len(want), text.encode())
+
+
+def test_decoding_takes_the_ids_alone():
+    c = m.Codec(PATH)
+    c.open()
+    the, dog = c.ranks[b"the"], c.ranks[b" dog"]
+    c.con.execute(f"update vocabulary set hex = '21' where id = {the}")
+    got = c.learn([b"the", b" dog"])
+    assert got == {b"the": (str(the), 1, b"!"), b" dog": (str(dog), 1, b" dog")}
+
+
+def test_a_partition_leaves_no_words_behind(monkeypatch):
+    c = m.Codec(PATH)
+    monkeypatch.setattr(m, "CACHE", 5000)
+    words = [f"wqx{i}zzj".encode() for i in range(400)]
+    assert [x[2] for x in c.learn(words).values()] == words and c.held <= 5000
+    c.close()
+    assert c.con is None and not c.known and not c.held
+    assert c.learn(words[:3])[words[0]][2] == words[0]
