@@ -5,15 +5,19 @@ the subsets of the fixed size that a link demands for each partner size, so two
 light sets that link share such a subset.  Large sets (heavy) are cut by
 shingle hash into one part more than a link may leave differing, so that two
 linked sets agree on a whole part; a part's inverted list holds the sets that
-have it.  The boundary minimises the cost of the two, from the sizes of the
-short texts.  Sets that meet in any list form families; within a family the
-exact join scans inverted lists of shingles, rarest first.
-
-Scale and skew: lists yield one edge per member (to the list's smallest), never
-pairs.  Classes take exact copies out before anything is compared.  Families of
-up to ``BLOCK`` classes are joined whole in one task; larger ones in pairs of
-blocks, so every task is bounded.  Shingles are compared as 64-bit hashes of
-hashes of their words, sets as 128-bit digests with their size.
+have it.  The boundary minimises the cost of the two, from the sizes of all
+sets.  Sets that meet in any list form families; within a family the exact join
+scans inverted lists of shingles, rarest first.
+
+Scale and skew: lists yield one edge per member (to the list's smallest, found
+by aggregation and joined back, so that a hot list is split), never pairs.
+Classes take exact copies out before anything is compared.  Families of up to
+``BLOCK`` classes and ``BYTES`` bytes are joined whole in one task.  Of larger
+ones, the edges to the lists' smallest are verified first: a list whose members
+are thereby connected is done, so a large group of near copies costs one check
+a member.  Only what meets in the other lists is joined in pairs of blocks, of
+which there are as many as the square of its blocks.  Shingles are compared as
+64-bit hashes of hashes of their words, sets as 128-bit digests with their size.
 """
 
 from __future__ import annotations
@@ -25,15 +29,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumen.llm.graph import components
-from lumen.llm.shared import prepare, shared_dir, stage
+from lumen.llm.shared import prepare, release, shared_dir, stage
 from lumen.llm.words import LOWER, U, Words, inside, mix, ranges, slices, window_hashes
 
-#: Classes of one family that one task joins.
-BLOCK = 4096
+#: Classes, and bytes of their sets, of one block of a family; a task joins two blocks at most.
+BLOCK, BYTES = 4096, 16 << 20
 #: Sizes from which subsets are never enumerated.
 MOST_LIGHT = 40
 #: Levels of parts; a set that has an empty part on one is cut anew on the next.
@@ -175,10 +179,12 @@ def _index(k: int, num: int, den: int, light: int):
                 keep = np.flatnonzero(~few | also)
                 sub = np.concatenate([[0], np.cumsum(n[keep])])
                 owner, key = heavy_keys(items[ranges(at[keep], n[keep])], sub, num, den)
-                owner = keep[owner] if len(owner) else owner
+                owners, keys = [keep[owner] if len(owner) else owner], [key]
                 for i in np.flatnonzero(few):
                     x = light_keys(items[at[i] : at[i + 1]], num, den)
-                    owner, key = np.append(owner, np.full(len(x), i)), np.append(key, x)
+                    owners.append(np.full(len(x), i))
+                    keys.append(x)
+                owner, key = np.concatenate(owners), np.concatenate(keys)
                 order = np.argsort(owner, kind="stable")
                 off = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(n)))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -190,7 +196,7 @@ def _index(k: int, num: int, den: int, light: int):
 
 
 def _sets(k: int):
-    """Sets of the documents that represent a class: rows (doc_id, task, items)."""
+    """Sets of the documents that represent a class: rows (rep, family, items) from (doc_id, text, d1, family)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +205,21 @@ def _sets(k: int):
                 d = digests(items, at)
                 ok = pa.array(d[:, 0].view(np.int64) == part.column(2).to_numpy())
                 blob = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 8), pa.py_buffer(items.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), part.column(4), blob], ["doc_id", "family", "blocks", "items"]).filter(ok)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), blob], ["rep", "family", "items"]).filter(ok)
+
+    return f
+
+
+def _verify(num: int, den: int):
+    """Of rows (a, b, items, items) the pairs that link."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+                ok.append(len(np.intersect1d(x, y, assume_unique=True)) >= overlap(len(x), len(y), num, den))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return f
 
@@ -270,10 +290,41 @@ def _join(num: int, den: int):
                 sets.append(np.frombuffer(blob, U))
         if ids:
             yield done(ids, sets)
+            release()
 
     return f
 
 
+def _families(edges: DataFrame) -> DataFrame:
+    """``rep, family`` of every end of edges (a, b)."""
+    found = components(edges)
+    return found.select(F.col("node").alias("rep"), F.col("root").alias("family")).union(found.select(F.col("root").alias("rep"), F.col("root").alias("family")).distinct())
+
+
+def _stars(lists: DataFrame) -> DataFrame:
+    """``a, b``: each member of a list (rep, key) with the list's smallest."""
+    least = lists.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("_most")).where("b < _most").select(F.col("key").alias("_key"), "b")
+    return lists.join(least, F.col("key") == F.col("_key")).where("rep <> b").select(F.col("rep").alias("a"), "b")
+
+
+def _verified(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of stars whose sets, both among sets, link."""
+    one = stars.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("_x")), "a")
+    both_ = one.join(sets.select(F.col("rep").alias("b"), F.col("items").alias("_y")), "b").select("a", "b", "_x", "_y")
+    return both_.mapInArrow(_verify(num, den), "a long, b long")
+
+
+def _join_blocks(sets: DataFrame, sizes: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Links (a, b) that connect what links within each family of sets (rep, family, items); sizes: rep, n. Families of several blocks go in pairs of blocks."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shape = sizes.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / BYTES)).cast("int").alias("blocks"))
+    tasks = sets.join(shape.withColumnRenamed("family", "_f"), F.col("family") == F.col("_f")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = tasks.select(F.struct("family", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).alias("key"), "rep", "items")
+    tasks = tasks.select(F.to_json("key").alias("task"), "rep", "items").repartition(parts, "task").sortWithinPartitions("task")
+    return tasks.mapInArrow(_join(num, den), "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of docs; links where intersection / union >= num / den.
 
@@ -286,34 +337,43 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
     prepare(spark)
     root = shared_dir(spark)
     src = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    short = src.where(F.length("text") <= 1000).select("text").mapInArrow(_sizes(k), "n long, c long").where(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.sum("c").alias("c"))
-    light = boundary({r["n"]: r["c"] for r in short.collect()}, num, den)  # MOST_LIGHT rows at most
+    sizes = src.select("text").mapInArrow(_sizes(k), "n long, c long").where(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.sum("c").alias("c"))
+    light = boundary({r["n"]: r["c"] for r in sizes.collect()}, num, den)  # MOST_LIGHT rows at most
 
     members = stage(src.mapInArrow(_index(k, num, den, light), "doc_id long, n long, d1 long, d2 long, keys array<long>"), "members", root)
     full = members.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     lists = classes.select("rep", F.explode("keys").alias("key"))
-    w = Window.partitionBy("key")
-    edges = lists.select("rep", F.min("rep").over(w).alias("least")).where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    found = components(edges)
-    families = stage(found.select(F.col("node").alias("rep"), F.col("root").alias("family")).union(found.select(F.col("root").alias("rep"), F.col("root").alias("family")).distinct()), "families", root)
-
-    blocks = families.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    reps = full.select("doc_id", "d1").join(families, F.col("doc_id") == F.col("rep"))
-    reps = reps.join(blocks, "family").select(F.col("rep"), "d1", "family", "blocks").distinct()
-    own = src.join(reps, src["doc_id"] == reps["rep"]).select(src["doc_id"], src["text"], reps["d1"], reps["family"], reps["blocks"])
-    sets = own.mapInArrow(_sets(k), "doc_id long, family long, blocks int, items binary")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    tasks = sets.select("doc_id", "items", "family", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = tasks.select(F.struct("family", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).alias("key"), "doc_id", "items")
-    tasks = tasks.select(F.to_json("key").alias("task"), "doc_id", "items").repartition("task").sortWithinPartitions("task")
-    joined = stage(tasks.mapInArrow(_join(num, den), "a long, b long"), "joined", root)
-    if blocks.where("blocks > 1").isEmpty():  # each family was joined whole
+    stars = stage(_stars(lists).distinct(), "stars", root)
+    families = stage(_families(stars), "families", root)
+
+    reps = families.join(full.select("doc_id", "n", "d1"), F.col("rep") == F.col("doc_id")).select("rep", "family", "n", "d1").distinct()
+    reps = stage(reps, "reps", root)
+    big = reps.groupBy("family").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where((F.col("c") > block) | (F.col("s") * 8 > BYTES))
+    big = stage(big.select(F.col("family").alias("_f")), "big", root)
+    own = src.join(reps, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "d1", "family")
+    sets = own.mapInArrow(_sets(k), "rep long, family long, items binary")
+    if big.isEmpty():  # each family is joined whole
+        joined = stage(_join_blocks(sets, reps, num, den, block), "joined", root)
         roots = joined.select(F.col("a").alias("node"), F.col("b").alias("root"))
     else:
-        roots = components(joined)
+        sets = stage(sets, "sets", root)
+        is_big = F.col("family") == F.col("_f")
+        whole = _join_blocks(sets.join(big, is_big, "left_anti"), reps.join(big, is_big, "left_anti"), num, den, block)
+        large = sets.join(big, is_big, "left_semi")
+        links = stage(_verified(stars, large, num, den).union(whole), "links", root)
+        # Lists of large families whose members are not yet connected.
+        near = components(links).select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        theirs = lists.join(large.select(F.col("rep").alias("_rep")), F.col("rep") == F.col("_rep"), "left_semi").join(near, F.col("rep") == F.col("_n"), "left")
+        theirs = stage(theirs.select("rep", "key", F.coalesce("_r", "rep").alias("at")), "theirs", root)
+        open_ = theirs.groupBy("key").agg(F.min("at").alias("x"), F.max("at").alias("y")).where("x < y").select(F.col("key").alias("_k"))
+        rest = stage(_families(_stars(theirs.join(open_, F.col("key") == F.col("_k"), "left_semi").select("rep", "key")).distinct()), "rest", root).withColumnsRenamed({"rep": "_rep", "family": "_family"})
+        mine = F.col("rep") == F.col("_rep")
+        again = _join_blocks(large.join(rest, mine).select("rep", F.col("_family").alias("family"), "items"), reps.join(rest, mine).select("rep", F.col("_family").alias("family"), "n"), num, den, block)
+        roots = components(stage(again.union(links), "joined", root))
 
     named = classes.select("n", "d1", "d2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("component_id"))
+    named = stage(named, "named", root)  # a plain scan, so that a hot class's join is split
     out = members.drop("keys").join(named, ["n", "d1", "d2"], "left")
     own_id = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own_id.alias("component_id"))
