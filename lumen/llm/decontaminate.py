@@ -4,12 +4,15 @@ Words are runs of letters and digits, lower case.  A window has as many words
 as some benchmark item and is the multiset of its 5-word shingles, kept as the
 set of shingles numbered by occurrence: the Jaccard similarity of these sets is
 the weighted one of the multisets.  Windows are fingerprinted if they hold
-enough shingles of items to be able to reach the similarity at all.  A
-fingerprint is cut into ``RADIUS`` + 1 blocks, so that two fingerprints within
-the radius agree on a block: joining on (window size, block) finds all such
-pairs.  A window is also joined to the items whose shingles it was found by,
-for the pairs beyond the radius.  All these pairs are verified by the exact
-similarity, so none is missed whatever the fingerprints.
+enough shingles of an item to be able to reach the similarity at all; the item
+stays with the window.  A fingerprint is cut into ``RADIUS`` + 1 blocks, so that
+two fingerprints within the radius agree on a block.  A block of a radius that
+covers this similarity is short however long the fingerprint (the bits differ
+with a chance of 15 %, so a block has 6 bits at most) and cannot select among
+many items by itself.  The index is therefore keyed by item and block: a window
+meets its own few items only, under each block on which they agree.  Pairs
+beyond the radius meet under the item alone.  All pairs are verified by the
+exact similarity, so none is missed whatever the fingerprints.
 
 Scale: the scan of texts joins to the items' shingles, which are broadcast only
 if their counted number is at most ``SMALL`` and shuffled otherwise; items are
@@ -19,11 +22,17 @@ passage that very many documents share is dealt by document.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumen.llm.shared import free
+
 #: Bits of a fingerprint, and the Hamming radius within which windows are verified.
 BITS, RADIUS = 64, 20
+#: The key under which a window meets its items whatever their blocks.
+FAR = -1
 #: Rows of the benchmark's side of a join up to which it is broadcast (about 40 bytes each).
 SMALL = 200_000
 #: Words of a shingle.
@@ -40,13 +49,21 @@ def shingles(w: str, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(F.col(w), i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(shingle: Column) -> Column:
-    """The fingerprint of an array of hashes: each bit by majority; a tie is a 1."""
+def with_simhash(df: DataFrame, shingle: str, name: str) -> DataFrame:
+    """df with the fingerprint of its array column of hashes: each bit by majority; a tie is a 1. One long counts two bits at once, in 32 bits each."""
+    n, half = F.size(shingle), BITS // 2
+    sums = [free(f"sum{i}", df) for i in range(half)]
+    lanes = F.lit((1 << half) | 1)
+
+    def count(i: int) -> Column:
+        return F.aggregate(shingle, F.lit(0).cast("bigint"), lambda a, h: a + F.shiftrightunsigned(h, i).bitwiseAND(lanes))
 
-    def vote(j: Column) -> Column:
-        return F.aggregate(shingle, F.lit(0), lambda a, h: a + F.getbit(h, j).cast("int") * 2 - 1)
+    def bit(j: int) -> Column:
+        votes = F.shiftrightunsigned(sums[j % half], half * (j // half)).bitwiseAND(F.lit((1 << half) - 1))
+        return F.when(2 * votes >= n, F.lit((1 << j) - (1 << BITS if j == BITS - 1 else 0))).otherwise(F.lit(0)).cast("bigint")
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("bigint"), lambda a, j: F.when(vote(j) >= 0, a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), j))).otherwise(a))
+    out = df.withColumns({c: count(i) for i, c in enumerate(sums)})
+    return out.withColumn(name, reduce(Column.bitwiseOR, [bit(j) for j in range(BITS)])).drop(*sums)
 
 
 def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
@@ -58,6 +75,11 @@ def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
     return F.array(*[x.cast("bigint") for x in out])
 
 
+def keys(fingerprint: Column, radius: int = RADIUS) -> Column:
+    """What a fingerprint is indexed under: its blocks, and FAR."""
+    return F.concat(blocks(fingerprint, radius), F.array(F.lit(FAR).cast("bigint")))
+
+
 def numbered(x: str) -> Column:
     """The sorted array column x as a set: entries after the first of their kind are hashed with their occurrence number."""
     a = F.col(x)
@@ -127,18 +149,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8
     mine = F.lit(None).cast("array<bigint>")
     for k in sizes:
         mine = F.when(F.col("x.k") == k, F.slice(F.col(f"h{k}"), F.col("x.start") + 1, F.col("x.have"))).otherwise(mine)
-    prints = one.select("doc_id", F.col("x.m").alias("m"), F.col("x.start").alias("start"), F.col("x.known").alias("known"), mine.alias("have")).repartition(int(parts))
-    prints = prints.withColumn("have", F.sort_array("have")).withColumn("have", numbered("have")).withColumn("print", simhash(F.col("have")))
-
-    # Pairs that share a block, and pairs known from the search for windows.
-    theirs = items.withColumn("_print", simhash(F.col("own"))).withColumn("_item", named)
-    theirs = theirs.select("item_id", F.col("m").alias("_m"), "own", "_print", "_item", F.explode(F.concat(blocks(F.col("_print"), radius), F.array("_item"))).alias("_block"))
-    pairs = prints.select("doc_id", "m", "start", "have", "print", F.explode(F.concat(blocks(F.col("print"), radius), F.col("known"))).alias("block"))
-    pairs = pairs.join(_small(theirs, n_posts), (F.col("m") == F.col("_m")) & (F.col("block") == F.col("_block")))
+    prints = one.select("doc_id", F.col("x.start").alias("start"), F.col("x.known").alias("known"), mine.alias("have")).repartition(int(parts))
+    prints = with_simhash(prints.withColumn("have", F.sort_array("have")).withColumn("have", numbered("have")), "have", "print")
+
+    # The index: an item under its own key and under each of its blocks.
+    theirs = with_simhash(items.withColumn("_item", named).repartition(int(parts), "_item"), "own", "_print")
+    theirs = theirs.select("item_id", "own", "_print", "_item", F.explode(keys(F.col("_print"), radius)).alias("_block"))
+    pairs = prints.select("doc_id", "start", "have", "print", F.explode("known").alias("item")).withColumn("block", F.explode(keys(F.col("print"), radius)))
+    pairs = pairs.join(_small(theirs, n_posts), (F.col("item") == F.col("_item")) & (F.col("block") == F.col("_block")))
     apart = F.bit_count(F.col("print").bitwiseXOR(F.col("_print")))
     agreed = F.array_position(F.zip_with(blocks(F.col("print"), radius), blocks(F.col("_print"), radius), lambda a, b: a == b), True) - 1
     near = (apart <= radius) & (agreed == F.shiftright("block", 32))  # under the first shared block only
-    pairs = pairs.where(near | (apart > radius) & (F.col("block") == F.col("_item")))
+    pairs = pairs.where(near | (apart > radius) & (F.col("block") == FAR))
     o = F.size(F.array_intersect("own", "have"))
     checked = pairs.select("doc_id", "item_id", "start", (o / (F.size("have") + F.size("own") - o)).alias("similarity")).where(F.col("similarity") >= similarity)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s")))

@@ -92,3 +92,22 @@ def test_repeated_words_and_far_fingerprints(spark):
     assert got == want
     near = {(x["doc_id"], x["item_id"]) for x in m.decontaminate(frame(spark, docs), b, radius=1).collect()}
     assert near == set(want)
+
+
+def test_fingerprints_against_brute_force(spark):
+    r = random.Random(8)
+    rows = [[r.getrandbits(64) - (1 << 63) for _ in range(r.randint(0, 40))] for _ in range(60)]
+    df = spark.createDataFrame([(x,) for x in rows], "a array<long>")
+    for x in m.with_simhash(df, "a", "p").collect():
+        want = sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in x["a"]) >= len(x["a"]))
+        assert x["p"] % (1 << 64) == want
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(9)
+    item = sentences(1, 3, 60, 300)[0] + " " + sentences(1, 4, 60, 300)[0]
+    words = [f"w{r.randrange(5000)}" for _ in range(200_000)]
+    text = " ".join([*words[:150_000], item, *words[150_000:]])
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = m.decontaminate(frame(spark, [text]), b).first()
+    assert (got["similarity"], got["start_word"]) == (1.0, 150_000)
