@@ -2,7 +2,7 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names clash with results.
-CLASH = "doc_id long, text string, n_tokens string, score string, kept string, spans string, n_words string, lang_pred string, digest string, key string, keys string, n string"
+CLASH = "doc_id long, text string, n_tokens string, score string, kept string, spans string, n_words string, lang_pred string, digest string, key string, keys string, n string, _text string, _key string, _digest string, _content string, _id string, _y string, _h string, theirs string, _mine string, _rules string"
 
 
 def frame(spark, texts, start=0):
@@ -10,7 +10,7 @@ def frame(spark, texts, start=0):
 
 
 def clashing(spark, texts):
-    return spark.createDataFrame([(i, t, *["x"] * 10) for i, t in enumerate(texts)], CLASH)
+    return spark.createDataFrame([(i, t, *["x"] * 20) for i, t in enumerate(texts)], CLASH)
 
 
 def sentences(n, seed=0, words=60, vocabulary=400):
