@@ -9,8 +9,8 @@ every row to its count.
 Scale: texts are reduced to one per digest within each map task before the
 only exchange that carries text, so that a third of all rows being copies of
 one text costs one text per task.  The join of counts to rows carries 32-byte
-digests; a hot digest is split by adaptive skew handling, as the cache holds
-one row for it.  Appending twice (a re-run, two writers) is harmless: counts
+digests against a written table of one row per digest, so that adaptive skew
+handling can split a hot digest.  Appending twice (a re-run, two writers) is harmless: counts
 are a function of the key, and reads take one row per key.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumen.llm.shared import exists, prepare, shared_dir
+from lumen.llm.shared import exists, free, prepare, shared_dir, stage
 
 NORMALISATION = "null-to-empty/1"
 _loaded: dict[str, object] = {}
@@ -83,22 +83,23 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     prepare(spark)
     cache_path = cache_path or f"{shared_dir(spark)}/token_counts"
     version = tokenizer_digest(tokenizer_path)
-    content = normalise(F.col(text))
+    content = normalise(F.col(f"`{text}`"))
     digest = F.unhex(F.sha2(content.cast("binary"), 256))
 
     def cached() -> DataFrame:
         return spark.read.schema("digest binary, n_tokens long, tokenizer string").parquet(cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("_n_tokens"))
 
-    missing = docs.select(digest.alias("digest"), content.alias("content")).dropDuplicates(["digest"])
-    if exists(spark, cache_path):
-        missing = missing.join(cached(), "digest", "left_anti")
+    distinct = docs.select(digest.alias("digest"), content.alias("content")).dropDuplicates(["digest"])
+    missing = distinct.join(cached(), "digest", "left_anti") if exists(spark, cache_path) else distinct
     counts = missing.mapInArrow(_count(tokenizer_path), "digest binary, n_tokens long")
     counts.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_bytes", "n_tokens")]
-    rows = docs.select(*keep, F.octet_length(content).cast("long").alias("n_bytes"), digest.alias("_digest"))
-    out = rows.join(cached().withColumnRenamed("digest", "_digest"), "_digest", "left")
-    return out.drop("_digest").withColumnRenamed("_n_tokens", "n_tokens")
+    keep = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_tokens")]
+    mine, theirs, count = free("mine", docs), free("theirs", docs), free("count", docs)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.octet_length(content).cast("long").alias("n_bytes"), digest.alias(mine))
+    known = stage(cached(), "counts").withColumnsRenamed({"digest": theirs, "_n_tokens": count})
+    out = rows.join(known, F.col(mine) == F.col(theirs), "left")
+    return out.select(*[F.col(f"`{c}`") for c in keep], "n_bytes", F.col(count).alias("n_tokens"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
