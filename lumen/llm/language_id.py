@@ -10,8 +10,9 @@ text from becoming its own dictionary: each piece meets the languages afresh,
 and every piece of the text counts.
 
 Scale: dictionaries are at most ``DICTIONARY`` bytes a language and travel with
-the tasks; predicting is a narrow pass.  The sample is chosen per language by
-the smallest hashes; map tasks pass on at most ``SAMPLE`` rows a language.
+the tasks; predicting is a narrow pass, whose work grows with the number of
+languages.  The sample is chosen per language by the smallest hashes; map tasks
+pass on at most ``SAMPLE`` rows a language.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumen.llm.shared import fold, prepare
+from lumen.llm.shared import fold, free, prepare
 
-#: Texts a language, of SHORTEST to LONGEST characters, that learning takes at most, and bytes of a dictionary.
-SAMPLE, SHORTEST, LONGEST, DICTIONARY = 96, 200, 8000, 32 << 10
+#: Texts a language that learning takes at most (those of SHORTEST characters or more first), words of one text, and bytes of a dictionary.
+SAMPLE, SHORTEST, WORDS, DICTIONARY = 96, 200, 1200, 32 << 10
 #: Bytes of a piece, and the compression level.
 PIECE, LEVEL = 4096, 6
 #: The relative margin of sizes below which a prediction is rejected.
@@ -44,17 +45,24 @@ def letters(text: str) -> str:
     return f" {_BLANK.sub(' ', text.lower()).strip()} "
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most WORDS words of each text, evenly from the whole of it."""
+    for b in batches:
+        words = [letters(t).split() for t in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([w[:: -(-len(w) // WORDS) or 1] for w in words], pa.list_(pa.string()))], ["lang", "nth", "words"])
+
+
 def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
     """A raw-content dictionary for each non-null lang that has a text with a letter; ids only order the sample by their hash. Languages come by the number of their texts, most first."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(id).alias("h"), F.col(id).alias("id"))
-    fits = F.length("text").between(SHORTEST, LONGEST)
-    w = Window.partitionBy("lang").orderBy(fits.desc(), "h", "id", F.substring("text", 1, 64))
+    fits = F.length("text") >= SHORTEST
+    w = Window.partitionBy("lang").orderBy(fits.desc(), "h", "id", F.xxhash64("text"))
     chosen = rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= sample)
-    got: dict[str, list[tuple[int, str]]] = {}
-    for r in chosen.select("lang", "nth", F.substring("text", 1, LONGEST).alias("text")).collect():  # languages x sample rows at most, LONGEST characters each
-        got.setdefault(r["lang"], []).append((r["nth"], r["text"]))
+    got: dict[str, list[tuple[int, list[str]]]] = {}
+    for r in chosen.select("lang", "nth", "text").mapInArrow(_words, "lang string, nth int, words array<string>").collect():  # languages x sample rows at most, WORDS words each
+        got.setdefault(r["lang"], []).append((r["nth"], r["words"]))
     seen = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    words = {k: [w for _, t in sorted(got[k]) for w in letters(t).split()] for k in got}
+    words = {k: [w for _, t in sorted(got[k]) for w in t] for k in got}
     out = {}
     for k in sorted(words, key=lambda k: (-seen[k], k)):
         random.Random(0).shuffle(words[k])
@@ -102,8 +110,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     prepare(docs.sparkSession)
     new = ["lang_pred", "score", "rejected"]
     keep = [c for c in docs.columns if c not in new]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
-    schema = src.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(free("text", docs)))
+    schema = src.select(*[f"`{c}`" for c in keep]).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     key = (zlib.crc32(repr(list(dictionaries.items())).encode()), "classifier")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
