@@ -21,16 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumen.llm.shared import prepare
+from lumen.llm.shared import free, prepare
 from lumen.llm.words import SPACE, U, Words, hash_slices, inside, mix, slices, window_hashes
 
 #: Labelled rows that learning takes at most.
 SAMPLE = 20_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_stops"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_short"]
+#: n_short: words of at most three bytes.
 #: What rules are made of; per-word shares, so that length alone does not decide.
-FEATURES = ["n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "stop_share", "words_per_line"]
+FEATURES = ["n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "short_share", "words_per_line"]
 UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
 DIGIT = np.zeros(256, bool)
@@ -89,8 +90,8 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with COUNTS added as longs (null texts: zeros); columns of these names are replaced."""
     prepare(docs.sparkSession)
     keep = [c for c in docs.columns if c not in COUNTS]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
-    schema = src.drop("_text").schema
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(free("text", docs)))
+    schema = src.select(*[f"`{c}`" for c in keep]).schema
     for c in COUNTS:
         schema = schema.add(c, "long")
 
@@ -111,7 +112,7 @@ def features() -> dict[str, Column]:
 
     return {
         "n_words": F.col("n_words").cast("double"), "mean_word": share("word_chars", "n_words"), "symbol_share": share("n_symbols", "n_words"), "dup_line_share": share("n_dup_lines", "n_lines"),
-        "repeat_share": share("n_repeat_words", "n_words"), "upper_share": share("n_upper", "word_chars"), "digit_share": share("n_digits", "word_chars"), "stop_share": share("n_stops", "n_words"), "words_per_line": share("n_words", "n_lines"),
+        "repeat_share": share("n_repeat_words", "n_words"), "upper_share": share("n_upper", "word_chars"), "digit_share": share("n_digits", "word_chars"), "short_share": share("n_short", "n_words"), "words_per_line": share("n_words", "n_lines"),
     }
 
 
@@ -217,7 +218,7 @@ def expression(rules: list[list[Test]]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id: str = "doc_id", label: str = "quality", **how) -> list[list[Test]]:
     """Rules for low quality (label 0) from at most ``sample`` labelled rows, those of smallest hash of id."""
     rows = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.col(label).alias("_y"), F.xxhash64(id).alias("_h")).orderBy("_h", "_id", "_y").limit(sample)
-    both = docs.select(id, "text").join(F.broadcast(rows), F.col(id) == F.col("_id"))  # at most ``sample`` rows of three numbers
+    both = docs.select(F.col(id).alias("_doc"), F.col("text").alias("text")).join(F.broadcast(rows), F.col("_doc") == F.col("_id"))  # at most ``sample`` rows of three numbers
     stats = with_statistics(both.select("_h", "_y", "text"))
     got = stats.select("_h", "_y", *[c.alias(f"f_{n}") for n, c in features().items()]).toPandas()
     got = got.sort_values(list(got.columns))
