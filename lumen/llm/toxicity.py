@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumen.llm.shared import fold, prepare
+from lumen.llm.shared import fold, free, prepare
 
 #: Labelled rows that learning takes at most, and words of the induced lexicon.
 SAMPLE, LEXICON = 20_000, 64
@@ -70,7 +70,7 @@ class Model:
         shouting = letters >= 20 and 2 * (len(raw) - len(raw.translate(None, _UPPER))) > letters
         out[n + 1] = k > 0 and any(w.encode() in distinct for w in ADDRESS)
         out[n + 2] = k > 0 and (shouting or raw.count(b"!") > 2)
-        out[n + 3] = k > 0 and any(words.count(self.lexicon[i]) > 1 for i in hits[:8])
+        out[n + 3] = k > 0 and any(words.count(self.lexicon[i]) > 1 for i in hits)
         out[n + 4] = k == 0
         out[n + 5] = k == 0 and len(words) > 50
         return out
@@ -142,7 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id: str = "doc
     spark = docs.sparkSession
     prepare(spark)
     rows = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.col(label).cast("long").alias("_y"), F.xxhash64(id).alias("_h")).orderBy("_h", "_id", "_y").limit(sample)
-    chosen = docs.join(F.broadcast(rows), F.col(id) == F.col("_id")).select("_h", "_y", F.col(text).alias("_text"))  # at most ``sample`` rows of three numbers
+    texts = docs.select(F.col(id).alias("_doc"), F.col(text).alias("_text"))
+    chosen = texts.join(F.broadcast(rows), F.col("_doc") == F.col("_id")).select("_h", "_y", "_text")  # at most ``sample`` rows of three numbers
     n = {r["_y"]: r["count"] for r in chosen.groupBy("_y").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     counts = chosen.select("_y", "_text").mapInArrow(_words, "w binary, y long, n long").groupBy("w").agg(F.sum("y").alias("a"), F.sum("n").alias("n"))
@@ -179,14 +180,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     """
     prepare(docs.sparkSession)
     keep = [c for c in docs.columns if c != name]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
+    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(free("text", docs)))
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([model.look((t or "").encode("utf-8", "surrogatepass")) for t in b.column(len(keep)).to_pylist()]).reshape(b.num_rows, len(model.lexicon) + 6)
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(model.score(x))], keep + [name])
 
-    return src.mapInArrow(f, src.drop("_text").schema.add(name, "double"))
+    return src.mapInArrow(f, src.select(*[f"`{c}`" for c in keep]).schema.add(name, "double"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
