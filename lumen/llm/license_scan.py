@@ -1,13 +1,14 @@
 """License scans: an Aho-Corasick pass over words, and a shunting-yard evaluation of licence expressions.
 
-One automaton holds the notice phrases, the identifiers and the tag that
-introduces a licence expression.  A text's words are laid out with one space
-around each, so that a phrase matches only whole consecutive words.  After a
-tag, the rest of the line is read as an expression: a shunting-yard parser
-turns identifiers joined by AND, OR, WITH and parentheses into postfix order,
-and its value is the set of alternatives, each a set of obligations.
-
-Scale: a narrow pass over the texts; nothing is shuffled or collected.
+One automaton holds the notice phrases and the tag that introduces a licence
+expression.  A text's words are laid out with one space around each, so that a
+phrase matches only whole consecutive words.  After a tag, the rest of the line
+is read as an expression: a shunting-yard parser turns identifiers joined by
+AND, OR, WITH and parentheses into postfix order, and one walk over that order
+tells which licences it names and whether a given set of them satisfies it.
+
+Scale: a narrow pass over the texts, linear in their length; nothing is
+shuffled or collected.
 """
 
 from __future__ import annotations
@@ -60,57 +61,71 @@ TAG = "spdx license identifier"
 PERMISSIVE = frozenset({"mit", "apache", "bsd", "isc", "bsl", "cc0", "public-domain", "cc-by"})
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+-]+")
+_TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.:+-]+")
+_REFERENCE = re.compile(r"(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
 _RANK = {"OR": 1, "AND": 2, "WITH": 3}
 _SPACED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
 _LOWER = {b: b + 32 for b in range(65, 91)}
 _worker: dict[str, object] = {}
 
 
+def known(identifier: str) -> str | None:
+    """The label of a licence identifier: of a listed one, or of a well-formed reference to a licence of the document's own; else None."""
+    low = identifier.lower()
+    label = IDENTIFIERS.get(low) or IDENTIFIERS.get(low.rstrip("+"))
+    return label or (low if _REFERENCE.fullmatch(low) else None)
+
+
 def postfix(expression: str) -> list[str]:
-    """Tokens of a licence expression in postfix order; stops at the first token that cannot continue it."""
+    """Tokens of a licence expression in postfix order; stops at the first token that cannot continue it, such as a word that names no licence."""
     out: list[str] = []
     stack: list[str] = []
-    operand = True  # what may come next
+    operand, nested, of_with = True, 0, False  # what may come next; open parentheses; whether an exception is due
     for m in _TOKEN.finditer(expression):
         t = m[0]
         op = t.upper() if t.upper() in _RANK else None
-        if t == "(" and operand:
+        if t == "(" and operand and not of_with:
             stack.append(t)
-        elif t == ")" and not operand and "(" in stack:
+            nested += 1
+        elif t == ")" and not operand and nested:
             while (x := stack.pop()) != "(":
                 out.append(x)
+            nested -= 1
         elif op and not operand:
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[op]:
                 out.append(stack.pop())
             stack.append(op)
-            operand = True
-        elif not op and t not in "()" and operand:
+            operand, of_with = True, op == "WITH"
+        elif not op and t not in "()" and operand and ("exception" in t.lower() if of_with else known(t)):
             out.append(t)
-            operand = False
+            operand = of_with = False
         else:
             break
-    if operand and stack and stack[-1] != "(":
-        stack.pop()  # an operator without its right side
-    out += [x for x in reversed(stack) if x != "("]
-    return out
-
-
-def evaluate(expression: str) -> list[frozenset[str]]:
-    """Alternatives of an expression, each the licences that hold together; an exception stays with its licence."""
-    stack: list[list[frozenset[str]]] = []
+    if operand:
+        while stack and stack[-1] == "(":
+            stack.pop()  # a parenthesis without content
+        if stack:
+            stack.pop()  # an operator without its right side
+    return out + [x for x in reversed(stack) if x != "("]
+
+
+def evaluate(expression: str, allowed: frozenset[str] | None = None) -> tuple[frozenset[str], bool]:
+    """The labels of the licences that an expression names, and whether those in ``allowed`` (default: PERMISSIVE) satisfy it: AND asks for both sides, OR for one; an exception stays with its licence. Nothing named: not satisfied."""
+    allowed = PERMISSIVE if allowed is None else allowed
+    labels: set[str] = set()
+    stack: list[bool] = []
     for t in postfix(expression):
-        if t in _RANK and len(stack) > 1:
+        if t == "WITH":
+            stack.pop()
+        elif t in _RANK:
             b, a = stack.pop(), stack.pop()
-            if t == "OR":
-                stack.append(list(dict.fromkeys(a + b)))
-            elif t == "AND":
-                stack.append(list(dict.fromkeys(x | y for x in a for y in b)))
-            else:
-                stack.append(a)
-        elif t not in _RANK:
-            stack.append([frozenset([IDENTIFIERS.get(t.lower().rstrip("+"), IDENTIFIERS.get(t.lower(), t.lower()))])])
-    return stack[-1] if stack else []
+            stack.append((a or b) if t == "OR" else (a and b))
+        else:
+            label = known(t)
+            if label:
+                labels.add(label)
+            stack.append(label in allowed)
+    return frozenset(labels), bool(stack) and stack[-1]
 
 
 @dataclass
@@ -121,7 +136,7 @@ class Scan:
     places: list[tuple[int, str]] = field(default_factory=list)  # start word and label of base phrases
     notices: list[tuple[int, str]] = field(default_factory=list)  # of the method's phrases
     expressions: list[str] = field(default_factory=list)
-    alternatives: list[list[frozenset[str]]] = field(default_factory=list)
+    values: list[tuple[frozenset[str], bool]] = field(default_factory=list)  # of the expressions
 
     @property
     def base_labels(self) -> set[str]:
@@ -129,17 +144,20 @@ class Scan:
 
     @property
     def labels(self) -> set[str]:
-        return self.base_labels | {x for _, x in self.notices} | {x for a in self.alternatives for y in a for x in y}
+        return self.base_labels | {x for _, x in self.notices} | {x for labels, _ in self.values for x in labels}
+
+    @property
+    def permissive(self) -> bool:
+        """Whether some expression is satisfied by permissive licences, or all that the text names are such."""
+        return any(ok for _, ok in self.values) or bool(self.labels) and self.labels <= PERMISSIVE
 
     @property
     def score(self) -> float:
         """How sure the text is under a known licence: more for a tag with a valid expression than for phrases, more for more of them; 0 without any."""
         hits = len(self.places) + len(self.notices)
-        sure = 1.0
-        for _ in range(min(hits, 50)):
-            sure *= 0.5
-        for a in self.alternatives:
-            sure *= 0.1 if a else 0.8
+        sure = 0.5**hits
+        for labels, _ in self.values:
+            sure *= 0.1 if labels else 0.8
         return round(1.0 - sure, 6)
 
 
@@ -155,14 +173,6 @@ def automaton():
     return _worker["aho"]
 
 
-def _word_spans(text: str, nth: int) -> int:
-    """Where the nth word (from 0) of text ends."""
-    for i, m in enumerate(_WORD.finditer(text)):
-        if i == nth:
-            return m.end()
-    return len(text)
-
-
 def scan_text(text: str | None) -> Scan:
     out = Scan()
     words = (text or "").encode("utf-8", "surrogatepass").translate(_SPACED).split()
@@ -181,11 +191,14 @@ def scan_text(text: str | None) -> Scan:
             out.notices.append((nth, label))
         else:
             tags.append(nth)
-    for nth in tags:
-        rest = text[_word_spans(text.translate(_LOWER), nth + 2) :]
-        rest = rest.split("\n", 1)[0].lstrip(" :\t")
-        out.expressions.append(rest.strip())
-        out.alternatives.append(evaluate(rest))
+    if tags:
+        low = text.translate(_LOWER)
+        ends = [m.end() for m in _WORD.finditer(low)]
+        for nth in tags:
+            stop = low.find("\n", ends[nth + 2])
+            rest = text[ends[nth + 2] : stop if stop >= 0 else None].lstrip(" :\t")
+            out.expressions.append(rest.strip())
+            out.values.append(evaluate(rest))
     return out
 
 
@@ -203,7 +216,7 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
         for b in batches:
             got = [scan_text(t) for t in b.column(1).to_pylist()]
             starts = [[w for w, _ in s.places] for s in got]
-            ok = [bool(s.labels) and s.labels <= PERMISSIVE or any(any(x <= PERMISSIVE for x in a) for a in s.alternatives) for s in got]
+            ok = [s.permissive for s in got]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0), pa.array([s.n_words for s in got], pa.int64()), pa.array([len(x) for x in starts], pa.int64()),

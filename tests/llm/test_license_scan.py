@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from helpers import EDGES, clashing, frame, sentences
 
@@ -26,13 +28,49 @@ def test_places_against_brute_force(spark):
 def test_expressions():
     f = frozenset
     assert m.postfix("MIT OR Apache-2.0 AND BSD-3-Clause") == ["MIT", "Apache-2.0", "BSD-3-Clause", "AND", "OR"]
-    assert m.evaluate("(MIT OR Apache-2.0) AND GPL-3.0-only") == [f({"mit", "gpl"}), f({"apache", "gpl"})]
-    assert m.evaluate("GPL-2.0-only WITH Classpath-exception-2.0") == [f({"gpl"})]
-    assert m.evaluate("GPL-3.0+ or mit") == [f({"gpl"}), f({"mit"})]
-    for broken in ("", "AND", "(", ")", "MIT AND", "(MIT OR", "MIT OR )"):
-        assert isinstance(m.evaluate(broken), list)
+    assert m.evaluate("(MIT OR Apache-2.0) AND GPL-3.0-only") == (f({"mit", "apache", "gpl"}), False)
+    assert m.evaluate("(MIT OR GPL-2.0-only) AND ISC") == (f({"mit", "gpl", "isc"}), True)
+    assert m.evaluate("MIT OR GPL-2.0-only AND LGPL-2.1") == (f({"mit", "gpl", "lgpl"}), True)
+    assert m.evaluate("GPL-2.0-only WITH Classpath-exception-2.0") == (f({"gpl"}), False)
+    assert m.evaluate("GPL-2.0-only WITH Classpath-exception-2.0", f({"gpl"})) == (f({"gpl"}), True)
+    assert m.evaluate("GPL-3.0+ or mit") == (f({"gpl", "mit"}), True)
+    assert m.evaluate("LicenseRef-Own AND MIT") == (f({"licenseref-own", "mit"}), False)
+    assert m.evaluate("see the file called COPYING") == (f(), False)
+    assert m.evaluate("MIT see the file") == (f({"mit"}), True)
+    for broken in ("", "AND", "(", ")", "MIT AND", "(MIT OR", "MIT OR )", "MIT OR (", "((", "MIT WITH", "MIT WITH (ISC)", ") MIT", "(MIT AND (ISC"):
+        assert m.evaluate(broken)[0] <= {"mit", "isc"}
     s = m.scan_text("x\n// SPDX-License-Identifier: (MIT OR GPL-2.0-only)\nApache-2.0")
-    assert s.expressions == ["(MIT OR GPL-2.0-only)"] and s.labels == {"mit", "gpl"}
+    assert s.expressions == ["(MIT OR GPL-2.0-only)"] and s.labels == {"mit", "gpl"} and s.permissive
+
+
+def test_expressions_against_brute_force():
+    """Random expressions against Python's own evaluation."""
+    r = random.Random(3)
+    names = ["MIT", "GPL-2.0-only", "ISC", "MPL-2.0", "Apache-2.0"]
+
+    def make(depth):
+        if depth == 0 or r.random() < 0.3:
+            return r.choice(names)
+        return f"({make(depth - 1)} {r.choice(['AND', 'OR'])} {make(depth - 1)})" if r.random() < 0.6 else f"{make(depth - 1)} {r.choice(['AND', 'OR'])} {make(depth - 1)}"
+
+    for _ in range(300):
+        x = make(4)
+        allowed = frozenset(r.sample([m.known(n) for n in names], 2))
+        plain = x.lower().replace(" and ", " & ").replace(" or ", " | ")
+        for n in sorted(names, key=len, reverse=True):
+            plain = plain.replace(n.lower(), str(m.known(n) in allowed))
+        want = eval(plain)  # & binds tighter than |, as AND does
+        assert m.evaluate(x, allowed) == (frozenset(m.known(n) for n in names if n in x), want)
+
+
+def test_hostile_texts_take_linear_time():
+    pairs = " AND ".join(f"(MIT OR LicenseRef-{i})" for i in range(4000))
+    assert m.evaluate(pairs)[1]
+    text = "SPDX-License-Identifier: MIT OR GPL-2.0-only\n" * 10_000
+    began = time.time()
+    s = m.scan_text(text)
+    assert len(s.expressions) == 10_000 and s.labels == {"mit", "gpl"} and time.time() - began < 5
+    assert m.scan_text("( " * 50_000).n_words == 0 and m.evaluate("(" * 50_000) == (frozenset(), False)
 
 
 def test_clashing_columns_and_empty_table(spark):
