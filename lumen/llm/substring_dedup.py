@@ -9,13 +9,17 @@ A bucket interns words, sorts its windows by hash, compares neighbours word by
 word, and marks each window that also starts in a document of smaller id.  The
 marks of a document, as ranges, are joined to its text, and the covered words go.
 
-Scale and skew: a histogram of windows per minimiser cell, over all data, sets
-the number of buckets.  Cells with more than ``HOT`` windows (a passage or line
-that very many documents share) are dealt by the hash of the whole window
-instead.  Windows that occur more than ``HOT`` times are counted exactly after
-map-side combination; there are at most (all windows / HOT) of them, so their
-list is broadcast and resolved where the text is read.  Results do not depend
-on any of these choices.
+Scale and skew: the windows of all data are counted, and the minimisers that
+hold many of them: each map task passes on those that hold more than ``SHARE``
+of its own windows, so what is gathered is bounded whatever the input.  A
+minimiser with more than ``HOT`` windows (or 2 ``SHARE`` of all, if that is
+more) is split by the window's second minimiser, and its windows still travel
+packed.  Windows of a pair of minimisers that is hot too (a passage or line that
+very many documents share) go through an aggregation by the window's 128-bit
+digest, combined on the map side, and a join back that adaptive skew handling
+can split.  A partition holds many buckets, in order, beyond ``PARTITIONS`` of
+them; a bucket of many windows is sorted in passes by parts of the hash, so its
+memory is bounded.  Results do not depend on any of these choices.
 """
 
 from __future__ import annotations
@@ -30,12 +34,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumen.llm.shared import prepare
+from lumen.llm.shared import free, prepare, release, stage
 from lumen.llm.words import SPACE, U, Words, inside, mix, ranges, slices, window_hashes
 
-#: Windows that one bucket holds on average, and from which a cell or a window counts as hot.
-BUCKET, HOT = 1_000_000, 250_000
-CELLS = 65_536
+#: Windows that one bucket holds on average, and from which a minimiser counts as hot; windows that a bucket sorts at a time.
+BUCKET, HOT, PASS = 1_000_000, 250_000, 4_000_000
+#: Part of all windows that a minimiser may hold without being hot, at least: 1 / SHARE minimisers at most are listed.
+SHARE = 2.0**-17
+#: Partitions of buckets at most.
+PARTITIONS = 20_000
 #: Windows of one super-k-mer at most, so that one string stays bounded.
 RUN = 4096
 
@@ -59,19 +66,74 @@ def minimisers(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix(_min13(value, k)[starts]) if len(starts) else np.zeros(0, U)
 
 
-def _histogram(k: int):
+def second(w: Words, starts: np.ndarray, k: int) -> np.ndarray:
+    """The values of the windows' second minimisers: the next by the same order, or the first again in a window of one word over and over."""
+    size = np.minimum(w.end - w.start, 255).astype(U)
+    value = ((U(255) - size) << U(56)) | (mix(w.hashes()) >> U(8))
+    out = np.zeros(len(starts), U)
+    for i in range(0, len(starts), 1 << 16):
+        at = starts[i : i + (1 << 16)]
+        x = np.sort(value[at[:, None] + np.arange(k)], 1)
+        differs = x != x[:, :1]
+        out[i : i + len(at)] = x[np.arange(len(at)), np.argmax(differs, 1)]
+    return out
+
+
+def within(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Which of x are in a sorted array."""
+    if not len(sorted_):
+        return np.zeros(len(x), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
+
+
+def dealt_by(w: Words, k: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of windows, what each is dealt by, and whether that is a pair of minimisers."""
+    starts, m = minimisers(w, k)
+    pair = within(m, hot)
+    if pair.any():
+        m = m.copy()
+        m[pair] = mix(m[pair] ^ mix(second(w, starts[pair], k)))
+    return starts, m, pair
+
+
+def _counts(k: int, hot: np.ndarray):
+    """Rows (value, n): the number of windows under null, and of each value that holds more than SHARE of this task's windows. Values are minimisers, or if hot is given pairs of which it has the first."""
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        values, counts, total, held, some = np.zeros(0, U), np.zeros(0, np.int64), 0, [], 0
+
+        def merge() -> tuple[np.ndarray, np.ndarray]:
+            v, i = np.unique(np.concatenate([values, *[x for x, _ in held]]), return_inverse=True)
+            return v, np.bincount(i, np.concatenate([counts, *[c for _, c in held]]), len(v)).astype(np.int64)
+
         for batch in batches:
             for _, data, offsets in slices(batch, 0):
-                _, m = minimisers(Words(data, offsets), k)
-                total += np.bincount((m % U(CELLS)).astype(np.int64), minlength=CELLS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["cell", "n"])
+                _, m, pair = dealt_by(Words(data, offsets), k, hot)
+                total += len(m)
+                x = np.unique(m[pair] if len(hot) else m, return_counts=True)
+                held.append(x)
+                some += len(x[0])
+                if some > 1 << 20:
+                    values, counts = merge()
+                    held, some = [], 0
+        if total:
+            values, counts = merge()
+            many = counts > SHARE * total
+            v = np.concatenate([np.zeros(1, U), values[many]])
+            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64), mask=np.arange(len(v)) == 0), pa.array(np.append(total, counts[many]))], ["value", "n"])
 
     return f
 
 
+def _hot(texts: DataFrame, k: int, hot: int, first: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of windows, and the sorted values that hold too many of them."""
+    got = texts.mapInArrow(_counts(k, first), "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    total = got.where("value is null").first()
+    total = total["n"] if total else 0
+    many = got.where(F.col("value").isNotNull() & (F.col("n") > max(hot, SHARE * total))).select("value").collect()  # 1 / SHARE values at most
+    return total, np.sort(np.array([r["value"] for r in many], np.int64).view(U))
+
+
 def _strings(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
     """Slices of data as an array of bytes."""
     off = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
@@ -85,68 +147,50 @@ def _window_bytes(w: Words, starts: np.ndarray, k: int) -> pa.Array:
     return _strings(packed, at[starts], stop - at[starts])
 
 
-def _hot_windows(k: int, hot: np.ndarray):
-    """Windows of hot cells with their count and smallest document, combined within each batch."""
+def _shared(k: int, hot: np.ndarray, pairs: np.ndarray):
+    """Rows (w1, w2, doc_id, crc, start) of the windows of hot pairs; (w1, w2) is a window's digest."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in slices(batch, 1):
+            for part, data, offsets in slices(batch, 2):
                 w = Words(data, offsets)
-                starts, m = minimisers(w, k)
-                starts = starts[hot[(m % U(CELLS)).astype(np.int64)]]
-                ids = np.array(part.column(0).to_pylist(), np.int64)[w.text_of()[starts]] if len(starts) else np.zeros(0, np.int64)
-                t = pa.table({"w": _window_bytes(w, starts, k), "id": ids}).group_by("w").aggregate([("id", "min"), ("id", "count")])
-                for b in pa.table({"w": t["w"].cast(pa.binary()), "id": t["id_min"], "n": t["id_count"]}).to_batches():
-                    yield b
+                starts, m, pair = dealt_by(w, k, hot)
+                starts = starts[pair & within(m, pairs)]
+                if len(starts):
+                    text = w.text_of()[starts]
+                    ids, crc = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64)[text] for i in (0, 1))
+                    h = [window_hashes(w.hashes(seed), k)[starts].view(np.int64) for seed in (0, 77)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (*h, ids, crc, (starts - w.first[text]).astype(np.int32)))], ["w1", "w2", "doc_id", "crc", "start"])
 
     return f
 
 
-def _deal(k: int, buckets: int, hot: np.ndarray | None, known: dict[bytes, int]):
-    """Super-k-mers by bucket: rows (bucket, kind, payload)."""
+def _deal(k: int, buckets: int, hot: np.ndarray, pairs: np.ndarray):
+    """Super-k-mers by bucket: rows (bucket, n, payload)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part, data, offsets in slices(batch, 2):
                 w = Words(data, offsets)
-                starts, m = minimisers(w, k)
+                starts, m, pair = dealt_by(w, k, hot)
+                if len(pairs):
+                    stay = ~(pair & within(m, pairs))
+                    starts, m = starts[stay], m[stay]
                 if not len(starts):
                     continue
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 crc = part.column(1).to_numpy(zero_copy_only=False).astype(np.uint32)
                 text = w.text_of()
                 bucket = (m % U(buckets)).astype(np.int64)
-                single = np.zeros(len(starts), bool)
-                if hot is not None:
-                    single = hot[(m % U(CELLS)).astype(np.int64)]
-                    h = window_hashes(w.hashes(), k)
-                    bucket[single] = (h[starts[single]] % U(buckets)).astype(np.int64)
                 new = np.ones(len(starts), bool)
-                new[1:] = (m[1:] != m[:-1]) | (starts[1:] != starts[:-1] + 1) | single[1:] | single[:-1]
+                new[1:] = (m[1:] != m[:-1]) | (starts[1:] != starts[:-1] + 1)
                 run = np.flatnonzero(new)
                 size = np.diff(np.append(run, len(starts)))
                 if len(size) and size.max() > RUN:  # cut long runs
                     parts = -(-size // RUN)
                     at = ranges(np.zeros(len(size), np.int64), parts) * RUN
                     run, size = np.repeat(run, parts) + at, np.minimum(np.repeat(size, parts) - at, RUN)
-                if known:
-                    lone = np.flatnonzero(single[run])
-                    found = [known.get(x) for x in _window_bytes(w, starts[run[lone]], k).to_pylist()]
-                    got = np.array([x is not None for x in found], bool)
-                    if got.any():
-                        at, least = lone[got], np.array([x for x in found if x is not None], np.int64)
-                        s = starts[run[at]]
-                        later = ids[text[s]] > least
-                        s = s[later]
-                        if len(s):
-                            marks = b"".join(x.tobytes() for x in (ids[text[s]], crc[text[s]], (s - w.first[text[s]]).astype(np.int32), np.ones(len(s), np.int32)))
-                            yield pa.RecordBatch.from_arrays([pa.array([int(s[0]) % buckets], pa.int32()), pa.array([len(s)], pa.int32()), pa.array([True]), pa.array([pack.compress(marks)], pa.binary())], ["bucket", "n", "marks", "payload"])
-                        stay = np.ones(len(run), bool)
-                        stay[at] = False
-                        run, size = run[stay], size[stay]
-                if not len(run):
-                    continue
                 order = np.argsort(bucket[run], kind="stable")
                 run, size = run[order], size[order]
                 b, s = bucket[run], starts[run]
@@ -158,7 +202,7 @@ def _deal(k: int, buckets: int, hot: np.ndarray | None, known: dict[bytes, int])
                     t = text[s[x:y]]
                     out.append(pack.compress(b"".join(z.tobytes() for z in (np.diff(ids[t], prepend=0), crc[t], (s[x:y] - w.first[t]).astype(np.int32), size[x:y].astype(np.int32), packed[ranges(at[s[x:y]], nbytes[x:y])]))))
                     counts.append(y - x)
-                yield pa.RecordBatch.from_arrays([pa.array(b[cut], pa.int32()), pa.array(counts, pa.int32()), pa.array([False] * len(out)), pa.array(out, pa.binary())], ["bucket", "n", "marks", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(b[cut], pa.int64()), pa.array(counts, pa.int32()), pa.array(out, pa.binary())], ["bucket", "n", "payload"])
 
     return f
 
@@ -169,57 +213,65 @@ def _fields(n: int, raw: bytes) -> list[np.ndarray]:
     return [a, *b, np.frombuffer(raw, np.uint8, offset=20 * n)]
 
 
-def mark_windows(ids: np.ndarray, size: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For super-k-mers (document, number of windows, packed words): index of super-k-mer and offset of each window that also starts in a document of smaller id."""
+def mark_windows(ids: np.ndarray, size: np.ndarray, data: np.ndarray, k: int, most: int = PASS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For super-k-mers (document, number of windows, packed words): index of super-k-mer and offset of each window that also starts in a document of smaller id; in passes of about ``most`` windows, by parts of the hash."""
     w = Words(data, np.array([0, len(data)]))
     words = pa.Array.from_buffers(pa.large_binary(), len(w), [None, pa.py_buffer(np.append(w.start, len(data)).astype(np.int64)), pa.py_buffer(data.tobytes())])
     code = words.dictionary_encode().indices.to_numpy()
     first = np.concatenate([[0], np.cumsum(size + k - 1)])
-    starts = ranges(first[:-1], size)
-    owner = np.repeat(np.arange(len(size)), size)
-    h = window_hashes(mix(code.astype(U) + U(1)), k)[starts]
-    order = np.argsort(h, kind="stable")
-    o = starts[order]
-    same = h[order][1:] == h[order][:-1]
-    at = np.flatnonzero(same)
-    for j in range(k):
-        if not np.array_equal(code[o[at] + j], code[o[at + 1] + j]):  # a collision: group by the words themselves
-            _, h = np.unique(np.stack([code[starts + i] for i in range(k)], 1), axis=0, return_inverse=True)
-            h = h.reshape(-1)
-            order = np.argsort(h, kind="stable")
-            same = h[order][1:] == h[order][:-1]
-            break
-    group = np.flatnonzero(np.append(True, ~same))
-    doc = ids[owner[order]]
-    least = np.repeat(np.minimum.reduceat(doc, group), np.diff(np.append(group, len(doc))))
-    marked = np.sort(order[doc > least])
-    return owner[marked], starts[marked] - first[owner[marked]]
-
-
-def _mark(k: int):
-    names = ["doc_id", "crc", "start", "n"]
-
-    def rows(ids, crc, start, n):
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(crc.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names)
+    every = ranges(first[:-1], size)
+    hashes = window_hashes(mix(code.astype(U) + U(1)), k)[every]
+    passes = -(-len(every) // most)
+    for i in range(passes):
+        mine = np.flatnonzero((hashes >> U(32)) % U(passes) == U(i)) if passes > 1 else np.arange(len(every))
+        if not len(mine):
+            continue
+        starts, h = every[mine], hashes[mine]
+        order = np.argsort(h, kind="stable")
+        o = starts[order]
+        same = h[order][1:] == h[order][:-1]
+        at = np.flatnonzero(same)
+        for j in range(k):
+            if not np.array_equal(code[o[at] + j], code[o[at + 1] + j]):  # a collision: group by the words themselves
+                _, h = np.unique(np.stack([code[starts + i] for i in range(k)], 1), axis=0, return_inverse=True)
+                h = h.reshape(-1)
+                order = np.argsort(h, kind="stable")
+                same = h[order][1:] == h[order][:-1]
+                break
+        group = np.flatnonzero(np.append(True, ~same))
+        owner = np.searchsorted(first, starts, "right") - 1
+        doc = ids[owner[order]]
+        least = np.repeat(np.minimum.reduceat(doc, group), np.diff(np.append(group, len(doc))))
+        marked = np.sort(order[doc > least])
+        yield owner[marked], starts[marked] - first[owner[marked]]
+
+
+def _mark(k: int, most: int):
+    """Rows come sorted by bucket; each bucket is done when it is complete."""
+
+    def done(held):
+        ids, crc, pos, size, data = (np.concatenate(z) for z in zip(*held))
+        held.clear()
+        for owner, at in mark_windows(ids, size, data, k, most):
+            if len(owner):
+                new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)))
+                o = owner[new]
+                n = np.diff(np.append(new, len(owner)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[o]), pa.array(crc[o].astype(np.int64)), pa.array((pos[o] + at[new]).astype(np.int32)), pa.array(n.astype(np.int32))], ["doc_id", "crc", "start", "n"])
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        held = []
+        held, now = [], None
         for batch in batches:
-            for n, marks, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for bucket, n, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if bucket != now and held:
+                    yield from done(held)
+                now = bucket
                 x = _fields(n, unpack.decompress(payload))
-                if marks:
-                    yield rows(*x[:4])
-                else:
-                    held.append([np.cumsum(x[0]), *x[1:]])
+                held.append([np.cumsum(x[0]), *x[1:]])
         if held:
-            ids, crc, pos, size, data = (np.concatenate(z) for z in zip(*held))
-            held.clear()
-            owner, at = mark_windows(ids, size, data, k)
-            if len(owner):
-                new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)))
-                o = owner[new]
-                yield rows(ids[o], crc[o], pos[o] + at[new], np.diff(np.append(new, len(owner))))
+            yield from done(held)
+        release()
 
     return f
 
@@ -257,7 +309,7 @@ def _apply(k: int, keep: int, names: list[str], full: bool):
     return f
 
 
-def dedup_substrings(docs: DataFrame, k: int = 13, id: str = "doc_id", text: str = "text", keep: list[str] | None = None, full: bool = True, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
+def dedup_substrings(docs: DataFrame, k: int = 13, id: str = "doc_id", text: str = "text", keep: list[str] | None = None, full: bool = True, bucket: int = BUCKET, hot: int = HOT, most: int = PASS) -> DataFrame:
     """The columns ``keep`` of docs with ``n_words``, ``n_removed``, ``kept_sha256`` and, if full, ``kept_text`` (kept words, one space between).
 
     Words are runs of bytes other than space and 09-0D.  A word goes if a window
@@ -274,24 +326,27 @@ def dedup_substrings(docs: DataFrame, k: int = 13, id: str = "doc_id", text: str
     crc = F.crc32(F.col(text).cast("binary"))
     src = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("long").alias("doc_id"), crc.alias("crc"), F.col(text).alias("text"))
 
-    cells = src.select("text").mapInArrow(_histogram(k), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = {r["cell"]: r["n"] for r in cells.collect()}  # CELLS rows at most
-    total = sum(counts.values())
+    none = np.zeros(0, U)
+    total, first = _hot(src.select("text"), k, hot, none)
+    pairs = _hot(src.select("text"), k, hot, first)[1] if len(first) else none
     buckets = max(1, math.ceil(total / bucket))
-    mask, known = None, {}
-    if any(n > hot for n in counts.values()):
-        mask = np.zeros(CELLS, bool)
-        mask[[c for c, n in counts.items() if n > hot]] = True
-        found = src.select("doc_id", "text").mapInArrow(_hot_windows(k, mask), "w binary, id long, n long").groupBy("w").agg(F.min("id").alias("id"), F.sum("n").alias("n"))
-        known = {bytes(r["w"]): r["id"] for r in found.where(F.col("n") > hot).collect()}  # total / hot rows at most
-    dealt = src.mapInArrow(_deal(k, buckets, mask, known), "bucket int, n int, marks boolean, payload binary")
-    dealt = dealt.repartitionById(buckets, F.col("bucket")) if hasattr(dealt, "repartitionById") else dealt.repartition(buckets, "bucket")
-    marks = dealt.mapInArrow(_mark(k), "doc_id long, crc long, start int, n int")
+    parts = min(buckets, PARTITIONS)
+    dealt = src.mapInArrow(_deal(k, buckets, first, pairs), "bucket long, n int, payload binary")
+    target = F.pmod("bucket", F.lit(parts)).cast("int")
+    dealt = dealt.repartitionById(parts, target) if hasattr(dealt, "repartitionById") else dealt.repartition(parts, target)
+    marks = dealt.sortWithinPartitions("bucket").mapInArrow(_mark(k, most), "doc_id long, crc long, start int, n int")
+    if len(pairs):
+        shared = src.mapInArrow(_shared(k, first, pairs), "w1 long, w2 long, doc_id long, crc long, start int")
+        least = shared.groupBy("w1", "w2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("w1", "w2", "a")
+        least = stage(least, "shared")  # a plain scan, so that a hot window's join is split
+        marks = marks.union(shared.join(least, ["w1", "w2"]).where("doc_id > a").select("doc_id", "crc", "start", F.lit(1).alias("n")))
     marks = marks.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("start", "n")).alias("_ranges"))
 
     cols = [F.col(f"`{c}`") for c in keep]
-    left = docs.select(*cols, F.col(id).cast("long").alias("_id"), crc.alias("_crc"), F.col(text).alias("_text"))
-    both = left.join(marks, (F.col("_id") == marks["doc_id"]) & (F.col("_crc") == marks["crc"]), "left").select(*[left[f"`{c}`"] for c in keep], "_text", "_ranges")
+    mine, check, content, found = (free(c, docs) for c in ("id", "crc", "text", "ranges"))
+    left = docs.select(*cols, F.col(id).cast("long").alias(mine), crc.alias(check), F.col(f"`{text}`").alias(content))
+    marks = marks.withColumnsRenamed({"doc_id": free("doc", left), "crc": free("sum", left), "_ranges": found})
+    both = left.join(marks, (F.col(mine) == marks[marks.columns[0]]) & (F.col(check) == marks[marks.columns[1]]), "left").select(*[left[f"`{c}`"] for c in keep], content, found)
     schema = left.select(*cols).schema
     for c, t in new:
         schema = schema.add(c, t)

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from helpers import EDGES, clashing, frame, sentences
 
@@ -40,10 +41,12 @@ def mixed(seed):
     return out + ["same " * 500, "same " * 30 + "other", *EDGES, base[0], base[0]]
 
 
-@pytest.mark.parametrize(("k", "bucket", "hot"), [(13, 1_000_000, 250_000), (13, 500, 40), (3, 300, 5)])
-def test_against_brute_force(spark, k, bucket, hot):
+@pytest.mark.parametrize(("k", "bucket", "hot", "most", "parts"), [(13, 1_000_000, 250_000, 4_000_000, 20_000), (13, 500, 40, 100, 20_000), (3, 300, 5, 60, 3), (13, 20, 400, 1000, 4)])
+def test_against_brute_force(spark, monkeypatch, k, bucket, hot, most, parts):
+    monkeypatch.setattr(m, "PARTITIONS", parts)
+    monkeypatch.setattr(m, "SHARE", 1e-9)
     rows = list(enumerate(mixed(k)))
-    got = m.dedup_substrings(frame(spark, [t for _, t in rows]), k, keep=["doc_id"], bucket=bucket, hot=hot)
+    got = m.dedup_substrings(frame(spark, [t for _, t in rows]), k, keep=["doc_id"], bucket=bucket, hot=hot, most=most)
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == brute(rows, k)
 
 
@@ -59,6 +62,20 @@ def test_null_and_repeated_ids_clashing_columns_empty_table(spark):
     assert m.dedup_substrings(df.limit(0)).count() == 0
 
 
+def test_windows_of_hot_minimisers_travel_packed():
+    """A hot minimiser's windows are dealt by their second one, and few rows and bytes come of it."""
+    import pyarrow as pa
+
+    texts = [" ".join([*t.split()[:20], "internationally", *t.split()[20:]]) for t in sentences(300, 5, 80, 3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([1] * 300), pa.array(texts)], ["doc_id", "crc", "text"])
+    none = np.zeros(0, np.uint64)
+    hot = next(iter(m._counts(13, none)([batch.select(["text"])])))
+    values = np.sort(np.array([v for v, n in zip(hot.column(0).to_pylist(), hot.column(1).to_pylist()) if v is not None and n > 1000], np.int64).view(np.uint64))
+    assert len(values) >= 1
+    plain, split = (sum(len(p) for b in m._deal(13, 50, h, none)([batch]) for p in b.column(2).to_pylist()) for h in (none, values))
+    assert split < 1.5 * plain
+
+
 def test_sql_agrees(spark, small):
     import duckdb
 
