@@ -1,7 +1,9 @@
 """A corpus pipeline of five stages; each one's rows are written and read again as the next one's.
 
 toxicity: documents that score 0.5 or more go.  ngram_jaccard: of each
-component of near copies (3-word shingles, 0.9) the smallest doc_id stays.
+component of near copies (3-word shingles, 0.9) the smallest doc_id stays; rows
+that repeat an id count as one document, of which the text of smallest digest
+stays (of equal texts, the row of smallest other values).
 decontamination: documents that hold a benchmark item go.  secrets: secrets are replaced in the text.  byte_bpe: every document
 with its token ids, their number, and the digests of ids and round trip.
 """
@@ -27,8 +29,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of smallest doc_id of each component; rows without words or id stay, rows that repeat an id become one."""
     ids = ngram_jaccard.jaccard_components(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(ids, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = docs.where(F.col("doc_id").isNotNull()).join(ids, F.col("doc_id") == F.col("_keep"), "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), F.col("text"), *rest)
+    one = kept.groupBy("doc_id").agg(F.min(first).alias("_row")).select("doc_id", F.col("_row.text").alias("text"), *[F.col(f"_row.`{c}`").alias(c) for c in rest])
+    return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
