@@ -10,9 +10,9 @@ is bounded whatever the word's length.  Decoding takes the ids alone: an ordered
 aggregation joins the bytes of every word's ids, and the decoded words in order
 are the decoded text.
 
-Scale: nothing is shuffled.  While it works on a partition, a worker keeps
-words of at most ``CACHE`` bytes and a database of ``MEMORY`` MB that does not
-spill, and cuts its batches to a MB; both go when the partition ends.  Only a
+Scale: nothing is shuffled.  A worker keeps the vocabulary and words of at most
+``CACHE`` bytes, and while it works on a partition a database of ``MEMORY`` MB
+that does not spill; it cuts its batches to a MB.  Only a
 single text or word of many MB takes more, in proportion to its length.  A lost
 executor costs its partitions' own work.
 """
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from lumen.llm.shared import free, prepare, release
 from lumen.llm.words import ranges, slices
 
-#: Bytes of words that a worker keeps while it works on a partition, and what an entry takes besides its texts.
-CACHE, ENTRY = 32 << 20, 350
+#: Bytes of words that a worker keeps, and what an entry takes besides its texts.
+CACHE, ENTRY = 24 << 20, 350
 #: Bytes of a word beyond which it is contracted by CONTRACT_LONG, and rows that a recursive query may keep.
 LONG, ROWS = 256, 1_000_000
 #: MB that a worker's database may take, and rows of a long word for which it gets one MB more.
@@ -190,10 +190,10 @@ class Codec:
             self.con.unregister("v")
 
     def close(self) -> None:
-        """Let go of the database and the words, so that an idle worker holds the vocabulary alone."""
+        """Let go of the database, so that an idle worker holds the vocabulary and CACHE bytes of words alone."""
         if self.con is not None:
             self.con.close()
-        self.con, self.known, self.held = None, {}, 0
+        self.con = None
         release()
 
     def contract(self, words: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

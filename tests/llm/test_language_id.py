@@ -1,3 +1,6 @@
+import re
+
+import zstandard
 from helpers import EDGES, clashing, frame
 
 from lumen.llm import language_id as m
@@ -22,6 +25,36 @@ def test_labels_of_the_held_out_fold_are_not_read(spark, small):
     assert len({len(x) for x in d.values()}) == 1 and max(map(len, d.values())) <= m.DICTIONARY
 
 
+def plain(dictionaries, text):
+    """The language of least compressed size and its score, by plain zstandard calls."""
+    low = re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip()
+    if not low:
+        return "und", 0.0
+    raw = f" {low} ".encode()
+    sizes = []
+    for i, (k, d) in enumerate(dictionaries.items()):
+        z = zstandard.ZstdCompressor(level=m.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes.append((sum(len(z.compress(raw[j : j + m.PIECE])) for j in range(0, len(raw), m.PIECE)), i, k))
+    (best, _, lang), (second, *_) = sorted(sizes)[:2]
+    return lang, min(1.0, 0.5 + 2 * (second - best) / second)
+
+
+def test_against_brute_force(spark, small):
+    docs = spark.read.parquet(small + "/documents.parquet")
+    d = m.fit(docs.where(fold("doc_id", 3) != 1))
+    texts = [r["text"] for r in docs.collect()] + [" ".join(WORDS["en"]) * 300, *EDGES]
+    for r, t in zip(sorted(m.classify(frame(spark, texts), d, reject=False).collect()), texts, strict=True):
+        lang, score = plain(d, t)
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 2e-6
+
+
+def test_learns_from_the_whole_of_a_long_text(spark):
+    text = " ".join(["early"] * 5000 + ["late"] * 5000)
+    got = m.fit(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, lang string"))
+    words = got["x"].split()
+    assert 0.4 < words.count(b"late") / len(words) < 0.6
+
+
 def test_edges(spark):
     d = {k: f" {' '.join(WORDS[k])} ".encode() for k in WORDS}
     one, two = " ".join(WORDS["en"][10:40:2]), " ".join(WORDS["fr"][10:40:2])

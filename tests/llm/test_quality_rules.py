@@ -42,6 +42,25 @@ def test_learns_a_threshold():
     assert m.learn(x, np.zeros(600, bool)) == []
 
 
+def test_a_learned_list_against_row_by_row_evaluation(spark, small):
+    sf = small.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(sf + "/documents.parquet").select("doc_id", "text")
+    rules = m.fit(docs, spark.read.parquet(sf + "/labels.parquet"))
+    assert rules
+    for r in m.assess(docs, rules).collect():
+        share = lambda a, b, r=r: r[a] / r[b] if r[b] else 0.0
+        x = {"n_words": r["n_words"], "mean_word": share("word_chars", "n_words"), "symbol_share": share("n_symbols", "n_words"), "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words"),
+             "upper_share": share("n_upper", "word_chars"), "digit_share": share("n_digits", "word_chars"), "short_share": share("n_short", "n_words"), "words_per_line": share("n_words", "n_lines")}
+        first = next((i + 1 for i, rule in enumerate(rules) if all((x[t.feature] >= t.threshold) if t.above else (x[t.feature] <= t.threshold) for t in rule)), 0)
+        assert r["rule"] == first and r["kept"] == (not r["base_failed"] and not first)
+
+
+def test_a_very_long_text(spark):
+    text = "one two\n" * 100_000 + "three four five six seven\n" * 2
+    r = m.assess(frame(spark, [text]), []).first()
+    assert [r[c] for c in m.COUNTS[:5]] == brute(text)
+
+
 def test_keeps_clean_documents(spark, small):
     sf = small.replace("sf0.001", "sf0.1")
     got = m.query(spark, sf).join(spark.read.parquet(sf + "/labels.parquet").select("doc_id", "quality"), "doc_id").where("not base_failed").collect()
