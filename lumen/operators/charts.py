@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumen.functions.columns import finite, rounded, url_domain
+from lumen.operators.quantiles import numbers, quantile_row
 
 
 def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
     """Equal-width bins with their midpoints and counts, empty ones left out; the number of bins by the narrower of the Freedman-Diaconis and Sturges widths."""
     v = finite(F.col(f"`{column}`").cast("double"))
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))
-    s = df.agg(F.count(v).alias("n"), F.min(v).alias("a"), F.max(v).alias("b"), (q[1] - q[0]).alias("iqr"))
+    q = quantile_row(df, numbers([column]), [0.25, 0.75]).select((F.col("q0")[1] - F.col("q0")[0]).alias("iqr"))
+    s = df.agg(F.count(v).alias("n"), F.min(v).alias("a"), F.max(v).alias("b")).join(F.broadcast(q))  # one row each
     width = F.col("b") - F.col("a")
     sturges = width / (F.log2("n") + 1)
     fd = 2 * F.col("iqr") / F.pow(F.col("n").cast("double"), F.lit(1 / 3))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -22,9 +23,15 @@ def _both(a: str, b: str):
 
 
 def pearson_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """r and n of every pair of columns over the rows that have both, all in one pass."""
-    columns = (by_type(df)["numeric"] if columns is None else columns)[: vocab.CORRELATION_COLUMNS]
+    """r and n of every pair of columns over the rows that have both, 400 pairs a pass."""
+    columns = by_type(df)["numeric"] if columns is None else columns
     pairs = list(combinations(columns, 2))
+    if len(pairs) > 400:
+        return reduce(DataFrame.union, [_pearson(df, pairs[i : i + 400]) for i in range(0, len(pairs), 400)])
+    return _pearson(df, pairs)
+
+
+def _pearson(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double, n long")
     one = df.agg(*[e for i, (a, b) in enumerate(pairs) for x, y in [_both(a, b)] for e in (F.corr(x, y).alias(f"r{i}"), F.count(x).alias(f"n{i}"))])

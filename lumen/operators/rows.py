@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumen.functions.columns import collapse, fold_case, missing_like, rounded
+from lumen.operators.quantiles import numbers, quantile_row
 
 
 def _cols(columns: list[str]) -> list[Column]:
@@ -22,9 +23,10 @@ def keep_first(df: DataFrame, columns: list[str], order: str) -> DataFrame:
 
 
 def duplicate_flags(df: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """df with ``is_duplicate``: an earlier row is equal on columns."""
-    w = Window.partitionBy(*_cols(columns)).orderBy(order)
-    return df.withColumn("is_duplicate", F.row_number().over(w) > 1)
+    """df with ``is_duplicate``: an earlier row is equal on columns. The first of each group comes from an aggregation and is joined back, so that a large group is split."""
+    first = df.groupBy(*_cols(columns)).agg(F.min(F.col(order)).alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in columns])
+    return df.alias("l").join(first.alias("r"), same, "left").select("l.*", (F.col(f"l.`{order}`") > F.col("r._first")).alias("is_duplicate"))
 
 
 def normalised(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -53,7 +55,8 @@ def average_ranks(df: DataFrame, value: str, by: list[str] | None = None, name:
     """
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    ranged = counts.repartitionByRange(F.col(value)).withColumn("_p", F.spark_partition_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own keeps the ranges as they are
+    ranged = counts.repartitionByRange(parts, F.col(value)).withColumn("_p", F.spark_partition_id())
     totals = ranged.groupBy(*by, "_p").agg(F.sum("_n").alias("_t"))
     before = totals.withColumn("_b", F.coalesce(F.sum("_t").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
     within = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -63,7 +66,7 @@ def average_ranks(df: DataFrame, value: str, by: list[str] | None = None, name:
 
 def quartile_bins(df: DataFrame, value: str) -> DataFrame:
     """df with ``bin`` 0 to 3 by right-closed bins at interpolated quartiles (the lowest edge included); equal edges merge."""
-    q = df.agg(F.percentile(value, F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("_q"))
+    q = quantile_row(df, numbers([value]), [0.0, 0.25, 0.5, 0.75, 1.0]).select(F.col("q0").alias("_q"))
     edges = F.array_sort(F.array_distinct("_q"))
     inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
     both = df.join(F.broadcast(q.select(inner.alias("_edges"))))  # one row
@@ -73,7 +76,7 @@ def quartile_bins(df: DataFrame, value: str) -> DataFrame:
 
 def median_split(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with a 0/1 column ``<c>_high`` for each c: at or above its median."""
-    m = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m{i}") for i, c in enumerate(columns)])
+    m = quantile_row(df, numbers(columns), [0.5]).select(*[F.col(f"q{i}")[0].alias(f"_m{i}") for i in range(len(columns))])
     both = df.join(F.broadcast(m))  # one row
     return both.withColumns({f"{c}_high": (F.col(c) >= F.col(f"_m{i}")).cast("int") for i, c in enumerate(columns)}).drop(*[f"_m{i}" for i in range(len(columns))])
 
@@ -87,7 +90,8 @@ def daily_counts(df: DataFrame, ts: str) -> DataFrame:
 
 def sequential_share(df: DataFrame, value: str, order: str) -> DataFrame:
     """One row: successive differences of one, in row order, their number and share."""
-    counted = df.where(F.col(value).isNotNull()).repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own keeps the ranges as they are
+    counted = df.where(F.col(value).isNotNull()).repartitionByRange(parts, F.col(order)).withColumn("_p", F.spark_partition_id())
     w = Window.partitionBy("_p").orderBy(order)
     inner = counted.withColumn("_d", F.col(value) - F.lag(value).over(w))
     ends = counted.groupBy("_p").agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"))

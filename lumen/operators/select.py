@@ -99,7 +99,8 @@ def with_rid(df: DataFrame, *order: str | Column) -> DataFrame:
     if not order:
         raise ValueError("a row number needs an order")
     cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = df.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own keeps the ranges as they are
+    ranged = df.repartitionByRange(parts, *cols).withColumn("_part", F.spark_partition_id())
     ranged = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*cols)).cast("long"))
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"))
     before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row a partition

@@ -6,35 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumen.functions.columns import entropy_of, finite, iso_weekday, kurtosis_adjusted, parse_datetime, rounded, skew_adjusted, span_days, word_count
+from lumen.operators.quantiles import numbers, quantile_row, quantiles, value_counts
 from lumen.operators.select import by_type
 
 PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
+def exact_mean(c: Column) -> Column:
+    """The mean from an exact decimal sum, so that it does not depend on the order of rows; of values too large for it, the plain mean."""
+    return F.coalesce(F.round(F.avg(c.cast("decimal(38,12)")), 12).cast("decimal(38,12)"), F.avg(c).cast("decimal(38,12)"))
+
+
 def numeric_measures(name: str) -> dict[str, Column]:
-    """The numeric summary of a column as aggregate expressions; NaN counts as missing."""
+    """The numeric summary of a column as aggregate expressions, without quantiles and distinct counts; NaN counts as missing."""
     c = finite(F.col(f"`{name}`").cast("double"))
-    q = F.percentile(c, F.array(*[F.lit(p) for p in PERCENTILES]))
     n, mean, std = F.count(c), F.avg(c), F.stddev_samp(c)
-    out = {
+    return {
         "rows": F.count("*"), "count": n, "nulls": F.count("*") - n, "null_pct": rounded(F.when(F.count("*") > 0, 100.0 * (F.count("*") - n) / F.count("*"))),
-        "unique": F.count_distinct(c), "zeros": F.count_if(c == 0), "negatives": F.count_if(c < 0), "sum": rounded(F.sum(c), 2), "mean": rounded(mean), "median": rounded(q[2]),
-        "min": rounded(F.min(c)), "max": rounded(F.max(c)), "range": rounded(F.max(c) - F.min(c)), "q1": rounded(q[1]), "q3": rounded(q[3]), "iqr": rounded(q[3] - q[1]),
-        "p5": rounded(q[0]), "p95": rounded(q[4]), "std": rounded(std), "variance": rounded(F.var_samp(c), 2), "skewness": rounded(skew_adjusted(c), 4), "kurtosis": rounded(kurtosis_adjusted(c), 4),
-        "cv": rounded(F.when((n > 1) & (mean != 0), std / F.abs(mean))), "sem": rounded(std / F.sqrt(n)), "constant": (n > 0) & (F.min(c) == F.max(c)),
+        "zeros": F.count_if(c == 0), "negatives": F.count_if(c < 0), "sum": rounded(F.sum(c), 2), "mean": F.coalesce(F.round(exact_mean(c), 6).cast("double"), rounded(mean)),
+        "min": rounded(F.min(c)), "max": rounded(F.max(c)), "range": rounded(F.max(c) - F.min(c)), "std": rounded(std), "variance": rounded(F.var_samp(c), 2), "skewness": rounded(skew_adjusted(c), 4),
+        "kurtosis": rounded(kurtosis_adjusted(c), 4), "cv": rounded(F.when((n > 1) & (mean != 0), std / F.abs(mean))), "sem": rounded(std / F.sqrt(n)), "constant": (n > 0) & (F.min(c) == F.max(c)),
     }
-    return out
+
+
+NUMERIC = ["column", "rows", "count", "nulls", "null_pct", "unique", "zeros", "negatives", "sum", "mean", "median", "min", "max", "range", "q1", "q3", "iqr", "p5", "p95", "std", "variance", "skewness", "kurtosis", "cv", "sem", "constant"]
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row a column; all columns in one pass over the data, and one for distinct counts."""
+    """One row a column: all columns' measures in one pass, their quantiles and distinct counts from counts of values."""
     columns = by_type(df)["numeric"] if columns is None else columns
     all_ = [(i, c, k, e) for i, c in enumerate(columns) for k, e in numeric_measures(c).items()]
-    # Distinct counts repeat every row once a column, so they are kept apart from the other measures.
-    one = df.agg(*[e.alias(f"{k}_{i}") for i, _, k, e in all_ if k != "unique"])
-    one = one.join(F.broadcast(df.agg(*[e.alias(f"{k}_{i}") for i, _, k, e in all_ if k == "unique"])))  # one row each
-    cells = [F.struct(F.lit(c).alias("column"), *[F.col(f"{k}_{i}").alias(k) for j, _, k, _ in all_ if j == i]) for i, c in enumerate(columns)]
-    return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    one = df.agg(*[e.alias(f"{k}_{i}") for i, _, k, e in all_])
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), *[F.col(f"{k}_{i}").alias(k) for j, _, k, _ in all_ if j == i]) for i, c in enumerate(columns)]
+    rows = one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    q = quantiles(df, numbers(columns), PERCENTILES).select("i", "unique", "q")
+    both = rows.join(F.broadcast(q), "i", "left").withColumn("unique", F.coalesce("unique", F.lit(0)))  # a row a column
+    at = dict(zip(("p5", "q1", "median", "q3", "p95"), range(5)))
+    return both.withColumns({k: rounded(F.col("q")[i]) for k, i in at.items()} | {"iqr": rounded(F.col("q")[3] - F.col("q")[1])}).select(*NUMERIC)
 
 
 def top_values(df: DataFrame, column: str, n: int | None = 10, missing: str | None = None) -> DataFrame:
@@ -82,10 +90,12 @@ def text_summary(df: DataFrame, column: str) -> DataFrame:
 
 
 def profile_columns(df: DataFrame) -> DataFrame:
-    """One row a column: type, nulls, exact distinct values, ratio over non-null rows."""
-    one = df.agg(F.count("*").alias("_n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)], *[F.count_distinct(F.col(f"`{c}`")).alias(f"u{i}") for i, c in enumerate(df.columns)])
-    cells = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(f"c{i}").alias("count"), (F.col("_n") - F.col(f"c{i}")).alias("nulls"), F.col(f"u{i}").alias("unique"), rounded(F.when(F.col(f"c{i}") > 0, F.col(f"u{i}") / F.col(f"c{i}"))).alias("unique_ratio")) for i, (c, t) in enumerate(df.dtypes)]
-    return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    """One row a column: type, nulls, exact distinct values, ratio over non-null rows; values are counted by the text that stands for them, each column's once."""
+    one = df.agg(F.count("*").alias("_n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    u = value_counts(df, {c: F.hex(F.col(f"`{c}`")) if t == "binary" else F.col(f"`{c}`").cast("string") for c, t in df.dtypes}).groupBy("i").agg(F.count("*").alias("unique"))
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(f"c{i}").alias("count"), (F.col("_n") - F.col(f"c{i}")).alias("nulls")) for i, (c, t) in enumerate(df.dtypes)]
+    x = one.select(F.explode(F.array(*cells)).alias("x")).select("x.*").join(F.broadcast(u), "i", "left").withColumn("unique", F.coalesce("unique", F.lit(0)))  # a row a column
+    return x.select("column", "type", "count", "nulls", "unique", rounded(F.when(F.col("count") > 0, F.col("unique") / F.col("count"))).alias("unique_ratio"))
 
 
 def group_statistics(df: DataFrame, by: str, value: str, limit: int | None = 12) -> DataFrame:
@@ -137,7 +147,7 @@ def lift(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def over_representation(df: DataFrame, by: str, value: str, quantile: float = 0.9) -> DataFrame:
     """Share of each category among rows at or above the quantile over its share among the rest; ratios above 1.25."""
-    cut = df.agg(F.percentile(value, F.lit(quantile)).alias("_cut"))
+    cut = quantile_row(df, numbers([value]), [quantile]).select(F.col("q0")[0].alias("_cut"))
     x = df.where(F.col(by).isNotNull() & F.col(value).isNotNull()).join(F.broadcast(cut)).withColumn("_top", F.col(value) >= F.col("_cut"))  # one row
     g = x.groupBy(F.col(by).alias("group")).agg(F.count_if("_top").alias("top"), F.count_if(~F.col("_top")).alias("rest"))
     t = g.agg(F.sum("top").alias("tt"), F.sum("rest").alias("tr"))
@@ -170,8 +180,10 @@ def quality_score(missing_pct: float, duplicate_pct: float, outlier_pct: float)
 
 def target_thresholds(df: DataFrame, target: str) -> DataFrame:
     c = finite(F.col(target).cast("double"))
-    q = F.percentile(c, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, 0.9, 0.95)]))
-    return df.agg(rounded(F.avg(c)).alias("mean"), rounded(q[1]).alias("median"), rounded(F.stddev_samp(c)).alias("std"), rounded(F.min(c)).alias("min"), rounded(F.max(c)).alias("max"), rounded(q[0]).alias("q25"), rounded(q[2]).alias("q75"), rounded(q[3]).alias("q90"), rounded(q[4]).alias("q95"), rounded(skew_adjusted(c), 4).alias("skewness"), F.count_if(c == 0).alias("zeros"))
+    one = df.agg(rounded(F.avg(c)).alias("mean"), rounded(F.stddev_samp(c)).alias("std"), rounded(F.min(c)).alias("min"), rounded(F.max(c)).alias("max"), rounded(skew_adjusted(c), 4).alias("skewness"), F.count_if(c == 0).alias("zeros"))
+    q = quantile_row(df, numbers([target]), [0.25, 0.5, 0.75, 0.9, 0.95])
+    both = one.join(F.broadcast(q))  # one row each
+    return both.select("mean", rounded(F.col("q0")[1]).alias("median"), "std", "min", "max", *[rounded(F.col("q0")[i]).alias(k) for i, k in ((0, "q25"), (2, "q75"), (3, "q90"), (4, "q95"))], "skewness", "zeros")
 
 
 def shape(skew: Column) -> Column:

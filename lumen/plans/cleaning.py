@@ -208,7 +208,7 @@ def detect_spellings(df, ps, rules) -> list[Evidence]:
 
 def detect_missing_patterns(df, ps, rules) -> list[Evidence]:
     """Columns missing together, and columns missing far more in some category."""
-    gaps = [c for c, p in ps.items() if 0 < p.nulls < p.rows][:24]
+    gaps = [c for c, p in ps.items() if 0 < p.nulls < p.rows]
     pairs = list(combinations(gaps, 2))
     out = []
     if pairs:
@@ -225,7 +225,7 @@ def detect_missing_patterns(df, ps, rules) -> list[Evidence]:
                 for i, g in enumerate(own):
                     if r["n"] >= vocab.MISSING_SUPPORT and abs(r[f"r{i}"] - ps[g].missing) >= vocab.MISSING_GAP:
                         out.append(Evidence("missing_patterns", g, "missing_by_category", int(r["n"] * r[f"r{i}"]), r[f"r{i}"], "medium", {"by": by, "value": r["g"]}))
-    return out[:15]
+    return out
 
 
 def detect_derived(df, ps, rules) -> list[Evidence]:

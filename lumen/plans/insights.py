@@ -44,11 +44,11 @@ def candidates(df: DataFrame, target: str, ps: dict[str, Profile]) -> list[Insig
     nums = [c for c, p in ps.items() if c != target and p.kind == "numeric" and p.sd]
     cats = [c for c, p in ps.items() if c != target and p.kind == "categorical" and 2 <= p.unique <= 50]
     if t.numeric and t.kind == "numeric":
-        for c in nums[:20]:
+        for c in nums:
             r = pairs.spearman(df, c, target).first()
             if r["r"] is not None and abs(r["r"]) >= CORRELATION:
                 out.append(Insight("correlation", c, f"{target} {'rises' if r['r'] > 0 else 'falls'} with {c} (rank correlation {r['r']:.2f})", abs(r["r"]), r["r"], special.correlation_p(r["r"], r["n"]), r["n"]))
-        for c in cats[:20]:
+        for c in cats:
             g = [r for r in summaries.group_statistics(df, c, target, None).collect() if r["count"] >= GROUP and r["mean"] is not None]
             if len(g) >= 2 and g[-1]["mean"]:
                 gap = (g[0]["mean"] - g[-1]["mean"]) / abs(g[-1]["mean"]) * 100
@@ -65,11 +65,11 @@ def candidates(df: DataFrame, target: str, ps: dict[str, Profile]) -> list[Insig
         if s["median"] and abs(s["mean"] - s["median"]) >= 0.2 * abs(s["median"]):
             out.append(Insight("distribution", target, f"the mean of {target} ({s['mean']:.4g}) is far from its median ({s['median']:.4g})", 0.3, 0.3, None, t.count))
     else:
-        for c in cats[:20]:
+        for c in cats:
             x = pairs.chi_square(df, target, c).first()
             if x and x["cramers_v"] is not None and x["cramers_v"] >= CORRELATION:
                 out.append(Insight("group_difference", c, f"{target} depends on {c} (Cramér's V {x['cramers_v']:.2f})", x["cramers_v"], x["cramers_v"], pairs.chi_square_p(x["chi2"], x["rows"], x["columns"]), x["n"]))
-        for c in nums[:20]:
+        for c in nums:
             k = pairs.kruskal(df, target, c).first()
             if k and k["score"] is not None and k["score"] >= 0.02:
                 out.append(Insight("feature_importance", c, f"{c} differs between classes of {target}", min(1.0, k["score"] * 2), k["score"], special.chi2_upper(k["h"], k["k"] - 1), k["n"]))
