@@ -10,14 +10,15 @@ observed label is one more, strong voter.  A linear classifier is trained on
 the posterior labels and scores every text.
 
 Scale: learning takes at most ``SAMPLE`` labelled rows, those of smallest hash;
-their words are counted by Spark, their votes (a few bytes each) go to the
-driver.  Scoring is a narrow pass over whole texts.
+their words are counted by Spark, once for each distinct text, and their votes
+(a few bytes each) go to the driver.  Scoring is a narrow pass over whole texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from lumen.llm.shared import fold, free, prepare
 
-#: Labelled rows that learning takes at most, and words of the induced lexicon.
-SAMPLE, LEXICON = 20_000, 64
+#: Labelled rows that learning takes at most, words of the induced lexicon at most (a bound on the classifier's size), and standard errors by which a word's shares must differ.
+SAMPLE, LEXICON, SURE = 20_000, 512, 6.0
 #: Chance that an observed label is right.
 TRUST = 0.95
 
@@ -53,6 +54,10 @@ class Model:
     correlation: np.ndarray | None = None  # between voters, given the label
     weights: np.ndarray | None = None
 
+    @cached_property
+    def index(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.lexicon)}
+
     @property
     def voters(self) -> list[str]:
         return [w.decode("utf-8", "replace") for w in self.lexicon] + ["several", "addressed", "shouted", "repeated", "none", "long_none"]
@@ -62,7 +67,7 @@ class Model:
         words = words_of(raw)
         distinct = set(words)
         out = np.zeros(len(self.lexicon) + 6)
-        hits = [i for i, w in enumerate(self.lexicon) if w in distinct]
+        hits = sorted(self.index[w] for w in distinct & self.index.keys())
         out[hits] = 1
         n, k = len(self.lexicon), len(hits)
         out[n] = k >= 2
@@ -144,11 +149,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id: str = "doc
     rows = labels.where(F.col(label).isin(0, 1) & F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.col(label).cast("long").alias("_y"), F.xxhash64(id).alias("_h")).orderBy("_h", "_id", "_y").limit(sample)
     texts = docs.select(F.col(id).alias("_doc"), F.col(text).alias("_text"))
     chosen = texts.join(F.broadcast(rows), F.col("_doc") == F.col("_id")).select("_h", "_y", "_text")  # at most ``sample`` rows of three numbers
-    n = {r["_y"]: r["count"] for r in chosen.groupBy("_y").count().collect()}
+    # Copies and most near copies of a text, which share their least 5-word shingle, count once.
+    w = F.split(F.lower("_text"), r"\s+")
+    least = F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - 5, F.lit(0))), lambda i: F.xxhash64(F.slice("_w", i + 1, 5))))
+    once = chosen.withColumn("_w", w).groupBy("_y", least.alias("_copy")).agg(F.min("_text").alias("_text"))
+    n = {r["_y"]: r["count"] for r in once.groupBy("_y").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
-    counts = chosen.select("_y", "_text").mapInArrow(_words, "w binary, y long, n long").groupBy("w").agg(F.sum("y").alias("a"), F.sum("n").alias("n"))
+    counts = once.select("_y", "_text").mapInArrow(_words, "w binary, y long, n long").groupBy("w").agg(F.sum("y").alias("a"), F.sum("n").alias("n"))
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("n") - F.col("a") + 0.5) / (n0 + 1))
-    telling = counts.where((F.col("a") >= 5) & (F.col("a") >= 0.02 * n1)).withColumn("odds", odds).where(F.col("odds") > F.log(F.lit(4.0))).orderBy(F.desc("odds"), "w").limit(LEXICON)
+    share = F.col("n") / max(1, n0 + n1)
+    z = (F.col("a") / max(1, n1) - (F.col("n") - F.col("a")) / max(1, n0)) / F.sqrt(share * (1 - share) * (1 / max(1, n0) + 1 / max(1, n1)))
+    telling = counts.where(F.col("a") >= 5).withColumns({"odds": odds, "z": z}).where((F.col("odds") > F.log(F.lit(4.0))) & (F.col("z") >= SURE)).orderBy(F.desc("z"), "w").limit(LEXICON)
     induced = [bytes(r["w"]) for r in telling.collect()]
     model = Model(induced + [s.encode() for s in SEEDS if s.encode() not in induced])
     lexicon = model.lexicon
