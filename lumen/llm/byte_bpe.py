@@ -34,13 +34,13 @@ from lumen.llm.shared import free, prepare, release
 from lumen.llm.words import ranges, slices
 
 #: Bytes of words that a worker keeps, and what an entry takes besides its texts.
-CACHE, ENTRY = 24 << 20, 350
+CACHE, ENTRY = 48 << 20, 180
 #: Bytes of a word beyond which it is contracted by CONTRACT_LONG, and rows that a recursive query may keep.
 LONG, ROWS = 256, 1_000_000
 #: MB that a worker's database may take, and rows of a long word for which it gets one MB more.
 MEMORY, ROWS_IN_MB = 160, 2000
 #: Bytes of texts handled at once.
-PART = 1 << 20
+PART = 2 << 20
 
 #: Fixed values of the split pattern: the endings that an apostrophe takes with it.
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
@@ -148,7 +148,7 @@ select s.k, t, s.step = {steps} as open from (select k >> 40 as word, max(step)
 """
 # Decoding: each word's ids joined to the vocabulary, and their bytes aggregated in order.
 DECODE = """
-select k >> 40 as word, string_agg(t::varchar, ' ' order by k) as ids, count(*) as n, string_agg(v.hex, '' order by k) as hex
+select k >> 40 as word, string_agg(v.hex, '' order by k) as hex
 from final_tokens join vocabulary v on v.id = t group by 1 order by 1
 """
 
@@ -173,7 +173,9 @@ class Codec:
         self.merges = pa.table({"lr": p[:, 0], "ranked": p[:, 1], "calm": least[made] > made})
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.con = None
-        self.known: dict[bytes, tuple[str, int, bytes]] = {}
+        # Words met of late, and those before them: each word with its ids as text, a tab, and the decoded bytes.
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.held = 0
 
     def open(self) -> None:
@@ -229,22 +231,40 @@ class Codec:
             k, t = k[more], t[more]
         return np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done])
 
-    def encode(self, words: list[bytes]) -> Iterator[tuple[str, int, bytes]]:
-        """Ids as text, their number, and the bytes that the ids decode to, of words that are all whole tokens, all short, or all long."""
+    def encode(self, words: list[bytes]) -> Iterator[tuple[str, bytes]]:
+        """Ids as text, and the bytes that the ids decode to, of words that are all whole tokens, all short, or all long."""
         self.open()
         size = np.array([len(w) for w in words], np.int64)
         if words[0] in self.ranks:
             k, t = np.arange(len(words)) << 40, np.array([self.ranks[w] for w in words], np.int64)
         else:
             k, t = (self.contract_long if size.max() > LONG else self.contract)(words, size)
+            order = np.argsort(k)
+            k, t = k[order], t[order]
         self.con.register("final_tokens", pa.table({"k": k, "t": t}))
-        got = self.con.sql(DECODE).to_arrow_table()
-        yield from zip(got.column("ids").to_pylist(), got.column("n").to_pylist(), map(bytes.fromhex, got.column("hex").to_pylist()))
-
-    def learn(self, words: list[bytes]) -> dict[bytes, tuple[str, int, bytes]]:
-        """What each of these distinct words becomes."""
-        out = {w: x for w in words if (x := self.known.get(w)) is not None}
-        rest = [(0 if w in self.ranks else 1 if len(w) <= LONG else 1 + self.longest(w), w) for w in words if w not in out]
+        decoded = self.con.sql(DECODE).to_arrow_table().column("hex").to_pylist()
+        ids, first = list(map(str, t.tolist())), np.flatnonzero(np.append(True, k[1:] >> 40 != k[:-1] >> 40)).tolist()
+        for a, b, x in zip(first, [*first[1:], len(ids)], decoded):
+            yield " ".join(ids[a:b]), bytes.fromhex(x)
+
+    def keep(self, word: bytes, value: bytes) -> None:
+        """Keep a word; when half of CACHE is full, what was not met since the last time goes."""
+        self.known[word] = value
+        self.held += len(value) + len(word) + ENTRY
+        if 2 * self.held > CACHE:
+            self.known, self.older, self.held = {}, self.known, 0
+
+    def learn(self, words: list[bytes]) -> tuple[list[str], list[bytes]]:
+        """Ids as text and decoded bytes of each of these distinct words."""
+        out: dict[bytes, bytes] = {}
+        rest = []
+        for w in words:
+            if (x := self.known.get(w)) is None and (x := self.older.get(w)) is not None:
+                self.keep(w, x)
+            if x is None:
+                rest.append((0 if w in self.ranks else 1 if len(w) <= LONG else 1 + self.longest(w), w))
+            else:
+                out[w] = x
         rest.sort(key=lambda x: x[0])  # long words by their longest token, as that decides how much a step may take
         i = 0
         while i < len(rest):  # bounded rows in one query
@@ -254,15 +274,13 @@ class Codec:
                 kept += len(rest[j][1]) ** 2 // 2 if kind == 1 else 1
                 j += 1
             group = [w for _, w in rest[i:j]]
-            for w, x in zip(group, self.encode(group), strict=True):
-                out[w] = x
+            for w, (ids, decoded) in zip(group, self.encode(group), strict=True):
+                out[w] = x = ids.encode() + b"\t" + decoded
                 if len(w) <= LONG:
-                    self.known[w] = x
-                    self.held += len(x[0]) + 2 * len(w) + ENTRY
+                    self.keep(w, x)
             i = j
-            if self.held > CACHE:
-                self.known, self.held = {}, 0
-        return out
+        split = [out[w].split(b"\t", 1) for w in words]
+        return [x[0].decode() for x in split], [x[1] for x in split]
 
 
 def codec(path: str) -> Codec:
@@ -285,9 +303,9 @@ def encode_texts(c: Codec, data: np.ndarray, offsets: np.ndarray) -> Iterator[tu
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         code = coded.indices.to_numpy()
-        table = c.learn(distinct)
-        ids, n, decoded = zip(*(table[w] for w in distinct))
-        ids, decoded, n = np.array(ids, object), np.array(decoded, object), np.array(n, np.int64)
+        ids, decoded = c.learn(distinct)
+        n = np.array([x.count(" ") + 1 for x in ids], np.int64)
+        ids, decoded = np.array(ids, object), np.array(decoded, object)
     for i in range(len(offsets) - 1):
         a, b = first[i], first[i + 1]
         if a == b:
