@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,3 +216,27 @@ def parseable_dates(df: DataFrame, column: str) -> DataFrame:
 def ranked(df: DataFrame, by: str, score: str, name: str = "rank") -> DataFrame:
     """Few rows (a row a column or feature) numbered by score descending, then name."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(F.desc_nulls_last(score), by)))
+
+
+def class_distribution(df: DataFrame, target: str, n: int = 10) -> DataFrame:
+    """The n most frequent classes of a categorical target with their shares of its values in percent."""
+    return top_values(df.where(F.col(f"`{target}`").isNotNull()), target, n)
+
+
+def categorical_target(df: DataFrame, target: str, columns: list[str], least: int = 20) -> DataFrame:
+    """feature, method, score, n: how much each feature of at most 20 values, or each number, differs between the target's classes."""
+    from lumen.operators import pairs
+
+    kinds, out = by_type(df), []
+    for c in columns:
+        if c in kinds["numeric"]:
+            x = pairs.kruskal(df, target, c).select(F.lit("kruskal").alias("method"), "score", "n")
+        else:
+            x = pairs.chi_square(df, target, c).select(F.lit("cramers_v").alias("method"), F.col("cramers_v").alias("score"), "n")
+        out.append(x.where(F.col("n") >= least).select(F.lit(c).alias("feature"), "method", "score", "n"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def target_evidence(df: DataFrame, target: str, by: str) -> DataFrame:
+    """One row for each category over-represented at the target's top tenth, beside the target's thresholds."""
+    return over_representation(df, by, target).join(F.broadcast(target_thresholds(df, target).select("mean", "median", "q90", "q95")))  # one row

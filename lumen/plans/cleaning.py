@@ -56,6 +56,34 @@ class Policy:
     content_changes_per_column: int = 1
 
 
+#: Fixed value: rows from which a table's pair searches are bounded unless a strategy is asked for.
+SCALE_ROWS = 100_000
+
+
+@dataclass(frozen=True)
+class Strategy:
+    """How far detection goes; None: without bound."""
+
+    name: str = "standard"
+    detection: bool = True
+    pair_columns: int | None = None
+    correlation_rows: int | None = None
+
+
+def strategy_for(asked: str | Strategy | None, n_rows: int, n_columns: int) -> Strategy:
+    """The strategy asked for; without one, ``standard``, or ``scale_guarded`` for tables of many rows."""
+    if isinstance(asked, Strategy):
+        return asked
+    name = asked or ("scale_guarded" if n_rows >= SCALE_ROWS else "standard")
+    if name == "standard":
+        return Strategy()
+    if name == "structure_only":
+        return Strategy(name, False, 0, 0)
+    if name == "scale_guarded":
+        return Strategy(name, True, max(8, min(24, n_columns)), min(n_rows, 5000))
+    raise ValueError("strategy is standard, structure_only or scale_guarded")
+
+
 @dataclass
 class Rules:
     """What a caller declares of a table."""
@@ -280,6 +308,53 @@ def detect_constraints(df, ps, rules) -> list[Evidence]:
     return [Evidence("constraints", a, "order_violations", r[f"x{i}"], r[f"x{i}"] / max(r["_n"], 1), "high" if r[f"x{i}"] > 0.02 * r["_n"] else "medium", {"not_after": b}) for i, (a, b) in enumerate(pairs) if r[f"x{i}"]]
 
 
+def detect_plausibility(df, ps, rules) -> list[Evidence]:
+    """Ages below 16 together with counts of three or more: rare, not wrong."""
+    ages = [c for c, p in ps.items() if p.numeric and p.semantic != "identifier" and C.named(c, vocab.AGE_NAMES)]
+    counts = [c for c, p in ps.items() if p.numeric and p.semantic != "identifier" and C.named(c, vocab.COUNT_NAMES)]
+    both = [(a, b) for a in ages for b in counts if a != b]
+    r = _one(df, {f"x{i}": F.count_if((F.col(f"`{a}`") < vocab.PLAUSIBLE_AGE) & (F.col(f"`{b}`") >= vocab.PLAUSIBLE_COUNT)) for i, (a, b) in enumerate(both)})
+    return [Evidence("plausibility", a, "age_and_count", r[f"x{i}"], r[f"x{i}"] / max(r["_n"], 1), "low", {"with": b}) for i, (a, b) in enumerate(both) if r[f"x{i}"]]
+
+
+def detect_disconnected(df, ps, rules) -> list[Evidence]:
+    """A score or index that has no rank correlation with any column of its own prefix, while these have some with each other; over the rows that have all of them."""
+    from lumen.operators.importance import spearman_pairs
+
+    tokens = {c: C.segments(c) for c, p in ps.items() if p.numeric and p.kind == "numeric"}
+    out = []
+    for c, words in tokens.items():
+        parts = [x for x, w in tokens.items() if x != c and len(w) >= len(words) and w[: len(words) - 1] == words[:-1]]
+        if len(words) < 2 or words[-1] not in vocab.AGGREGATE_NAMES or len(parts) < 2:
+            continue
+        whole = df.select(*[F.col(f"`{x}`").cast("double").alias(x) for x in [c, *parts]]).dropna()
+        found = spearman_pairs(whole, [c, *parts]).collect()  # a row a pair of the prefix's columns
+        n = found[0]["n"] if found else 0
+        own = [abs(r["r"]) if r["r"] is not None else None for r in found if c in (r["a"], r["b"])]
+        among = [abs(r["r"]) for r in found if c not in (r["a"], r["b"]) and r["r"] is not None]
+        if n >= vocab.SEMANTIC_ROWS and None not in own and among and max(own) < max(vocab.NO_RELATION, 2 / n**0.5) and sum(among) / len(among) >= vocab.MUTUAL:
+            out.append(Evidence("disconnected", c, "unrelated_to_its_parts", n, 1.0, "medium", {"parts": parts, "largest": round(max(own), 4), "mutual": round(sum(among) / len(among), 4)}))
+    return out
+
+
+def detect_bleed(df, ps, rules) -> list[Evidence]:
+    """Field delimiters within text that is otherwise numbers: columns may have shifted. Two in a hundred block; prose with commas is a flag only."""
+    cols = [c for c in _strings(ps) if ps[c].semantic in ("numeric", "categorical", "boolean") and ps[c].count]
+    e = {}
+    for i, c in enumerate(cols):
+        col = F.col(f"`{c}`")
+        hit = col.rlike(r"[,;|\t]")
+        e |= {f"b{i}": F.count_if(hit), f"n{i}": F.count_if(~hit & col.rlike(r"^[+-]?\d+(\.\d+)?$"))}
+    r = _one(df, e)
+    out = []
+    for i, c in enumerate(cols):
+        if k := r[f"b{i}"]:
+            share, rest = k / ps[c].count, ps[c].count - k
+            numbers = ps[c].semantic in ("numeric", "boolean") or rest and r[f"n{i}"] >= 0.90 * rest
+            out.append(Evidence("structure", c, "delimiter_bleed", k, share, "block" if numbers and share >= 0.02 else "low", {"numbers": bool(numbers)}))
+    return out
+
+
 def detect_times(df, ps, rules, now: datetime | None = None) -> list[Evidence]:
     late = (now or datetime.now()) + timedelta(days=1)
     cols = [c for c, p in ps.items() if p.type.startswith(("timestamp", "date"))]
@@ -360,7 +435,7 @@ def detect_structure(df, ps, rules) -> list[Evidence]:
 
 DETECTORS: dict[str, Callable] = {
     "structure": detect_structure, "missing": detect_missing, "duplicates": detect_duplicates, "invalid": detect_invalid, "types": detect_types, "formatting": detect_formatting, "spellings": detect_spellings,
-    "missing_patterns": detect_missing_patterns, "derived": detect_derived, "constraints": detect_constraints, "times": detect_times, "units": detect_units, "repeats": detect_repeats, "outliers": detect_outliers,
+    "missing_patterns": detect_missing_patterns, "derived": detect_derived, "constraints": detect_constraints, "plausibility": detect_plausibility, "disconnected": detect_disconnected, "bleed": detect_bleed, "times": detect_times, "units": detect_units, "repeats": detect_repeats, "outliers": detect_outliers,
 }
 
 
@@ -447,16 +522,119 @@ ACTIONS: dict[str, Callable] = {
     "recompute": _recompute,
     "null_values": lambda df, c, p, order: rows.null_where_in(df, c, p["values"]),
 }
+def null_island(df: DataFrame, latitude: str, longitude: str, values: list[float] | None = None) -> DataFrame:
+    """df with null coordinates where both are zero, or where one is a declared value that stands for none."""
+    a, b = F.col(f"`{latitude}`"), F.col(f"`{longitude}`")
+    gone = F.coalesce((a == 0) & (b == 0), F.lit(False))
+    for v in values or []:
+        gone = gone | F.coalesce((a == v) | (b == v), F.lit(False))
+    return df.withColumns({latitude: F.when(~gone, a), longitude: F.when(~gone, b)})
+
+
+@dataclass(frozen=True)
+class Spec:
+    """What an action may do: change content, annotate, remove rows, or change the schema."""
+
+    kind: str
+    scope: str = "column"
+
+
+SPECS = {
+    **{k: Spec("content") for k in ("fill", "to_number", "to_date", "map_values", "trim", "unescape", "recompute", "null_values")},
+    "drop_column": Spec("schema"), "remove_duplicates": Spec("row_removal", "table"), "flag_outliers": Spec("annotation"),
+}
+
+
 CONTENT = {"fill", "to_number", "to_date", "map_values", "trim", "unescape", "recompute", "null_values"}
 
 
-def register_action(name: str, f: Callable, content: bool = True) -> None:
+def register_action(name: str, f: Callable, content: bool = True, spec: Spec | None = None) -> None:
     """Makes f(df, column, params, order) available to decisions."""
     ACTIONS[name] = f
+    SPECS[name] = spec or Spec("content" if content else "annotation")
     if content:
         CONTENT.add(name)
 
 
+# Expectations: what an action's column should be, written apart from the action: (column, params) -> SQL, or a function from frame to frame.
+
+
+def _text(v: object) -> str:
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _expected_fill(df, c, p, order):
+    number = not isinstance(df.schema[c].dataType, T.StringType)
+    tokens = ", ".join(_text(x) for x in vocab.MISSING_TOKENS)
+    gap = f"`{c}` is null" if number else f"`{c}` is null or trim(regexp_replace(`{c}`, '\\\\s+', ' ')) = '' or lower(trim(regexp_replace(`{c}`, '\\\\s+', ' '))) in ({tokens})"
+    kind = "double" if isinstance(df.schema[c].dataType, T.IntegralType) else df.schema[c].dataType.simpleString()
+    return df.withColumn(c, F.expr(f"cast(if({gap}, {repr(float(p['value'])) + 'D' if number else _text(p['value'])}, `{c}`) as {kind})"))
+
+
+def _expected_map(df, c, p, order):
+    if not p["mapping"]:
+        return df
+    whens = " ".join(f"when {_text(k)} then {_text(v)}" for k, v in p["mapping"].items())
+    return df.withColumn(c, F.expr(f"case `{c}` {whens} else `{c}` end"))
+
+
+def _expected_recompute(df, c, p, order):
+    f = p["formula"]
+    if f["op"] == "string_length":
+        v = f"length(`{f['source']}`)"
+    elif f["op"] == "day_of_week":
+        v = f"weekday(`{f['source']}`) + 1" if f.get("numbers") else f"date_format(`{f['source']}`, 'EEEE')"
+    else:
+        v = (" * " if f["op"] == "product" else " + ").join(f"`{x}`" for x in f["sources"]) + (f" + {f.get('offset', 0)}" if f["op"] == "sum_offset" else "")
+    return df.withColumn(c, F.expr(f"cast(coalesce({v}, `{c}`) as {df.schema[c].dataType.simpleString()})"))
+
+
+EXPECTED: dict[str, Callable] = {
+    "fill": _expected_fill,
+    "map_values": _expected_map,
+    "recompute": _expected_recompute,
+    "trim": lambda df, c, p, order: df.withColumn(c, F.expr(rf"regexp_replace(regexp_replace(`{c}`, '^\\s+|\\s+$', ''), '\\s+', ' ')")),
+    "drop_column": lambda df, c, p, order: df.select(*[F.col(f"`{x}`") for x in df.columns if x != c]),
+    "flag_outliers": lambda df, c, p, order: df.withColumn(f"{c}_OutlierFlag", F.expr(f"cast(if(`{c}` not between {p['lower']!r}D and {p['upper']!r}D, 1, 0) as tinyint)")),
+    "null_values": lambda df, c, p, order: df.withColumn(c, F.when(~F.coalesce(F.col(f"`{c}`").isin(p["values"]), F.lit(False)), F.col(f"`{c}`"))),
+}
+
+
+def register_expectation(name: str, f: Callable) -> None:
+    """Makes f(df, column, params, order), the frame that an action should give, part of validation."""
+    EXPECTED[name] = f
+
+
+def digests(df: DataFrame, order: str) -> dict:
+    """Of each column a digest of its cells with their rows' keys, one pass; equal frames have equal ones whatever the order of rows."""
+    cells = [F.sum(F.xxhash64(F.col(f"`{order}`").cast("string"), F.lit(c), F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string")).cast("decimal(38,0)")).alias(f"d{i}") for i, c in enumerate(df.columns)]
+    r = df.agg(F.count("*").alias("n"), *cells).first()
+    return {"": r["n"]} | {c: r[f"d{i}"] for i, c in enumerate(df.columns)}
+
+
+def unexpected(before: DataFrame, after: DataFrame, d: Decision, order: str) -> list[str]:
+    """Columns of ``after`` that are not what the action's expectation makes of ``before``; without an expectation, columns other than its own that changed."""
+    c = d.evidence.column
+    f = EXPECTED.get(d.action)
+    if f is None and SPECS.get(d.action, Spec("content")).kind == "row_removal":
+        return []
+    want, got = digests(f(before, c, d.params, order) if f else before, order), digests(after, order)
+    free = set() if f else {c, f"{c}_OutlierFlag"}
+    return [f"cells of {x or 'the table'} are not as expected" for x in {**want, **got} if x not in free and want.get(x) != got.get(x)]
+
+
+def ledger(before: DataFrame, after: DataFrame, column: str, order: str, n: int = 100) -> DataFrame:
+    """The first n changed cells of a column by row key: key, before, after."""
+    a = before.select(F.col(f"`{order}`").alias("key"), F.col(f"`{column}`").cast("string").alias("before"))
+    b = after.select(F.col(f"`{order}`").alias("_key"), F.col(f"`{column}`").cast("string").alias("after"))
+    return a.join(b, F.col("key") == F.col("_key")).where(~F.col("before").eqNullSafe(F.col("after"))).select("key", "before", "after").orderBy("key").limit(n)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint, so that plans stay short; df itself where the session names no folder for them."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def state(df: DataFrame) -> dict:
     """Rows and nulls of each column, one pass."""
     r = df.agg(F.count("*").alias("_n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]).first()
@@ -513,12 +691,25 @@ class Result:
 class Cleaner:
     """Runs detectors, decisions and actions over a frame that has a unique ``order`` column."""
 
-    def __init__(self, rules: Rules | None = None, policy: Policy | None = None, detectors: dict[str, Callable] | None = None):
-        self.rules, self.policy, self.detectors = rules or Rules(), policy or Policy(), detectors or DETECTORS
+    def __init__(self, rules: Rules | None = None, policy: Policy | None = None, detectors: dict[str, Callable] | None = None, strategy: str | Strategy | None = "standard"):
+        self.rules, self.policy, self.detectors, self.strategy = rules or Rules(), policy or Policy(), detectors or DETECTORS, strategy
 
     def evidence(self, df: DataFrame) -> tuple[dict[str, Profile], list[Evidence]]:
+        """Profiles and findings; a strategy that bounds pairs leaves the later columns out of their search, and says which."""
         ps = profile(df)
-        return ps, [e for f in self.detectors.values() for e in f(df, ps, self.rules)]
+        n = max((p.rows for p in ps.values()), default=0)
+        s = strategy_for(self.strategy, n, len(ps))
+        found = []
+        for name, f in self.detectors.items():
+            if not s.detection and name not in ("structure", "bleed"):
+                continue
+            use = ps
+            if s.pair_columns is not None and name in ("derived", "missing_patterns"):
+                use = dict(list(ps.items())[: s.pair_columns])
+                if left := [c for c in ps if c not in use]:
+                    found.append(Evidence(name, None, "columns_left_out", len(left), len(left) / len(ps), "low", {"columns": left}))
+            found += f(df, use, self.rules)
+        return ps, found
 
     def run(self, df: DataFrame, order: str) -> Result:
         body = [c for c in df.columns if c != order]
@@ -540,7 +731,7 @@ class Cleaner:
             if d.verdict == "apply" and not self.policy.dry_run and (c is None or c in df.columns):
                 after_df = ACTIONS[d.action](df, c, d.params, order)
                 after = state(after_df)
-                wrong = validate(now, after, d)
+                wrong = validate(now, after, d) + unexpected(df, after_df, d, order)
                 log.append({"action": d.action, "column": c, "count": d.evidence.count, "valid": not wrong, "rows_before": now["rows"], "rows_after": after["rows"]})
                 if wrong:
                     warnings += wrong
@@ -548,8 +739,40 @@ class Cleaner:
                 else:
                     if d.action == "fill" and d.evidence.ratio >= 0.20:
                         warnings.append(f"{c}: a fifth or more of the values are filled in")
-                    df, now = after_df, after
+                    df, now = cut(after_df), after
             decisions.append(d)
         applied = any(d.verdict == "apply" for d in decisions)
         verdict = "CLEANED_WITH_WARNINGS" if warnings else "CLEANED" if applied else "FLAGGED" if decisions else "CLEAN"
         return Result(df, verdict, decisions, chain(log), warnings, first, now)
+
+
+#: Fixed value: names of columns of counts that are whole numbers by nature.
+WHOLE = ["age", "sibsp", "parch", "family_size", "ticket_count", "cabincount"]
+
+
+def optimise_types(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns of whole numbers by name as longs and text that is numbers (98 % or more, none lost) as doubles; and what changed."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    floats = [c for c, t in kinds.items() if isinstance(t, (T.DoubleType, T.FloatType)) and c.lower().replace(" ", "_") in WHOLE]
+    texts = [c for c, t in kinds.items() if isinstance(t, T.StringType)]
+    r = _one(df, {f"f{i}": F.bool_and(C.integer_like(F.col(f"`{c}`"))) for i, c in enumerate(floats)} | {f"t{i}": F.count(f"`{c}`") for i, c in enumerate(texts)} | {f"n{i}": F.count(C.to_number(F.col(f"`{c}`"))) for i, c in enumerate(texts)})
+    to = {c: "bigint" for i, c in enumerate(floats) if r[f"f{i}"]} | {c: "double" for i, c in enumerate(texts) if r[f"t{i}"] and r[f"n{i}"] == r[f"t{i}"]}
+    return df.withColumns({c: C.to_number(F.col(f"`{c}`")) if k == "double" else F.col(f"`{c}`").cast(k) for c, k in to.items()}) if to else df, to
+
+
+@dataclass
+class Cleaned:
+    df: DataFrame
+    result: Result
+    types: dict[str, str]
+    report: dict
+
+
+def clean_table(df: DataFrame, order: str, rules: Rules | None = None, impute: bool = True, outlier_flags: bool = True, types: bool = True, threshold: float = 1.5, strategy: str | None = None) -> Cleaned:
+    """Cleaning as one call: detection, decisions and validated actions, then narrower types, and a report of plain values."""
+    policy = Policy(impute=impute, outlier_flags=outlier_flags, threshold=threshold)
+    r = Cleaner(rules, policy, strategy=strategy).run(df, order)
+    out, to = optimise_types(r.df) if types and r.assessment != "BLOCKED" else (r.df, {})
+    applied = [{"action": d.action, "column": d.evidence.column, "count": d.evidence.count, "reason": d.reason} for d in r.decisions if d.verdict == "apply"]
+    flagged = [{"problem": d.evidence.problem, "column": d.evidence.column, "count": d.evidence.count} for d in r.decisions if d.verdict == "flag"]
+    return Cleaned(out, r, to, {"assessment": r.assessment, "rows": (r.before["rows"], r.after["rows"]), "applied": applied, "flagged": flagged, "types": to, "warnings": r.warnings})

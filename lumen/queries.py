@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumen import vocab
 from lumen.functions import columns as C
-from lumen.operators import charts, outliers, pairs, rows, select, summaries
+from lumen.operators import charts, importance, lookups, outliers, pairs, rows, select, summaries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -507,7 +507,19 @@ def _(spark, d):
     return pairs.contingency(t(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
 
 
-@query("biv13_target_associations")
+_ASSOC = "with x as (select toxic::varchar as g, quality as q, n_chars as v, rank() over (order by quality) + (count(*) over (partition by quality) - 1) / 2.0 as rq, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2.0 as rv, lang from documents join labels using (doc_id))"
+
+
+def _kruskal_sql(rank: str, value: str) -> str:
+    return f"(select round((12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (n ** 3 - n)) , 4) as h, n from (select sum(n)::double as n, sum(s * s / n) as s from (select g, count(*) as n, sum({rank}) as s from x group by 1)), (select sum(n::double ** 3 - n) as t from (select count(*) as n from x group by {value})))"
+
+
+@query(
+    "biv13_target_associations",
+    _ASSOC + ", c as (select g, lang, count(*) as n from x group by 1, 2), e as (select coalesce(c.n, 0) as n, ra * rb / (select sum(n) from c) as e, (select count(distinct g) from c) as r, (select count(distinct lang) from c) as k from (select g, sum(n) as ra from c group by 1) cross join (select lang, sum(n) as rb from c group by 1) left join c using (g, lang)), v as (select round(sqrt(round(sum((n - e) ** 2 / e), 20) / (sum(n) * (least(max(r), max(k)) - 1))), 6) as score from e),"
+    + f" s as (select 'quality' as feature, 'kruskal' as method, round((select (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (n ** 3 - n)) / (n - 1) from {_kruskal_sql('rq', 'q').replace('round((12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (n ** 3 - n)) , 4) as h, n', '*')}), 6) as score union all select 'n_chars', 'kruskal', round((select (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (n ** 3 - n)) / (n - 1) from {_kruskal_sql('rv', 'v').replace('round((12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (n ** 3 - n)) , 4) as h, n', '*')}), 6) union all select 'lang', 'cramers_v', score from v)"
+    + " select feature, method, score, row_number() over (order by score desc nulls last, feature)::int as rank from s",
+)
 def _(spark, d):
     x = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id").select("quality", "toxic", "lang", "n_chars")
     return pairs.target_associations(x.withColumn("toxic", F.col("toxic").cast("string")), "toxic", ["quality", "lang", "n_chars"])
@@ -777,3 +789,276 @@ def _(spark, d):
 
     x = windowed_counts(t(spark, d, "events"), "ts", "event_type", "value")
     return x.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("mean", C.rounded(F.col("mean")))
+
+
+# Lookups.
+
+
+@query("sel14_column_stats", "with s as (select count(*)::double as rows, count(value)::double as count, (count(*) - count(value))::double as nulls, 100.0 * (count(*) - count(value)) / count(*) as null_pct, count(distinct value)::double as \"unique\", min(value) as min, max(value) as max, avg(value) as mean, stddev_samp(value) as std, count(*) filter (where value = 0)::double as zeros, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.5) as median, quantile_cont(value, 0.75) as q3 from events) select measure, round(value, 4) as value from (unpivot s on columns(*) into name measure value value)")
+def _(spark, d):
+    return lookups.column_stats(t(spark, d, "events"), "value")
+
+
+@query("sel14_column_stats_text", "with s as (select count(*)::double as rows, count(text)::double as count, (count(*) - count(text))::double as nulls, 100.0 * (count(*) - count(text)) / count(*) as null_pct, count(distinct text)::double as \"unique\", min(length(text))::double as min_length, max(length(text))::double as max_length, avg(length(text)) as mean_length from documents) select measure, round(value, 4) as value from (unpivot s on columns(*) into name measure value value)")
+def _(spark, d):
+    return lookups.column_stats(t(spark, d, "documents"), "text")
+
+
+@query("sel14_top_coverage", "with n as (select o_orderpriority as value, count(*) as count, round(100.0 * count(*) / (select count(*) from orders), 2) as percentage from orders group by 1) select *, round(sum(percentage) over (order by count desc, value rows unbounded preceding), 2) as coverage from n order by count desc, value limit 10")
+def _(spark, d):
+    return lookups.top_coverage(t(spark, d, "orders"), "o_orderpriority")
+
+
+@query("sel15_records", "select json_object('n_nationkey', n_nationkey, 'n_name', n_name, 'n_regionkey', n_regionkey)::varchar as record from nation order by n_nationkey limit 20")
+def _(spark, d):
+    return lookups.records(t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey")
+
+
+@query("sel16_size_estimate", "select count(*) as rows, (count(*) * 16 + sum(strlen(o_orderpriority) + strlen(o_orderstatus)))::bigint as bytes from orders")
+def _(spark, d):
+    return lookups.size_estimate(t(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("k"), "o_totalprice", "o_orderpriority", "o_orderstatus"))
+
+
+@query("sel21_overview", "with d as (" + DIRTY_ORDERS + ") select count(*) || ' rows, 3 columns (o_orderkey, price, status); missing: price: ' || (count(*) - count(price)) || ', status: ' || (count(*) - count(status)) as answer from d")
+def _(spark, d):
+    return lookups.overview(dirty(spark, d, DIRTY_ORDERS).select("o_orderkey", "price", "status"))
+
+
+@query("agg20_token_budget", "with e as (select (500 + 50 * 3 + 100 * 2 + sum(length(n_nationkey::varchar) + length(n_name) + length(n_regionkey::varchar)) / 40 + least(count(distinct n_name), 20) * 10)::double as x from nation) select floor(x)::bigint as estimated, floor(x) <= 1000 as within, round(greatest(0, floor(x) - 1000) * 100.0 / 1000, 2) as overflow_pct from e")
+def _(spark, d):
+    return lookups.token_budget(t(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), 1000)
+
+
+@query("win12_samples_by", "with x as (select o_orderstatus, o_orderkey, row_number() over (partition by o_orderstatus order by o_orderkey) as r, count(*) over (partition by o_orderstatus) as c from orders) select o_orderstatus, c as count, len(list(o_orderkey))::int as shown, min(o_orderkey) as first, max(o_orderkey) as last from x where r <= 100 group by 1, 2")
+def _(spark, d):
+    x = lookups.samples_by(t(spark, d, "orders"), "o_orderstatus", "o_orderkey")
+    return x.select("o_orderstatus", "count", F.size("rows").alias("shown"), F.array_min("rows").alias("first"), F.array_max("rows").alias("last"))
+
+
+@query("str13_is_url", "select count(url) as count, count(*) filter (where regexp_matches(url, '^https?://')) as urls, count(*) filter (where regexp_matches(url, '^https?://')) > 0.5 * count(url) as is_url from pages")
+def _(spark, d):
+    return lookups.is_url_column(t(spark, d, "pages"), "url")
+
+
+@query("sta13_boolean_like", "select count(*) as count, count(*) as booleans, true as is_boolean from orders")
+def _(spark, d):
+    return lookups.is_boolean_like(t(spark, d, "orders").select((F.col("o_orderkey") % 2 == 0).cast("string").alias("x")), "x")
+
+
+# Importance.
+
+_LINE_RANKS = "with r as (select " + ", ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c}) - 1) / 2.0 as {c}" for c in _LINE) + " from lineitem)"
+
+
+@query("biv15_correlation_table", _LINE_RANKS + ", c as (" + " union all ".join(f"select '{a}' as a, '{b}' as b, round(round(corr({a}, {b}), 6), 3) as r, count(*) as n from r" for i, a in enumerate(_LINE) for b in _LINE[i + 1 :]) + ") select a, b, r, n, case when abs(r) >= 0.7 then 'strong' when abs(r) >= 0.3 then 'moderate' else 'weak' end as strength, case when r > 0 then 'positive' when r < 0 then 'negative' else 'none' end as direction from c")
+def _(spark, d):
+    return importance.correlation_table(t(spark, d, "lineitem"), _LINE)
+
+
+@query("biv16_target_correlations", _LINE_RANKS + " " + " union all ".join(f"select '{c}' as feature, round(round(corr({c}, l_extendedprice), 6), 3) as r, count(*) as n from r" for c in _LINE if c != "l_extendedprice"))
+def _(spark, d):
+    return importance.target_correlations(t(spark, d, "lineitem").select(*_LINE), "l_extendedprice")
+
+
+@query("biv17_importance_proxy", _LINE_RANKS + " " + " union all ".join(f"select '{c}' as feature, abs(round(round(corr({c}, l_extendedprice), 6), 3)) as importance from r" for c in _LINE if c != "l_extendedprice"))
+def _(spark, d):
+    return importance.importance_proxy(t(spark, d, "lineitem").select(*_LINE), "l_extendedprice")
+
+
+@query("biv18_numeric_importance", _LINE_RANKS + " " + " union all ".join(f"select '{c}' as feature, abs(round(round(corr({c}, l_extendedprice), 6), 3)) as importance, 'numeric' as type from r" for c in _LINE if c not in ("l_extendedprice", "l_tax")))
+def _(spark, d):
+    x = t(spark, d, "lineitem").select(*_LINE).withColumn("l_tax", F.when(F.xxhash64("l_extendedprice", "l_quantity") % 2 == 0, F.col("l_tax")))  # half of a column is missing
+    return importance.numeric_importance(x, "l_extendedprice")
+
+
+@query("biv19_categorical_importance", f"with s as ({_STAR}), " + ", ".join(f"g{i} as (select {c}, count(*) as n, avg(o_totalprice) as m, var_samp(o_totalprice) as v from s group by 1), f{i} as (select '{c.replace('r_name', 'region')}' as feature, (sum(n * (m - (select avg(o_totalprice) from s)) ** 2) / (count(*) - 1)) / (sum((n - 1) * v) / (sum(n) - count(*))) as f, sum(n) - count(*) as d from g{i})" for i, c in enumerate(("o_orderstatus", "c_mktsegment", "r_name"))) + " select * from (" + " union all ".join(f"select feature, round(round(f / (f + d), 6), 3) as importance, 'anova' as method from f{i}" for i in range(3)) + ") where importance > 0")
+def _(spark, d):
+    return importance.categorical_importance(star(spark, d).select("o_totalprice", "o_orderstatus", "c_mktsegment", F.col("r_name").alias("region")), "o_totalprice")
+
+
+@query("biv20_mutual_information", "with q as (select " + ", ".join(f"quantile_cont({c}, {p}) as {c}_{i}" for c in ("l_quantity", "l_extendedprice") for i, p in enumerate((0.25, 0.5, 0.75))) + " from lineitem), x as (select " + ", ".join(f"({c} > {c}_0)::int + ({c} > {c}_1)::int + ({c} > {c}_2)::int as {n}" for c, n in (("l_quantity", "x"), ("l_extendedprice", "y"))) + " from lineitem, q), n as (select x, y, count(*) as n from x group by 1, 2) select round(sum(n / (select sum(n) from n) * log2(n * (select sum(n) from n) / (nx * ny))), 6) as bits from (select *, sum(n) over (partition by x) as nx, sum(n) over (partition by y) as ny from n)")
+def _(spark, d):
+    return importance.mutual_information(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+@query("biv20_ensemble_importance")
+def _(spark, d):
+    return importance.ensemble_importance(t(spark, d, "lineitem").select(*_LINE), "l_extendedprice")
+
+
+@query("out07_target_severity", _OUT + ", o as (select count(*) filter (where value < lower or value > upper) as n, count(*) as t from events, g) select n as outliers, round(100.0 * n / t, 4) as percentage, case when 100.0 * n / t > 15 then 'high' when 100.0 * n / t > 5 then 'moderate' else 'low' end as severity from o")
+def _(spark, d):
+    return outliers.target_severity(t(spark, d, "events"), "value")
+
+
+@query("agg07_class_distribution", "select c_mktsegment as value, count(*) as count, round(100.0 * count(*) / (select count(*) from customer), 2) as percentage from customer group by 1 order by 2 desc, 1 limit 10")
+def _(spark, d):
+    return summaries.class_distribution(t(spark, d, "customer"), "c_mktsegment")
+
+
+@query("agg35_target_evidence", SQL["agg13_over_representation"].replace("select g as", "select x.*, e.* from (select g as", 1) + ") x, (select round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as median, round(quantile_cont(value, 0.9), 6) as q90, round(quantile_cont(value, 0.95), 6) as q95 from events) e")
+def _(spark, d):
+    e = t(spark, d, "events").withColumn("g", F.concat_ws("-", "event_type", (F.col("user_id") % 7).cast("string")))
+    return summaries.target_evidence(e, "value", "g")
+
+
+# Charts of a plan.
+
+
+@query("cht01_plan")
+def _(spark, d):
+    from lumen.plans import charts as plans
+
+    x = star(spark, d).select("o_totalprice", "o_orderstatus", "c_mktsegment", "r_name").withColumn("half", F.col("o_totalprice") / 2)
+    return spark.createDataFrame([(c.kind, c.x, c.y, c.of, not plans.problems(x, c)) for c in plans.plan(x, "o_totalprice")], "kind string, x string, y string, of string, valid boolean")
+
+
+@query("cht03_missing_rates", "with d as (" + DIRTY_ORDERS + ") select status as x, round(100.0 * (count(*) - count(price)) / count(*), 2) as y from d where status is not null group by 1")
+def _(spark, d):
+    from lumen.plans import charts as plans
+
+    return plans.draw(dirty(spark, d, DIRTY_ORDERS), plans.Chart("bar", "status", "price", of="missing"))
+
+
+@query("cht08_heatmap", " union all ".join(f"select '{a}' as x, '{b}' as y, " + (f"round(corr({a}, {b}), 6)" if a != b else "1.0::double") + " as r" + (" from lineitem" if a != b else "") for a in _LINE for b in _LINE))
+def _(spark, d):
+    from lumen.plans import charts as plans
+
+    return plans.heatmap(t(spark, d, "lineitem"), _LINE)
+
+
+_BOX = "with s as ({src}), q as (select g, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as m, quantile_cont(v, 0.75) as q3 from s group by 1), x as (select q.*, v, v between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) as ok from s join q using (g)) select g as \"group\", round(q1, 6) as q1, round(m, 6) as median, round(q3, 6) as q3, round(min(v) filter (where ok), 6) as whisker_low, round(max(v) filter (where ok), 6) as whisker_high, count(*) filter (where not ok) as outliers, count(*) as n from x group by g, q1, m, q3"
+
+
+@query("cht11_text_length_box", _BOX.format(src="select quality as g, length(text)::double as v from documents join labels using (doc_id) where text is not null and quality is not null"))
+def _(spark, d):
+    from lumen.plans import charts as plans
+
+    return plans.draw(t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id"), plans.Chart("box", "quality", "text", of="text"))
+
+
+@query("cht12_fallback_line", "select date_trunc('day', o_orderdate)::timestamp as x, round(avg(o_totalprice), 4) as y from orders group by 1")
+def _(spark, d):
+    from lumen.plans import charts as plans
+
+    x = t(spark, d, "orders").select("o_orderdate", "o_totalprice", "o_orderstatus")
+    return plans.data(x, plans.fallback(x)[0]).withColumn("x", F.col("x").cast("timestamp_ntz"))
+
+
+@query("cht13_draw_pie", "select o_orderstatus as x, round(sum(o_totalprice), 2) as y from orders group by 1")
+def _(spark, d):
+    from lumen.plans import charts as plans
+
+    return plans.draw(t(spark, d, "orders"), plans.Chart("pie", "o_orderstatus", "o_totalprice"))
+
+
+@query("cht15_missing_share", "with d as (" + DIRTY_ORDERS + ") select round(count(distinct priority) / count(priority), 6) as ratio, round((count(*) - count(priority)) / count(*), 6) as missing from d")
+def _(spark, d):
+    from lumen.plans import charts as plans
+
+    return plans.missing_share(dirty(spark, d, DIRTY_ORDERS), "priority")
+
+
+@query("cht16_text_lengths", "select doc_id, length(text)::int as text_length from documents")
+def _(spark, d):
+    from lumen.plans import charts as plans
+
+    return plans.text_lengths(t(spark, d, "documents"), "text").select("doc_id", "text_length")
+
+
+# Insights' numbers.
+
+_HALVES = "with m as (select quantile_cont(l_quantity, 0.5) as a, quantile_cont(l_discount, 0.5) as b from lineitem), x as (select (l_quantity >= a)::int as l_quantity_high, (l_discount >= b)::int as l_discount_high, l_extendedprice as v from lineitem, m)"
+
+
+@query("ins09_interaction_groups", _HALVES + " select l_quantity_high, l_discount_high, count(*) as n, round(avg(v), 6) as mean, round(var_samp(v), 4) as variance from x group by 1, 2")
+def _(spark, d):
+    from lumen.plans import insights
+
+    return insights.interaction_groups(t(spark, d, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")
+
+
+@query("ins17_interaction_test", _HALVES + ", g as (select count(*) as n, avg(v) as m, var_samp(v) as s from x group by l_quantity_high, l_discount_high having count(*) >= 5), u as (select count(*) as k, sum(n)::bigint as n, sum(n * m) / sum(n) as mean, sum((n - 1) * s) as w from g), b as (select sum(g.n * (m - mean) ** 2) as b from g, u) select k, n, round((b / (k - 1)) / (w / (n - k)), 4) as f, round(((b / (k - 1)) / (w / (n - k))) / ((b / (k - 1)) / (w / (n - k)) + n - k), 6) as score, round(b / (b + w), 6) as eta_squared from u, b")
+def _(spark, d):
+    from lumen.plans import insights
+
+    return insights.interaction_test(t(spark, d, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")
+
+
+_QUARTILES = "with q as (select quantile_cont(l_quantity, 0.25) as a, quantile_cont(l_quantity, 0.5) as b, quantile_cont(l_quantity, 0.75) as c from lineitem), x as (select (l_quantity > a)::int + (l_quantity > b)::int + (l_quantity > c)::int as bin, l_quantity as x, l_extendedprice as v from lineitem, q), g as (select bin, count(*) as n, round(min(x)::double, 6) as low, round(max(x)::double, 6) as high, round(avg(v), 6) as mean from x group by 1)"
+
+
+@query("ins10_quartile_means", _QUARTILES + " select * from g")
+def _(spark, d):
+    from lumen.plans import insights
+
+    return insights.quartile_means(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+@query("ins19_quartile_gap", _QUARTILES + " select arg_max(bin, mean) as best_bin, arg_min(bin, mean) as worst_bin, max(mean) as best, min(mean) as worst, sum(n)::bigint as n, round((max(mean) - min(mean)) / abs(min(mean)) * 100, 4) as gap_pct from g")
+def _(spark, d):
+    from lumen.plans import insights
+
+    return insights.quartile_gap(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+@query("ins16_risk_shares", "with c as (select quantile_cont(value, 0.75) as cut from events), x as (select event_type || '-' || (user_id % 11) as category, value > cut as risk from events, c where value is not null), g as (select category, count(*) filter (where risk) as risky, count(*) filter (where not risk) as others from x group by 1), s as (select *, risky / sum(risky) over () as a, others / sum(others) over () as b from g) select category, risky, others, round(100 * a, 2) as risk_pct, round(100 * b, 2) as other_pct, round(a / b, 4) as lift from s where a > 1.1 * b and risky >= 3")
+def _(spark, d):
+    from lumen.plans import insights
+
+    e = t(spark, d, "events").withColumn("g", F.concat_ws("-", "event_type", (F.col("user_id") % 11).cast("string")))
+    return insights.risk_shares(e, "g", "value")
+
+
+@query("ins24_triggers", "with d as (" + DIRTY_ORDERS + ") select 'correlated' as kind, 'price x amount' as \"column\", round(corr(price, amount), 6) as value from d where price is not null having abs(corr(price, amount)) >= 0.4 union all select 'missing', 'price', round(100.0 * (count(*) - count(price)) / count(*), 2) from d union all select 'skewed', 'amount', round(skewness(amount), 4) from d having abs(skewness(amount)) > 1 union all select 'skewed', 'price', round(skewness(price), 4) from d having abs(skewness(price)) > 1")
+def _(spark, d):
+    from lumen.plans import insights
+
+    return insights.triggers(dirty(spark, d, DIRTY_ORDERS).select("price", "amount"))
+
+
+# Further detectors and actions.
+
+
+@query("det18_plausibility", "with d as (" + DIRTY_LINES + "), y as (select l_quantity % 40 as age, l_linenumber as item_count from d) select 'age' as \"column\", 'age_and_count' as problem, count(*) filter (where age < 16 and item_count >= 3) as n, round(count(*) filter (where age < 16 and item_count >= 3) / count(*), 6) as ratio from y")
+def _(spark, d):
+    from lumen.plans import cleaning, profile
+
+    x = dirty(spark, d, DIRTY_LINES).select((F.col("l_quantity") % 40).alias("age"), F.col("l_linenumber").alias("item_count"))
+    found = cleaning.detect_plausibility(x, profile.profile(x), cleaning.Rules())
+    return spark.createDataFrame([(e.column, e.problem, int(e.count), round(float(e.ratio), 6)) for e in found], "column string, problem string, n long, ratio double")
+
+
+@query("cln05_delimiter_bleed", "with d as (select case when o_orderkey % 41 = 0 then o_custkey || ',' || o_orderkey else o_custkey::varchar end as amount from orders) select 'amount' as \"column\", 'delimiter_bleed' as problem, count(*) filter (where contains(amount, ',')) as n, round(count(*) filter (where contains(amount, ',')) / count(*), 6) as ratio from d")
+def _(spark, d):
+    from lumen.plans import cleaning, profile
+
+    o = t(spark, d, "orders")
+    x = o.select(F.when(F.col("o_orderkey") % 41 == 0, F.concat_ws(",", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"))).otherwise(F.col("o_custkey").cast("string")).alias("amount"))
+    found = cleaning.detect_bleed(x, profile.profile(x), cleaning.Rules())
+    return spark.createDataFrame([(e.column, e.problem, int(e.count), round(float(e.ratio), 6)) for e in found], "column string, problem string, n long, ratio double")
+
+
+@query("act10_null_island", "with d as (select event_id, case when event_id % 3 = 0 then 0 when event_id % 5 = 0 then -999 else value end as lat, case when event_id % 3 = 0 then 0 else value + 1 end as lon from events) select event_id, case when not (lat = 0 and lon = 0 or lat = -999 or lon = -999) then lat end as lat, case when not (lat = 0 and lon = 0 or lat = -999 or lon = -999) then lon end as lon from d")
+def _(spark, d):
+    from lumen.plans import cleaning
+
+    k, v = F.col("event_id"), F.col("value")
+    x = t(spark, d, "events").select("event_id", F.when(k % 3 == 0, 0.0).when(k % 5 == 0, -999.0).otherwise(v).alias("lat"), F.when(k % 3 == 0, 0.0).otherwise(v + 1).alias("lon"))
+    return cleaning.null_island(x, "lat", "lon", [-999.0])
+
+
+@query("act11_ledger", "with d as (" + DIRTY_ORDERS + "), x as (select o_orderkey as key, priority as before, upper(trim(priority)) as after from d) select * from x where before is distinct from after order by key limit 100")
+def _(spark, d):
+    from lumen.plans import cleaning
+
+    x = dirty(spark, d, DIRTY_ORDERS).select("o_orderkey", "priority")
+    return cleaning.ledger(x, x.withColumn("priority", F.upper(F.trim("priority"))), "priority", "o_orderkey")
+
+
+@query("clt03_optimise_types", "select o_orderkey, o_custkey::double as custkey, (o_orderkey % 90)::bigint as age from orders")
+def _(spark, d):
+    from lumen.plans import cleaning
+
+    x = t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("custkey"), (F.col("o_orderkey") % 90).cast("double").alias("age"))
+    return cleaning.optimise_types(x)[0]

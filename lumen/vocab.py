@@ -42,6 +42,8 @@ CO_MISSING_LIFT, MISSING_SUPPORT, MISSING_GAP = 3.0, 10, 0.30
 UNIT_GAP, UNIT_SHARE, UNIT_LEAST = 2.0, 0.15, 8
 SEPARATOR_DOMINANCE = 0.80
 AGE_RANGE = (0, 130)
+PLAUSIBLE_AGE, PLAUSIBLE_COUNT = 16, 3
+SEMANTIC_ROWS, NO_RELATION, MUTUAL = 15, 0.05, 0.20
 
 # Statistics.
 OUTLIER_LEAST, OUTLIER_HIGH, OUTLIER_MEDIUM = 8, 10.0, 1.0
