@@ -9,8 +9,9 @@ have it.  The boundary minimises the cost of the two, from the sizes of all
 sets.  Sets that meet in any list form families; within a family the exact join
 scans inverted lists of shingles, rarest first.
 
-Scale and skew: lists yield one edge per member (to the list's smallest, found
-by aggregation and joined back, so that a hot list is split), never pairs.
+Scale and skew: lists yield one edge per member, never pairs.  They are dealt by
+ranges of list and member, so that a hot list is split; a range links its members
+to their smallest, and the smallest of a list's ranges are linked in turn.
 Classes take exact copies out before anything is compared.  Families of up to
 ``BLOCK`` classes and ``BYTES`` bytes are joined whole in one task.  Of larger
 ones, the edges to the lists' smallest are verified first: a list whose members
@@ -37,7 +38,7 @@ from lumen.llm.shared import prepare, release, shared_dir, stage
 from lumen.llm.words import LOWER, U, Words, inside, mix, ranges, slices, window_hashes
 
 #: Classes, and bytes of their sets, of one block of a family; a task joins two blocks at most.
-BLOCK, BYTES = 4096, 16 << 20
+BLOCK, BYTES = 4096, 32 << 20
 #: Sizes from which subsets are never enumerated.
 MOST_LIGHT = 40
 #: Levels of parts; a set that has an empty part on one is cut anew on the next.
@@ -196,7 +197,7 @@ def _index(k: int, num: int, den: int, light: int):
 
 
 def _sets(k: int):
-    """Sets of the documents that represent a class: rows (rep, family, items) from (doc_id, text, d1, family)."""
+    """Sets of the documents that represent a class: rows (rep, family, stars, items) from (doc_id, text, d1, family, stars)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +206,7 @@ def _sets(k: int):
                 d = digests(items, at)
                 ok = pa.array(d[:, 0].view(np.int64) == part.column(2).to_numpy())
                 blob = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 8), pa.py_buffer(items.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), blob], ["rep", "family", "items"]).filter(ok)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), part.column(4), blob], ["rep", "family", "stars", "items"]).filter(ok)
 
     return f
 
@@ -301,17 +302,47 @@ def _families(edges: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("rep"), F.col("root").alias("family")).union(found.select(F.col("root").alias("rep"), F.col("root").alias("family")).distinct())
 
 
+def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, rep) sorted by both: each member with the smallest of its list here (b), and the smallest of the first and the last list, which may go on elsewhere (a null)."""
+    key = least = None
+    begun = False
+
+    def out(k, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["key", "a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, r = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = np.append(key is None or k[0] != key, k[1:] != k[:-1])
+        start = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+        low = np.where(start >= 0, r[start], least if least is not None else 0)
+        if not begun:
+            yield out(k[:1], [None], r[:1])
+            begun = True
+        x = r != low
+        yield out(k[x], r[x], low[x])
+        key, least = k[-1], low[-1]
+    if begun:
+        yield out([key], [None], [least])
+
+
 def _stars(lists: DataFrame) -> DataFrame:
-    """``a, b``: each member of a list (rep, key) with the list's smallest."""
-    least = lists.groupBy("key").agg(F.min("rep").alias("b"), F.max("rep").alias("_most")).where("b < _most").select(F.col("key").alias("_key"), "b")
-    return lists.join(least, F.col("key") == F.col("_key")).where("rep <> b").select(F.col("rep").alias("a"), "b")
+    """Distinct ``a, b`` that connect the members of each list (key, rep)."""
+    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = lists.select("key", "rep").repartitionByRange(parts, "key", "rep").sortWithinPartitions("key", "rep").mapInArrow(_star, "key long, a long, b long")
+    near = stage(near, "stars")
+    ends = near.where("a is null").select("key", "b").distinct()  # two a range at most
+    least = ends.groupBy("key").agg(F.min("b").alias("m"))
+    across = ends.join(least, "key").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return near.where("a is not null").select("a", "b").union(across).distinct()
 
 
-def _verified(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs of stars whose sets, both among sets, link."""
-    one = stars.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("_x")), "a")
-    both_ = one.join(sets.select(F.col("rep").alias("b"), F.col("items").alias("_y")), "b").select("a", "b", "_x", "_y")
-    return both_.mapInArrow(_verify(num, den), "a long, b long")
+def _verified(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of sets (rep, stars, items) and those that their stars name that link."""
+    one = sets.select(F.col("rep").alias("a"), F.explode("stars").alias("b"), F.col("items").alias("x"))
+    both = one.join(sets.select(F.col("rep").alias("_b"), F.col("items").alias("y")), F.col("b") == F.col("_b")).select("a", "b", "x", "y")
+    return both.mapInArrow(_verify(num, den), "a long, b long")
 
 
 def _join_blocks(sets: DataFrame, sizes: DataFrame, num: int, den: int, block: int) -> DataFrame:
@@ -344,32 +375,33 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
     full = members.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = full.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     lists = classes.select("rep", F.explode("keys").alias("key"))
-    stars = stage(_stars(lists).distinct(), "stars", root)
+    stars = stage(_stars(lists), "edges", root)
     families = stage(_families(stars), "families", root)
 
-    reps = families.join(full.select("doc_id", "n", "d1"), F.col("rep") == F.col("doc_id")).select("rep", "family", "n", "d1").distinct()
-    reps = stage(reps, "reps", root)
+    reps = stage(families.join(full.select("doc_id", "n", "d1"), F.col("rep") == F.col("doc_id")).select("rep", "family", "n", "d1").distinct(), "reps", root)
     big = reps.groupBy("family").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where((F.col("c") > block) | (F.col("s") * 8 > BYTES))
     big = stage(big.select(F.col("family").alias("_f")), "big", root)
-    own = src.join(reps, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "d1", "family")
-    sets = own.mapInArrow(_sets(k), "rep long, family long, items binary")
+    is_big, schema = F.col("family") == F.col("_f"), "rep long, family long, stars array<long>, items binary"
+
+    def sets_of_reps(some: DataFrame) -> DataFrame:
+        return src.join(some, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "d1", "family", "stars").mapInArrow(_sets(k), schema)
+
+    small = reps.join(big, is_big, "left_anti")
+    whole = _join_blocks(sets_of_reps(small.withColumn("stars", F.lit(None).cast("array<long>"))), small, num, den, block)
     if big.isEmpty():  # each family is joined whole
-        joined = stage(_join_blocks(sets, reps, num, den, block), "joined", root)
-        roots = joined.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        roots = stage(whole, "joined", root).select(F.col("a").alias("node"), F.col("b").alias("root"))
     else:
-        sets = stage(sets, "sets", root)
-        is_big = F.col("family") == F.col("_f")
-        whole = _join_blocks(sets.join(big, is_big, "left_anti"), reps.join(big, is_big, "left_anti"), num, den, block)
-        large = sets.join(big, is_big, "left_semi")
-        links = stage(_verified(stars, large, num, den).union(whole), "links", root)
+        large = reps.join(big, is_big, "left_semi")
+        spokes = stars.groupBy("a").agg(F.collect_set("b").alias("stars"))
+        large_sets = stage(sets_of_reps(large.join(spokes, F.col("rep") == F.col("a"), "left").select("rep", "family", "d1", "stars")), "sets", root)
+        links = stage(_verified(large_sets, num, den).union(whole), "links", root)
         # Lists of large families whose members are not yet connected.
         near = components(links).select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        theirs = lists.join(large.select(F.col("rep").alias("_rep")), F.col("rep") == F.col("_rep"), "left_semi").join(near, F.col("rep") == F.col("_n"), "left")
-        theirs = stage(theirs.select("rep", "key", F.coalesce("_r", "rep").alias("at")), "theirs", root)
+        theirs = lists.join(large.select(F.col("rep").alias("_rep")), F.col("rep") == F.col("_rep"), "left_semi").join(near, F.col("rep") == F.col("_n"), "left").select("rep", "key", F.coalesce("_r", "rep").alias("at"))
         open_ = theirs.groupBy("key").agg(F.min("at").alias("x"), F.max("at").alias("y")).where("x < y").select(F.col("key").alias("_k"))
-        rest = stage(_families(_stars(theirs.join(open_, F.col("key") == F.col("_k"), "left_semi").select("rep", "key")).distinct()), "rest", root).withColumnsRenamed({"rep": "_rep", "family": "_family"})
+        rest = stage(_families(_stars(theirs.join(open_, F.col("key") == F.col("_k"), "left_semi"))).distinct(), "rest", root).withColumnsRenamed({"rep": "_rep", "family": "_family"})
         mine = F.col("rep") == F.col("_rep")
-        again = _join_blocks(large.join(rest, mine).select("rep", F.col("_family").alias("family"), "items"), reps.join(rest, mine).select("rep", F.col("_family").alias("family"), "n"), num, den, block)
+        again = _join_blocks(large_sets.join(rest, mine).select("rep", F.col("_family").alias("family"), "items"), large.join(rest, mine).select("rep", F.col("_family").alias("family"), "n"), num, den, block)
         roots = components(stage(again.union(links), "joined", root))
 
     named = classes.select("n", "d1", "d2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("component_id"))

@@ -105,3 +105,23 @@ def test_components_of_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200) if i != 99], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert got == {i: 0 for i in range(1, 100)} | {i: 100 for i in range(101, 201)}
+
+
+def test_a_list_over_batches_and_ranges():
+    import pyarrow as pa
+
+    def batch(*rows):
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.int64())], ["key", "rep"])
+
+    got = [tuple(x.values()) for b in m._star([batch((1, 5)), batch((1, 7), (2, 1)), batch(), batch((2, 3), (4, 9))]) for x in b.to_pylist()]
+    assert sorted(x for x in got if x[1] is not None) == [(1, 7, 5), (2, 3, 1)]
+    assert [x for x in got if x[1] is None] == [(1, None, 5), (4, None, 9)]
+
+
+def test_a_hot_list_is_split_and_connected(spark):
+    lists = spark.createDataFrame([(i, 42) for i in range(1000)] + [(i, 7) for i in (3, 2000)], "rep long, key long")
+    from lumen.llm.graph import components
+
+    edges = m._stars(lists)
+    assert edges.count() <= 1010
+    assert {r["root"] for r in components(edges).collect()} == {0} and components(edges).count() == 1000
