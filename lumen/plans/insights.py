@@ -166,8 +166,8 @@ def candidates(df: DataFrame, target: str, ps: dict[str, Profile]) -> list[Insig
                 if gap >= DIFFERENCE and a:
                     out.append(Insight("group_difference", c, f"{target} is {gap:.0f} % higher for {c} = {g[0]['group']} than for {g[-1]['group']}", min(1.0, gap / 100), a["score"] or 0.0, pairs.anova_p(a["f"], a["k"], a["n"]) if a["f"] is not None else None, a["n"]))
             for r in risk_shares(df, c, target).where("lift is not null").limit(1).collect():
-                t = tested_risk_segment(df, c, target)
-                out.append(Insight("risk_segment", c, f"{c} = {r['category']} is {r['lift']:.1f} times as frequent among the highest quarter of {target}", min(1.0, r["lift"] / 3), min(1.0, r["lift"] - 1), t["p"] if t else None, r["risky"] + r["others"], facts={"lift": r["lift"]}))
+                done = tested_risk_segment(df, c, target)
+                out.append(Insight("risk_segment", c, f"{c} = {r['category']} is {r['lift']:.1f} times as frequent among the highest quarter of {target}", min(1.0, r["lift"] / 3), min(1.0, r["lift"] - 1), done["p"] if done else None, r["risky"] + r["others"], facts={"lift": r["lift"]}))
         out += interactions(df, target, nums) + quartile_segments(df, target, nums) if nums else []
         o = outliers.outliers(df, [target]).first()
         if o and o["outliers"] >= 5 and o["percentage"] >= 2:

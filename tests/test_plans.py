@@ -126,3 +126,112 @@ def test_derived_beyond_the_twelfth_column(spark):
     df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in ["a", "b", *(f"f{j}" for j in range(10)), "total"])).cache()
     found = {e.column: e for e in cleaning.detect_derived(df, profile(df), cleaning.Rules())}
     assert found["total"].count == 1 and found["total"].facts["formula"] == {"op": "sum_offset", "sources": ["a", "b"], "offset": 0}
+
+
+def test_an_action_that_changes_a_wrong_cell_is_rolled_back(spark, monkeypatch):
+    from lumen.plans import cleaning
+
+    rows = [(i, None if i == 3 else float(i % 7), f"v{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, amount double, word string")
+    good = cleaning.Cleaner().run(df, "k")
+    assert [r["amount"] for r in good.df.where("k = 3").collect()] == [3.0] and good.assessment.startswith("CLEANED")
+
+    def wrong_column(df, c, p, order):
+        from pyspark.sql import functions as F
+
+        return cleaning._fill(df, c, p, order).withColumn("word", F.when(F.col("k") == 5, "changed").otherwise(F.col("word")))
+
+    def wrong_value(df, c, p, order):
+        return cleaning._fill(df, c, {**p, "value": p["value"] + 1}, order)
+
+    for f in (wrong_column, wrong_value):
+        monkeypatch.setitem(cleaning.ACTIONS, "fill", f)
+        bad = cleaning.Cleaner().run(df, "k")
+        assert any(d.verdict == "rolled_back" for d in bad.decisions)
+        assert any("not as expected" in w for w in bad.warnings)
+        assert {r["word"] for r in bad.df.where("k = 5").collect()} == {"v5"} and bad.df.where("k = 3").first()["amount"] is None
+
+
+def test_every_expectation_agrees_with_its_action(spark):
+    from lumen.plans import cleaning
+
+    df = spark.createDataFrame([(1, " a  b ", 2, 3, 5.0, "x'y"), (2, "N/A", None, 4, 9.0, "p"), (3, None, 6, 1, 7.5, "q\\z")], "k long, t string, a int, b int, s double, m string")
+    cases = [
+        ("fill", "t", {"value": "it's"}), ("fill", "a", {"value": 4.0}), ("map_values", "m", {"mapping": {"x'y": "o'k", "q\\z": "w\\v"}}), ("trim", "t", {}), ("drop_column", "t", {}),
+        ("flag_outliers", "s", {"lower": 6.0, "upper": 8.0}), ("null_values", "m", {"values": ["p"]}), ("recompute", "s", {"formula": {"op": "sum_offset", "sources": ["a", "b"], "offset": 2}}),
+        ("recompute", "s", {"formula": {"op": "product", "sources": ["a", "b"]}}), ("recompute", "b", {"formula": {"op": "string_length", "source": "m"}}),
+    ]
+    for action, c, p in cases:
+        d = cleaning.Decision(cleaning.Evidence("x", c, "x", 1, 1.0), "apply", action, p)
+        assert cleaning.unexpected(df, cleaning.ACTIONS[action](df, c, p, "k"), d, "k") == [], action
+
+
+def test_strategies(spark):
+    from lumen.plans import cleaning
+
+    assert cleaning.strategy_for(None, 99_999, 50) == cleaning.Strategy()
+    assert cleaning.strategy_for(None, 100_000, 50) == cleaning.Strategy("scale_guarded", True, 24, 5000)
+    assert cleaning.strategy_for("scale_guarded", 10, 3).pair_columns == 8
+    df = spark.createDataFrame([tuple(range(10))], ", ".join(f"c{j} long" for j in range(10)))
+    seen = []
+    look = {"derived": lambda df, ps, rules: seen.append(list(ps)) or []}
+    found = cleaning.Cleaner(detectors=look, strategy=cleaning.Strategy("own", True, 8)).evidence(df)[1]
+    assert [e.facts["columns"] for e in found] == [["c8", "c9"]] and seen == [[f"c{j}" for j in range(8)]]
+    assert cleaning.Cleaner(detectors=look, strategy="structure_only").evidence(df)[1] == [] and len(seen) == 1
+
+
+def test_scores_without_relation_to_their_parts(spark):
+    import random
+
+    from lumen.plans import cleaning
+    from lumen.plans.profile import profile
+
+    r = random.Random(3)
+    rows = [(x := r.random(), x + r.random() / 5, r.random()) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "life_size double, life_weight double, life_score double")
+    (e,) = cleaning.detect_disconnected(df, profile(df), cleaning.Rules())
+    assert e.column == "life_score" and e.facts["mutual"] > 0.9
+    tied = df.withColumn("life_score", df.life_size * 2)
+    assert cleaning.detect_disconnected(tied, profile(tied), cleaning.Rules()) == []
+
+
+def test_clean_table(spark):
+    from lumen.plans import cleaning
+
+    df = spark.createDataFrame([(i, float(i % 50), str(i % 9), None if i == 4 else float(i % 5)) for i in range(60)], "k long, age double, code_text string, x double")
+    got = cleaning.clean_table(df, "k")
+    assert dict(got.df.dtypes)["age"] == "bigint" and got.report["rows"][0] == 60 and got.df.where("x is null").count() == 0
+
+
+def test_charts_of_a_plan(spark, tmp_path):
+    from lumen.plans import charts as p
+
+    df = spark.createDataFrame([(f"g{i % 3}", float(i * i % 97), float(i % 13), "t" * (i % 40), "http://a.b/c" if i % 2 else "https://www.x.y") for i in range(400)], "kind string, amount double, size double, words string, url string")
+    plans = p.plan(df, "kind")
+    assert plans[0] == p.Chart("bar", "kind", None, "Distribution of kind") and all(not p.problems(df, c) for c in plans)
+    assert p.problems(df, p.Chart("scatter", "kind", "amount")) and p.problems(df, p.Chart("pie", "words")) and p.problems(df, p.Chart("no", "kind")) and p.problems(df, p.Chart("bar", "nothing"))
+    path = f"file://{tmp_path}/charts"
+    p.store(df, plans, path)
+    assert p.stored(spark, path).select("chart").distinct().count() == len(plans) and p.stored(spark, path, 0).count() == 3
+    assert p.data(df.selectExpr("cast(null as double) as amount", "kind"), p.Chart("bar", "kind", "amount")) is None
+
+
+def test_insight_kinds(spark):
+    import random
+
+    from lumen.plans import insights as m
+
+    r = random.Random(1)
+    rows = [(x := r.uniform(-1, 1), r.random(), 10 + 50 * x * x + r.random(), "hot" if x * x > 0.6 and r.random() < 0.8 else r.choice(["a", "b"])) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "wave double, noise double, value double, kind string")
+    found = m.candidates(df, "value", m.profile(df))
+    kinds = {(x.kind, x.feature) for x in found}
+    assert ("interaction", "wave") in kinds and ("segment", "wave") in kinds and ("risk_segment", "kind") in kinds and ("segment", "noise") not in kinds
+    x = next(x for x in found if x.kind == "segment")
+    assert x.p is not None and m.severity(x) in ("critical", "strong", "moderate") and m.actionable(x)
+    assert m.tested_risk_segment(df, "kind", "value")["p"] < 1e-6 and m.tested_risk_segment(df, "noise", "value")["p"] > 1e-4
+    assert m.tested_feature(df, "noise", "value")["p"] > 1e-4 and m.tested_segment(df, "wave", "value")["method"] == "welch"
+    s = m.serialise(x)
+    assert s["confidence_label"] in ("low", "medium", "high") and m.by_severity(found)[0].kind
+    assert m.parse_sections("# One\nbody\n**Two**\nmore\nlines\nThree things:\nend") == [{"title": "One", "body": "body"}, {"title": "Two", "body": "more\nlines"}, {"title": "Three things", "body": "end"}]
+    assert m.summary(found, "value").startswith(str(len(found))) and m.initial_confidence(1.0, 5000, 1.0) == 0.9 and 0 < m.composite(x) <= 1 and isinstance(m.strict(x), bool)
