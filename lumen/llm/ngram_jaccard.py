@@ -14,9 +14,9 @@ ranges of list and member, so that a hot list is split; a range links its member
 to their smallest, and the smallest of a list's ranges are linked in turn.
 Classes take exact copies out before anything is compared.  Families of up to
 ``BLOCK`` classes and ``BYTES`` bytes are joined whole in one task.  Of larger
-ones, the edges to the lists' smallest are verified first: a list whose members
-are thereby connected is done, so a large group of near copies costs one check
-a member.  Only what meets in the other lists is joined in pairs of blocks, of
+ones, one edge of each member to a list's smallest is verified first: a list
+whose members are thereby connected is done, so a large group of near copies
+costs one check a member.  Only what meets in the other lists is joined in pairs of blocks, of
 which there are as many as the square of its blocks.  Shingles are compared as
 64-bit hashes of hashes of their words, sets as 128-bit digests with their size.
 """
@@ -37,8 +37,8 @@ from lumen.llm.graph import components
 from lumen.llm.shared import prepare, release, shared_dir, stage
 from lumen.llm.words import LOWER, U, Words, inside, mix, ranges, slices, window_hashes
 
-#: Classes, and bytes of their sets, of one block of a family; a task joins two blocks at most.
-BLOCK, BYTES = 4096, 32 << 20
+#: Classes, and bytes of their sets, of one block of a family; a task joins two blocks at most, and takes about six times their bytes.
+BLOCK, BYTES = 4096, 64 << 20
 #: Sizes from which subsets are never enumerated.
 MOST_LIGHT = 40
 #: Levels of parts; a set that has an empty part on one is cut anew on the next.
@@ -392,7 +392,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
         roots = stage(whole, "joined", root).select(F.col("a").alias("node"), F.col("b").alias("root"))
     else:
         large = reps.join(big, is_big, "left_semi")
-        spokes = stars.groupBy("a").agg(F.collect_set("b").alias("stars"))
+        spokes = stars.groupBy("a").agg(F.array(F.min("b")).alias("stars"))  # one of each member's, as sets are large
         large_sets = stage(sets_of_reps(large.join(spokes, F.col("rep") == F.col("a"), "left").select("rep", "family", "d1", "stars")), "sets", root)
         links = stage(_verified(large_sets, num, den).union(whole), "links", root)
         # Lists of large families whose members are not yet connected.
