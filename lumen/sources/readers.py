@@ -10,6 +10,7 @@ import csv
 import io
 import os
 import re
+import warnings
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,12 +121,39 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floats}) if floats else df
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, infer: bool = True) -> DataFrame:
-    """A delimited file with a header; records that cannot be parsed are left out."""
+def _csv(spark: SparkSession, path: str, sep: str | None, encoding: str | None, infer: bool) -> tuple[DataFrame, str]:
+    """Rows of a delimited file with a column that holds the text of records that cannot be parsed, and its name."""
     start = head(spark, path)
     encoding = encoding or encoding_of(start)
     sep = sep or delimiter_of(start.decode(encoding, "replace"))
-    return spark.read.csv(path, header=True, inferSchema=infer, sep=sep, encoding=encoding, mode="DROPMALFORMED", quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, nullValue="")
+    # Lines can be read apart, and the file in parts, unless a quoted field goes on over a line's end.
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    many = encoding.startswith("UTF-16") or not spark.read.text(path).where(odd).isEmpty()
+    how = {"header": True, "sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": many, "ignoreLeadingWhiteSpace": False, "nullValue": ""}
+    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")  # else a record's faults depend on which columns a query reads
+    plain = spark.read.csv(path, inferSchema=infer, **how)
+    corrupt = "_corrupt"
+    while corrupt in plain.columns:
+        corrupt = f"_{corrupt}"
+    schema = T.StructType([*plain.schema.fields, T.StructField(corrupt, T.StringType())])
+    return spark.read.schema(schema).csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt, **how), corrupt
+
+
+def malformed(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> int:
+    """Records of a delimited file that cannot be parsed."""
+    df, corrupt = _csv(spark, path, sep, encoding, True)
+    return df.agg(*[F.count(F.col(f"`{c}`")) for c in df.columns]).first()[-1] if len(df.columns) > 1 else 0
+
+
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, infer: bool = True, warn: bool = False) -> DataFrame:
+    """A delimited file with a header; records that cannot be parsed are left out, and if warn, counted in a warning."""
+    df, corrupt = _csv(spark, path, sep, encoding, infer)
+    if warn and (n := malformed(spark, path, sep, encoding)):
+        warnings.warn(f"{path}: {n} records cannot be parsed and are left out", stacklevel=2)
+    if len(df.columns) == 1:
+        return df.drop(corrupt)
+    # A query may not read the column of bad records alone, so the condition, always true, names another one.
+    return df.where(F.col(corrupt).isNull() & (F.hash(F.col(f"`{df.columns[0]}`")) >= -(1 << 31))).drop(corrupt)
 
 
 def flatten(df: DataFrame) -> DataFrame:
@@ -162,9 +190,10 @@ def read_fixed_width(spark: SparkSession, path: str) -> DataFrame:
     spans = [(m.start(), m.end()) for m in re.finditer("1+", "".join("01"[u] for u in used))]
     first = lines[0] if lines else ""
     names = [first[a:b].strip() for a, b in spans]
-    text = spark.read.text(path)
+    # The reader takes the first line of each file as a header; no separator, so one column.
+    text = spark.read.csv(path, header=True, sep="\x01", quote="", inferSchema=False).toDF("value") if first.strip() else spark.read.text(path)
     cols = [F.nullif(F.trim(F.substring("value", a + 1, b - a)), F.lit("")).alias(f"c{i}") for i, (a, b) in enumerate(spans)]
-    return clean_names(text.where(F.col("value") != first).select(*cols).toDF(*names)) if spans else text
+    return clean_names(text.select(*cols).toDF(*names)) if spans else text
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
@@ -201,9 +230,9 @@ def read_any(spark: SparkSession, path: str, limit: int | None = None, check: bo
     elif kind == "excel":
         df = read_excel(spark, path)
     elif kind == "tsv":
-        df = read_csv(spark, path, "\t")
+        df = read_csv(spark, path, "\t", warn=True)
     else:
-        df = read_csv(spark, path)
+        df = read_csv(spark, path, warn=True)
         if kind == "txt" and len(df.columns) == 1:
             for sep in ("|", ";", "\t", ",", "~"):
                 if sep in df.columns[0]:

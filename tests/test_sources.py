@@ -65,3 +65,54 @@ def test_sinks(spark, tmp_path):
     c.delete("x")
     assert c.states() == {}
     assert sinks.frame_digest(df) == sinks.frame_digest(df.orderBy("i", ascending=False)) != sinks.frame_digest(df.limit(1))
+
+
+def test_parse_errors_block_at_any_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(integrity, "GATE", 2000)
+    good = "a,b\n" + "1,2\n" * 5000
+    assert integrity.check_csv(spark, put(tmp_path, "big.csv", good))["status"] == "ok"
+    assert integrity.check_csv(spark, put(tmp_path, "cut.csv", "a,b\n" + '1,"x\ny"\n' * 5000))["status"] == "ok"
+    bad = 'a,b\n1,"x"y\n' + "1,2\n" * 5000
+    assert integrity.check_csv(spark, put(tmp_path, "bad.csv", bad))["status"] == "blocked"
+
+
+def test_records_that_cannot_be_parsed_are_counted(spark, tmp_path):
+    path = put(tmp_path, "m.csv", "a,b\n" + "1,2\n" * 50 + "7\n" + "1,2,3\n")
+    assert readers.malformed(spark, path) == 2
+    with pytest.warns(UserWarning, match="2 records"):
+        assert readers.read_any(spark, path).count() == 50
+
+
+def test_lines_are_read_apart_unless_fields_go_on(spark, tmp_path):
+    one = readers.read_csv(spark, put(tmp_path, "s.csv", "a,b\n" + "1,x\n" * 9))
+    assert one.count() == 9
+    two = readers.read_csv(spark, put(tmp_path, "q.csv", 'a,b\n1,"x\ny"\n2,z\n'))
+    assert sorted(r["b"] for r in two.collect()) == ["x\ny", "z"]
+
+
+def test_fixed_width_rows_like_the_header_stay(spark, tmp_path):
+    df = readers.read_fixed_width(spark, put(tmp_path, "f.txt", "name  size\nab    1   \nname  size\ncd    2   \n"))
+    assert df.columns == ["name", "size"] and sorted(r["name"] for r in df.collect()) == ["ab", "cd", "name"]
+
+
+def test_result_tables_and_reports(spark, tmp_path):
+    from lumen.plans.cleaning import Decision, Evidence, Result
+    from lumen.plans.insights import Insight
+    from lumen.plans.ml import Outcome
+    from lumen.plans.profile import profile
+    from lumen.sources import results
+
+    df = spark.createDataFrame([(1, "a|b"), (2, None)], "i long, s string")
+    d = [Decision(Evidence("missing", "s", "missing_values", 1, 0.5), "flag")] * 2
+    clean = Result(df, "FLAGGED", d, [], ["w"], {"rows": 2}, {"rows": 2})
+    model = Outcome("trained", "ridge", "regression", {"r2": 0.5}, [("i", 0.7)])
+    found = [Insight("correlation", "i", "x rises with i", 0.5, 0.5, 0.01, 20, 0.8)]
+    c = sinks.Catalog(spark, f"file://{tmp_path}/cat")
+    names = results.save_analysis(c, "one", profile(df), {"rows": df}, found, [clean, clean], model)
+    assert names == ["actions", "importance", "insights", "metrics", "model", "profiles", "rows"]
+    assert c.load("one", "actions").count() == 1 and c.load("one", "insights").first()["confidence_label"] == "high" and c.states()["one"]["state"] == "completed"
+    text = "# T\n\n" + results.as_markdown(df) + "\n" + results.insights_section(found) + "\n" + results.model_section(model) + "\n" + results.cleaning_section(clean)
+    page = results.as_html(text, "T")
+    assert "<h1>T</h1>" in page and page.count("<table>") == 3 and "<li>" in page and "<b>correlation</b>" in page
+    results.save_report(spark, f"file://{tmp_path}/report", text)
+    assert spark.read.text(f"file://{tmp_path}/report/html", wholetext=True).count() == 1
