@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from lumen import vocab
 from lumen.functions.columns import finite, integer_like, named, parse_datetime, segments, to_number
 
-#: Patterns of protected text; a column is of the first that 90 % of its values match.
+#: Patterns of protected text; a column is of the first that 90 % of its values match.
 SUBTYPES = {
     "uuid": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "ip_address": r"^(\d{1,3}\.){3}\d{1,3}$",

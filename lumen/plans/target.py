@@ -44,35 +44,25 @@ def task_of(p: Profile) -> str:
     return "regression" if p.numeric and p.unique > 20 else "classification"
 
 
+#: What speaks for or against a column as the target, in points.
+POINTS = {
+    "text": -15, "third missing": -5, "target name": 5, "part of a target name": 4, "categorical target name": 6, "name of the file": 12, "last": 7, "last but one": 5, "third last": 1,
+    "numeric": 3, "numbers that all differ": -5, "numbers that repeat": 2, "word of another role": -5, "part of such a word": -1, "two to twenty values": 1, "one value": -10,
+}
+
+
 def score(p: Profile, nth: int, columns: int, hints: list[str]) -> int:
-    """Additive evidence that a column is the target."""
-    s = 0
-    words = segments(p.name)
-    if p.kind == "text":
-        s -= 15
-    if p.missing > 0.3:
-        s -= 5
-    if p.name.lower() in vocab.TARGETS:
-        s += 5
-    elif named(p.name, vocab.TARGETS + vocab.MORE_TARGETS):
-        s += 4
-    if named(p.name, vocab.CATEGORICAL_TARGETS):
-        s += 6
-    if any(h in words for h in hints):
-        s += 12
-    s += 7 if nth == columns - 1 else 5 if nth == columns - 2 else 1 if nth >= columns - 3 else 0
-    if p.numeric:
-        s += 3
-        s += -5 if p.ratio > 0.95 else 2
-    if any(w in words for w in vocab.NEGATIVE):
-        s -= 5
-    elif any(n in p.name.lower() for n in vocab.NEGATIVE):
-        s -= 1
-    if 2 <= p.unique <= 20:
-        s += 1
-    if p.unique < 2:
-        s -= 10
-    return s
+    """Additive evidence that a column is the target, by POINTS."""
+    words, name = segments(p.name), p.name.lower()
+    negative = any(w in words for w in vocab.NEGATIVE)
+    holds = {
+        "text": p.kind == "text", "third missing": p.missing > 0.3,
+        "target name": (known := name in vocab.STRONG_TARGETS + vocab.TARGETS), "part of a target name": not known and named(p.name, vocab.ALL_TARGETS), "categorical target name": named(p.name, vocab.CATEGORICAL_TARGETS),
+        "name of the file": any(h in words for h in hints), "last": nth == columns - 1, "last but one": nth == columns - 2, "third last": nth == columns - 3,
+        "numeric": p.numeric, "numbers that all differ": p.numeric and p.ratio > 0.95, "numbers that repeat": p.numeric and p.ratio <= 0.95,
+        "word of another role": negative, "part of such a word": not negative and any(n in name for n in vocab.NEGATIVE), "two to twenty values": 2 <= p.unique <= 20, "one value": p.unique < 2,
+    }
+    return sum(POINTS[k] for k, yes in holds.items() if yes)
 
 
 def detect_target(df: DataFrame, filename: str | None = None, profiles: dict[str, Profile] | None = None) -> Target:
@@ -80,12 +70,12 @@ def detect_target(df: DataFrame, filename: str | None = None, profiles: dict[str
     ps = profiles or profile(df)
     ok = [c for c in ps if eligible(ps[c])]
     done = lambda c, conf, how: Target(c, conf, how, task_of(ps[c]))
-    for words, conf, how in ((vocab.STRONG_TARGETS, 0.95, "strong name"), (vocab.TARGETS + vocab.MORE_TARGETS, 0.94, "name")):
+    for words, conf, how in ((vocab.STRONG_TARGETS, 0.95, "strong name"), (vocab.ALL_TARGETS, 0.94, "name")):
         for c in ok:
             if c.lower() in words:
                 return done(c, conf, how)
     for c in ok:
-        if ps[c].numeric and named(c, vocab.TARGETS + vocab.MORE_TARGETS):
+        if ps[c].numeric and named(c, vocab.ALL_TARGETS):
             return done(c, 0.90, "part of the name")
     for c in ok:
         if named(c, vocab.CATEGORICAL_TARGETS):

@@ -9,9 +9,12 @@ ID_COMPACT = ["id", "uuid", "invoiceno", "stockcode"]
 
 DATE_WORDS = ["date", "time", "timestamp", "datetime", "day", "month", "year", "hour", "minute", "second", "period", "epoch", "era", "calendar", "schedule", "deadline", "start", "end", "begin", "finish", "created", "updated", "modified", "published", "released", "birth", "death", "anniversary", "holiday", "event"]
 
+# Names of targets, strong ones, usual ones and further ones; each list is whole, so some names repeat.
 STRONG_TARGETS = ["target", "label", "y", "outcome", "prediction", "response", "dependent", "ground_truth"]
-TARGETS = [*STRONG_TARGETS, "result", "output", "class", "minutes", "hours", "quality", "score", "rating"]
-MORE_TARGETS = ["charges", "cost", "price", "premium", "claim", "amount", "total", "payment", "fee", "expenditure", "spending", "revenue", "sales", "income", "salary", "wage", "earnings", "profit", "loss", "survived", "survival", "death", "mortality", "category", "forecast"]
+TARGETS = ["target", "label", "outcome", "result", "prediction", "y", "response", "dependent", "output", "class", "minutes", "hours", "quality", "score", "rating"]
+MORE_TARGETS = ["charges", "cost", "price", "premium", "claim", "amount", "total", "payment", "fee", "expenditure", "spending", "revenue", "sales", "income", "salary", "wage", "earnings", "profit", "loss", "survived", "survival", "death", "mortality", "outcome", "result", "response", "label", "class", "category", "prediction", "forecast"]
+# A single test for all of them.
+ALL_TARGETS = [*STRONG_TARGETS, *TARGETS, *MORE_TARGETS]
 CATEGORICAL_TARGETS = ["sentiment", "satisfaction", "churn", "status", "severity", "diagnosis", "rating", "class", "category", "segment", "quality"]
 NEGATIVE = ["id", "uuid", "index", "row", "key", "code", "identifier", "serial", "numbering", "sequence", "order", "date", "timestamp", "created", "updated", "modified", "name", "email", "phone", "address", "location", "coordinates", "description", "note", "comment", "text", "message", "content", "url", "path", "file", "link", "reference", "source", "image", "photo", "video", "audio", "document", "attachment", "outlierflag", "outlier_flag", "outliers", "flag"]
 
@@ -49,4 +52,3 @@ SEMANTIC_ROWS, NO_RELATION, MUTUAL = 15, 0.05, 0.20
 OUTLIER_LEAST, OUTLIER_HIGH, OUTLIER_MEDIUM = 8, 10.0, 1.0
 PAIR_ROWS, PAIR_ROWS_CATEGORICAL, PAIR_MISSING, PAIR_RATIO, PAIR_CATEGORIES, GROUP_ROWS = 10, 20, 0.30, 0.20, 100, 5
 ID_RATIO, ID_ROWS = 0.98, 20
-CORRELATION_COLUMNS = 40
