@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumen.functions.columns import finite, rounded, url_domain
 from lumen.operators.quantiles import numbers, quantile_row
+from lumen.operators.summaries import exact_mean
 
 
 def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
@@ -40,7 +41,7 @@ def shares(df: DataFrame, x: str, y: str | None = None) -> DataFrame:
 def line(df: DataFrame, x: str, y: str | None = None, unit: str = "day") -> DataFrame:
     """Mean of y, or counts, for each time unit."""
     g = df.where(F.col(x).isNotNull()).groupBy(F.date_trunc(unit, F.col(x)).alias("x"))
-    return g.agg((rounded(F.avg(y), 4) if y else F.count("*")).alias("y"))
+    return g.agg((F.round(exact_mean(finite(F.col(f"`{y}`").cast("double"))), 4).cast("double") if y else F.count("*")).alias("y"))
 
 
 def scatter(df: DataFrame, x: str, y: str, points: int | None = None) -> DataFrame:

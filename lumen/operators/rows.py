@@ -23,10 +23,15 @@ def keep_first(df: DataFrame, columns: list[str], order: str) -> DataFrame:
 
 
 def duplicate_flags(df: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """df with ``is_duplicate``: an earlier row is equal on columns. The first of each group comes from an aggregation and is joined back, so that a large group is split."""
-    first = df.groupBy(*_cols(columns)).agg(F.min(F.col(order)).alias("_first"))
+    """df with ``is_duplicate``: an earlier row is equal on columns. Rows of the same order value are ordered by a hash of all their columns.
+
+    The first of each group comes from an aggregation and is joined back, so that a large group is split.
+    """
+    place = F.struct(F.col(f"`{order}`").alias("a"), F.xxhash64(*_cols(df.columns)).alias("b"))
+    first = df.groupBy(*_cols(columns)).agg(F.min(place).alias("_first"))
     same = reduce(lambda a, b: a & b, [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in columns])
-    return df.alias("l").join(first.alias("r"), same, "left").select("l.*", (F.col(f"l.`{order}`") > F.col("r._first")).alias("is_duplicate"))
+    both = df.withColumn("_place", place).alias("l").join(first.alias("r"), same, "left")
+    return both.select(*[F.col(f"l.`{c}`") for c in df.columns], (F.col("l._place") > F.col("r._first")).alias("is_duplicate"))
 
 
 def normalised(df: DataFrame, columns: list[str]) -> DataFrame:

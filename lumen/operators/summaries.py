@@ -16,7 +16,7 @@ PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 def exact_mean(c: Column) -> Column:
     """The mean from an exact decimal sum, so that it does not depend on the order of rows; of values too large for it, the plain mean."""
-    return F.coalesce(F.round(F.avg(c.cast("decimal(38,12)")), 12).cast("decimal(38,12)"), F.avg(c).cast("decimal(38,12)"))
+    return F.coalesce(F.round(F.avg(c.cast("decimal(38,12)")), 9).cast("decimal(38,9)"), F.avg(c).cast("decimal(38,9)"))
 
 
 def numeric_measures(name: str) -> dict[str, Column]:

@@ -170,7 +170,7 @@ def _(spark, d):
 def _numeric_sql(table: str, columns: list[str]) -> str:
     return " union all ".join(
         f"""select '{c}' as "column", count(*) as rows, count({c}) as count, count(*) - count({c}) as nulls, round(100.0 * (count(*) - count({c})) / count(*), 6) as null_pct, count(distinct {c}) as "unique",
- count(*) filter (where {c} = 0) as zeros, count(*) filter (where {c} < 0) as negatives, round(sum({c})::double, 2) as sum, round((sum({c}::decimal(38,12)) / count({c}))::decimal(38,12), 6)::double as mean, round(quantile_cont({c}, 0.5)::double, 6) as median,
+ count(*) filter (where {c} = 0) as zeros, count(*) filter (where {c} < 0) as negatives, round(sum({c})::double, 2) as sum, round((sum({c}::decimal(38,12)) / count({c}))::decimal(38,9), 6)::double as mean, round(quantile_cont({c}, 0.5)::double, 6) as median,
  round(min({c})::double, 6) as min, round(max({c})::double, 6) as max, round((max({c}) - min({c}))::double, 6) as range, round(quantile_cont({c}, 0.25)::double, 6) as q1, round(quantile_cont({c}, 0.75)::double, 6) as q3,
  round((quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))::double, 6) as iqr, round(quantile_cont({c}, 0.05)::double, 6) as p5, round(quantile_cont({c}, 0.95)::double, 6) as p95, round(stddev_samp({c}), 6) as std, round(var_samp({c}), 2) as variance,
  round(skewness({c}), 4) as skewness, round(kurtosis({c}), 4) as kurtosis, round(case when count({c}) > 1 and avg({c}) <> 0 then stddev_samp({c}) / abs(avg({c})) end, 6) as cv, round(stddev_samp({c}) / sqrt(count({c})), 6) as sem, min({c}) = max({c}) as constant from {table}"""
@@ -937,7 +937,7 @@ def _(spark, d):
     return plans.draw(t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id"), plans.Chart("box", "quality", "text", of="text"))
 
 
-@query("cht12_fallback_line", "select date_trunc('day', o_orderdate)::timestamp as x, round(avg(o_totalprice), 4) as y from orders group by 1")
+@query("cht12_fallback_line", "select date_trunc('day', o_orderdate)::timestamp as x, round((sum(o_totalprice::decimal(38,12)) / count(o_totalprice))::decimal(38,9), 4)::double as y from orders group by 1")
 def _(spark, d):
     from lumen.plans import charts as plans
 
