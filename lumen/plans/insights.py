@@ -25,6 +25,8 @@ MOST, PER_FEATURE = 8, 2
 #: Gaps in percent of interactions and of quartiles, rows of a test's group and of a test, a group's share over that of others, and the least that a kind must show.
 INTERACTION_GAP, QUARTILE_GAP, TEST_GROUP, TEST_ROWS, OVER = 15.0, 15.0, 5, 20, 1.1
 ACTIONABLE = {"feature_importance": 0.05, "correlation": 0.15, "group_difference": 0.10, "outlier": 0.02, "segment": 0.15, "risk_segment": 0.10, "interaction": 0.15}
+#: What counts as the lift of a category that is found among the highest values only.
+ONLY = 10.0
 #: What a kind weighs in business.
 WEIGHTS = {"outlier": 0.75, "risk_segment": 0.75, "group_difference": 1.0, "segment": 0.85, "interaction": 0.90, "distribution": 0.75, "correlation": 0.65, "feature_importance": 0.65, "data_quality": 0.05}
 
@@ -165,9 +167,10 @@ def candidates(df: DataFrame, target: str, ps: dict[str, Profile]) -> list[Insig
                 a = pairs.anova(df, c, target, GROUP).first()
                 if gap >= DIFFERENCE and a:
                     out.append(Insight("group_difference", c, f"{target} is {gap:.0f} % higher for {c} = {g[0]['group']} than for {g[-1]['group']}", min(1.0, gap / 100), a["score"] or 0.0, pairs.anova_p(a["f"], a["k"], a["n"]) if a["f"] is not None else None, a["n"]))
-            for r in risk_shares(df, c, target).where("lift is not null").limit(1).collect():
+            for r in risk_shares(df, c, target).limit(1).collect():
                 done = tested_risk_segment(df, c, target)
-                out.append(Insight("risk_segment", c, f"{c} = {r['category']} is {r['lift']:.1f} times as frequent among the highest quarter of {target}", min(1.0, r["lift"] / 3), min(1.0, r["lift"] - 1), done["p"] if done else None, r["risky"] + r["others"], facts={"lift": r["lift"]}))
+                lift = r["lift"] or ONLY  # no other row has the category
+                out.append(Insight("risk_segment", c, f"{c} = {r['category']} is {f'{lift:.1f} times as frequent' if r['lift'] else 'found only'} among the highest quarter of {target}", min(1.0, lift / 3), min(1.0, lift - 1), done["p"] if done else None, r["risky"] + r["others"], facts={"lift": lift}))
         out += interactions(df, target, nums) + quartile_segments(df, target, nums) if nums else []
         o = outliers.outliers(df, [target]).first()
         if o and o["outliers"] >= 5 and o["percentage"] >= 2:
