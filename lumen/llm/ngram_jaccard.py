@@ -197,7 +197,7 @@ def _index(k: int, num: int, den: int, light: int):
 
 
 def _sets(k: int):
-    """Sets of the documents that represent a class: rows (rep, family, stars, items) from (doc_id, text, d1, family, stars)."""
+    """Sets of the documents that represent a class: rows (rep, family, blocks, star, items) from (doc_id, text, d1, family, blocks, star)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +206,7 @@ def _sets(k: int):
                 d = digests(items, at)
                 ok = pa.array(d[:, 0].view(np.int64) == part.column(2).to_numpy())
                 blob = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 8), pa.py_buffer(items.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), part.column(4), blob], ["rep", "family", "stars", "items"]).filter(ok)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(i) for i in (3, 4, 5)), blob], ["rep", "family", "blocks", "star", "items"]).filter(ok)
 
     return f
 
@@ -339,18 +339,22 @@ def _stars(lists: DataFrame) -> DataFrame:
 
 
 def _verified(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs of sets (rep, stars, items) and those that their stars name that link."""
-    one = sets.select(F.col("rep").alias("a"), F.explode("stars").alias("b"), F.col("items").alias("x"))
+    """The pairs of a set (rep, star, items) and the one that its star names that link."""
+    one = sets.where("star is not null").select(F.col("rep").alias("a"), F.col("star").alias("b"), F.col("items").alias("x"))
     both = one.join(sets.select(F.col("rep").alias("_b"), F.col("items").alias("y")), F.col("b") == F.col("_b")).select("a", "b", "x", "y")
     return both.mapInArrow(_verify(num, den), "a long, b long")
 
 
-def _join_blocks(sets: DataFrame, sizes: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Links (a, b) that connect what links within each family of sets (rep, family, items); sizes: rep, n. Families of several blocks go in pairs of blocks."""
+def _with_blocks(reps: DataFrame, block: int) -> DataFrame:
+    """reps (family, n, ..) with the number of ``blocks`` of their family."""
+    shape = reps.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / BYTES)).cast("int").alias("blocks"))
+    return reps.join(shape, "family")
+
+
+def _join_blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that connect what links within each family of sets (rep, family, blocks, items). Families of several blocks go in pairs of blocks."""
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shape = sizes.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / BYTES)).cast("int").alias("blocks"))
-    tasks = sets.join(shape.withColumnRenamed("family", "_f"), F.col("family") == F.col("_f")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = sets.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.select(F.struct("family", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).alias("key"), "rep", "items")
     tasks = tasks.select(F.to_json("key").alias("task"), "rep", "items").repartition(parts, "task").sortWithinPartitions("task")
     return tasks.mapInArrow(_join(num, den), "a long, b long")
@@ -381,28 +385,31 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10,
     reps = stage(families.join(full.select("doc_id", "n", "d1"), F.col("rep") == F.col("doc_id")).select("rep", "family", "n", "d1").distinct(), "reps", root)
     big = reps.groupBy("family").agg(F.count("*").alias("c"), F.sum("n").alias("s")).where((F.col("c") > block) | (F.col("s") * 8 > BYTES))
     big = stage(big.select(F.col("family").alias("_f")), "big", root)
-    is_big, schema = F.col("family") == F.col("_f"), "rep long, family long, stars array<long>, items binary"
+    is_big, schema = F.col("family") == F.col("_f"), "rep long, family long, blocks int, star long, items binary"
 
     def sets_of_reps(some: DataFrame) -> DataFrame:
-        return src.join(some, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "d1", "family", "stars").mapInArrow(_sets(k), schema)
+        # Texts are shuffled at every size, so that small inputs show what large ones cost.
+        found = src.join(some.hint("merge"), F.col("doc_id") == F.col("rep"))
+        return found.select("doc_id", "text", "d1", "family", "blocks", "star").mapInArrow(_sets(k), schema)
 
-    small = reps.join(big, is_big, "left_anti")
-    whole = _join_blocks(sets_of_reps(small.withColumn("stars", F.lit(None).cast("array<long>"))), small, num, den, block)
+    small = _with_blocks(reps.join(big, is_big, "left_anti"), block)
+    whole = _join_blocks(sets_of_reps(small.withColumn("star", F.lit(None).cast("long"))), num, den)
     if big.isEmpty():  # each family is joined whole
         roots = stage(whole, "joined", root).select(F.col("a").alias("node"), F.col("b").alias("root"))
     else:
         large = reps.join(big, is_big, "left_semi")
-        spokes = stars.groupBy("a").agg(F.array(F.min("b")).alias("stars"))  # one of each member's, as sets are large
-        large_sets = stage(sets_of_reps(large.join(spokes, F.col("rep") == F.col("a"), "left").select("rep", "family", "d1", "stars")), "sets", root)
+        spokes = stars.groupBy("a").agg(F.min("b").alias("star"))  # one of each member's, as sets are large
+        large_sets = stage(sets_of_reps(large.join(spokes, F.col("rep") == F.col("a"), "left").select("rep", "family", "d1", F.lit(1).alias("blocks"), "star")), "sets", root)
         links = stage(_verified(large_sets, num, den).union(whole), "links", root)
         # Lists of large families whose members are not yet connected.
         near = components(links).select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         theirs = lists.join(large.select(F.col("rep").alias("_rep")), F.col("rep") == F.col("_rep"), "left_semi").join(near, F.col("rep") == F.col("_n"), "left").select("rep", "key", F.coalesce("_r", "rep").alias("at"))
         open_ = theirs.groupBy("key").agg(F.min("at").alias("x"), F.max("at").alias("y")).where("x < y").select(F.col("key").alias("_k"))
-        rest = stage(_families(_stars(theirs.join(open_, F.col("key") == F.col("_k"), "left_semi"))).distinct(), "rest", root).withColumnsRenamed({"rep": "_rep", "family": "_family"})
-        mine = F.col("rep") == F.col("_rep")
-        again = _join_blocks(large_sets.join(rest, mine).select("rep", F.col("_family").alias("family"), "items"), large.join(rest, mine).select("rep", F.col("_family").alias("family"), "n"), num, den, block)
-        roots = components(stage(again.union(links), "joined", root))
+        rest = _families(_stars(theirs.join(open_, F.col("key") == F.col("_k"), "left_semi"))).distinct().withColumnsRenamed({"rep": "_rep"})
+        rest = _with_blocks(rest.join(large.select("rep", "n"), F.col("rep") == F.col("_rep")).select("_rep", "family", "n"), block)
+        rest = stage(rest.select("_rep", F.col("family").alias("_family"), F.col("blocks").alias("_blocks")), "rest", root)
+        again = large_sets.join(rest, F.col("rep") == F.col("_rep")).select("rep", F.col("_family").alias("family"), F.col("_blocks").alias("blocks"), "items")
+        roots = components(stage(_join_blocks(again, num, den).union(links), "joined", root))
 
     named = classes.select("n", "d1", "d2", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("root", "rep").alias("component_id"))
     named = stage(named, "named", root)  # a plain scan, so that a hot class's join is split
