@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from lumen import vocab
 from lumen.functions import columns as C
 from lumen.operators import outliers, rows, select
+from lumen.operators.quantiles import numbers, quantile_row
 from lumen.plans.profile import Profile, profile
 
 
@@ -367,7 +368,7 @@ def detect_units(df, ps, rules) -> list[Evidence]:
     out = []
     for c in [c for c, p in ps.items() if p.numeric and p.kind == "numeric" and not p.ordinal and (p.high or 0) > 0 and p.low is not None and p.high / max(p.low, 1e-12) >= 100]:
         v = df.where(F.col(f"`{c}`") > 0).select(F.log10(F.col(f"`{c}`").cast("double")).alias("v"))
-        m = v.agg(F.percentile("v", F.lit(0.5)).alias("m"))
+        m = quantile_row(v, numbers(["v"]), [0.5]).select(F.col("q0")[0].alias("m"))
         r = v.join(F.broadcast(m)).agg(F.max(F.when(F.col("v") <= F.col("m"), F.col("v"))).alias("a"), F.min(F.when(F.col("v") > F.col("m"), F.col("v"))).alias("b"), F.count_if(F.col("v") > F.col("m")).alias("up"), F.count("*").alias("n")).first()  # one row
         few = min(r["up"], r["n"] - r["up"])
         if r["b"] is not None and r["b"] - r["a"] >= vocab.UNIT_GAP and few >= vocab.UNIT_LEAST and few >= vocab.UNIT_SHARE * r["n"]:
@@ -455,7 +456,7 @@ def decide(e: Evidence, df: DataFrame, ps: dict[str, Profile], policy: Policy) -
             if p.unique == 1 and present:
                 return do("fill", "only one value", value=p.low)
             if e.ratio <= vocab.FILL_LIMIT and present >= vocab.FILL_LEAST:
-                median = df.agg(F.percentile(F.col(f"`{e.column}`"), F.lit(0.5))).first()[0]
+                median = quantile_row(df, numbers([e.column]), [0.5]).first()["q0"][0]
                 return do("fill", "median of a mostly present column", value=median)
             return flag("too much is missing")
         if e.ratio >= vocab.DROP_SHARE:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumen import vocab
 from lumen.functions import columns as C
 from lumen.operators import rows
+from lumen.operators.quantiles import numbers, quantile_row
 from lumen.plans.profile import profile
 
 
@@ -48,8 +49,8 @@ def prepare(df: DataFrame, target: str | None = None, encoding: str = "onehot",
     ps = profile(df)
     nums = [c for c, p in ps.items() if p.numeric and c != target]
     if nums:
-        med = df.agg(*[F.percentile(F.col(f"`{c}`"), F.lit(0.5)).alias(str(i)) for i, c in enumerate(nums)]).first()
-        df = df.withColumns({c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float(med[str(i)] or 0.0))) for i, c in enumerate(nums)})
+        med = quantile_row(df, numbers(nums), [0.5]).first()  # a number a column
+        df = df.withColumns({c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float(med[f"q{i}"][0] if med[f"q{i}"] else 0.0))) for i, c in enumerate(nums)})
     for c, p in ps.items():
         if c == target or p.numeric:
             continue
