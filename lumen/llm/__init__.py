@@ -1,4 +1,4 @@
-"""Training-data operators: ten text operators over a documents table.
+"""Training-data operators: operators over a documents table, and one over embeddings.
 
 Nothing outside this folder imports it.  ``lumen.llm.entry`` registers the
 queries; ``corpus_pipeline.py`` at the repository top chains five of them.

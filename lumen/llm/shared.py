@@ -52,6 +52,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a folder that stage() wrote and nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def free(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has, whatever the case."""
     taken = {c.lower() for df in frames for c in df.columns}
