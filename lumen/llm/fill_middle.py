@@ -7,10 +7,11 @@ the byte offsets of its code points as one Elias-Fano list, made once.  A
 document meets its entry by digest and selects its two seeded cuts in the list.
 
 Scale and skew: texts are shuffled once, pre-aggregated by digest before that,
-and documents travel as id and digest.  Digests that more than ``share`` of all
-rows have (and more than ``PIECE`` rows) are hot: there are at most 1 / share of
-them, so they are broadcast, and a hot text goes in as many copies as its
-documents fill pieces.
+and the ids of a digest's documents travel with it.  Digests that more than
+``share`` of all rows have (and more than ``PIECE`` rows) are hot: there are at
+most 1 / share of them, so they are broadcast; their documents are joined to the
+index, in which a hot text stands in as many copies as its documents fill
+pieces.
 """
 
 from __future__ import annotations
@@ -112,15 +113,16 @@ def restore(output: Column, form: Column, marks: tuple[str, str, str] = MARKS) -
     return F.when(form == "psm", F.concat(one(k[0]), middle, two(k[1]))).when(form == "spm", F.concat(two(k[0]), middle, one(k[1]))).otherwise(output)
 
 
-def distinct_texts(rows: DataFrame) -> DataFrame:
-    """``digest, check, text, marked-free list`` for each distinct content of rows (digest, text, check).
+def distinct_texts(rows: DataFrame, *riders: Column) -> DataFrame:
+    """``digest, text, check`` and riders (aggregates of a digest's rows) for each distinct content of rows (digest, text).
 
-    The contents of a digest are compared with each other; two that share even
-    digest and check are an error, never mixed up.
+    The contents of a digest are compared with each other as they are grouped;
+    two that share even digest and check are an error, never mixed up.
     """
-    one = rows.groupBy("digest").agg(F.collect_set("text").alias("texts"))  # one text, or as many as the digest stands for
+    names = [f"_r{i}" for i in range(len(riders))]
+    one = rows.groupBy("digest").agg(F.collect_set("text").alias("texts"), *[r.alias(n) for r, n in zip(riders, names)])  # one text, or as many as the digest stands for
     apart = F.size(F.array_distinct(F.transform("texts", _check))) == F.size("texts")
-    one = one.select("digest", F.explode(F.when(apart, F.col("texts")).otherwise(F.raise_error(F.lit("contents that neither digest nor check tells apart")))).alias("text"))
+    one = one.select("digest", *names, F.explode(F.when(apart, F.col("texts")).otherwise(F.raise_error(F.lit("contents that neither digest nor check tells apart")))).alias("text"))
     return one.withColumn("check", _check(F.col("text")))
 
 
@@ -149,27 +151,28 @@ def fill_in_middle(docs: DataFrame, seed: int = 1, percent: int = 90, spm: int =
     least = max(piece, math.ceil(src.count() * share))
     hot = stage(src.groupBy("digest").agg(F.count("*").alias("c")).where(F.col("c") > least).select(F.col("digest").alias("_d"), F.ceil(F.col("c") / least).cast("int").alias("pieces")), "hot")
     ids, on = src.select("doc_id", "digest", "check"), F.col("digest") == F.col("_d")
-    lists = F.arrow_udf(_lists, LIST)
+    lists, has = F.arrow_udf(_lists, LIST), F.lit(False)
+    for m in marks:
+        has = has | F.col("text").contains(m)
 
-    def indexed(rows: DataFrame) -> DataFrame:
-        own = distinct_texts(rows.select("digest", "text"))
-        has = F.lit(False)
-        for m in marks:
-            has = has | F.col("text").contains(m)
-        return own.select(F.col("digest").alias("_digest"), F.col("check").alias("_check"), "text", has.alias("marked"), lists(F.col("text")).alias("list"))
+    def cold(rows: DataFrame) -> DataFrame:
+        """Documents ride with their digest to the index (``least`` of them at most), so that texts are shuffled once."""
+        own = distinct_texts(rows, F.collect_list(F.struct("doc_id", F.col("check").alias("c"))))
+        mine = F.filter("_r0", lambda d: d["c"] == F.col("check"))
+        entry = own.select("text", has.alias("marked"), mine.alias("mine"), lists(F.col("text")).alias("list"))
+        return entry.select(F.explode("mine").alias("d"), "text", "marked", "list").select("d.doc_id", "text", "marked", "list")
 
-    # check is compared beside the join, whose key stays the one that the index is already dealt by
-    same = (F.col("digest") == F.col("_digest")) & (F.col("check") - F.col("_check") == 0)
     if hot.isEmpty():
-        both = ids.join(indexed(src).hint("merge"), same)
+        both = cold(src)
     else:
         few = F.broadcast(hot)  # 1 / share rows at most
-        cold = ids.join(few, on, "left_anti").join(indexed(src.join(few, on, "left_anti")).hint("merge"), same)
         deal = F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int")
         theirs = ids.join(few, on).withColumn("piece", deal).drop("_d", "pieces")
-        copies = indexed(src.join(few, on, "left_semi")).join(few, F.col("_digest") == F.col("_d")).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("_d", "pieces")
-        warm = theirs.join(copies, same & (F.col("piece") == F.col("_piece"))).drop("piece", "_piece")
-        both = cold.unionByName(warm)
+        entry = distinct_texts(src.join(few, on, "left_semi").select("digest", "text"))
+        entry = entry.select(F.col("digest").alias("_digest"), F.col("check").alias("_check"), "text", has.alias("marked"), lists(F.col("text")).alias("list"))
+        copies = entry.join(few, F.col("_digest") == F.col("_d")).withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        same = (F.col("digest") == F.col("_digest")) & (F.col("check") == F.col("_check")) & (F.col("piece") == F.col("_piece"))
+        both = theirs.join(copies, same).select("doc_id", "text", "marked", "list").unionByName(cold(src.join(few, on, "left_anti")))
 
     seeded = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     h = [F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)]
