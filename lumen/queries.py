@@ -1062,3 +1062,7 @@ def _(spark, d):
 
     x = t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("custkey"), (F.col("o_orderkey") % 90).cast("double").alias("age"))
     return cleaning.optimise_types(x)[0]
+
+
+# Further queries stand in modules of their own, which use what is above.
+from lumen import queries_sources  # noqa: E402, F401

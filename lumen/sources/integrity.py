@@ -1,64 +1,65 @@
-"""Checks of a delimited file before it is parsed as a table."""
+"""Checks of a delimited file before it is parsed as a table: all of its records, in file splits."""
 
 from __future__ import annotations
 
-import csv
-import io
-from collections import Counter
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import SparkSession
+from lumen.sources.readers import delimiter_of, encoding_of, head, line_end, narrow
+from lumen.sources.records import read_records
 
-from lumen.sources.readers import delimiter_of, encoding_of, head
+#: Share of ragged records that blocks, multiple of the usual fields and number of records that tell joined ones, share of replacement characters that flags.
+RAGGED, MULTIPLE, WIDE, REPLACED = 0.10, 2, 3, 0.01
 
-#: Records that the gate looks at, share of ragged ones that blocks, wide ones that block, and share of replacement characters that flags.
-RECORDS, RAGGED, WIDE, REPLACED = 50_000, 0.10, 3, 0.01
-#: Bytes of the file that the gate reads at most.
-GATE = 64 << 20
+
+def record_counts(records: DataFrame) -> DataFrame:
+    """``fields, quoted, n, errors, chars, replaced, nuls, first, error`` of records (see ``read_records``) by their number of fields."""
+    return records.groupBy("fields", "quoted").agg(
+        F.count("*").alias("n"), F.count("error").alias("errors"), F.sum("chars").alias("chars"), F.sum("replaced").alias("replaced"), F.sum("nuls").alias("nuls"),
+        F.min(F.struct("file", "block", "seq")).alias("first"), F.min(F.when(F.col("error").isNotNull(), F.struct("file", "block", "seq", "error"))).alias("error"),
+    )
 
 
 def check_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> dict:
-    """status (ok, flagged or blocked) and findings of a delimited file, from its first ``RECORDS`` records.
+    """status (ok, flagged or blocked), findings, encoding, delimiter, records and the usual number of fields of a delimited file or folder.
 
-    It is a gate before parsing, so it is bounded by design; the table itself is
-    read whole.
+    Every record is looked at, the header included; an empty line is a record
+    without fields.  Of numbers of fields that are equally frequent the one seen
+    first counts as usual.
     """
     start = head(spark, path)
+    encoding = encoding or encoding_of(start)
+    delimiter = delimiter or delimiter_of(start.decode(encoding, "replace"))
+    path = narrow(spark, path, encoding)
+    encoding = "UTF-8" if encoding.startswith("UTF-16") else encoding
+    counts = record_counts(read_records(spark, path, delimiter, encoding, line_end(start))).collect()  # a row for each number of fields
     findings: list[dict] = []
 
-    def add(kind: str, action: str, message: str) -> None:
-        findings.append({"kind": kind, "action": action, "message": message})
+    def add(kind: str, action: str, affected: int, message: str) -> None:
+        findings.append({"kind": kind, "action": action, "affected": affected, "message": message})
 
-    encoding = encoding or encoding_of(start)
-    raw = head(spark, path, GATE)
-    if b"\0" in raw and not encoding.startswith("UTF-16"):
-        add("nul_bytes", "flag", f"{raw.count(0)} NUL bytes in the first {len(raw)} bytes")
-    text = raw.decode(encoding, "replace").replace("\0", "").removeprefix("﻿")
-    delimiter = delimiter or delimiter_of(text)
-    whole = len(raw) < GATE
-    widths: list[int] = []
-    rows: list[list[str]] = []
-    try:
-        for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, strict=True):
-            if r:
-                widths.append(len(r))
-                rows.append(r)
-            if len(widths) >= RECORDS:
-                break
-    except csv.Error as e:
-        if whole or "end of data" not in str(e):  # only that may come of where the gate stops reading
-            add("parse_error", "block", f"record {len(widths) + 1}: {e}")
-    if len(widths) <= 1:
-        add("no_records", "flag", "no data records")
-    else:
-        mode = Counter(widths).most_common(1)[0][0]
-        ragged = sum(w != mode for w in widths) / len(widths)
+    records, total = sum(r["n"] for r in counts), lambda c: sum(r[c] or 0 for r in counts)
+    if total("nuls"):
+        add("nul_bytes", "flag", total("nuls"), f"{total('nuls')} NUL bytes")
+    if errors := total("errors"):
+        first = min(r["error"] for r in counts if r["error"])
+        add("parse_error", "block", errors, f"{errors} records: {first['error']}")
+    usual = 0
+    if records <= 1 and not errors:
+        add("no_records", "flag", 0, "no data records")
+    elif counts:
+        by: dict[int, list] = {}
+        for r in counts:
+            n, first = by.get(r["fields"], (0, r["first"]))
+            by[r["fields"]] = [n + r["n"], min(first, r["first"])]
+        usual = min(by, key=lambda k: (-by[k][0], by[k][1]))
+        ragged = records - by[usual][0]
         if ragged:
-            add("ragged", "block" if ragged >= RAGGED else "flag", f"{ragged:.2%} of the records do not have {mode} fields")
-        wide = sum(len(r) >= 2 * mode and any('"' in x for x in r) for r in rows)
+            add("ragged", "block" if ragged / records >= RAGGED else "flag", ragged, f"{ragged / records:.2%} of the records do not have {usual} fields")
+        wide = sum(r["n"] for r in counts if r["quoted"] and usual and r["fields"] >= MULTIPLE * usual)
         if wide >= WIDE:
-            add("concatenated", "block", f"{wide} records hold two or more records")
-    odd = text.count("�")
-    if text and odd / len(text) >= REPLACED:
-        add("replacement_characters", "flag", f"{odd} characters could not be decoded")
+            add("concatenated", "block", wide, f"{wide} records hold two or more records")
+    if total("chars") and total("replaced") / total("chars") >= REPLACED:
+        add("replacement_characters", "flag", total("replaced"), f"{total('replaced')} characters could not be decoded")
     status = "blocked" if any(f["action"] == "block" for f in findings) else "flagged" if findings else "ok"
-    return {"status": status, "encoding": encoding, "delimiter": delimiter, "records": len(widths), "findings": findings}
+    return {"status": status, "encoding": encoding, "delimiter": delimiter, "records": records, "fields": usual, "findings": findings}

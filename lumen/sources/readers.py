@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumen.session import shared_dir
+from lumen.sources.records import read_records
+
 EXTENSIONS = {".csv": "csv", ".tsv": "tsv", ".txt": "txt", ".json": "json", ".jsonl": "json", ".ndjson": "json", ".parquet": "parquet", ".pq": "parquet", ".orc": "orc", ".xlsx": "excel", ".xls": "excel"}
 SAMPLE = 256 << 10
 DELIMITERS = [",", "\t", ";", "|", "~", "^"]
@@ -121,22 +124,58 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floats}) if floats else df
 
 
+def line_end(start: bytes) -> str:
+    """What ends lines: a line feed, or a carriage return where there are only these."""
+    return "\r" if b"\r" in start and b"\n" not in start else "\n"
+
+
+def narrow(spark: SparkSession, path: str, encoding: str) -> str:
+    """path, or for UTF-16, whose line ends are no single bytes, a copy as UTF-8 in the shared folder; each file is decoded by one task."""
+    if not encoding.startswith("UTF-16"):
+        return path
+    to = f"{shared_dir(spark)}/utf8"
+    text = F.decode(F.col("content"), F.lit("UTF-16"))
+    spark.read.format("binaryFile").load(path).select(F.regexp_replace(text, "\r?\n$", "").alias("value")).write.text(to)
+    return to
+
+
+def _records_as_csv(records: DataFrame):
+    """The records' text as a data set that Spark's CSV parser takes."""
+    jvm = records.sparkSession._jvm
+    return getattr(records.select("record")._jdf, "as")(jvm.org.apache.spark.sql.Encoders.STRING())
+
+
 def _csv(spark: SparkSession, path: str, sep: str | None, encoding: str | None, infer: bool) -> tuple[DataFrame, str]:
-    """Rows of a delimited file with a column that holds the text of records that cannot be parsed, and its name."""
+    """Rows of a delimited file with a column that holds the text of records that cannot be parsed, and its name.
+
+    A file without quoted line ends is Spark's own to read; otherwise records are
+    found split by split, and its parser gets them one by one.
+    """
     start = head(spark, path)
     encoding = encoding or encoding_of(start)
     sep = sep or delimiter_of(start.decode(encoding, "replace"))
-    # Lines can be read apart, and the file in parts, unless a quoted field goes on over a line's end.
+    path, encoding = narrow(spark, path, encoding), "UTF-8" if encoding.startswith("UTF-16") else encoding
+    how = {"header": True, "sep": sep, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "nullValue": ""}
+    # Whether a record is at fault must not depend on which columns a query reads.
+    how |= {"columnPruning": False, "maxCharsPerColumn": -1}
     odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
-    many = encoding.startswith("UTF-16") or not spark.read.text(path).where(odd).isEmpty()
-    how = {"header": True, "sep": sep, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": many, "ignoreLeadingWhiteSpace": False, "nullValue": ""}
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")  # else a record's faults depend on which columns a query reads
-    plain = spark.read.csv(path, inferSchema=infer, **how)
+    many = not spark.read.option("lineSep", line_end(start)).text(path).where(odd).isEmpty()
+    if many:
+        records = read_records(spark, path, sep, encoding, line_end(start)).withColumn("record", F.regexp_replace("record", "^\ufeff", ""))
+        plain = spark.read.options(inferSchema=infer, **how)
+        names = DataFrame(plain._jreader.csv(_records_as_csv(records)), spark)
+    else:
+        how |= {"encoding": encoding, "lineSep": line_end(start)}
+        names = spark.read.options(inferSchema=infer, **how).csv(path)
     corrupt = "_corrupt"
-    while corrupt in plain.columns:
+    while corrupt in names.columns:
         corrupt = f"_{corrupt}"
-    schema = T.StructType([*plain.schema.fields, T.StructField(corrupt, T.StringType())])
-    return spark.read.schema(schema).csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt, **how), corrupt
+    schema = T.StructType([*names.schema.fields, T.StructField(corrupt, T.StringType())])
+    reader = spark.read.schema(schema).options(mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt, **how)
+    if not many:
+        return reader.csv(path), corrupt
+    body = records.where(~((F.col("block") == 0) & (F.col("seq") == 0)) & (F.trim("record") != ""))  # each file begins with a header
+    return DataFrame(reader.option("header", False)._jreader.csv(_records_as_csv(body)), spark), corrupt
 
 
 def malformed(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> int:
@@ -236,7 +275,7 @@ def read_any(spark: SparkSession, path: str, limit: int | None = None, check: bo
         if kind == "txt" and len(df.columns) == 1:
             for sep in ("|", ";", "\t", ",", "~"):
                 if sep in df.columns[0]:
-                    df = read_csv(spark, path, sep)
+                    df = read_csv(spark, path, sep, warn=True)
                     break
             else:
                 df = read_fixed_width(spark, path)

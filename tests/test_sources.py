@@ -1,6 +1,10 @@
+import csv
+import io
+import random
+
 import pytest
 
-from lumen.sources import integrity, readers, sinks
+from lumen.sources import integrity, readers, records, sinks
 
 
 def put(tmp_path, name, data):
@@ -67,13 +71,75 @@ def test_sinks(spark, tmp_path):
     assert sinks.frame_digest(df) == sinks.frame_digest(df.orderBy("i", ascending=False)) != sinks.frame_digest(df.limit(1))
 
 
-def test_parse_errors_block_at_any_size(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(integrity, "GATE", 2000)
-    good = "a,b\n" + "1,2\n" * 5000
-    assert integrity.check_csv(spark, put(tmp_path, "big.csv", good))["status"] == "ok"
-    assert integrity.check_csv(spark, put(tmp_path, "cut.csv", "a,b\n" + '1,"x\ny"\n' * 5000))["status"] == "ok"
-    bad = 'a,b\n1,"x"y\n' + "1,2\n" * 5000
-    assert integrity.check_csv(spark, put(tmp_path, "bad.csv", bad))["status"] == "blocked"
+@pytest.fixture
+def splits(spark):
+    """Sets the size of file splits."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+
+    def use(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+
+    yield use
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_damage_is_found_wherever_it_stands(spark, tmp_path, splits):
+    splits(20_000)
+    good = "a,b\n" + "1,2\n" * 60_000
+    assert integrity.check_csv(spark, put(tmp_path, "big.csv", good)) == {"status": "ok", "encoding": "UTF-8", "delimiter": ",", "records": 60_001, "fields": 2, "findings": []}
+    assert integrity.check_csv(spark, put(tmp_path, "lines.csv", "a,b\n" + '1,"x\ny"\n' * 9000))["status"] == "ok"
+    for name, tail, kind, n in (("open", '1,"x\n1,2\n', "parse_error", 1), ("odd", '1,"x"y\n1,2\n', "parse_error", 1), ("joined", "1,2'3,4\n" * 2 + "1,'2,3,4\n" * 3, "concatenated", 3), ("ragged", "1\n" * 7, "ragged", 7)):
+        found = {f["kind"]: f for f in integrity.check_csv(spark, put(tmp_path, f"{name}.csv", good + tail))["findings"]}
+        assert found[kind]["affected"] == n and found[kind]["action"] == ("flag" if kind == "ragged" else "block")
+
+
+@pytest.mark.parametrize("size", [150, 4000, 1 << 27])
+def test_records_equal_a_plain_parser_at_every_split_size(spark, tmp_path, splits, size):
+    splits(size)
+    cells = ["x", '5" pipe', "a,b", 'say ""hi"" "', 'line\nend\n\n"q"', "", "é中", "long\n" * 40, '"', "it's"]
+    for seed, end in ((1, "\n"), (2, "\r\n")):
+        r = random.Random(seed)
+        s = io.StringIO(newline="")
+        csv.writer(s, lineterminator=end).writerows([[r.choice(cells) for _ in range(3)] for _ in range(120)])
+        raw = s.getvalue().replace("x,", 'x" y,')  # quotes within fields stand for themselves
+        path = put(tmp_path, f"{seed}.csv", raw)
+        got = records.read_records(spark, path).orderBy("block", "seq").collect()
+        want = list(csv.reader(io.StringIO(raw, newline="")))
+        assert [next(csv.reader([g["record"]]), []) for g in got] == want and [g["fields"] for g in got] == list(map(len, want))
+        assert not any(g["error"] for g in got)
+        if size == 150:
+            assert records.lines(spark, path).rdd.getNumPartitions() > 20
+    assert {g["error"] for g in records.read_records(spark, put(tmp_path, "o.csv", raw + 'a,"open\nand on\n')).collect()} == {None, "unexpected end of data"}
+
+
+def test_states_after_a_line():
+    for line, outside, inside in ((b"a,b", False, True), (b'a,"b', True, False), (b'"a""b",c', False, True), (b'x"y', False, False), (b'"', True, False), (b'""', False, True), (b'","', True, True)):
+        assert (records.state_after(line, False, b","), records.state_after(line, True, b",")) == (outside, inside), line
+
+
+def test_quoted_line_ends_are_read_in_parts(spark, tmp_path, splits):
+    splits(3000)
+    rows = [(i, f"text {i}\nwith, \"quotes\"\n\nand é", i / 4) for i in range(400)]
+    s = io.StringIO(newline="")
+    csv.writer(s, lineterminator="\n").writerows([("id", "text", "x"), *rows])
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.csv.parser.columnPruning.enabled")
+    df = readers.read_csv(spark, put(tmp_path, "t.csv", s.getvalue()))
+    assert df.dtypes == [("id", "int"), ("text", "string"), ("x", "double")] and df.rdd.getNumPartitions() > 5
+    assert sorted(tuple(r) for r in df.collect()) == rows and df.agg({"id": "sum"}).first()[0] == sum(range(400))
+    assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.csv.parser.columnPruning.enabled"))
+    bad = s.getvalue() + "7\n8,b\n"
+    with pytest.warns(UserWarning, match="2 records"):
+        assert readers.read_csv(spark, put(tmp_path, "u.csv", bad), warn=True).count() == 400
+
+
+def test_other_line_ends_and_wide_characters(spark, tmp_path):
+    mac = readers.read_csv(spark, put(tmp_path, "m.csv", "a,b\r1,x\r2,y\r"))
+    assert sorted(tuple(r) for r in mac.collect()) == [(1, "x"), (2, "y")]
+    path = put(tmp_path, "w.csv", 'a,b\n1,"é\n中"\n2,z\n'.encode("utf-16"))
+    assert sorted(tuple(r) for r in readers.read_csv(spark, path).collect()) == [(1, "é\n中"), (2, "z")]
+    assert integrity.check_csv(spark, path)["records"] == 3
 
 
 def test_records_that_cannot_be_parsed_are_counted(spark, tmp_path):
