@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumen import vocab
 from lumen.functions import special
 from lumen.functions.columns import finite, rounded, strength
+from lumen.operators.concordance import tau_b
 from lumen.operators.rows import average_ranks
 from lumen.operators.select import by_type
 
@@ -48,21 +49,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: tau-b from the counts of distinct value pairs.
-
-    Concordant pairs are counted over the grid of distinct (x, y) with a range
-    join, exact for any n; cost grows with the square of the distinct pairs, so
-    it is for columns of few values or few rows.
-    """
-    x, y = _both(a, b)
-    g = df.select(x.alias("x"), y.alias("y")).where("x is not null").groupBy("x", "y").agg(F.count("*").alias("n"))
-    total = g.agg(F.sum("n").alias("n"))
-    ties = lambda c: g.groupBy(c).agg(F.sum("n").alias("t")).agg(F.coalesce(F.sum(F.col("t") * (F.col("t") - 1) / 2), F.lit(0.0)).alias(f"t{c}"))
-    p, q = g.alias("p"), g.alias("q")
-    signed = p.join(q, F.col("p.x") < F.col("q.x")).agg(F.coalesce(F.sum(F.col("p.n") * F.col("q.n") * F.signum(F.col("q.y") - F.col("p.y"))), F.lit(0.0)).alias("s"))
-    z = signed.join(F.broadcast(ties("x"))).join(F.broadcast(ties("y"))).join(F.broadcast(total))  # one row each
-    n0 = F.col("n") * (F.col("n") - 1) / 2
-    return z.select(F.lit(a).alias("a"), F.lit(b).alias("b"), rounded(F.col("s") / F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty")))).alias("r"), "n")
+    """One row: a, b, r, n by tau-b, exact for any number of values."""
+    return tau_b(df, a, b)
 
 
 def ranked_pairs(pairs: DataFrame) -> DataFrame:

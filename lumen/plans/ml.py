@@ -7,13 +7,14 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import HashingTF, IDF, OneHotEncoder, StandardScaler, StopWordsRemover, StringIndexer, Tokenizer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumen.functions.columns import rounded
 from lumen.operators.rows import average_ranks
+from lumen.plans.learners import Boosted, Kernel, Neighbours, Terms, stratified_split
 from lumen.plans.profile import profile
 from lumen.plans.target import leaks, task_of
 
@@ -26,6 +27,10 @@ CLASSIFIERS = {
     "decision_tree": lambda: DecisionTreeClassifier(maxDepth=8, seed=42),
     "logistic_regression": lambda: LogisticRegression(maxIter=100, regParam=0.01),
     "naive_bayes": lambda: NaiveBayes(modelType="gaussian"),
+    "boosted_trees_of_classes": lambda: OneVsRest(classifier=GBTClassifier(maxIter=40, maxDepth=5, seed=42)),
+    "adaboost": lambda: Boosted(100),
+    "knn": lambda: Neighbours(5),
+    "kernel_svm": lambda: Kernel(),
     "linear_svm": lambda: OneVsRest(classifier=__import__("pyspark.ml.classification", fromlist=["LinearSVC"]).LinearSVC(maxIter=50)),
 }
 REGRESSORS = {
@@ -36,9 +41,11 @@ REGRESSORS = {
     "ridge": lambda: LinearRegression(regParam=0.1, elasticNetParam=0.0),
     "lasso": lambda: LinearRegression(regParam=0.1, elasticNetParam=1.0),
     "elastic_net": lambda: LinearRegression(regParam=0.1, elasticNetParam=0.5),
+    "knn": lambda: Neighbours(5, mean=True),
+    "kernel_ridge": lambda: Kernel(regression=True),
     "generalized_linear": lambda: GeneralizedLinearRegression(),
 }
-SCALED = {"logistic_regression", "linear_svm", "linear_regression", "ridge", "lasso", "elastic_net", "generalized_linear"}
+SCALED = {"logistic_regression", "linear_svm", "linear_regression", "ridge", "lasso", "elastic_net", "generalized_linear", "knn", "kernel_svm", "kernel_ridge"}
 
 
 @dataclass
@@ -117,20 +124,27 @@ def train(df: DataFrame, target: str, model: str | None = None, keys: list[str]
     if not use:
         return Outcome("skipped", task=task, left_out=out, warnings=["no columns are left"])
     names = [model, *choose(rows, task, ps[target].unique, bool(texts) and len(texts) * 2 > len(use))] if model else list(choose(rows, task, ps[target].unique, bool(texts) and len(texts) * 2 > len(use)))
-    a, b = split(df.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in keys or df.columns])).select("_h", *[F.col(f"`{c}`") for c in df.columns]), ["_h"])
+    if task == "classification":
+        a, b = stratified_split(df, target, keys or df.columns)
+        if b.select(F.col(f"`{target}`")).distinct().limit(2).count() < 2:
+            return Outcome("failed", task=task, left_out=out, warnings=["fewer than two classes have two rows"])
+    else:
+        a, b = split(df.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in keys or df.columns])).select("_h", *[F.col(f"`{c}`") for c in df.columns]), ["_h"])
     pick = lambda x: x.select(*[e for e in [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in num] + [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("Unknown")).alias(c) for c in cat + texts]], F.col(f"`{target}`").cast("string" if task == "classification" else "double").alias("_y"))
     train_df, test_df = pick(a), pick(b)
     steps = []
     if cat:
         steps += [StringIndexer(inputCols=cat, outputCols=[f"{c}_i" for c in cat], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}_i" for c in cat], outputCols=[f"{c}_v" for c in cat])]
     for c in texts:
-        steps += [Tokenizer(inputCol=c, outputCol=f"{c}_w"), StopWordsRemover(inputCol=f"{c}_w", outputCol=f"{c}_s"), HashingTF(inputCol=f"{c}_s", outputCol=f"{c}_t", numFeatures=4096), IDF(inputCol=f"{c}_t", outputCol=f"{c}_v")]
+        steps.append(Terms(c, f"{c}_v"))
     steps.append(VectorAssembler(inputCols=num + [f"{c}_v" for c in cat + texts], outputCol="_x"))
     if task == "classification":
         steps.append(StringIndexer(inputCol="_y", outputCol="label", handleInvalid="skip").setStringOrderType("alphabetAsc"))
     result = Outcome("failed", task=task, left_out=out)
     for name in dict.fromkeys(names):
         try:
+            if name == "gradient_boosting" and task == "classification" and ps[target].unique > 2:
+                name = "boosted_trees_of_classes"
             made = (CLASSIFIERS if task == "classification" else REGRESSORS)[name]()
             fit = steps + ([StandardScaler(inputCol="_x", outputCol="features")] if name in SCALED else [])
             made = made.setFeaturesCol("features" if name in SCALED else "_x").setLabelCol("label" if task == "classification" else "_y")

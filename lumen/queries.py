@@ -1065,4 +1065,4 @@ def _(spark, d):
 
 
 # Further queries stand in modules of their own, which use what is above.
-from lumen import queries_sources  # noqa: E402, F401
+from lumen import queries_models, queries_sources  # noqa: E402, F401
