@@ -25,9 +25,8 @@ def column_stats(df: DataFrame, name: str) -> DataFrame:
     if isinstance(t, T.NumericType):
         v = finite(c.cast("double"))
         n |= {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "std": F.stddev_samp(v), "zeros": F.count_if(v == 0)}
-        n.pop("unique")
         one = df.agg(*[e.cast("double").alias(k) for k, e in n.items()]).join(F.broadcast(quantile_row(df, numbers([name]), [0.25, 0.5, 0.75])))  # one row each
-        one = one.select(*n, F.col("unique0").cast("double").alias("unique"), *[F.col("q0")[i].alias(k) for i, k in enumerate(("q1", "median", "q3"))])
+        one = one.select(*n, *[F.col("q0")[i].alias(k) for i, k in enumerate(("q1", "median", "q3"))])
     elif isinstance(t, T.BooleanType):
         one = df.agg(*[e.cast("double").alias(k) for k, e in n.items()], F.count_if(c).cast("double").alias("true_count"))
     elif isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):

@@ -11,18 +11,19 @@ from lumen.operators.quantiles import numbers, quantile_row
 
 
 def fences(df: DataFrame, columns: list[str], method: str = "iqr", k: float = 1.5) -> DataFrame:
-    """One row: ``_rows``, and of the i-th column ``_n<i>``, ``_u<i>`` distinct values, ``_s<i>`` the spread, ``_m<i>`` the median, and the fences ``_a<i>`` and ``_b<i>`` beyond which values are outliers."""
+    """One row: ``_rows``, and of the i-th column ``_n<i>``, the least and greatest value ``_l<i>`` and ``_h<i>``, ``_s<i>`` the spread, ``_m<i>`` the median, and the fences ``_a<i>`` and ``_b<i>`` beyond which values are outliers."""
     if method not in ("iqr", "zscore"):
         raise ValueError("method is iqr or zscore")
     values = numbers(columns)
     q = quantile_row(df, values, [0.25, 0.5, 0.75])
     means = [e for i, v in enumerate(values.values()) for e in (F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"sd{i}"))] if method == "zscore" else []
-    one = df.agg(F.count("*").alias("_rows"), *means).join(F.broadcast(q))  # one row each
+    ends = [e for i, v in enumerate(values.values()) for e in (F.min(v).alias(f"_l{i}"), F.max(v).alias(f"_h{i}"))]
+    one = df.agg(F.count("*").alias("_rows"), *ends, *means).join(F.broadcast(q))  # one row each
     out = [F.col("_rows")]
     for i in range(len(columns)):
         x = F.col(f"q{i}")
         spread, low, high = (x[2] - x[0], x[0], x[2]) if method == "iqr" else (F.col(f"sd{i}"), F.col(f"mean{i}"), F.col(f"mean{i}"))
-        out += [F.col(f"count{i}").alias(f"_n{i}"), F.col(f"unique{i}").alias(f"_u{i}"), spread.alias(f"_s{i}"), x[1].alias(f"_m{i}"), (low - k * spread).alias(f"_a{i}"), (high + k * spread).alias(f"_b{i}")]
+        out += [F.col(f"count{i}").alias(f"_n{i}"), F.col(f"_l{i}"), F.col(f"_h{i}"), spread.alias(f"_s{i}"), x[1].alias(f"_m{i}"), (low - k * spread).alias(f"_a{i}"), (high + k * spread).alias(f"_b{i}")]
     return one.select(*out)
 
 
@@ -47,11 +48,13 @@ def outliers(df: DataFrame, columns: list[str], method: str = "iqr", k: float =
     for i, v in enumerate(values):
         hit = (v < F.col(f"_a{i}")) | (v > F.col(f"_b{i}"))
         far = (F.col(f"_d{i}") > 0) & (F.abs(v - F.col(f"_m{i}")) > 3.5 * 1.4826 * F.col(f"_d{i}"))
-        counts += [F.count_if(hit).alias(f"o{i}"), F.min(F.when(hit, v)).alias(f"l{i}"), F.max(F.when(hit, v)).alias(f"h{i}"), F.count_if(hit & far).alias(f"f{i}")] + [F.first(f"_{c}{i}").alias(f"_{c}{i}") for c in "nusab"]
+        counts += [F.count_if(hit).alias(f"o{i}"), F.min(F.when(hit, v)).alias(f"l{i}"), F.max(F.when(hit, v)).alias(f"h{i}"), F.count_if(hit & far).alias(f"f{i}")]
+        counts.append(F.count_if((v > F.col(f"_l{i}")) & (v < F.col(f"_h{i}"))).alias(f"m{i}"))  # some if there are more than two values
+        counts += [F.first(f"_{c}{i}").alias(f"_{c}{i}") for c in "nsab"]
     one = x.agg(F.first("_rows").alias("rows"), *counts)
-    kinds = {"n": "_n", "distinct": "_u", "spread": "_s", "lower": "_a", "upper": "_b", "outliers": "o", "least": "l", "most": "h", "both": "f"}
+    kinds = {"n": "_n", "inner": "m", "spread": "_s", "lower": "_a", "upper": "_b", "outliers": "o", "least": "l", "most": "h", "both": "f"}
     cells = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{p}{i}").alias(n) for n, p in kinds.items()]) for i, c in enumerate(columns)])
-    g = one.select("rows", F.explode(cells).alias("x")).select("rows", "x.*").where((F.col("n") >= vocab.OUTLIER_LEAST) & (F.col("distinct") > 2) & (F.col("spread") > 0))
+    g = one.select("rows", F.explode(cells).alias("x")).select("rows", "x.*").where((F.col("n") >= vocab.OUTLIER_LEAST) & (F.col("inner") > 0) & (F.col("spread") > 0))
     pct = 100.0 * F.col("outliers") / F.col("rows")
     return g.select("column", rounded(F.col("lower")).alias("lower"), rounded(F.col("upper")).alias("upper"), "outliers", rounded(pct, 4).alias("percentage"), severity(pct).alias("severity"), rounded(F.col("least")).alias("min_outlier"), rounded(F.col("most")).alias("max_outlier"), rounded(F.when(F.col("outliers") > 0, F.col("both") / F.col("outliers"))).alias("mad_share"))
 

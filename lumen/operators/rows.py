@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumen.functions.columns import collapse, fold_case, missing_like, rounded
-from lumen.operators.quantiles import numbers, quantile_row
+from lumen.operators.quantiles import numbers, quantile_row, ranged
 
 
 def _cols(columns: list[str]) -> list[Column]:
@@ -56,16 +56,16 @@ def average_ranks(df: DataFrame, value: str, by: list[str] | None = None, name:
     """df with the mean rank of its non-null values, ascending.
 
     Ranks come from the counts of distinct values, not from one sorted
-    partition: cumulative counts run over value ranges.
+    partition: cumulative counts run over value ranges at fixed cut points.
     """
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own keeps the ranges as they are
-    ranged = counts.repartitionByRange(parts, F.col(value)).withColumn("_p", F.spark_partition_id())
-    totals = ranged.groupBy(*by, "_p").agg(F.sum("_n").alias("_t"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = ranged(counts, value, parts, "_p")
+    totals = cut.groupBy(*by, "_p").agg(F.sum("_n").alias("_t"))
     before = totals.withColumn("_b", F.coalesce(F.sum("_t").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
     within = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ranged.withColumn("_w", within).join(before, [*by, "_p"]).select(*by, value, (F.col("_b") + F.col("_w") + (F.col("_n") + 1) / 2.0).alias(name), F.col("_n").alias("_ties"))
+    ranked = cut.withColumn("_w", within).join(before, [*by, "_p"]).select(*by, value, (F.col("_b") + F.col("_w") + (F.col("_n") + 1) / 2.0).alias(name), F.col("_n").alias("_ties"))
     return df.join(ranked, [*by, value], "left")
 
 
@@ -95,8 +95,8 @@ def daily_counts(df: DataFrame, ts: str) -> DataFrame:
 
 def sequential_share(df: DataFrame, value: str, order: str) -> DataFrame:
     """One row: successive differences of one, in row order, their number and share."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own keeps the ranges as they are
-    counted = df.where(F.col(value).isNotNull()).repartitionByRange(parts, F.col(order)).withColumn("_p", F.spark_partition_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = ranged(df.where(F.col(value).isNotNull()).select(value, *([order] if order != value else [])), order, parts, "_p")
     w = Window.partitionBy("_p").orderBy(order)
     inner = counted.withColumn("_d", F.col(value) - F.lag(value).over(w))
     ends = counted.groupBy("_p").agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumen.functions.columns import entropy_of, finite, iso_weekday, kurtosis_adjusted, parse_datetime, rounded, skew_adjusted, span_days, word_count
-from lumen.operators.quantiles import numbers, quantile_row, quantiles, value_counts
+from lumen.operators.quantiles import distinct_counts, numbers, quantile_row, quantiles
 from lumen.operators.select import by_type
 
 PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -41,8 +41,8 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     one = df.agg(*[e.alias(f"{k}_{i}") for i, _, k, e in all_])
     cells = [F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), *[F.col(f"{k}_{i}").alias(k) for j, _, k, _ in all_ if j == i]) for i, c in enumerate(columns)]
     rows = one.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
-    q = quantiles(df, numbers(columns), PERCENTILES).select("i", "unique", "q")
-    both = rows.join(F.broadcast(q), "i", "left").withColumn("unique", F.coalesce("unique", F.lit(0)))  # a row a column
+    q, u = quantiles(df, numbers(columns), PERCENTILES).select("i", "q"), distinct_counts(df, numbers(columns))
+    both = rows.join(F.broadcast(q), "i", "left").join(F.broadcast(u), "i", "left").withColumn("unique", F.coalesce("unique", F.lit(0)))  # a row a column
     at = dict(zip(("p5", "q1", "median", "q3", "p95"), range(5)))
     return both.withColumns({k: rounded(F.col("q")[i]) for k, i in at.items()} | {"iqr": rounded(F.col("q")[3] - F.col("q")[1])}).select(*NUMERIC)
 
@@ -94,7 +94,7 @@ def text_summary(df: DataFrame, column: str) -> DataFrame:
 def profile_columns(df: DataFrame) -> DataFrame:
     """One row a column: type, nulls, exact distinct values, ratio over non-null rows; values are counted by the text that stands for them, each column's once."""
     one = df.agg(F.count("*").alias("_n"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
-    u = value_counts(df, {c: F.hex(F.col(f"`{c}`")) if t == "binary" else F.col(f"`{c}`").cast("string") for c, t in df.dtypes}).groupBy("i").agg(F.count("*").alias("unique"))
+    u = distinct_counts(df, {c: F.hex(F.col(f"`{c}`")) if t == "binary" else F.col(f"`{c}`").cast("string") for c, t in df.dtypes})
     cells = [F.struct(F.lit(i).alias("i"), F.lit(c).alias("column"), F.lit(t).alias("type"), F.col(f"c{i}").alias("count"), (F.col("_n") - F.col(f"c{i}")).alias("nulls")) for i, (c, t) in enumerate(df.dtypes)]
     x = one.select(F.explode(F.array(*cells)).alias("x")).select("x.*").join(F.broadcast(u), "i", "left").withColumn("unique", F.coalesce("unique", F.lit(0)))  # a row a column
     return x.select("column", "type", "count", "nulls", "unique", rounded(F.when(F.col("count") > 0, F.col("unique") / F.col("count"))).alias("unique_ratio"))
