@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumen.llm import byte_bpe, decontaminate, ngram_jaccard, secret_scan, toxicity
-from lumen.llm.shared import fold, read, shared_dir
+from lumen.llm.shared import fold, free, read, shared_dir
 
 #: The first stage is a learned model, which SQL does not express; tests hold run() against a brute-force version.
 ORACLE_SQL = None
@@ -23,23 +23,26 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose score is below 0.5; the model is learned from the labels' folds for learning."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
-    return toxicity.score(docs, model, name="_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    name = free("toxicity", docs)
+    return toxicity.score(docs, model, name=name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of smallest doc_id of each component; rows without words or id stay, rows that repeat an id become one."""
-    ids = ngram_jaccard.jaccard_components(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(ids, F.col("doc_id") == F.col("_keep"), "left_semi")
+    keep, digest = free("keep", docs), free("digest", docs)
+    ids = ngram_jaccard.jaccard_components(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias(keep)).distinct()
+    kept = docs.where(F.col("doc_id").isNotNull()).join(ids, F.col("doc_id") == F.col(keep), "left_semi")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), F.col("text"), *rest)
+    first = F.struct(F.sha2(F.coalesce("text", F.lit("")), 256).alias(digest), F.col("text"), *[F.col(f"`{c}`") for c in rest])
     one = kept.groupBy("doc_id").agg(F.min(first).alias("_row")).select("doc_id", F.col("_row.text").alias("text"), *[F.col(f"_row.`{c}`").alias(c) for c in rest])
     return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of documents that hold no benchmark item."""
-    found = decontaminate.decontaminate(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
+    name = free("found", docs)
+    found = decontaminate.decontaminate(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

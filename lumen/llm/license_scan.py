@@ -193,10 +193,11 @@ def scan_text(text: str | None) -> Scan:
             tags.append(nth)
     if tags:
         low = text.translate(_LOWER)
-        ends = [m.end() for m in _WORD.finditer(low)]
-        for nth in tags:
-            stop = low.find("\n", ends[nth + 2])
-            rest = text[ends[nth + 2] : stop if stop >= 0 else None].lstrip(" :\t")
+        spans = [m.span() for m in _WORD.finditer(low)]
+        for nth, then in zip(tags, [*(spans[n][0] for n in tags[1:]), len(low)]):
+            begin = spans[nth + 2][1]
+            stop = low.find("\n", begin, then)  # an expression ends with its line or at the next tag
+            rest = text[begin : stop if stop >= 0 else then].lstrip(" :\t")
             out.expressions.append(rest.strip())
             out.values.append(evaluate(rest))
     return out
