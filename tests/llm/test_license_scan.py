@@ -76,3 +76,14 @@ def test_hostile_texts_take_linear_time():
 def test_clashing_columns_and_empty_table(spark):
     assert m.scan_licenses(clashing(spark, ["mit license"])).first()["n_words"] == 2
     assert m.scan_licenses(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_many_tags_on_one_line():
+    import time
+
+    began = time.time()
+    got = m.scan_text("SPDX-License-Identifier: MIT OR Apache-2.0 " * 20_000)
+    assert time.time() - began < 5 and set(got.expressions) == {"MIT OR Apache-2.0"} and len(got.expressions) == 20_000
+    assert sum(map(len, got.expressions)) < 1_000_000
+    two = m.scan_text("x SPDX-License-Identifier: MIT AND\nSPDX-License-Identifier: (GPL-3.0) spdx-license-identifier : Apache-2.0 */ end")
+    assert two.expressions == ["MIT AND", "(GPL-3.0)", "Apache-2.0 */ end"]
