@@ -33,18 +33,22 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Distances of each row of x to each of y, from differences, so that equal pairs give equal numbers."""
+def _to(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of each row of x to y, from differences, so that equal pairs give equal numbers."""
+    return np.abs(x - y).max(1) if metric == "chebyshev" else np.sqrt(((x - y) ** 2).sum(1))
+
+
+def _apart(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     out = np.empty((len(x), len(y)))
     for j in range(len(y)):
-        out[:, j] = np.sqrt(((x - y[j]) ** 2).sum(1))
+        out[:, j] = _to(x, y[j], metric)
     return out
 
 
-def _cells(pivots: np.ndarray):
+def _cells(pivots: np.ndarray, metric: str):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = _apart(_matrix(b.column(1), pivots.shape[1]), pivots)
+            d = _apart(_matrix(b.column(1), pivots.shape[1]), pivots, metric)
             cell = d.argmin(1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], ["id", "v", "cell", "d"])
 
@@ -62,19 +66,21 @@ class Bounds:
     low: np.ndarray
     high: np.ndarray
     first: list[np.ndarray]
+    metric: str = "euclidean"
 
     def visits(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Which rings (columns) each query (row) visits, and the bound on its k-th neighbour's distance."""
-        d = _apart(q, self.pivots)
+        d = _apart(q, self.pivots, self.metric)
         near = np.concatenate([d[:, [i]] + x[None, :] for i, x in enumerate(self.first) if len(x)], 1)
         bound = np.partition(near, k - 1, 1)[:, k - 1] if near.shape[1] >= k else np.full(len(q), np.inf)
         to = d[:, self.cell]
         least = np.maximum(0, np.maximum(to - self.high, self.low - to))
-        own = d.argmin(1)
-        between = _apart(self.pivots, self.pivots)[own][:, self.cell]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            plane = (to**2 - d[np.arange(len(q)), own][:, None] ** 2) / (2 * between)
-        least = np.maximum(least, np.where(between > 0, plane, 0))
+        if self.metric == "euclidean":
+            own = d.argmin(1)
+            between = _apart(self.pivots, self.pivots, self.metric)[own][:, self.cell]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = (to**2 - d[np.arange(len(q)), own][:, None] ** 2) / (2 * between)
+            least = np.maximum(least, np.where(between > 0, plane, 0))
         slack = 1e-9 * (1 + bound + d.max(1))  # rounding of distances
         return least <= (bound + slack)[:, None], bound
 
@@ -109,7 +115,7 @@ def _visits(bounds: Bounds, k: int):
     return f
 
 
-def _search(k: int, dim: int, itself: bool):
+def _search(k: int, dim: int, itself: bool, metric: str):
     """Rows come sorted by block, the block's own rows (side 0) first; queries pass by in batches."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +143,7 @@ def _search(k: int, dim: int, itself: bool):
     def _nearest(qid, q, ids, x):
         for s in range(0, len(q), 256):
             at, out_q, out_n, out_d = qid[s : s + 256], [], [], []
-            for i, d in zip(at, (np.sqrt(((x - y) ** 2).sum(1)) for y in q[s : s + 256])):
+            for i, d in zip(at, (_to(x, y, metric) for y in q[s : s + 256])):
                 use = np.flatnonzero(ids != i) if not itself else np.arange(len(ids))
                 if len(use) > k:
                     cut = np.partition(d[use], k - 1)[k - 1]
@@ -157,7 +163,7 @@ def _vectors(df: DataFrame, id: str, vector: str, dim: int) -> DataFrame:
     return df.where(x.isNotNull() & (F.size(x) == dim)).where(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))).select(F.col(id).cast("long").alias("id"), F.transform(x, lambda e: e.cast("double")).alias("v")).where("id is not null")
 
 
-def bounds_of(celled: DataFrame, pivots: np.ndarray, k: int, rings: int = RINGS, block: int = BLOCK) -> tuple[Bounds, DataFrame]:
+def bounds_of(celled: DataFrame, pivots: np.ndarray, k: int, rings: int = RINGS, block: int = BLOCK, metric: str = "euclidean") -> tuple[Bounds, DataFrame]:
     """Bounds of celled rows (id, v, cell, d), and these with their ``ring`` and ``part``."""
     edges = celled.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("d", F.array(*[F.lit(i / rings) for i in range(1, rings)]) if rings > 1 else F.array(F.lit(0.5)), F.lit(2000)).alias("edges")).collect()  # a row a pivot
     cut = {r["cell"]: sorted(set(r["edges"])) if r["n"] > block else [] for r in edges}
@@ -171,7 +177,7 @@ def bounds_of(celled: DataFrame, pivots: np.ndarray, k: int, rings: int = RINGS,
     for r in least:
         near[r["cell"]] = np.sort(np.array(r["d"]))
     blocks = np.array([-(-r["n"] // block) for r in found], np.int64)
-    made = Bounds(pivots, *(np.array([r[c] for r in found]) for c in ("cell", "ring")), blocks, *(np.array([r[c] for r in found], float) for c in ("low", "high")), near)
+    made = Bounds(pivots, *(np.array([r[c] for r in found]) for c in ("cell", "ring")), blocks, *(np.array([r[c] for r in found], float) for c in ("low", "high")), near, metric)
     parts = F.create_map(*[x for r, n in zip(found, blocks) for x in (F.lit(r["cell"] * 4096 + r["ring"]), F.lit(int(n)))]) if found else None
     part = F.pmod(F.xxhash64("id"), F.element_at(parts, F.col("cell") * 4096 + F.col("ring"))).cast("int") if found else F.lit(0)
     return made, ringed.withColumn("part", part)
@@ -191,8 +197,8 @@ def _first(k: int):
     return f
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int = 5, id: str = "id", vector: str = "features", dim: int | None = None, itself: bool = False, pivots: int = PIVOTS, rings: int = RINGS, block: int = BLOCK, queries_of: int = QUERIES) -> DataFrame:
-    """``id, neighbour, rank, distance, seen`` of the k nearest rows of base (Euclidean; ties: smaller id) for each query.
+def nearest(base: DataFrame, queries: DataFrame, k: int = 5, id: str = "id", vector: str = "features", dim: int | None = None, itself: bool = False, pivots: int = PIVOTS, rings: int = RINGS, block: int = BLOCK, queries_of: int = QUERIES, metric: str = "euclidean") -> DataFrame:
+    """``id, neighbour, rank, distance, seen`` of the k nearest rows of base (ties: smaller id; metric: euclidean or chebyshev) for each query.
 
     Rows of base with the query's own id count only if ``itself``.  Vectors of
     another length than ``dim`` (by default the first query's), with null or
@@ -209,9 +215,9 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, id: str = "id", vec
     if not taken:
         return spark.createDataFrame([], schema)
     middle = np.unique(np.array([r["v"] for r in taken], float), axis=0)
-    celled = b.mapInArrow(_cells(middle), "id long, v array<double>, cell int, d double")
+    celled = b.mapInArrow(_cells(middle, metric), "id long, v array<double>, cell int, d double")
     reach = k if itself else k + 1  # one of the rows that bound the distance may be the query itself
-    bounds, dealt = bounds_of(celled, middle, reach, rings, block)
+    bounds, dealt = bounds_of(celled, middle, reach, rings, block, metric)
     asked = q.mapInArrow(_deal(bounds, reach), "id long, v array<double>, cell int, ring int, part int")
     copies = {(r["cell"], r["ring"]): -(-r["n"] // queries_of) for r in q.mapInArrow(_visits(bounds, reach), "cell int, ring int, n long").groupBy("cell", "ring").agg(F.sum("n").alias("n")).collect() if r["n"] > queries_of}
     often = F.lit(1)
@@ -222,7 +228,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, id: str = "id", vec
     order = ["cell", "ring", "part", "copy", "side"]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = mine.select(*order, "id", "v").union(theirs.select(*order, "id", "v")).repartition(tasks, *order[:4]).sortWithinPartitions(*order)
-    lists = met.mapInArrow(_search(k, dim, itself), "id long, neighbour long, distance double, seen long")
+    lists = met.mapInArrow(_search(k, dim, itself, metric), "id long, neighbour long, distance double, seen long")
     # Of each list only the first row carries what was seen there.
     best = lists.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("n"), F.sum(F.col("seen")).alias("seen"))
     return best.select("id", F.posexplode("n").alias("rank", "n"), "seen").select("id", F.col("n.neighbour").alias("neighbour"), (F.col("rank") + 1).alias("rank"), F.col("n.distance").alias("distance"), "seen")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 
 from lumen.functions import special
-from lumen.operators import outliers, pairs, select, summaries
+from lumen.operators import importance, outliers, pairs, select, summaries
 from lumen.plans.profile import Profile, profile
 
 
@@ -52,13 +54,9 @@ class Analyzer:
             return None
         if self.correlation == "pearson":
             return pairs.ranked_pairs(pairs.pearson_pairs(self.df, cols))
-        f = pairs.spearman if self.correlation == "spearman" else pairs.kendall
-        out = None
-        for i, a in enumerate(cols):
-            for b in cols[i + 1 :]:
-                x = f(self.df, a, b)
-                out = x if out is None else out.unionByName(x)
-        return pairs.ranked_pairs(out)
+        if self.correlation == "spearman":
+            return pairs.ranked_pairs(importance.spearman_pairs(self.df, cols))
+        return pairs.ranked_pairs(reduce(DataFrame.unionByName, [pairs.kendall(self.df, a, b) for a, b in combinations(cols, 2)]))
 
     def distribution(self, column: str, most: int = 5000) -> dict:
         """Shape by skewness; Shapiro-Wilk where there are at most ``most`` values, as the test is defined for no more."""

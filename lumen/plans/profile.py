@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from lumen import vocab
 from lumen.functions.columns import finite, integer_like, named, parse_datetime, segments, to_number
+from lumen.operators.quantiles import distinct_counts
 
 #: Patterns of protected text; a column is of the first that 90 % of its values match.
 SUBTYPES = {
@@ -134,12 +135,12 @@ class Profile:
 
 
 def profile(df: DataFrame, columns: list[str] | None = None) -> dict[str, Profile]:
-    """Profiles of all columns from one pass over the data; one row of numbers reaches the driver."""
+    """Profiles of all columns from one pass over the data and one count of distinct values of all; a row a column reaches the driver."""
     columns = list(df.columns if columns is None else columns)
     exprs, schema = [F.count("*").alias("rows")], df.schema
     for i, c in enumerate(columns):
         col, t = F.col(f"`{c}`"), schema[c].dataType
-        exprs += [F.count(col).alias(f"count{i}"), F.count_distinct(col).alias(f"unique{i}")]
+        exprs.append(F.count(col).alias(f"count{i}"))
         if isinstance(t, T.NumericType):
             v = finite(col.cast("double"))
             exprs += [F.bool_and(integer_like(v)).alias(f"integral{i}"), F.min(v).alias(f"low{i}"), F.max(v).alias(f"high{i}"), F.stddev_samp(v).alias(f"sd{i}")]
@@ -148,10 +149,16 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> dict[str, Profil
             exprs += [F.avg(F.char_length(col)).alias(f"length{i}"), share(to_number(col).isNotNull()).alias(f"numbers{i}"), share(parse_datetime(col).isNotNull()).alias(f"dates{i}")]
             exprs += [share(col.rlike(p)).alias(f"{k}_{i}") for k, p in SUBTYPES.items()]
     r = df.agg(*exprs).first().asDict()
+
+    def text(c: str):
+        t = schema[c].dataType
+        return F.hex(F.col(f"`{c}`")) if isinstance(t, T.BinaryType) else ((F.col(f"`{c}`") + F.lit(0.0)) if isinstance(t, (T.DoubleType, T.FloatType)) else F.col(f"`{c}`")).cast("string")  # -0.0 equals 0.0
+
+    unique = {x["i"]: x["unique"] for x in distinct_counts(df, {c: text(c) for c in columns}).collect()} if columns else {}
     out = {}
     for i, c in enumerate(columns):
         t = schema[c].dataType
-        p = Profile(c, t.simpleString(), r["rows"], r[f"count{i}"], r[f"unique{i}"])
+        p = Profile(c, t.simpleString(), r["rows"], r[f"count{i}"], unique.get(i, 0))
         if isinstance(t, T.NumericType):
             p.numeric, p.integral, p.low, p.high, p.sd = True, bool(r[f"integral{i}"]), r[f"low{i}"], r[f"high{i}"], r[f"sd{i}"]
         elif isinstance(t, T.StringType):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumen.operators import concordance, neighbours, ngrams
+from lumen.operators import concordance, information, neighbours, ngrams
 from lumen.plans import learners
 from lumen.queries import query, t
 
@@ -116,3 +116,30 @@ def _(spark, d):
 )
 def _(spark, d):
     return concordance.tau_b(t(spark, d, "lineitem"), "l_extendedprice", "l_discount")
+
+
+# Information by neighbours. psi(n) of whole numbers is the (n - 1)-th harmonic number less Euler's constant.
+
+_PSI = "psi as (select i as n, coalesce(sum(1.0::double / i) over (order by i rows between unbounded preceding and 1 preceding), 0) - 0.57721566490153286 as psi from range(1, (select count(*) + 2 from part)) t(i))"
+
+
+@query(
+    "biv20_information_of_numbers",
+    f"""with {_PSI}, p as (select p_partkey as id, p_size / stddev_pop(p_size) over () as x, p_retailprice / stddev_pop(p_retailprice) over () as y from part),
+    d as (select a.id, a.x, a.y, list_sort(list(greatest(abs(a.x - b.x), abs(a.y - b.y))))[3] * (1 - 1e-9) as r from p a join p b on a.id <> b.id group by 1, 2, 3),
+    n as (select d.id, count(*) filter (where abs(p.x - d.x) <= r) as nx, count(*) filter (where abs(p.y - d.y) <= r) as ny from d cross join p group by 1)
+    select round(greatest(0, (select psi from psi where n = (select count(*) from p)) + (select psi from psi where n = 3) - avg(a.psi) - avg(b.psi)), 6) as nats, count(*) as n from n join psi a on a.n = nx join psi b on b.n = ny""",
+)
+def _(spark, d):
+    return information.of_numbers(t(spark, d, "part"), "p_size", "p_retailprice")
+
+
+@query(
+    "biv20_information_of_classes",
+    f"""with {_PSI}, p as (select p_partkey as id, p_retailprice / stddev_pop(p_retailprice) over () as x, p_brand as y, count(*) over (partition by p_brand) as size from part),
+    d as (select a.id, a.x, a.size, least(3, a.size - 1) as k, list_sort(list(abs(a.x - b.x)))[least(3, a.size - 1)] * (1 - 1e-9) as r from p a join p b on a.id <> b.id and a.y = b.y group by 1, 2, 3),
+    n as (select d.id, d.size, d.k, count(*) filter (where abs(p.x - d.x) <= r) as m from d cross join (select * from p where size > 1) p group by 1, 2, 3)
+    select round(greatest(0, (select psi from psi where n = (select count(*) from d)) + avg(a.psi) - avg(b.psi) - avg(c.psi)), 6) as nats, count(*) as n from n join psi a on a.n = k join psi b on b.n = size join psi c on c.n = m""",
+)
+def _(spark, d):
+    return information.of_classes(t(spark, d, "part"), "p_retailprice", "p_brand")
