@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumen import vocab
 from lumen.functions.columns import finite, rounded, segments
-from lumen.operators import pairs, rows
+from lumen.operators import information, pairs, rows
 from lumen.operators.quantiles import numbers
 from lumen.operators.select import by_type
 
@@ -111,14 +111,31 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     return both.agg(rounded(F.sum(F.col("n") / F.col("t") * F.log2(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny"))))).alias("bits"))
 
 
+#: Distinct values up to which a target of numbers counts as classes.
+CLASSES = 20
+
+
 def ensemble_importance(df: DataFrame, target: str) -> DataFrame:
-    """feature, importance: the mean of |r|, the mutual information of quartile bins and the F value, each at most 1."""
+    """feature, importance: the mean of |r|, the mutual information by neighbours, the F value, each at most 1, and the say of a forest of this feature alone, which is 1 whenever it spreads.
+
+    Targets of at most ``CLASSES`` distinct values are taken as classes. Features
+    without spread, or with fewer than ``ROWS`` pairs, have no importance.
+    """
     numeric = by_type(df)["numeric"]
+    use = [c for c in features(df, target) if c in numeric]
+    if target not in numeric or not use:
+        return df.sparkSession.createDataFrame([], "feature string, importance double")
+    classes = df.where(F.col(f"`{target}`").isNotNull()).select(F.col(f"`{target}`")).distinct().limit(CLASSES + 1).count() <= CLASSES
     out = []
-    for c in [c for c in features(df, target) if c in numeric]:
+    for c in use:
         x, y = finite(F.col(f"`{c}`").cast("double")), finite(F.col(f"`{target}`").cast("double"))
-        r = df.where(x.isNotNull() & y.isNotNull()).agg(F.abs(F.corr(x, y)).alias("r"), F.count("*").alias("n"))
-        f = F.col("r") ** 2 * (F.col("n") - 2) / (1 - F.col("r") ** 2)
-        both = r.where(F.col("n") >= ROWS).join(F.broadcast(mutual_information(df, c, target)))  # one row each
-        out.append(both.select(F.lit(c).alias("feature"), rounded((F.least(F.lit(1.0), "r") + F.least(F.lit(1.0), "bits") + F.least(F.lit(1.0), F.coalesce(f, F.lit(1.0)))) / 3, 4).alias("importance")))
-    return reduce(DataFrame.unionByName, out).orderBy(F.desc("importance"), "feature") if out else df.sparkSession.createDataFrame([], "feature string, importance double")
+        both = df.where(x.isNotNull() & y.isNotNull())
+        r = both.agg(F.try_divide(F.abs(F.covar_pop(x, y)), F.stddev_pop(x) * F.stddev_pop(y)).alias("r"), F.count("*").alias("n"), F.stddev_pop(x).alias("sx"), F.stddev_pop(y).alias("sy")).where((F.col("n") >= ROWS) & (F.col("sx") > 0) & (F.col("sy") > 0))
+        nats = (information.of_classes if classes else information.of_numbers)(both, c, target).select("nats")
+        if classes:
+            r = r.join(F.broadcast(pairs.anova(both, target, c).select("f")), how="left")  # one row
+        else:
+            r = r.withColumn("f", F.try_divide(F.col("r") ** 2 * (F.col("n") - 2), 1 - F.col("r") ** 2))
+        parts = [F.least(F.lit(1.0), F.coalesce(F.col(k), F.lit(1.0 if k == "f" else 0.0))) for k in ("r", "nats", "f")] + [F.lit(1.0)]
+        out.append(r.join(F.broadcast(nats)).select(F.lit(c).alias("feature"), rounded(sum(parts[1:], parts[0]) / 4, 4).alias("importance")))  # one row each
+    return reduce(DataFrame.unionByName, out).orderBy(F.desc("importance"), "feature")

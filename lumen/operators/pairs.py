@@ -75,8 +75,8 @@ def anova(df: DataFrame, by: str, value: str, least: int = 1) -> DataFrame:
     t = g.agg(F.count("*").alias("k"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum((F.col("n") - 1) * F.col("v")).alias("ssw"))
     ssb = g.join(F.broadcast(t.select("mean"))).agg(F.sum(F.col("n") * (F.col("m") - F.col("mean")) ** 2).alias("ssb"))  # one row
     x = t.join(F.broadcast(ssb)).where("k >= 2 and n > k")  # one row
-    f = (F.col("ssb") / (F.col("k") - 1)) / (F.col("ssw") / (F.col("n") - F.col("k")))
-    return x.select("k", "n", rounded(f, 4).alias("f"), rounded(f / (f + F.col("n") - F.col("k"))).alias("score"), rounded(F.col("ssb") / (F.col("ssb") + F.col("ssw"))).alias("eta_squared"))
+    f = F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("n") - F.col("k")))  # null where groups do not vary inside
+    return x.select("k", "n", rounded(f, 4).alias("f"), rounded(f / (f + F.col("n") - F.col("k"))).alias("score"), rounded(F.try_divide(F.col("ssb"), F.col("ssb") + F.col("ssw"))).alias("eta_squared"))
 
 
 def anova_p(f: float, k: int, n: int) -> float:

@@ -39,9 +39,13 @@ def quantiles(df: DataFrame, values: dict[str, Column], probabilities: list[floa
     n, slack = len(probabilities), 2.0 / accuracy
     x = df.select(*[e.alias(f"v{i}") for i, e in enumerate(values.values())])
     edges = F.array(*[F.lit(max(p - slack, 0.0)) for p in probabilities], *[F.lit(min(p + slack, 1.0)) for p in probabilities])
-    sketch = x.agg(*[F.percentile_approx(f"v{i}", edges, F.lit(accuracy)).alias(f"s{i}") for i in range(len(values))]).first()  # two numbers a quantile
-    # Below a and above b no wanted rank lies; at the ends of the scale there is no such value.
-    cut = {(i, k): (sketch[f"s{i}"][k] if p - slack > 0 else None, sketch[f"s{i}"][n + k] if p + slack < 1 else None) for i in range(len(values)) if sketch[f"s{i}"] for k, p in enumerate(probabilities)}
+    sketch = x.agg(*[e for i in range(len(values)) for e in (F.percentile_approx(f"v{i}", edges, F.lit(accuracy)).alias(f"s{i}"), F.count(f"v{i}").alias(f"c{i}"))]).first()  # two numbers a quantile
+    # Below a and above b no wanted rank lies; at the ends of the scale there is no such value, and few values are all looked at, as a rank is too large a share of them.
+    cut = {}
+    for i in range(len(values)):
+        for k, p in enumerate(probabilities if sketch[f"s{i}"] else []):
+            many = sketch[f"c{i}"] >= 4 * accuracy
+            cut[i, k] = (sketch[f"s{i}"][k] if many and p - slack > 0 else None, sketch[f"s{i}"][n + k] if many and p + slack < 1 else None)
     if not cut:
         return df.sparkSession.createDataFrame([], "i int, count long, q array<double>")
 

@@ -881,11 +881,6 @@ def _(spark, d):
     return importance.mutual_information(t(spark, d, "lineitem"), "l_quantity", "l_extendedprice")
 
 
-@query("biv20_ensemble_importance")
-def _(spark, d):
-    return importance.ensemble_importance(t(spark, d, "lineitem").select(*_LINE), "l_extendedprice")
-
-
 @query("out07_target_severity", _OUT + ", o as (select count(*) filter (where value < lower or value > upper) as n, count(*) as t from events, g) select n as outliers, round(100.0 * n / t, 4) as percentage, case when 100.0 * n / t > 15 then 'high' when 100.0 * n / t > 5 then 'moderate' else 'low' end as severity from o")
 def _(spark, d):
     return outliers.target_severity(t(spark, d, "events"), "value")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumen.operators import concordance, information, neighbours, ngrams
+from lumen.operators import concordance, importance, information, neighbours, ngrams
 from lumen.plans import learners
 from lumen.queries import query, t
 
@@ -123,17 +123,25 @@ def _(spark, d):
 _PSI = "psi as (select i as n, coalesce(sum(1.0::double / i) over (order by i rows between unbounded preceding and 1 preceding), 0) - 0.57721566490153286 as psi from range(1, (select count(*) + 2 from part)) t(i))"
 
 
-@query(
-    "biv20_information_of_numbers",
-    f"""with {_PSI}, p as (select p_partkey as id, p_size / stddev_pop(p_size) over () as x, p_retailprice / stddev_pop(p_retailprice) over () as y from part),
+_OF_NUMBERS = f"""{_PSI}, p as (select p_partkey as id, p_size / stddev_pop(p_size) over () as x, p_retailprice / stddev_pop(p_retailprice) over () as y from part),
     d as (select a.id, a.x, a.y, list_sort(list(greatest(abs(a.x - b.x), abs(a.y - b.y))))[3] * (1 - 1e-9) as r from p a join p b on a.id <> b.id group by 1, 2, 3),
-    n as (select d.id, count(*) filter (where abs(p.x - d.x) <= r) as nx, count(*) filter (where abs(p.y - d.y) <= r) as ny from d cross join p group by 1)
-    select round(greatest(0, (select psi from psi where n = (select count(*) from p)) + (select psi from psi where n = 3) - avg(a.psi) - avg(b.psi)), 6) as nats, count(*) as n from n join psi a on a.n = nx join psi b on b.n = ny""",
-)
+    n as (select d.id, count(*) filter (where abs(p.x - d.x) <= r) as nx, count(*) filter (where abs(p.y - d.y) <= r) as ny from d cross join p group by 1),
+    i as (select greatest(0, (select psi from psi where n = (select count(*) from p)) + (select psi from psi where n = 3) - avg(a.psi) - avg(b.psi)) as nats, count(*) as n from n join psi a on a.n = nx join psi b on b.n = ny)"""
+
+
+@query("biv20_information_of_numbers", f"with {_OF_NUMBERS} select round(nats, 6) as nats, n from i")
 def _(spark, d):
     return information.of_numbers(t(spark, d, "part"), "p_size", "p_retailprice")
 
 
+@query(
+    "biv20_ensemble_importance",
+    f"with {_OF_NUMBERS}, r as (select abs(corr(p_size, p_retailprice)) as r, count(*) as m from part) select 'p_size' as feature, round((r + least(1, nats) + least(1, r * r * (m - 2) / (1 - r * r)) + 1) / 4, 4) as importance from r, i",
+)
+def _(spark, d):
+    return importance.ensemble_importance(t(spark, d, "part").select("p_size", "p_retailprice"), "p_retailprice")
+
+
 @query(
     "biv20_information_of_classes",
     f"""with {_PSI}, p as (select p_partkey as id, p_retailprice / stddev_pop(p_retailprice) over () as x, p_brand as y, count(*) over (partition by p_brand) as size from part),

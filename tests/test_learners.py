@@ -10,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from lumen.operators import concordance, neighbours, ngrams
+from lumen.operators import concordance, importance, information, neighbours, ngrams
 from lumen.plans import learners, ml
 
 
@@ -205,3 +205,40 @@ def test_boosted_trees_of_three_classes(spark):
     made = ml.CLASSIFIERS["boosted_trees_of_classes"]()
     made.getClassifier().setMaxIter(3)
     assert share(made.fit(df).transform(df)) > 0.9
+
+
+def psi(n):
+    return sum(1 / i for i in range(1, n)) - 0.57721566490153286
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_information_equals_all_pairs(spark, seed):
+    r = random.Random(seed)
+    rows = [(float(r.choice([3, r.gauss(0, 1)])), r.gauss(0, 1), r.choice("aab" if i else "z")) for i in range(150)]
+    rows = [(x, y + (x if seed == 1 else 0), c) for x, y, c in rows]
+    df = spark.createDataFrame(rows + [(None, 1.0, "a"), (float("nan"), 2.0, "b")], "x double, y double, c string")
+    xs, ys = (np.array([q[i] for q in rows]) for i in (0, 1))
+    xs, ys = xs / xs.std(), ys / ys.std()
+    total = 0.0
+    for i in range(len(xs)):
+        d = np.sort(np.delete(np.maximum(abs(xs - xs[i]), abs(ys - ys[i])), i))[2] * (1 - 1e-9)
+        total += psi(int((abs(xs - xs[i]) <= d).sum())) + psi(int((abs(ys - ys[i]) <= d).sum()))
+    got = information.of_numbers(df, "x", "y").first()
+    assert got["n"] == 150 and abs(got["nats"] - max(0.0, psi(150) + psi(3) - total / 150)) < 2e-6
+    cs = np.array([q[2] for q in rows])
+    keep = np.array([(cs == c).sum() > 1 for c in cs])
+    parts = []
+    for i in np.flatnonzero(keep):
+        mine = np.flatnonzero((cs == cs[i]) & (np.arange(len(cs)) != i))
+        k = min(3, len(mine))
+        d = np.sort(abs(xs[mine] - xs[i]))[k - 1] * (1 - 1e-9)
+        parts.append(psi(k) - psi(len(mine) + 1) - psi(int((abs(xs[keep] - xs[i]) <= d).sum())))
+    got = information.of_classes(df, "x", "c").first()
+    assert got["n"] == keep.sum() and abs(got["nats"] - max(0.0, psi(int(keep.sum())) + float(np.mean(parts)))) < 2e-6
+
+
+def test_ensemble_of_classes_and_flat_features(spark):
+    r = random.Random(3)
+    rows = [(float(i % 3), i % 3 + r.gauss(0, 0.2), r.gauss(0, 1), 1.0) for i in range(90)]
+    got = {q["feature"]: q["importance"] for q in importance.ensemble_importance(spark.createDataFrame(rows, "label double, near double, noise double, flat double"), "label").collect()}
+    assert set(got) == {"near", "noise"} and got["near"] > 0.95 and got["near"] > got["noise"]

@@ -59,3 +59,12 @@ def test_positions_rise_with_values(spark):
         assert got == sorted(got)
     ranks = {r["s"]: r["rank"] for r in rows.average_ranks(df, "s").collect()}
     assert ranks == {"": 1.0, "Zebra": 2.0, "apple": 3.0, "é": 4.0}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 19, 21])
+def test_few_values(spark, n):
+    v = [float((7 * i) % n) for i in range(n)]
+    ps = [0.05, 0.25, 0.5, 0.75, 0.95]
+    for accuracy in (1000, 5):
+        got = quantiles.quantiles(spark.createDataFrame([(x,) for x in v], "a double"), quantiles.numbers(["a"]), ps, accuracy).first()
+        assert np.allclose(got["q"], np.quantile(v, ps))
