@@ -769,7 +769,7 @@ class Cleaned:
     report: dict
 
 
-def clean_table(df: DataFrame, order: str, rules: Rules | None = None, impute: bool = True, outlier_flags: bool = True, types: bool = True, threshold: float = 1.5, strategy: str | None = None) -> Cleaned:
+def clean_table(df: DataFrame, order: str, rules: Rules | None = None, impute: bool = True, outlier_flags: bool = True, types: bool = True, threshold: float = 1.5, strategy: str | None = "standard") -> Cleaned:
     """Cleaning as one call: detection, decisions and validated actions, then narrower types, and a report of plain values."""
     policy = Policy(impute=impute, outlier_flags=outlier_flags, threshold=threshold)
     r = Cleaner(rules, policy, strategy=strategy).run(df, order)

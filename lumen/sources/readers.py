@@ -10,8 +10,10 @@ import csv
 import io
 import os
 import re
+import unicodedata
 import warnings
 import zlib
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,8 +65,52 @@ def file_type(path: str, start: bytes = b"") -> str:
     return "json" if start.lstrip(b"\xef\xbb\xbf \t\r\n")[:1] in (b"{", b"[") else "csv"
 
 
+#: Code pages that are tried, the likelier first; Python and Java know these names.
+CODE_PAGES = ["windows-1252", "windows-1256", "windows-1251", "koi8-r", "windows-1253", "windows-1255", "gb18030", "big5", "shift_jis", "euc-kr"]
+#: Share of likely pairs below which no code page is believed.
+CONFIDENCE = 0.6
+
+
+@lru_cache(maxsize=4096)
+def _script(c: str) -> str:
+    """The script of a letter, the first word of its name; nothing for other characters."""
+    if not c.isalpha():
+        return ""
+    word = unicodedata.name(c, "").split(" ")[0].split("-")[0]
+    return "CJK" if word in ("HIRAGANA", "KATAKANA") else word
+
+
+#: Frequent letters of scripts, and signs of Chinese; of kana and Hangul any counts.
+FREQUENT = {
+    "LATIN": "éèàçùâêîôûëïœäöüßñáíóúãõåøæ", "CYRILLIC": "оеаинтсрвл", "GREEK": "αοιετσνηρυ", "HEBREW": "יוהלאמרתבשםכ", "ARABIC": "اليمنوترهب",
+    "CJK": "的一是不了人我在有他这這中大来來上国國个個和地出你好",
+}
+
+
+def frequency(text: str) -> float:
+    """The share of letters beyond ASCII that are frequent small ones of their script."""
+    high = [c for c in text if c >= "\x80" and c.isalpha()]
+    return sum(c in FREQUENT.get(_script(c), "") or "\u3040" <= c <= "\u30ff" or _script(c) == "HANGUL" for c in high) / len(high) if high else 0.0
+
+
+def likelihood(text: str) -> float:
+    """The share of neighbouring characters, at least one of them beyond ASCII, that text would hold: letters of one script, small after any or capital after capital, or a letter beside a blank or a mark."""
+    good = all_ = 0
+    for x, y in zip(text, text[1:]):
+        if x < "\x80" and y < "\x80":
+            continue
+        all_ += 1
+        p, q = _script(x), _script(y)
+        if p and q:
+            good += p == q and (y == y.lower() or x != x.lower()) and not (p == "LATIN" and min(x, y) >= "\x80")  # accented letters seldom meet
+        else:
+            other = y if p else x
+            good += bool(p or q) and other < "\x80" and not other.isalnum() or other in "\u2018\u2019\u201c\u201d\u2013\u2014\u3002\u3001\uff0c\u060c"
+    return good / all_ if all_ else 0.0
+
+
 def encoding_of(start: bytes) -> str:
-    """By byte order mark, else UTF-8 if it decodes, else Windows-1252 (1256 if Arabic letters are likelier there)."""
+    """By byte order mark, else UTF-8 if it decodes, else the code page under which pairs of characters are likeliest; Windows-1252 where none is likely."""
     for mark, name in ((b"\xff\xfe", "UTF-16"), (b"\xfe\xff", "UTF-16"), (b"\xef\xbb\xbf", "UTF-8")):
         if start.startswith(mark):
             return name
@@ -74,15 +120,29 @@ def encoding_of(start: bytes) -> str:
             return "UTF-8"
         except UnicodeDecodeError:
             continue
-    high = [b for b in start if b >= 0x80]
-    arabic = sum(0xC0 <= b <= 0xED for b in high)
-    return "windows-1256" if high and arabic / len(high) > 0.9 and len(high) / len(start) > 0.25 else "windows-1252"
+    high = next(i for i, b in enumerate(start) if b >= 0x80)
+    part = start[max(0, high - 100) : high + 16_384]
+    part = part[: part.rfind(b"\n")] if b"\n" in part[200:] else part
+    best, found = 0.0, "windows-1252"
+    for name in CODE_PAGES:
+        for cut in range(4):
+            try:
+                text = part[: len(part) - cut].decode(name)
+            except UnicodeDecodeError:
+                continue
+            pairs = likelihood(text)
+            score = pairs + 0.2 * frequency(text)  # letters decide among code pages whose pairs are alike
+            if score > best + 1e-9 and pairs >= CONFIDENCE:
+                best, found = score, name
+            break
+    return found
 
 
 def delimiter_of(text: str, candidates: list[str] | None = None) -> str:
     """The candidate that stands most evenly outside quotes on the first lines; a comma if none stands more than five times."""
-    lines = list(csv.reader(io.StringIO(text[:8192]), delimiter="\0"))[:50]
-    plain = re.sub(r'"[^"]*"', "", text[:8192])
+    text = text[:8192].replace("\r\n", "\n").replace("\r", "\n")
+    lines = list(csv.reader(io.StringIO(text), delimiter="\0"))[:50]
+    plain = re.sub(r'"[^"]*"', "", text)
     counts = {d: plain.count(d) for d in candidates or DELIMITERS}
     rows = [re.sub(r'"[^"]*"', "", line[0]) if line else "" for line in lines]
     even = {d: len({r.count(d) for r in rows[:-1] if r}) == 1 and rows[0].count(d) > 0 for d in counts} if len(rows) > 2 else {}
@@ -134,7 +194,7 @@ def narrow(spark: SparkSession, path: str, encoding: str) -> str:
     if not encoding.startswith("UTF-16"):
         return path
     to = f"{shared_dir(spark)}/utf8"
-    text = F.decode(F.col("content"), F.lit("UTF-16"))
+    text = F.decode(F.col("content"), "UTF-16")
     spark.read.format("binaryFile").load(path).select(F.regexp_replace(text, "\r?\n$", "").alias("value")).write.text(to)
     return to
 
@@ -148,8 +208,9 @@ def _records_as_csv(records: DataFrame):
 def _csv(spark: SparkSession, path: str, sep: str | None, encoding: str | None, infer: bool) -> tuple[DataFrame, str]:
     """Rows of a delimited file with a column that holds the text of records that cannot be parsed, and its name.
 
-    A file without quoted line ends is Spark's own to read; otherwise records are
-    found split by split, and its parser gets them one by one.
+    A file in UTF-8 without quoted line ends is Spark's own to read; otherwise
+    records are found and decoded split by split, and its parser gets them one
+    by one.
     """
     start = head(spark, path)
     encoding = encoding or encoding_of(start)
@@ -159,7 +220,7 @@ def _csv(spark: SparkSession, path: str, sep: str | None, encoding: str | None,
     # Whether a record is at fault must not depend on which columns a query reads.
     how |= {"columnPruning": False, "maxCharsPerColumn": -1}
     odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
-    many = not spark.read.option("lineSep", line_end(start)).text(path).where(odd).isEmpty()
+    many = encoding.upper() != "UTF-8" or not spark.read.option("lineSep", line_end(start)).text(path).where(odd).isEmpty()
     if many:
         records = read_records(spark, path, sep, encoding, line_end(start)).withColumn("record", F.regexp_replace("record", "^\ufeff", ""))
         plain = spark.read.options(inferSchema=infer, **how)

@@ -115,7 +115,7 @@ def test_records_equal_a_plain_parser_at_every_split_size(spark, tmp_path, split
 
 
 def test_states_after_a_line():
-    for line, outside, inside in ((b"a,b", False, True), (b'a,"b', True, False), (b'"a""b",c', False, True), (b'x"y', False, False), (b'"', True, False), (b'""', False, True), (b'","', True, True)):
+    for line, outside, inside in ((b"a,b", False, True), (b'a,"b', True, False), (b'"a""b",c', False, False), (b'x"y', False, False), (b'"', True, False), (b'""', False, True), (b'","', False, True)):
         assert (records.state_after(line, False, b","), records.state_after(line, True, b",")) == (outside, inside), line
 
 
@@ -182,3 +182,24 @@ def test_result_tables_and_reports(spark, tmp_path):
     assert "<h1>T</h1>" in page and page.count("<table>") == 3 and "<li>" in page and "<b>correlation</b>" in page
     results.save_report(spark, f"file://{tmp_path}/report", text)
     assert spark.read.text(f"file://{tmp_path}/report/html", wholetext=True).count() == 1
+
+
+@pytest.mark.parametrize(
+    ("name", "text"),
+    [
+        ("windows-1252", "Crème brûlée à la façon d’été, naïve et déjà vue"),
+        ("windows-1251", "Съешь же ещё этих мягких французских булок, да выпей чаю"),
+        ("koi8-r", "Съешь же ещё этих мягких французских булок, да выпей чаю"),
+        ("windows-1256", "مرحبا بالعالم هذا نص عربي قصير للاختبار"),
+        ("windows-1253", "Καλημέρα κόσμε, αυτό είναι ένα μικρό κείμενο"),
+        ("windows-1255", "שלום עולם זה טקסט קצר בעברית"),
+        ("gb18030", "你好世界,这是一段用来测试的中文文本"),
+        ("shift_jis", "こんにちは世界、これはテスト用の短い文章です"),
+        ("euc-kr", "안녕하세요 세계 이것은 짧은 시험 문장입니다"),
+    ],
+)
+def test_code_pages_are_told_and_read_back(spark, tmp_path, name, text):
+    text = text.replace(",", " ")
+    raw = ("id,text\n" + "".join(f'{i},"{text} {i}"\n' for i in range(40))).encode(name)
+    assert readers.encoding_of(raw) == name
+    assert sorted((r["id"], r["text"]) for r in readers.read_csv(spark, put(tmp_path, "x.csv", raw)).collect()) == [(i, f"{text} {i}") for i in range(40)]
