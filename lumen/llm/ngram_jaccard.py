@@ -39,6 +39,8 @@ from lumen.llm.words import LOWER, U, Words, inside, mix, ranges, slices, window
 
 #: Classes, and bytes of their sets, of one block of a family; a task joins two blocks at most, and takes about six times their bytes.
 BLOCK, BYTES = 4096, 64 << 20
+#: Bytes of text that a worker makes into sets at once; it gives its memory back after each partition.
+SLICE = 1 << 20
 #: Sizes from which subsets are never enumerated.
 MOST_LIGHT = 40
 #: Levels of parts; a set that has an empty part on one is cut anew on the next.
@@ -161,10 +163,11 @@ def boundary(sizes: dict[int, int], num: int, den: int) -> int:
 def _sizes(k: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in slices(batch, 0):
+            for _, data, offsets in slices(batch, 0, SLICE):
                 _, at = sets_of(data, offsets, k)
                 n, c = np.unique(np.diff(at), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), pa.array(c.astype(np.int64))], ["n", "c"])
+        release()
 
     return f
 
@@ -172,7 +175,7 @@ def _sizes(k: int):
 def _index(k: int, num: int, den: int, light: int):
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in slices(batch, 1):
+            for part, data, offsets in slices(batch, 1, SLICE):
                 items, at = sets_of(data, offsets, k)
                 n, d = np.diff(at), digests(items, at)
                 few = (n <= light) & (n > 0)
@@ -192,6 +195,7 @@ def _index(k: int, num: int, den: int, light: int):
                     [part.column(0), pa.array(n.astype(np.int64)), pa.array(d[:, 0].view(np.int64)), pa.array(d[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(off), pa.array(key[order].view(np.int64)))],
                     ["doc_id", "n", "d1", "d2", "keys"],
                 )
+        release()
 
     return f
 
@@ -201,12 +205,13 @@ def _sets(k: int):
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in slices(batch, 1):
+            for part, data, offsets in slices(batch, 1, SLICE):
                 items, at = sets_of(data, offsets, k)
                 d = digests(items, at)
                 ok = pa.array(d[:, 0].view(np.int64) == part.column(2).to_numpy())
                 blob = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 8), pa.py_buffer(items.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(i) for i in (3, 4, 5)), blob], ["rep", "family", "blocks", "star", "items"]).filter(ok)
+        release()
 
     return f
 
@@ -221,6 +226,7 @@ def _verify(num: int, den: int):
                 x, y = np.frombuffer(x, U), np.frombuffer(y, U)
                 ok.append(len(np.intersect1d(x, y, assume_unique=True)) >= overlap(len(x), len(y), num, den))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        release()
 
     return f
 
