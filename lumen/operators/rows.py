@@ -111,6 +111,12 @@ def top_one(df: DataFrame, by: str, value: str) -> DataFrame:
     return n.groupBy(by).agg(F.max("count").alias("count"), F.min_by(F.col(value), F.struct(-F.col("count"), F.col(value))).alias(value))
 
 
+def newest(df: DataFrame, by: str, order: str, id: str) -> DataFrame:
+    """For each group the row of the largest ``order`` (ties: the larger id): group, ``latest``, id; rows without an order count only where a group has no other. Combined in the map tasks."""
+    place = F.struct(F.col(order), F.col(id))
+    return df.groupBy(by).agg(F.max(place).alias("_top")).select(by, F.col(f"_top.{order}").alias("latest"), F.col(f"_top.{id}").alias(id))
+
+
 def frequencies(df: DataFrame, column: str, name: str = "frequency") -> DataFrame:
     """df with the share of rows that have the row's value."""
     total = df.agg(F.count("*").alias("_total"))
@@ -118,8 +124,11 @@ def frequencies(df: DataFrame, column: str, name: str = "frequency") -> DataFram
     return df.join(n, F.col(column).eqNullSafe(F.col("_v")), "left").drop("_v")
 
 
-def apply_mapping(df: DataFrame, column: str, mapping: dict[str, str]) -> DataFrame:
-    """column with variants replaced by their canonical spelling."""
+def apply_mapping(df: DataFrame, column: str, mapping: dict[str, str] | DataFrame) -> DataFrame:
+    """column with variants replaced by their canonical spelling: by a dict, or by a frame of (v, best) with a row for each variant."""
+    if isinstance(mapping, DataFrame):
+        m = mapping.select(F.col("v").alias("_v"), F.col("best").alias("_best"))
+        return df.join(m, F.col(f"`{column}`") == F.col("_v"), "left").withColumn(column, F.coalesce("_best", F.col(f"`{column}`"))).drop("_v", "_best")
     if not mapping:
         return df
     table = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])

@@ -23,6 +23,7 @@ from lumen import vocab
 from lumen.functions import columns as C
 from lumen.operators import outliers, rows, select
 from lumen.operators.quantiles import numbers, quantile_row
+from lumen.plans import relations
 from lumen.plans.profile import Profile, profile
 
 
@@ -216,22 +217,25 @@ def detect_formatting(df, ps, rules) -> list[Evidence]:
     return out
 
 
+#: Variants up to which a mapping of spellings is held as a dict; a larger one stays a frame.
+SPELLINGS = 1_000
+
+
 def detect_spellings(df, ps, rules) -> list[Evidence]:
-    """Spellings of categories that differ in case or blanks, or in separators with one that prevails."""
+    """Spellings of categories that differ in case or blanks, or in separators with one that prevails; their ``mapping`` is a frame (v, best) where there are more than ``SPELLINGS``."""
     out = []
     for c in _strings(ps):
         if ps[c].kind != "categorical" or not ps[c].count:
             continue
-        n = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).agg(F.count("*").alias("n"))
-        g = n.groupBy(C.separator_key(F.col("v")).alias("key")).agg(F.count("*").alias("k"), F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("best"), F.max("n").alias("top"), F.sum("n").alias("all"), F.collect_list(F.struct("v", "n")).alias("vs")).where("k > 1")
-        mapping, count = {}, 0
-        for r in g.collect():  # groups of spellings of a categorical column, few by its kind
-            folds = {v["v"].strip().lower() for v in r["vs"]}
-            if len(folds) == 1 or r["top"] >= vocab.SEPARATOR_DOMINANCE * r["all"]:
-                mapping |= {v["v"]: r["best"] for v in r["vs"] if v["v"] != r["best"]}
-                count += r["all"] - r["top"]
-        if mapping:
-            out.append(Evidence("spellings", c, "spelling_variants", count, count / ps[c].count, "low", {"mapping": mapping}))
+        v = F.col("v")
+        n = df.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).agg(F.count("*").alias("n")).withColumns({"key": C.separator_key(v), "fold": F.lower(C.trim_all(v))})
+        g = n.groupBy("key").agg(F.count("*").alias("k"), F.min_by("v", F.struct(-F.col("n"), v)).alias("best"), F.max("n").alias("top"), F.sum("n").alias("all"), (F.min("fold") == F.max("fold")).alias("same")).where("k > 1")
+        g = g.where(F.col("same") | (F.col("top") >= vocab.SEPARATOR_DOMINANCE * F.col("all")))
+        r = g.agg(F.sum(F.col("k") - 1).alias("variants"), F.sum(F.col("all") - F.col("top")).alias("rows")).first()
+        if r["variants"]:
+            table = n.join(g.select("key", "best"), "key").where("v <> best").select("v", "best")
+            mapping = {x["v"]: x["best"] for x in table.collect()} if r["variants"] <= SPELLINGS else table
+            out.append(Evidence("spellings", c, "spelling_variants", r["rows"], r["rows"] / ps[c].count, "low", {"mapping": mapping}))
     return out
 
 
@@ -258,20 +262,19 @@ def detect_missing_patterns(df, ps, rules) -> list[Evidence]:
 
 
 def detect_derived(df, ps, rules) -> list[Evidence]:
-    """Columns that are a sum with offset, a product, a text's length or a date's weekday, with the rows that break it; the best relation a column."""
+    """Columns that are a sum with offset, a product, a text's length or a date's weekday, with the rows that break it; the best relation a column. A vote of sampled rows says which are worth an exact pass."""
     num = [c for c, p in ps.items() if p.numeric and p.semantic != "identifier" and p.sd]
     tried: dict[str, tuple[str, str, dict, Column]] = {}
-    for t in num:
-        others = [c for c in num if c != t]
-        for a, b in combinations(others, 2):
-            for k in vocab.DERIVED_OFFSETS:
-                if (ps[a].low + ps[b].low + k) <= ps[t].high and (ps[a].high + ps[b].high + k) >= ps[t].low:
-                    p = {"op": "sum_offset", "sources": [a, b], "offset": k}
-                    tried[f"s{len(tried)}"] = (t, "sum", p, F.abs(F.col(f"`{t}`") - (F.col(f"`{a}`") + F.col(f"`{b}`") + k)) <= 1e-9)
-            p = {"op": "product", "sources": [a, b]}
-            tried[f"p{len(tried)}"] = (t, "product", p, F.abs(F.col(f"`{t}`") - F.col(f"`{a}`") * F.col(f"`{b}`")) <= 1e-6)
-        for c in _strings(ps):
-            tried[f"l{len(tried)}"] = (t, "length", {"op": "string_length", "source": c}, F.col(f"`{t}`") == F.char_length(f"`{c}`"))
+    for t, kind, of, k in relations.possible(df, num, _strings(ps), vocab.DERIVED_OFFSETS, vocab.DERIVED_SUSPECT):
+        own = F.col(f"`{t}`")
+        if kind == "length":
+            tried[f"l{len(tried)}"] = (t, kind, {"op": "string_length", "source": of[0]}, own == F.char_length(f"`{of[0]}`"))
+            continue
+        a, b = (F.col(f"`{c}`") for c in of)
+        if kind == "product":
+            tried[f"p{len(tried)}"] = (t, kind, {"op": kind, "sources": of}, F.abs(own - a * b) <= 1e-6)
+        elif sum(ps[c].low for c in of) + k <= ps[t].high and sum(ps[c].high for c in of) + k >= ps[t].low:
+            tried[f"s{len(tried)}"] = (t, kind, {"op": "sum_offset", "sources": of, "offset": k}, F.abs(own - (a + b + k)) <= 1e-9)
     for t in [c for c in ps if C.named(c, vocab.WEEKDAY_NAMES)]:
         for c in [c for c, p in ps.items() if p.type.startswith(("timestamp", "date"))]:
             numbers = ps[t].numeric
@@ -573,6 +576,10 @@ def _expected_fill(df, c, p, order):
 
 
 def _expected_map(df, c, p, order):
+    if isinstance(p["mapping"], DataFrame):
+        m = p["mapping"].select(F.col("v").alias("_v"), F.col("best").alias("_best"))
+        hit = df.join(m, F.col(f"`{c}`") == F.col("_v")).withColumn(c, F.col("_best")).drop("_v", "_best")
+        return hit.unionByName(df.join(m, F.col(f"`{c}`") == F.col("_v"), "left_anti"))
     if not p["mapping"]:
         return df
     whens = " ".join(f"when {_text(k)} then {_text(v)}" for k, v in p["mapping"].items())
@@ -590,7 +597,29 @@ def _expected_recompute(df, c, p, order):
     return df.withColumn(c, F.expr(f"cast(coalesce({v}, `{c}`) as {df.schema[c].dataType.simpleString()})"))
 
 
+def _expected_number(df, c, p, order):
+    bare = rf"regexp_replace(`{c}`, '[$€£¥,%\\s]', '')"
+    value = rf"if({bare} like '(%)', '-' || substring({bare}, 2, length({bare}) - 2), {bare})"
+    return df.withColumn(c, F.expr(f"nullif(try_cast({value} as double), double('NaN'))"))
+
+
+def _expected_date(df, c, p, order):
+    from lumen.functions.columns import DATE_FORMATS
+
+    text = rf"regexp_replace(`{c}`, '^\\s+|\\s+$', '')"
+    ways = " ".join(f"when try_to_timestamp({text}, {_text(f)}) is not null then try_to_timestamp({text}, {_text(f)})" for f in DATE_FORMATS)
+    return df.withColumn(c, F.expr(f"case {ways} end"))
+
+
+def _expected_rows(df, c, p, order):
+    firsts = df.groupBy(*[F.col(f"`{x}`") for x in p["columns"]]).agg(F.min(f"`{order}`").alias("_first")).select("_first")
+    return df.join(firsts, F.col(f"`{order}`") == F.col("_first"), "left_semi")
+
+
 EXPECTED: dict[str, Callable] = {
+    "remove_duplicates": _expected_rows,
+    "to_number": _expected_number,
+    "to_date": _expected_date,
     "fill": _expected_fill,
     "map_values": _expected_map,
     "recompute": _expected_recompute,

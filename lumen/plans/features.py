@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumen import vocab
 from lumen.functions import columns as C
 from lumen.operators import rows
-from lumen.operators.quantiles import numbers, quantile_row
+from lumen.operators.quantiles import numbers, quantile_row, ranged
 from lumen.plans.profile import profile
 
 
@@ -24,9 +24,14 @@ def one_hot(df: DataFrame, column: str, values: list) -> DataFrame:
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """column as its values' places in sorted order."""
-    codes = df.where(F.col(column).isNotNull()).select(F.col(column).alias("_v")).distinct().withColumn("_c", F.row_number().over(Window.orderBy("_v")) - 1)
-    return df.join(codes, F.col(column) == F.col("_v"), "left").drop(column, "_v").withColumnRenamed("_c", column)
+    """column as its values' places in sorted order, counted within ranges of values."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = ranged(df.where(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`").alias("_v")).distinct(), "_v", parts, "_p")
+    sizes = values.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row a range
+    place = F.col("_b") + F.row_number().over(Window.partitionBy("_p").orderBy("_v")) - 1
+    codes = values.join(before, "_p").select("_v", place.cast("int").alias("_c"))
+    return df.join(codes, F.col(f"`{column}`") == F.col("_v"), "left").drop(column, "_v").withColumnRenamed("_c", column)
 
 
 def scale(df: DataFrame, columns: list[str]) -> DataFrame:

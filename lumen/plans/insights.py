@@ -25,6 +25,11 @@ MOST, PER_FEATURE = 8, 2
 #: Gaps in percent of interactions and of quartiles, rows of a test's group and of a test, a group's share over that of others, and the least that a kind must show.
 INTERACTION_GAP, QUARTILE_GAP, TEST_GROUP, TEST_ROWS, OVER = 15.0, 15.0, 5, 20, 1.1
 ACTIONABLE = {"feature_importance": 0.05, "correlation": 0.15, "group_difference": 0.10, "outlier": 0.02, "segment": 0.15, "risk_segment": 0.10, "interaction": 0.15}
+#: Kinds of which one is enough for a feature, columns whose importance is told and the least of it, and what tells the outcome: the most frequent target's share of rows that have, and that lack, a value.
+REDUNDANT = [{"group_difference", "risk_segment"}, {"group_difference", "segment"}, {"risk_segment", "segment"}, {"correlation", "feature_importance"}, {"group_difference", "interaction"}, {"group_difference", "feature_importance"}, {"risk_segment", "feature_importance"}, {"segment", "feature_importance"}]
+IMPORTANT, LEAST_IMPORTANT, TELLING_PRESENT, TELLING_MISSING = 5, 0.15, 0.95, 0.85
+#: How much longer texts of one class must be, and by how many points of percent it must lack more values.
+LONGER, LACKING = 1.15, 10.0
 #: What counts as the lift of a category that is found among the highest values only.
 ONLY = 10.0
 #: What a kind weighs in business.
@@ -111,15 +116,87 @@ def tested_segment(df: DataFrame, column: str, target: str) -> dict | None:
 
 
 def tested_feature(df: DataFrame, column: str, target: str) -> dict | None:
-    """Chi-square for categories or a categorical target, the rank correlation's p otherwise."""
+    """Chi-square of two columns of categories, the rank correlation's p of two of numbers; none for one of each."""
     kinds = by_type(df)
-    if column in kinds["numeric"] and target in kinds["numeric"]:
+    numbers_ = [c in kinds["numeric"] for c in (column, target)]
+    if all(numbers_):
         r = pairs.spearman(df, column, target).first()
         return r and r["r"] is not None and {"method": "spearman", "n": r["n"], "p": special.correlation_p(r["r"], r["n"]), "effect": abs(r["r"])} or None
+    if any(numbers_):
+        return None
     r = pairs.chi_square(df, target, column).first()
     return r and {"method": "chi_square", "n": r["n"], "p": pairs.chi_square_p(r["chi2"], r["rows"], r["columns"]), "effect": r["cramers_v"]}
 
 
+def merged_importance(df: DataFrame, target: str, top: int = IMPORTANT) -> DataFrame:
+    """feature, importance, relative: the ``top`` features by rank correlation or by their categories' score, each by the larger, and as a share of the largest."""
+    both = importance.numeric_importance(df, target).select("feature", "importance").unionByName(importance.categorical_importance(df, target).select("feature", "importance"))
+    best = both.groupBy("feature").agg(F.max("importance").alias("importance")).orderBy(F.desc("importance"), "feature").limit(top)
+    largest = best.agg(F.max("importance").alias("_m"))
+    return best.join(F.broadcast(largest)).select("feature", "importance", rounded(F.when(F.col("_m") > 0, F.col("importance") / F.col("_m")), 4).alias("relative"))  # one row
+
+
+def telling(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """column, present, missing: the most frequent target's share of the rows that have a value, and of those that lack one; null below ten rows of that sort.
+
+    One aggregation by target for all columns, which is combined in the map tasks.
+    """
+    has = [F.col(f"`{c}`").isNotNull() for c in columns]
+    g = df.groupBy(F.col(f"`{target}`").alias("_t")).agg(*[e for i, h in enumerate(has) for e in (F.count_if(h).alias(f"p{i}"), F.count_if(~h).alias(f"m{i}"))])
+
+    def share(k: str):
+        known = F.when(F.col("_t").isNotNull(), F.col(k))
+        return rounded(F.when(F.sum(k) >= 10, F.try_divide(F.max(known), F.sum(known))))
+
+    one = g.agg(*[e for i in range(len(columns)) for e in (share(f"p{i}").alias(f"p{i}"), share(f"m{i}").alias(f"m{i}"))])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"p{i}").alias("present"), F.col(f"m{i}").alias("missing")) for i, c in enumerate(columns)])).alias("x")).select("x.*")
+
+
+def important(df: DataFrame, target: str, ps: dict[str, Profile]) -> list[Insight]:
+    """The most important features of a target, with their test, but for those whose being there or not tells the target."""
+    found = [r for r in merged_importance(df, target).collect() if r["feature"] in ps and r["importance"] >= LEAST_IMPORTANT]  # at most IMPORTANT rows
+    gaps = [r["feature"] for r in found if ps[r["feature"]].missing > 0.05]
+    shares = {r["column"]: r for r in telling(df, gaps, target).collect()} if gaps else {}
+    out = []
+    for r in found:
+        c, s = r["feature"], shares.get(r["feature"])
+        if s and ((s["present"] or 0) > TELLING_PRESENT or (s["missing"] or 0) > TELLING_MISSING):
+            continue
+        t = tested_feature(df, c, target)
+        p, n, word = t["p"] if t else None, t["n"] if t else ps[c].count, "strong" if r["relative"] >= 0.5 else "moderate" if r["relative"] >= 0.2 else "weak"
+        out.append(Insight("feature_importance", c, f"{c} bears {word} signal for {target} (importance {r['importance']:.2f})", r["relative"], r["relative"], p, n, initial_confidence(r["importance"], n, r["relative"], p), {"importance": r["importance"]}))
+    return out
+
+
+def class_gaps(df: DataFrame, target: str, texts: list[str], gaps: list[str]) -> DataFrame:
+    """kind, column, most, least, high, low: for each text the classes of the longest and shortest mean length, for each column with gaps those that lack most and least of it in percent. Classes of no text do not count."""
+    e = {f"l{i}": F.avg(F.char_length(f"`{c}`")) for i, c in enumerate(texts)} | {f"m{i}": 100 * F.avg(F.col(f"`{c}`").isNull().cast("int")) for i, c in enumerate(gaps)}
+    g = df.where(F.col(f"`{target}`").isNotNull()).groupBy(F.col(f"`{target}`").cast("string").alias("_t")).agg(*[v.alias(k) for k, v in e.items()])
+    place = lambda k, sign: F.struct(sign * F.col(k), "_t")
+    one = g.agg(*[x for k in e for x in (F.min_by("_t", F.when(F.col(k).isNotNull(), place(k, -1))).alias(f"{k}_a"), F.min_by("_t", F.when(F.col(k).isNotNull(), place(k, 1))).alias(f"{k}_b"), F.max(k).alias(f"{k}_h"), F.min(k).alias(f"{k}_l"))])
+    names = {f"l{i}": ("length", c) for i, c in enumerate(texts)} | {f"m{i}": ("missing", c) for i, c in enumerate(gaps)}
+    rows_ = [F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("column"), F.col(f"{k}_a").alias("most"), F.col(f"{k}_b").alias("least"), rounded(F.col(f"{k}_h"), 4).alias("high"), rounded(F.col(f"{k}_l"), 4).alias("low")) for k, (kind, c) in names.items()]
+    return one.select(F.explode(F.array(*rows_)).alias("x")).select("x.*")
+
+
+def of_classes(df: DataFrame, target: str, ps: dict[str, Profile]) -> list[Insight]:
+    """What stands out between the classes of a target of categories: the leading class, and classes of longer texts or more gaps."""
+    t, out = ps[target], []
+    top = summaries.class_distribution(df, target, 1).first()
+    if top:
+        out.append(Insight("distribution", target, f"{target} has {t.unique} classes; {top['value']} leads with {100 * top['count'] / t.count:.1f} %", 0.60, top["count"] / t.count, None, t.count, 0.90))
+    texts = [c for c, p in ps.items() if c != target and p.type == "string" and p.kind == "text"]
+    gaps = [c for c, p in ps.items() if c != target and p.nulls]
+    for r in class_gaps(df, target, texts, gaps).collect() if texts or gaps else []:  # a row a column
+        c = r["column"]
+        if r["kind"] == "length" and r["high"] is not None and r["high"] > LONGER * r["low"]:
+            gap = 100 * (r["high"] - r["low"]) / max(r["low"], 1.0)
+            out.append(Insight("segment", c, f"{c} has {r['high']:.0f} letters on average for {target} = {r['most']}, {r['low']:.0f} for {r['least']}", 0.55, min(1.0, gap / 100), None, ps[c].count, 0.75, {"gap_pct": gap}))
+        if r["kind"] == "missing" and r["high"] is not None and r["high"] > r["low"] + LACKING:
+            out.append(Insight("data_quality", c, f"{r['high']:.1f} % of {c} is missing for {target} = {r['most']}, {r['low']:.1f} % for {r['least']}", 0.50, (r["high"] - r["low"]) / 100, None, ps[c].rows, 0.85))
+    return out
+
+
 def tested_interaction(df: DataFrame, columns: list[str], target: str) -> dict | None:
     r = interaction_test(df, columns, target).first()
     return r and r["n"] >= TEST_ROWS and r["f"] is not None and {"method": "anova", "n": r["n"], "p": pairs.anova_p(r["f"], r["k"], r["n"]), "effect": r["eta_squared"]} or None
@@ -175,6 +252,7 @@ def candidates(df: DataFrame, target: str, ps: dict[str, Profile]) -> list[Insig
         o = outliers.outliers(df, [target]).first()
         if o and o["outliers"] >= 5 and o["percentage"] >= 2:
             out.append(Insight("outlier", target, f"{o['outliers']} values of {target} ({o['percentage']:.1f} %) are outliers", o["percentage"] / 100, o["mad_share"] or 0.0, None, t.count))
+        out += important(df, target, ps)
         s = summaries.target_thresholds(df, target).first()
         if s["median"] and abs(s["mean"] - s["median"]) >= 0.2 * abs(s["median"]):
             out.append(Insight("distribution", target, f"the mean of {target} ({s['mean']:.4g}) is far from its median ({s['median']:.4g})", 0.3, 0.3, None, t.count))
@@ -182,11 +260,13 @@ def candidates(df: DataFrame, target: str, ps: dict[str, Profile]) -> list[Insig
         for c in cats:
             x = pairs.chi_square(df, target, c).first()
             if x and x["cramers_v"] is not None and x["cramers_v"] >= CORRELATION:
-                out.append(Insight("group_difference", c, f"{target} depends on {c} (Cramér's V {x['cramers_v']:.2f})", x["cramers_v"], x["cramers_v"], pairs.chi_square_p(x["chi2"], x["rows"], x["columns"]), x["n"]))
+                most = summaries.lift(df, target, c).orderBy(F.desc("lift"), F.desc("n"), "a", "b").first()
+                out.append(Insight("group_difference", c, f"{c} = {most['b']} is {most['lift']:.1f} times as frequent for {target} = {most['a']} as overall (Cramér's V {x['cramers_v']:.2f})", min(0.95, 2.5 * x["cramers_v"] + 0.1 * (most["lift"] - 1)), x["cramers_v"], pairs.chi_square_p(x["chi2"], x["rows"], x["columns"]), x["n"], facts={"lift": most["lift"]}))
         for c in nums:
             k = pairs.kruskal(df, target, c).first()
             if k and k["score"] is not None and k["score"] >= 0.02:
                 out.append(Insight("feature_importance", c, f"{c} differs between classes of {target}", min(1.0, k["score"] * 2), k["score"], special.chi2_upper(k["h"], k["k"] - 1), k["n"]))
+        out += of_classes(df, target, ps)
     for c, p in ps.items():
         if p.missing > 0.05:
             out.append(Insight("distribution", c, f"{p.missing:.0%} of {c} is missing", p.missing, p.missing, None, p.rows))
@@ -300,21 +380,22 @@ def model_evidence(df: DataFrame, model, target: str, top: int = 5) -> list[tupl
 
 
 def validated(found: list[Insight], ps: dict[str, Profile]) -> list[Insight]:
-    """Insights whose test does not speak against them, with their confidence."""
+    """Insights whose test does not speak against them, with their confidence; what was never tested keeps the one that it came with."""
     kept = []
     for x in found:
-        x.confidence = confidence(x.n, x.effect, x.p, 100 * ps[x.feature].missing)
+        x.confidence = x.confidence if x.p is None and x.confidence else confidence(x.n, x.effect, x.p, 100 * ps[x.feature].missing)
         if actionable(x) and (x.p is None or x.kind not in LIMITS or x.p <= LIMITS[x.kind]):
             kept.append(x)
     return kept
 
 
 def ranked(found: list[Insight]) -> list[Insight]:
-    """The best by importance, confidence and priority, with caps on kinds and features."""
-    score = lambda x: x.importance * x.confidence * max(0.5, PRIORITY[x.kind] / 5) * 1.05
+    """The best by importance, confidence and priority, with caps on kinds and features; of kinds that say the same of a feature the better one."""
+    score = lambda x: x.importance * x.confidence * max(0.5, PRIORITY.get(x.kind, 0) / 5) * 1.05
+    said = lambda x: any(y.feature == x.feature and (y.kind == x.kind or {x.kind, y.kind} in REDUNDANT) for y in out)
     out: list[Insight] = []
     for x in sorted(found, key=lambda x: (-score(x), x.kind, x.feature)):
-        if score(x) >= 0.05 and sum(y.kind == x.kind for y in out) < CAPS[x.kind] and sum(y.feature == x.feature for y in out) < PER_FEATURE and len(out) < MOST:
+        if score(x) >= 0.05 and not said(x) and sum(y.kind == x.kind for y in out) < CAPS.get(x.kind, MOST) and sum(y.feature == x.feature for y in out) < PER_FEATURE and len(out) < MOST:
             out.append(x)
     return out
 

@@ -161,7 +161,7 @@ def _(spark, d):
 
 @query("jon08_newest", "select o_custkey, max(o_orderdate) as latest, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as o_orderkey from orders group by 1")
 def _(spark, d):
-    return t(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("latest"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
+    return rows.newest(t(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
 
 
 # Summaries.
@@ -284,10 +284,15 @@ def _(spark, d):
     return select.duplicate_rows(t(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_returnflag"])
 
 
-@query("agg22_value_classes", "with s as (select case when doc_id % 4 = 0 then '12.5' when doc_id % 4 = 1 then 'yes' when doc_id % 4 = 2 then '2024-01-05' else 'word' end as x from documents) select case x when '12.5' then 'numeric' when 'yes' then 'boolean' when '2024-01-05' then 'date' else 'text' end as class, count(*) as n from s group by 1")
+# Values of all columns of orders as text, told apart by their form.
+_MIXED = "select unnest([o_orderstatus, o_orderpriority, o_totalprice::varchar, strftime(o_orderdate, '%Y-%m-%d'), (o_totalprice > 100000)::varchar]) as x from orders"
+
+
+@query("agg22_value_classes", f"with s as ({_MIXED}) select case when regexp_full_match(x, '[0-9]+([.][0-9]+)?') then 'numeric' when x in ('true', 'false') then 'boolean' when try_cast(x as date) is not null then 'date' else 'text' end as class, count(*) as n from s where x is not null group by 1")
 def _(spark, d):
-    m = F.col("doc_id") % 4
-    return summaries.value_classes(t(spark, d, "documents").select(F.when(m == 0, "12.5").when(m == 1, "yes").when(m == 2, "2024-01-05").otherwise("word").alias("x")), "x")
+    o = t(spark, d, "orders")
+    x = F.array("o_orderstatus", "o_orderpriority", F.col("o_totalprice").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), (F.col("o_totalprice") > 100000).cast("string"))
+    return summaries.value_classes(o.select(F.explode(x).alias("x")), "x")
 
 
 # Rows in order.
@@ -379,9 +384,9 @@ def _(spark, d):
     return t(spark, d, "orders").select("o_orderkey", C.separator_key(F.col("o_orderpriority")).alias("key"))
 
 
-@query("str06_regex_extract", "select c_custkey, regexp_extract(c_name, '#0*([1-9][0-9]*)$', 1) as number from customer")
+@query("str06_regex_extract", "select c_custkey, try_cast(nullif(regexp_extract(trim(c_name), '[0-9]+$'), '') as bigint) as number from customer")
 def _(spark, d):
-    return t(spark, d, "customer").select("c_custkey", F.regexp_extract("c_name", "#0*([1-9][0-9]*)$", 1).alias("number"))
+    return t(spark, d, "customer").select("c_custkey", C.ticket_number(F.col("c_name")).alias("number"))
 
 
 @query("str08_word_count", "select doc_id, length(text)::int as chars, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::int as words from documents")
@@ -643,10 +648,13 @@ def _(spark, d):
     return _evidence(spark, d, DIRTY_LINES, [cleaning.detect_derived], ["l_quantity", "l_tax", "total"]).where("column = 'total'")
 
 
-@query("det14_derived_length", "select count(*) as n, count(*) filter (where n_chars = length(text)) as ok from documents")
+@query("det14_derived_length", "with d as (select case when doc_id % 61 = 0 then n_chars + 3 else n_chars end as n, text from documents) select 'n_chars' as \"column\", 'derived_violations' as problem, count(*) filter (where n <> length(text)) as n, round(count(*) filter (where n <> length(text)) / count(n - length(text)), 6) as ratio from d")
 def _(spark, d):
-    x = t(spark, d, "documents")
-    return x.agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") == C.derived("string_length", source="text")).alias("ok"))
+    from lumen.plans import cleaning, profile
+
+    x = t(spark, d, "documents").select(F.when(F.col("doc_id") % 61 == 0, F.col("n_chars") + 3).otherwise(F.col("n_chars")).alias("n_chars"), "text")
+    found = cleaning.detect_derived(x, profile.profile(x), cleaning.Rules())
+    return spark.createDataFrame([(e.column, e.problem, int(e.count), round(float(e.ratio), 6)) for e in found], "column string, problem string, n long, ratio double")
 
 
 @query("det09_encoding_artifacts", "select count(*) filter (where regexp_matches(html, '&(#[0-9]+|#x[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);')) as entities, count(*) filter (where regexp_matches(html, '</?[a-zA-Z][^>]*>')) as tags, count(*) as n from pages")
@@ -840,9 +848,10 @@ def _(spark, d):
     return lookups.is_url_column(t(spark, d, "pages"), "url")
 
 
-@query("sta13_boolean_like", "select count(*) as count, count(*) as booleans, true as is_boolean from orders")
+@query("sta13_boolean_like", "with d as (select case when o_orderstatus = 'P' then 'pending' else ' ' || upper((o_totalprice > 100000)::varchar) end as x from orders) select count(x) as count, count(*) filter (where lower(trim(x)) in ('true', 'false')) as booleans, count(x) > 0 and count(x) = count(*) filter (where lower(trim(x)) in ('true', 'false')) as is_boolean from d")
 def _(spark, d):
-    return lookups.is_boolean_like(t(spark, d, "orders").select((F.col("o_orderkey") % 2 == 0).cast("string").alias("x")), "x")
+    x = F.when(F.col("o_orderstatus") == "P", "pending").otherwise(F.concat(F.lit(" "), F.upper((F.col("o_totalprice") > 100000).cast("string"))))
+    return lookups.is_boolean_like(t(spark, d, "orders").select(x.alias("x")), "x")
 
 
 # Importance.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumen.operators import concordance, importance, information, neighbours, ngrams
-from lumen.plans import learners
+from lumen.plans import insights, learners
 from lumen.queries import query, t
 
 # Neighbours of every twentieth vector among all.
@@ -151,3 +151,35 @@ def _(spark, d):
 )
 def _(spark, d):
     return information.of_classes(t(spark, d, "part"), "p_retailprice", "p_brand")
+
+
+# Numbers behind insights.
+
+_TOLD = "with d as (select doc_id, lang, quality, case when quality > 0.5 and doc_id % 3 > 0 then null else text end as text, case when lang = 'en' then null else source end as source from documents join labels using (doc_id))"
+
+
+def _told(spark, d):
+    x = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
+    return x.select("doc_id", "lang", "quality", F.when(~((F.col("quality") > 0.5) & (F.col("doc_id") % 3 > 0)), F.col("text")).alias("text"), F.when(F.coalesce(F.col("lang") != "en", F.lit(True)), F.col("source")).alias("source"))
+
+
+@query("ins12_class_gaps", f"{_TOLD}, g as (select lang, avg(length(text)) as l, 100.0 * avg((text is null)::int) as m, 100.0 * avg((source is null)::int) as s from d where lang is not null group by 1), u as (select lang, 'length' as kind, 'text' as c, l as v from g union all select lang, 'missing', 'text', m from g union all select lang, 'missing', 'source', s from g) select kind, c as \"column\", arg_min(lang, (-v, lang)) as most, arg_min(lang, (v, lang)) as least, round(max(v), 4) as high, round(min(v), 4) as low from u where v is not null group by 1, 2")
+def _(spark, d):
+    return insights.class_gaps(_told(spark, d), "lang", ["text"], ["text", "source"])
+
+
+_SHARE = "round((case when sum({k}) >= 10 then max({k}) filter (where lang is not null) / sum({k}) filter (where lang is not null) end)::double, 6)"
+
+
+@query("ins18_telling_gaps", f"{_TOLD}, g as (select lang, count(text) as pt, count(*) - count(text) as mt, count(source) as ps, count(*) - count(source) as ms from d group by 1) " + " union all ".join(f"select '{c}' as \"column\", {_SHARE.format(k='p' + c[0])} as present, {_SHARE.format(k='m' + c[0])} as missing from g" for c in ("text", "source")))
+def _(spark, d):
+    return insights.telling(_told(spark, d), ["text", "source"], "lang")
+
+
+_RANKED = "select rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 as x, rank() over (order by l_extendedprice) + (count(*) over (partition by l_extendedprice) - 1) / 2.0 as y from lineitem"
+_SPREAD = "select l_returnflag, count(*) as n, avg(l_extendedprice) as m, var_samp(l_extendedprice) as v from lineitem group by 1"
+
+
+@query("ins06_merged_importance", f"with r as ({_RANKED}), g as ({_SPREAD}), x as (select sum(n) as n, count(*) as k, sum((n - 1) * v) as w, sum(n * (m - (select avg(l_extendedprice) from lineitem)) ** 2) as b from g), f as (select n - k as d, b / (k - 1) / (w / (n - k)) as f from x), u as (select 'l_quantity' as feature, abs(round(round(corr(x, y), 6), 3)) as importance from r union all select 'l_returnflag', round(round(f / (f + d), 6), 3) from f) select feature, importance, round(importance / max(importance) over (), 4) as relative from u where importance > 0")
+def _(spark, d):
+    return insights.merged_importance(t(spark, d, "lineitem").select("l_quantity", "l_returnflag", "l_extendedprice"), "l_extendedprice")
