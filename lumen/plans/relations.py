@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumen.session import workers_import
+
 #: Rows that vote, and how many of them do at first and then, of relations that are left.
 ROWS = 4096
 STEPS = (64, 512, ROWS)
@@ -92,7 +94,7 @@ def possible(df: DataFrame, numeric: list[str], texts: list[str], offsets: list,
             found = [r for t in batch["id"] for r in for_target(x, n, int(t), offsets, least)]
             yield pd.DataFrame(found, columns=["t", "a", "b", "kind", "k"])
 
-    spark = df.sparkSession
+    spark = workers_import(df.sparkSession)
     targets = spark.range(0, n, 1, min(n, spark.sparkContext.defaultParallelism))
     found = targets.mapInPandas(run, "t int, a int, b int, kind int, k int").collect()  # what the vote leaves
     names = [*numeric, *texts]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lumen import vocab
 from lumen.functions import columns as C
 from lumen.operators import charts, importance, lookups, outliers, pairs, rows, select, summaries
+from lumen.session import workers_import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,7 +31,7 @@ def query(name: str, sql: str | None = None):
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return workers_import(spark).read.parquet(f"{d}/{name}.parquet")
 
 
 # Projections with faults, the same on both sides.
