@@ -2,9 +2,11 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
@@ -242,3 +244,16 @@ def test_ensemble_of_classes_and_flat_features(spark):
     rows = [(float(i % 3), i % 3 + r.gauss(0, 0.2), r.gauss(0, 1), 1.0) for i in range(90)]
     got = {q["feature"]: q["importance"] for q in importance.ensemble_importance(spark.createDataFrame(rows, "label double, near double, noise double, flat double"), "label").collect()}
     assert set(got) == {"near", "noise"} and got["near"] > 0.95 and got["near"] > got["noise"]
+
+
+def test_terms_of_few_texts_are_in_memory_together(spark):
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(400)) for _ in range(4000)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    n = sum(sum(b.column(1).to_pylist()) for b in ngrams._counted(2, [], None)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 4000 * 799 and peak < 120e6  # 3.2 million terms
+    df = spark.createDataFrame([(i, s) for i, s in enumerate([*texts[:50], None, ""])], "i long, s string")
+    assert [sum(t["n"] for t in q["t"]) for q in df.orderBy("i").select(ngrams.tally(F.col("s"), 2, []).alias("t")).collect()] == [799] * 50 + [0, 0]
