@@ -3,7 +3,7 @@
 For two columns of numbers the distance to the k-th neighbour in the plane sets,
 for each row, how near values count as equal in either column; for a class and a
 number, the distance to the k-th neighbour within the class does.  Neighbours in
-the plane come from pivots; how many values lie within a distance comes from
+the plane come from tiles; how many values lie within a distance comes from
 ranks, counted over value ranges at fixed cut points.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumen.functions.columns import finite, rounded
-from lumen.operators.neighbours import nearest
+from lumen.operators.plane import kth_distance
 from lumen.operators.quantiles import ranged
 from lumen.session import shared_dir
 
@@ -57,10 +57,10 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def counts_within(values: DataFrame, probes: DataFrame) -> DataFrame:
-    """``id, n``: how many values (column ``v``) lie from ``low`` to ``high`` of each of probes (id, low, high)."""
+    """``id, n``: how many values (column ``v``, each ``c`` times if there is such a column) lie from ``low`` to ``high`` of each of probes (id, low, high)."""
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = probes.select("id", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("low").alias("v")), F.struct(F.lit(2).alias("side"), F.col("high").alias("v")))).alias("p")).select("id", "p.side", "p.v")
-    distinct = values.groupBy("v").agg(F.count("*").alias("c"))  # so that a frequent value is one row
+    distinct = values.groupBy("v").agg((F.sum("c") if "c" in values.columns else F.count("*")).alias("c"))  # so that a frequent value is one row
     both = distinct.select(F.lit(None).cast("long").alias("id"), F.lit(0).alias("side"), "v", "c").unionByName(asked.withColumn("c", F.lit(0).cast("long")))
     cut = ranged(both, "v", parts, "r")
     # Values of earlier ranges; ranges without values have none of their own, so every range that a probe is in is listed.
@@ -86,15 +86,18 @@ def of_numbers(df: DataFrame, a: str, b: str, k: int = 3) -> DataFrame:
     """One row: ``nats, n`` of two columns of numbers; no less than 0, null for k rows or fewer."""
     p = _points(df, a, finite(F.col(f"`{b}`").cast("double")))
     sd = p.agg(F.stddev_pop("y")).first()[0] or 1.0
-    p = p.withColumn("y", F.col("y") / F.lit(sd))
-    v = p.select("id", F.array("x", "y").alias("v"))
-    near = nearest(v, v, k, "id", "v", 2, metric="chebyshev").where(F.col("rank") == k).select(F.col("id").alias("_id"), (F.col("distance") * SHORTER).alias("r"))
+    places = p.withColumn("y", F.col("y") / F.lit(sd)).groupBy("x", "y").agg(F.min("id").alias("id"), F.count("*").alias("c"))  # rows of one place have one answer
+    path = f"{shared_dir(df.sparkSession)}/places"
+    places.write.parquet(path)
+    p = df.sparkSession.read.parquet(path)
+    near = kth_distance(p, k).select(F.col("id").alias("_id"), (F.col("r") * SHORTER).alias("r"))
     at = p.join(near, F.col("id") == F.col("_id"))
-    n = None
+    n = p.select("id", "c")
     for c in ("x", "y"):
-        m = counts_within(p.select(F.col(c).alias("v")), at.select("id", (F.col(c) - F.col("r")).alias("low"), (F.col(c) + F.col("r")).alias("high"))).withColumnRenamed("n", f"n{c}")
-        n = m if n is None else n.join(m, "id")
-    means = n.agg(F.count("*").alias("n"), F.avg(digamma(F.col("nx"))).alias("a"), F.avg(digamma(F.col("ny"))).alias("b"))
+        m = counts_within(p.select(F.col(c).alias("v"), "c"), at.select("id", (F.col(c) - F.col("r")).alias("low"), (F.col(c) + F.col("r")).alias("high"))).withColumnRenamed("n", f"n{c}")
+        n = n.join(m, "id")
+    mean = lambda e: F.sum(F.col("c") * digamma(F.col(e))) / F.sum("c")
+    means = n.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), mean("nx").alias("a"), mean("ny").alias("b"))
     nats = digamma(F.col("n")) + digamma(F.lit(k)) - F.col("a") - F.col("b")
     return means.select(F.when(F.col("n") > k, rounded(F.greatest(F.lit(0.0), nats))).alias("nats"), "n")
 
