@@ -22,7 +22,9 @@ def ranked_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """``r0, r1, ..``: the mean ranks of columns without missing values, row by row; all columns share two exchanges."""
     named = df.select(F.monotonically_increasing_id().alias("row"), *[v.alias(f"c{i}") for i, v in enumerate(numbers(columns).values())])
     long = named.select("row", F.posexplode(F.array(*[f"c{i}" for i in range(len(columns))])).alias("i", "v"))
-    ranked = rows.average_ranks(long, "v", ["i"]).groupBy("row").agg(*[F.max(F.when(F.col("i") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(columns))])
+    ranks = rows.average_ranks(long, "v", ["i"]).select("row", "i", "rank")
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() * len(columns) // rows.JOINED)
+    ranked = ranks.repartition(tasks, "row").groupBy("row").agg(*[F.max(F.when(F.col("i") == i, F.col("rank"))).alias(f"r{i}") for i in range(len(columns))])
     return ranked.drop("row")
 
 

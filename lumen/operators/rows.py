@@ -11,6 +11,10 @@ from lumen.functions.columns import collapse, fold_case, missing_like, rounded
 from lumen.operators.quantiles import numbers, quantile_row, ranged
 
 
+#: A value with more than one in so many of the rows is frequent, and the rows of a partition that meet the ranks of the others.
+FREQUENT, JOINED = 10_000, 500_000
+
+
 def _cols(columns: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in columns]
 
@@ -57,6 +61,8 @@ def average_ranks(df: DataFrame, value: str, by: list[str] | None = None, name:
 
     Ranks come from the counts of distinct values, not from one sorted
     partition: cumulative counts run over value ranges at fixed cut points.
+    Ranks of frequent values, of which there are few, go to all tasks; rows of
+    the others meet their ranks in partitions of about ``JOINED`` rows.
     """
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
@@ -66,7 +72,17 @@ def average_ranks(df: DataFrame, value: str, by: list[str] | None = None, name:
     before = totals.withColumn("_b", F.coalesce(F.sum("_t").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
     within = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = cut.withColumn("_w", within).join(before, [*by, "_p"]).select(*by, value, (F.col("_b") + F.col("_w") + (F.col("_n") + 1) / 2.0).alias(name), F.col("_n").alias("_ties"))
-    return df.join(ranked, [*by, value], "left")
+    keys = [*by, value]
+    size = counts.agg(F.sum("_n")).first()[0] or 0
+    often = ranked.where(F.col("_ties") > max(1, size // FREQUENT)).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(name).alias("_r"), F.col("_ties").alias("_c"))  # FREQUENT rows at most
+    own = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)])
+    known = df.join(F.broadcast(often), own, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    # Rows that are done, or have no value, are spread by a number that no rank has.
+    open_ = known.withColumn("_s", F.when(F.col("_r").isNull() & F.col(value).isNotNull(), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id() + 1))
+    n = max(parts, size // JOINED)
+    rest = ranked.where(F.col("_ties") <= max(1, size // FREQUENT)).withColumn("_s", F.lit(0).cast("long"))
+    met = open_.repartition(n, *keys, "_s").join(rest.repartition(n, *keys, "_s"), [*keys, "_s"], "left")
+    return met.select(*[F.col(f"`{c}`") for c in [*keys, *[c for c in df.columns if c not in keys]]], F.coalesce("_r", name).alias(name), F.coalesce("_c", "_ties").alias("_ties"))
 
 
 def quartile_bins(df: DataFrame, value: str) -> DataFrame:

@@ -68,3 +68,16 @@ def test_few_values(spark, n):
     for accuracy in (1000, 5):
         got = quantiles.quantiles(spark.createDataFrame([(x,) for x in v], "a double"), quantiles.numbers(["a"]), ps, accuracy).first()
         assert np.allclose(got["q"], np.quantile(v, ps))
+
+
+def test_ranks_of_frequent_values_are_not_joined_by_key(spark):
+    from pyspark.sql import functions as F
+
+    from lumen.operators import rows
+
+    x = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, 1.0).when(F.col("id") % 3 == 1, F.col("id") * 1.0).alias("v"))
+    got = rows.average_ranks(x, "v").withColumn("p", F.spark_partition_id())
+    assert "_s" in got._jdf.queryExecution().toString()
+    r = {q["id"]: (q["rank"], q["_ties"]) for q in got.collect()}
+    # 10,000 ones; 1.0 itself is also the value of id 1.
+    assert r[0] == r[1] == (5001.0, 10_001) and r[4] == (10_002.0, 1) and r[2] == (None, None) and r[29_998] == (20_000.0, 1) and len(r) == 30_000
