@@ -70,16 +70,12 @@ def _edges(df: DataFrame, column: str, ranges: int) -> list[float]:
 
 def _range(column: str, edges: list[float]) -> Column:
     """The number of edges below a value, by halving."""
+    at = np.array(edges, float)
 
-    def find(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        m = (lo + hi) // 2
-        return F.when(F.col(column) > edges[m], find(m + 1, hi)).otherwise(find(lo, m))
+    def find(values: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(at, values.to_numpy(zero_copy_only=False), "left").astype(np.int32))
 
-    if len(edges) <= 32:
-        return find(0, len(edges))
-    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(column)))
+    return F.arrow_udf(find, "int")(F.col(column)) if edges else F.lit(0)
 
 
 def tau_b(df: DataFrame, a: str, b: str, digits: int | None = 6, per_range: int = RANGE) -> DataFrame:
@@ -90,7 +86,7 @@ def tau_b(df: DataFrame, a: str, b: str, digits: int | None = 6, per_range: int
     size = points.count()
     ranges = max(1, min(RANGES, size // per_range))
     ex, ey = _edges(points, "x", ranges), _edges(points, "y", ranges)
-    placed = points.select("x", "y", "n", _range("x", ex).alias("i"), _range("y", ey).alias("j"))
+    placed = points.select("x", "y", "n", _range("x", ex).alias("i"), _range("y", ey).alias("j")).persist()
 
     def tied(c: str):
         return points.groupBy(c).agg(F.sum("n").cast("decimal(38,0)").alias("t")).agg(F.coalesce(F.sum(F.col("t") * (F.col("t") - 1) / 2).cast("decimal(38,0)"), F.lit(0))).first()[0]
@@ -108,12 +104,13 @@ def tau_b(df: DataFrame, a: str, b: str, digits: int | None = 6, per_range: int
         discordant += int((row * greater).sum())
         above = above + row
     # One range of x; then one range of y, with ranges of x for values, so that pairs of one range of x are not met again.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges)  # a range or a few in each
     for rows in (placed.select(F.col("i").alias("r"), "x", "y", "n"), placed.select(F.col("j").alias("r"), F.col("i").cast("double").alias("x"), "y", "n")):
         several = rows.groupBy("r").agg(F.min("x").alias("l"), F.max("x").alias("h"), F.min("y").alias("m"), F.max("y").alias("o")).where("l < h and m < o").select(F.col("r").alias("_r"))
         met = rows.join(F.broadcast(several), F.col("r") == F.col("_r"), "left_semi").select("r", "x", "y", "n").repartition(tasks, "r").sortWithinPartitions("r")  # RANGES rows at most
         found = met.mapInArrow(_within, "d string").agg(F.sum(F.col("d").cast("decimal(38,0)"))).first()[0]
         discordant += int(found or 0)
+    placed.unpersist()
     points.unpersist()
     concordant = all_ - tx - ty + int(both) - discordant
     below = float(all_ - tx) ** 0.5 * float(all_ - ty) ** 0.5
