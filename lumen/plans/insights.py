@@ -129,9 +129,9 @@ def tested_feature(df: DataFrame, column: str, target: str) -> dict | None:
 
 
 def merged_importance(df: DataFrame, target: str, top: int = IMPORTANT) -> DataFrame:
-    """feature, importance, relative: the ``top`` features by rank correlation or by their categories' score, each by the larger, and as a share of the largest."""
+    """feature, importance, relative: the ``top`` features by rank correlation or by their categories' score, each by the larger, and as a share of the largest; none of importance 0."""
     both = importance.numeric_importance(df, target).select("feature", "importance").unionByName(importance.categorical_importance(df, target).select("feature", "importance"))
-    best = both.groupBy("feature").agg(F.max("importance").alias("importance")).orderBy(F.desc("importance"), "feature").limit(top)
+    best = both.where("importance > 0").groupBy("feature").agg(F.max("importance").alias("importance")).orderBy(F.desc("importance"), "feature").limit(top)
     largest = best.agg(F.max("importance").alias("_m"))
     return best.join(F.broadcast(largest)).select("feature", "importance", rounded(F.when(F.col("_m") > 0, F.col("importance") / F.col("_m")), 4).alias("relative"))  # one row
 

@@ -121,3 +121,10 @@ def test_insights_of_classes_and_importances(spark):
     assert insights.telling(z, ["m"], "t").first()[1:] == (1.0, 1.0)
     one = [insights.Insight(k, "f", "", 0.9, 0.9, 0.001, 500, 0.9) for k in ("correlation", "feature_importance", "outlier")]
     assert {i.kind for i in insights.ranked(one)} == {"outlier", "correlation"}
+
+
+def test_merged_importance_leaves_out_features_of_importance_zero(spark):
+    from lumen.plans import insights
+
+    x = spark.createDataFrame([(float(a), float(b)) for a in range(10) for b in range(10)], "a double, y double")
+    assert insights.merged_importance(x, "y").collect() == []
