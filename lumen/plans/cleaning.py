@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from lumen import vocab
 from lumen.functions import columns as C
 from lumen.operators import outliers, rows, select
-from lumen.operators.quantiles import numbers, quantile_row
+from lumen.operators.quantiles import numbers, quantile_row, value_counts
 from lumen.plans import relations
 from lumen.plans.profile import Profile, profile
 
@@ -177,21 +177,21 @@ def detect_invalid(df, ps, rules) -> list[Evidence]:
 
 
 def detect_types(df, ps, rules) -> list[Evidence]:
-    """Strings that are numbers, amounts or dates, and columns of mixed classes."""
-    e = {}
-    for c in _strings(ps):
-        col, i = F.col(f"`{c}`"), list(ps).index(c)
-        kind = C.classify_scalar(col)
-        e |= {f"n{i}": F.count_if(kind == "numeric"), f"d{i}": F.count_if(kind == "date"), f"t{i}": F.count_if(kind == "text"), f"a{i}": F.count(C.accounting_number(col)), f"p{i}": F.count(C.to_number(col))}
-    r = _one(df, e)
+    """Strings that are numbers, amounts or dates, and columns of mixed classes; each distinct value is classified once."""
+    use = [c for c in _strings(ps) if ps[c].count and ps[c].semantic != "identifier"]
+    if not use:
+        return []
+    v, kind = F.col("v"), F.col("kind")
+    rows_if = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    classes = value_counts(df, {c: F.col(f"`{c}`") for c in use}).withColumn("kind", C.classify_scalar(v)).groupBy("i")
+    found = classes.agg(*[rows_if(kind == k).alias(k) for k in ("numeric", "date", "text")], rows_if(C.accounting_number(v).isNotNull()).alias("amounts"), rows_if(C.to_number(v).isNotNull()).alias("plain"))
+    seen = {r["i"]: r for r in found.collect()}  # a row a column
     out = []
-    for c in _strings(ps):
-        p, i = ps[c], list(ps).index(c)
+    for i, c in enumerate(use):
+        p, r = ps[c], seen[i]
         n = p.count
-        if not n or p.semantic == "identifier":
-            continue
-        num, date, text = r[f"n{i}"], r[f"d{i}"], r[f"t{i}"]
-        if r[f"p{i}"] == n or r[f"a{i}"] == n and num >= 0.95 * n:
+        num, date, text = r["numeric"], r["date"], r["text"]
+        if r["plain"] == n or r["amounts"] == n and num >= 0.95 * n:
             out.append(Evidence("types", c, "numbers_as_text", n, 1.0, "medium", {"target": "number"}))
         elif date >= 0.95 * n and p.length >= 6:
             out.append(Evidence("types", c, "dates_as_text", date, date / n, "medium", {"target": "date"}))
@@ -759,7 +759,7 @@ class Cleaner:
                     d.verdict, d.reason = "flag", "the column was changed before"
                 changed[c] = changed.get(c, 0) + 1
             if d.verdict == "apply" and not self.policy.dry_run and (c is None or c in df.columns):
-                after_df = ACTIONS[d.action](df, c, d.params, order)
+                after_df = cut(ACTIONS[d.action](df, c, d.params, order))  # read twice by its validation
                 after = state(after_df)
                 wrong = validate(now, after, d) + unexpected(df, after_df, d, order)
                 log.append({"action": d.action, "column": c, "count": d.evidence.count, "valid": not wrong, "rows_before": now["rows"], "rows_after": after["rows"]})
@@ -769,7 +769,7 @@ class Cleaner:
                 else:
                     if d.action == "fill" and d.evidence.ratio >= 0.20:
                         warnings.append(f"{c}: a fifth or more of the values are filled in")
-                    df, now = cut(after_df), after
+                    df, now = after_df, after
             decisions.append(d)
         applied = any(d.verdict == "apply" for d in decisions)
         verdict = "CLEANED_WITH_WARNINGS" if warnings else "CLEANED" if applied else "FLAGGED" if decisions else "CLEAN"

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from lumen import vocab
 from lumen.functions.columns import finite, integer_like, named, parse_datetime, segments, to_number
-from lumen.operators.quantiles import distinct_counts
+from lumen.operators.quantiles import value_counts
 
 #: Patterns of protected text; a column is of the first that 90 % of its values match.
 SUBTYPES = {
@@ -135,7 +135,7 @@ class Profile:
 
 
 def profile(df: DataFrame, columns: list[str] | None = None) -> dict[str, Profile]:
-    """Profiles of all columns from one pass over the data and one count of distinct values of all; a row a column reaches the driver."""
+    """Profiles of all columns from one pass over the data and one count of the values of all; a row a column reaches the driver."""
     columns = list(df.columns if columns is None else columns)
     exprs, schema = [F.count("*").alias("rows")], df.schema
     for i, c in enumerate(columns):
@@ -144,25 +144,25 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> dict[str, Profil
         if isinstance(t, T.NumericType):
             v = finite(col.cast("double"))
             exprs += [F.bool_and(integer_like(v)).alias(f"integral{i}"), F.min(v).alias(f"low{i}"), F.max(v).alias(f"high{i}"), F.stddev_samp(v).alias(f"sd{i}")]
-        elif isinstance(t, T.StringType):
-            share = lambda cond: F.avg(F.when(col.isNotNull(), cond.cast("int")))  # noqa: B023, E731
-            exprs += [F.avg(F.char_length(col)).alias(f"length{i}"), share(to_number(col).isNotNull()).alias(f"numbers{i}"), share(parse_datetime(col).isNotNull()).alias(f"dates{i}")]
-            exprs += [share(col.rlike(p)).alias(f"{k}_{i}") for k, p in SUBTYPES.items()]
     r = df.agg(*exprs).first().asDict()
 
     def text(c: str):
         t = schema[c].dataType
         return F.hex(F.col(f"`{c}`")) if isinstance(t, T.BinaryType) else ((F.col(f"`{c}`") + F.lit(0.0)) if isinstance(t, (T.DoubleType, T.FloatType)) else F.col(f"`{c}`")).cast("string")  # -0.0 equals 0.0
 
-    unique = {x["i"]: x["unique"] for x in distinct_counts(df, {c: text(c) for c in columns}).collect()} if columns else {}
+    # What a text looks like is told of each distinct value, which may fill many rows.
+    v, n, own = F.col("v"), F.col("n"), F.col("i").isin([i for i, c in enumerate(columns) if isinstance(schema[c].dataType, T.StringType)])
+    looks = {"numbers": to_number(v).isNotNull(), "dates": parse_datetime(v).isNotNull()} | {k: v.rlike(p) for k, p in SUBTYPES.items()}
+    facts = [(F.sum(F.when(own, n * F.char_length(v))) / F.sum(n)).alias("length")] + [(F.sum(F.when(own, F.when(cond, n).otherwise(0))) / F.sum(n)).alias(k) for k, cond in looks.items()]
+    seen = {x["i"]: x for x in value_counts(df, {c: text(c) for c in columns}).groupBy("i").agg(F.count("*").alias("unique"), *facts).collect()} if columns else {}
     out = {}
     for i, c in enumerate(columns):
         t = schema[c].dataType
-        p = Profile(c, t.simpleString(), r["rows"], r[f"count{i}"], unique.get(i, 0))
+        p = Profile(c, t.simpleString(), r["rows"], r[f"count{i}"], seen[i]["unique"] if i in seen else 0)
         if isinstance(t, T.NumericType):
             p.numeric, p.integral, p.low, p.high, p.sd = True, bool(r[f"integral{i}"]), r[f"low{i}"], r[f"high{i}"], r[f"sd{i}"]
-        elif isinstance(t, T.StringType):
-            p.length, p.numbers, p.dates = r[f"length{i}"] or 0.0, r[f"numbers{i}"] or 0.0, r[f"dates{i}"] or 0.0
-            p.subtypes = {k: r[f"{k}_{i}"] or 0.0 for k in SUBTYPES}
+        elif isinstance(t, T.StringType) and i in seen:
+            p.length, p.numbers, p.dates = seen[i]["length"], seen[i]["numbers"], seen[i]["dates"]
+            p.subtypes = {k: seen[i][k] for k in SUBTYPES}
         out[c] = p
     return out

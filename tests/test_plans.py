@@ -235,3 +235,27 @@ def test_insight_kinds(spark):
     assert s["confidence_label"] in ("low", "medium", "high") and m.by_severity(found)[0].kind
     assert m.parse_sections("# One\nbody\n**Two**\nmore\nlines\nThree things:\nend") == [{"title": "One", "body": "body"}, {"title": "Two", "body": "more\nlines"}, {"title": "Three things", "body": "end"}]
     assert m.summary(found, "value").startswith(str(len(found))) and m.initial_confidence(1.0, 5000, 1.0) == 0.9 and 0 < m.composite(x) <= 1 and isinstance(m.strict(x), bool)
+
+
+def test_texts_are_classified_once_a_distinct_value(spark, monkeypatch):
+    from pyspark.sql import types as T
+
+    from lumen.functions import columns
+    from lumen.plans import profile as profiles
+
+    values = ["2024-01-05", "12.5", "plain words", " 2024-02-06 ", None]
+    df = spark.createDataFrame([(i, values[i % 5], "$7" if i % 2 else "8") for i in range(500)], "k long, a string, b string")
+    p = profiles.profile(df)
+    assert (p["a"].count, p["a"].unique, p["a"].length, p["a"].numbers, p["a"].dates) == (400, 4, 9.25, 0.25, 0.5)
+    assert (p["b"].count, p["b"].unique, p["b"].numbers, p["b"].dates) == (500, 2, 0.5, 0.0)
+    assert [(e.problem, e.count) for e in cleaning.detect_types(df, p, cleaning.Rules()) if e.column == "b"] == [("mixed_types", 250)]
+    calls = spark.sparkContext.accumulator(0)
+
+    def parse(c):
+        return F.udf(lambda v: calls.add(1), T.TimestampType())(c)
+
+    monkeypatch.setattr(columns, "parse_datetime", parse)
+    monkeypatch.setattr(profiles, "parse_datetime", parse)
+    p = profiles.profile(df.select("a", "b"))
+    cleaning.detect_types(df, p, cleaning.Rules())
+    assert 0 < calls.value <= 50  # before: a call or more a row
