@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -401,8 +402,16 @@ def ranked(found: list[Insight]) -> list[Insight]:
 
 
 def insights(df: DataFrame, target: str) -> list[Insight]:
-    ps = profile(df)
-    found = ranked(validated(candidates(df, target, ps), ps))
+    """The insights of df, whose rows are kept by the executors meanwhile: each test reads them, and a join below them would be made, and its small sides sent through the driver, for each anew."""
+    kept = df.storageLevel.useMemory or df.storageLevel.useDisk
+    if not kept:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ps = profile(df)
+        found = ranked(validated(candidates(df, target, ps), ps))
+    finally:
+        if not kept:
+            df.unpersist()
     if not found:
         n = ps[target]
         found = [Insight("distribution", target, f"{target} has {n.unique} values in {n.count} rows", 0.1, 0.0, None, n.count)]

@@ -259,3 +259,19 @@ def test_texts_are_classified_once_a_distinct_value(spark, monkeypatch):
     p = profiles.profile(df.select("a", "b"))
     cleaning.detect_types(df, p, cleaning.Rules())
     assert 0 < calls.value <= 50  # before: a call or more a row
+
+
+def test_insights_make_a_join_below_them_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def named(i):
+        seen.add(1)
+        return "abc"[i]
+
+    sizes = spark.createDataFrame([(i,) for i in range(3)], "key long").withColumn("kind", F.udf(named)("key"))
+    df = spark.createDataFrame([(i % 3, 100.0 * (i % 3 + 1) + i % 7) for i in range(240)], "k long, sales double").join(sizes, F.col("k") == F.col("key")).select("sales", "kind")
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size()
+    found = insights.insights(df, "sales")
+    assert ("group_difference", "kind") in {(x.kind, x.feature) for x in found}
+    assert seen.value == 3  # before: for every test anew
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept and not df.storageLevel.useMemory
